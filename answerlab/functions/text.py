@@ -59,6 +59,7 @@ def _ranges(chars: str, gap: int = 40) -> str:
 
 _FOLD_FROM, _FOLD_TO, _FOLD_MANY = _fold_tables()
 _FOLD_MANY = [(a, b) for a, b in _FOLD_MANY if a != "ß"]
+_FOLD_PAIRS = "array(" + ", ".join(f"struct('{a}' AS a, '{b}' AS b)" for a, b in _FOLD_MANY) + ")"
 _FOLD_CLASS = _ranges(_FOLD_FROM + "".join(a for a, _ in _FOLD_MANY))
 
 
@@ -69,8 +70,9 @@ def fold(text: Column) -> Column:
     folding differs from lower case are looked for first, and mapped only where they occur.
     """
     lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    many = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _FOLD_MANY])
-    replaced = F.aggregate(many, lowered, lambda acc, pair: F.replace(acc, pair["a"], pair["b"]))
+    replaced = F.aggregate(
+        F.expr(_FOLD_PAIRS), lowered, lambda acc, pair: F.replace(acc, pair["a"], pair["b"])
+    )
     return F.when(lowered.rlike(_FOLD_CLASS), F.translate(replaced, _FOLD_FROM, _FOLD_TO)).otherwise(lowered)
 
 

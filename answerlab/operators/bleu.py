@@ -63,24 +63,28 @@ def _shared(candidate: Column, reference: Column) -> Column:
 def with_bleu(pairs: DataFrame, name: str = "bleu") -> DataFrame:
     """Add the score; 0.0 where either side has no token, null where either side is null."""
     kept = pairs.columns
-    grams = pairs.withColumns(
+    matched = pairs.withColumns(
         {"_r1": text.tokens(F.col("reference")), "_c1": text.tokens(F.col("candidate"))}
     )
-    for order in range(2, MAX_ORDER + 1):
-        grams = grams.withColumns(
-            {
-                f"_{side}{order}": _longer_grams(F.col(f"_{side}{order - 1}"), F.col(f"_{side}1"), order)
-                for side in "rc"
-            }
-        )
-    matched = grams.select(
+    for order in range(1, MAX_ORDER + 1):
+        mine, theirs = F.col(f"_c{order}"), F.col(f"_r{order}")
+        matched = matched.withColumn(f"_m{order}", _shared(mine, theirs))
+        if order < MAX_ORDER:
+            # Where no gram is shared, no longer one is: the longer ones are not even made.
+            some = F.col(f"_m{order}") > 0
+            matched = matched.withColumns(
+                {
+                    f"_{side}{order + 1}": F.when(
+                        some, _longer_grams(F.col(f"_{side}{order}"), F.col(f"_{side}1"), order + 1)
+                    ).otherwise(F.array().cast("array<string>"))
+                    for side in "rc"
+                }
+            )
+    matched = matched.select(
         *kept,
         F.size("_r1").alias("_nr"),
         F.size("_c1").alias("_nc"),
-        *[
-            _shared(F.col(f"_c{order}"), F.col(f"_r{order}")).alias(f"_m{order}")
-            for order in range(1, MAX_ORDER + 1)
-        ],
+        *[f"_m{order}" for order in range(1, MAX_ORDER + 1)],
     )
     log_sum = F.lit(0.0)
     for order in range(1, MAX_ORDER + 1):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from answerlab.functions import text
 from answerlab.operators.sampling import draw_order
@@ -140,29 +140,39 @@ def synonym_variants(
     candidates = questions.select(
         key, F.explode(F.array_distinct(text.words(F.col("text")))).alias("token")
     ).withColumn("word", F.lower("token"))
-    # A lexicon row is small and Spark checks the table's size before it broadcasts it.
-    known = candidates.join(usable, "word")
-    drawn = known.withColumn("position", F.explode(F.sequence(F.lit(1), F.lit(variants))))
-    order = draw_order(seed, F.concat_ws("|", key, "position", "token"))
-    ranked = Window.partitionBy(key, "position").orderBy(order, "token")
-    choice = F.conv(F.substring(F.md5(F.concat(order, F.lit("choice"))), 1, 7), 16, 10).cast("bigint")
-    picked = (
-        drawn.withColumn("_n", F.row_number().over(ranked))
-        .where(F.col("_n") <= sample_size)
-        .withColumn("synonym", F.get("synonyms", F.pmod(choice, F.size("synonyms")).cast("int")))
-        .groupBy(key, "position")
-        .agg(F.sort_array(F.collect_list(F.struct("token", "synonym"))).alias("swaps"))
+    # Spark checks the size of the lexicon before it broadcasts it. The list gathered per
+    # question holds words of one text, so it is never larger than that text.
+    known = (
+        candidates.join(usable, "word")
+        .groupBy(key)
+        .agg(F.collect_list(F.struct("token", "synonyms")).alias("known"))
     )
-    fanned = fan_out(questions.select(key, "text"), variants).join(picked, [key, "position"], "left")
-    # Alternating words and gaps; only words are looked up.
+    # Words and gaps in turn; only words are looked up.
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+    fanned = fan_out(questions.join(known, key, "left").select(key, "text", "known", pieces.alias("pieces")), variants)
+    ordered = F.transform(
+        "known",
+        lambda w: F.struct(
+            draw_order(seed, F.concat_ws("|", F.col(key), F.col("position"), w["token"])).alias("draw"),
+            w["token"].alias("token"),
+            w["synonyms"].alias("synonyms"),
+        ),
+    )
+
+    def choose(w):
+        number = F.conv(F.substring(F.md5(F.concat(w["draw"], F.lit("choice"))), 1, 7), 16, 10).cast("bigint")
+        chosen = F.get(w["synonyms"], F.pmod(number, F.size(w["synonyms"])).cast("int"))
+        return F.struct(w["token"].alias("token"), chosen.alias("synonym"))
+
+    drawn = F.when(F.col("position") > 0, F.slice(F.sort_array(ordered), 1, sample_size))
+    fanned = fanned.withColumn("swaps", F.transform(drawn, choose))
     swapped = F.transform(
-        pieces,
+        "pieces",
         lambda piece: F.coalesce(
             F.get(F.filter("swaps", lambda swap: swap["token"] == piece), F.lit(0))["synonym"], piece
         ),
     )
-    edited = F.when(F.col("swaps").isNull(), F.col("text")).otherwise(F.array_join(swapped, ""))
+    edited = F.when(F.coalesce(F.size("swaps"), F.lit(0)) == 0, F.col("text")).otherwise(F.array_join(swapped, ""))
     return fanned.select(
         key, "position", edited.alias("text_edited"), F.coalesce(F.size("swaps"), F.lit(0)).alias("replaced")
     )

@@ -17,6 +17,8 @@ def local_session(app: str = "answerlab", cores: str = "8", shuffle_partitions:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # Texts are few bytes and much work: keep small shuffle partitions apart.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -310,7 +310,8 @@ def sample_shortfall(spark, sf):
 
 
 def token_counts(spark, sf):
-    tokens = views.questions(spark, sf).select("id", text.tokens(F.col("question")).alias("t"))
+    questions = views.spread(views.questions(spark, sf).select("id", "question"))
+    tokens = questions.select("id", text.tokens(F.col("question")).alias("t"))
     return long_ints(
         tokens.select("id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"))
     )
@@ -467,24 +468,25 @@ def synonym_variants(spark, sf):
 
 
 def batch_generate(spark, sf):
-    prompts = views.questions(spark, sf).select("id", text.render_prompt(TEMPLATE, F.col("question")).alias("prompt"))
-    return inference.generate_answers(prompts, standins.answer_factory).drop("prompt")
+    questions = views.spread(views.questions(spark, sf).select("id", "question"))
+    prompts = questions.select("id", text.render_prompt(TEMPLATE, F.col("question")).alias("prompt"))
+    return inference.generate_answers(prompts, standins.answers()).drop("prompt")
 
 
 def back_translation(spark, sf):
     there, back = "Translate to Arabic:", "Translate to English:"
-    return inference.translate_back(views.texts(spark, sf), standins.reversing_factory, there, back).drop("text")
+    return inference.translate_back(views.texts(spark, sf), standins.reverser(), there, back).drop("text")
 
 
 def batch_embed(spark, sf):
-    rows = views.questions(spark, sf).select("id", "question")
-    embedded = inference.embed_texts(rows, standins.encoder_factory, "question")
+    rows = views.spread(views.questions(spark, sf).select("id", "question"))
+    embedded = inference.embed_texts(rows, standins.encoder(), "question")
     return finished(embedded.select("id", "v_fault", F.posexplode("v").alias("dim", "value")))
 
 
 def batch_pair_scores(spark, sf):
     scored = inference.score_pairs(
-        pairs.comparison_pairs(views.answered_questions(spark, sf)), standins.overlap_factory, "word_overlap"
+        pairs.comparison_pairs(views.answered_questions(spark, sf)), standins.word_overlap(), "word_overlap"
     )
     return finished(scored.drop("reference", "candidate"))
 
@@ -494,7 +496,7 @@ def generated_answers(spark, sf):
     items = views.table(spark, sf, "benchmark").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.lit("factual").alias("category")
     )
-    models = gen.Models(standins.answer_factory, standins.encoder_factory, standins.logits_factory)
+    models = gen.Models(standins.answers(), standins.encoder(), standins.logits())
     _, scored = gen.generate(items, models)
     return finished(scored)
 

@@ -1,44 +1,52 @@
-"""Small deterministic stand-ins for models, to test the data flow around them."""
+"""Small deterministic stand-ins for models, to test the data flow around them.
 
+Each function returns a factory made inside it, so that it travels to the workers whole.
+"""
 
-def answer_factory():
-    def answer(prompts):
+
+def answers():
+    def make():
         import hashlib
 
-        return ["True: " + hashlib.md5(prompt.encode()).hexdigest() for prompt in prompts]
+        return lambda prompts: ["True: " + hashlib.md5(prompt.encode()).hexdigest() for prompt in prompts]
 
-    return answer
+    return make
 
 
-def encoder_factory():
-    def encode(values):
+def encoder():
+    def make():
         import hashlib
 
-        return [[byte / 255.0 for byte in hashlib.md5(value.encode()).digest()[:8]] for value in values]
+        def encode(value):
+            return [byte / 255.0 for byte in hashlib.md5(value.encode()).digest()[:8]]
+
+        return lambda values: [encode(value) for value in values]
 
-    return encode
+    return make
 
 
-def overlap_factory():
-    def overlap(references, candidates):
-        out = []
-        for reference, candidate in zip(references, candidates):
+def word_overlap():
+    def make():
+        def score(reference, candidate):
             a, b = set(reference.split(" ")), set(candidate.split(" "))
-            out.append(2.0 * len(a & b) / (len(a) + len(b)))
-        return out
+            return 2.0 * len(a & b) / (len(a) + len(b))
+
+        return lambda references, candidates: [score(r, c) for r, c in zip(references, candidates)]
 
-    return overlap
+    return make
 
 
-def logits_factory():
-    def logits(premises, hypotheses):
-        return [[len(p) / 100.0 % 3, len(h) / 100.0 % 3, 1.0] for p, h in zip(premises, hypotheses)]
+def logits():
+    def make():
+        return lambda premises, hypotheses: [
+            [len(p) / 100.0 % 3, len(h) / 100.0 % 3, 1.0] for p, h in zip(premises, hypotheses)
+        ]
 
-    return logits
+    return make
 
 
-def reversing_factory():
-    def translate(prompts):
-        return [prompt.split("\n\n", 1)[1][::-1] for prompt in prompts]
+def reverser():
+    def make():
+        return lambda prompts: [prompt.split("\n\n", 1)[1][::-1] for prompt in prompts]
 
-    return translate
+    return make

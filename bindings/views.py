@@ -11,6 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """For work that is heavy per row: a table in one file is read by one task, so deal out its rows.
+
+    A table in several files comes back as it is.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) == 1 else frame
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: (id, question, category)."""
     return table(spark, sf_dir, "documents").select(
@@ -20,15 +29,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations: every turn as a text (question_id, text)."""
-    return table(spark, sf_dir, "conversations").select(
-        F.concat_ws("-", "conv_id", "turn").alias("question_id"), "text"
+    return spread(
+        table(spark, sf_dir, "conversations").select(
+            F.concat_ws("-", "conv_id", "turn").alias("question_id"), "text"
+        )
     )
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations: turns after the first are answers; those of others than the assistant are blank."""
     turns = table(spark, sf_dir, "conversations").where("turn >= 1")
-    return turns.select(
+    return spread(turns).select(
         F.col("conv_id").alias("question_id"),
         (F.col("turn") - 1).cast("int").alias("position"),
         F.when(F.col("role") == "assistant", F.col("text")).otherwise("").alias("response"),
@@ -51,7 +62,8 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: the lines of a text as an answer list."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("responses"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return documents.select("doc_id", F.split("text", "\n", -1).alias("responses"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
