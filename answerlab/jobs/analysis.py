@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerlab.functions import text
 from answerlab.operators import inference, positions, stats, validate
 from answerlab.operators.bleu import with_bleu
-from answerlab.operators.pairs import comparison_pairs, scatter_scores, with_clean_and_center
+from answerlab.operators.pairs import COMPARISONS, comparison_pairs, scatter_scores, with_clean_and_center
 from answerlab.plans.skew import attach, measure_groups, salt
 
 CLEAN_ACCURACY, CENTER_ACCURACY, MEAN_ACCURACY = (
@@ -25,23 +25,33 @@ class Scorers:
     """Pair metrics besides BLEU.
 
     ``models`` maps a metric name to a factory over (references, candidates);
-    ``columns`` maps one to a function from a pair table to the table with that column.
+    ``columns`` maps one to a function of the reference and candidate columns.
     """
 
     models: dict[str, Callable]
-    columns: dict[str, Callable[[DataFrame], DataFrame]]
+    columns: dict[str, Callable[[Column, Column], Column]]
+
+    def names(self) -> list[str]:
+        return ["bleu", *self.columns, *self.models]
 
 
 NO_SCORERS = Scorers({}, {})
 
 
-def score_pairs(pairs: DataFrame, scorers: Scorers) -> tuple[DataFrame, list[str]]:
-    scored = with_bleu(pairs)
+def with_row_scores(frame: DataFrame, scorers: Scorers, reference: str, candidate: str, suffix: str = "") -> DataFrame:
+    """Add every metric that needs only the two texts of the row; null where one is missing."""
+    frame = with_bleu(frame, f"bleu{suffix}", reference, candidate)
+    both = F.col(reference).isNotNull() & F.col(candidate).isNotNull()
+    return frame.withColumns(
+        {f"{m}{suffix}": F.when(both, score(F.col(reference), F.col(candidate))) for m, score in scorers.columns.items()}
+    )
+
+
+def with_model_scores(pairs: DataFrame, scorers: Scorers) -> DataFrame:
+    """Add the model metrics one after the other, so that one model is loaded at a time."""
     for name, make in scorers.models.items():
-        scored = inference.score_pairs(scored, make, name).drop(f"{name}_error")
-    for add in scorers.columns.values():
-        scored = add(scored)
-    return scored, ["bleu", *scorers.models, *scorers.columns]
+        pairs = inference.score_pairs(pairs, make, name).drop(f"{name}_error")
+    return pairs
 
 
 def accuracy_of(responses: DataFrame, dataset_name: str | None, true_false: bool) -> Callable | None:
@@ -77,14 +87,17 @@ def analyze_rows(
 ) -> tuple[DataFrame, list[str]]:
     """The answer table with its metric columns, and their names.
 
-    ``stats.metric_values``, ``stats.metric_statistics`` and ``stats.box_plot_statistics``
-    summarise the result once it is written.
+    :func:`summarise` gives the statistics of the result once it is written.
     """
     accuracy = _checked(responses, key, dataset_name, true_false)
-    questions = with_clean_and_center(responses)
-    scores, metrics = score_pairs(comparison_pairs(questions, key), scorers)
-    scored = scatter_scores(questions, scores, metrics, key)
-    names = [f"{m}_{c}" for m in metrics for c in ("clean_vs_label", "center_vs_label", "center_vs_clean")]
+    scored = with_clean_and_center(responses)
+    for name, reference, candidate in COMPARISONS:
+        # All texts of a comparison are in the row: these scores need no shuffle.
+        scored = with_row_scores(scored, scorers, reference, candidate, f"_{name}")
+    if scorers.models:
+        pairs = with_model_scores(comparison_pairs(with_clean_and_center(responses), key), scorers)
+        scored = scatter_scores(scored, pairs, list(scorers.models), key)
+    names = [f"{m}_{c}" for m in scorers.names() for c, _, _ in COMPARISONS]
     if accuracy:
         category = _category(responses, true_false)
         scored = scored.withColumns(
@@ -99,8 +112,8 @@ def analyze_rows(
 
 def summarise(scored: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
     """``(mean and std, box plot statistics)`` of a written scored table."""
-    values = stats.metric_values(scored, names)
-    return stats.metric_statistics(values, names), stats.box_plot_statistics(values, names)
+    boxes = stats.box_plot_statistics(stats.metric_values(scored, names), names)
+    return stats.metric_statistics(scored, names), boxes
 
 
 def analyze_positions(
@@ -156,8 +169,8 @@ def analyze_long_positions(
 def mean_by_position(
     pairs: DataFrame, longest: Column, scorers: Scorers, accuracy: Callable | None
 ) -> DataFrame:
-    scored, metrics = score_pairs(pairs, scorers)
-    means = {m: f"mean_{m}" for m in metrics}
+    scored = with_model_scores(with_row_scores(pairs, scorers, "reference", "candidate"), scorers)
+    means = {m: f"mean_{m}" for m in scorers.names()}
     if accuracy:
         scored = scored.withColumn("accuracy", accuracy(F.col("_category"), F.col("candidate")))
         means["accuracy"] = MEAN_ACCURACY

@@ -90,11 +90,7 @@ def generate(
     scores = hallucination_scores(comparison_pairs(per_question, blank_counts=True), models)
     scored = scatter_scores(per_question, scores, ["hallucination_score"])
     names = [c for c in scored.columns if c.startswith("hallucination_score_")]
-    scored = ctr.with_defaults(
-        scored.select("question_id", F.col("text").alias("sentence"), "label_gt", "clean_response", "median_cosine", *names),
-        metrics,
-        names,
-    )
+    scored = ctr.fill_defaults(scored.withColumnRenamed("text", "sentence"), names)
     if by_category:
         scored = scored.withColumns(
             {

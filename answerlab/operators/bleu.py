@@ -60,11 +60,13 @@ def _shared(candidate: Column, reference: Column) -> Column:
     )
 
 
-def with_bleu(pairs: DataFrame, name: str = "bleu") -> DataFrame:
+def with_bleu(
+    pairs: DataFrame, name: str = "bleu", reference: str = "reference", candidate: str = "candidate"
+) -> DataFrame:
     """Add the score; 0.0 where either side has no token, null where either side is null."""
     kept = pairs.columns
     matched = pairs.withColumns(
-        {"_r1": text.tokens(F.col("reference")), "_c1": text.tokens(F.col("candidate"))}
+        {"_r1": text.tokens(F.col(reference)), "_c1": text.tokens(F.col(candidate))}
     )
     for order in range(1, MAX_ORDER + 1):
         mine, theirs = F.col(f"_c{order}"), F.col(f"_r{order}")
@@ -97,5 +99,5 @@ def with_bleu(pairs: DataFrame, name: str = "bleu") -> DataFrame:
     score = F.when((F.col("_nc") == 0) | (F.col("_nr") == 0), F.lit(0.0)).otherwise(
         brevity * F.exp(log_sum / MAX_ORDER)
     )
-    known = F.col("reference").isNotNull() & F.col("candidate").isNotNull()
+    known = F.col(reference).isNotNull() & F.col(candidate).isNotNull()
     return matched.select(*kept, F.when(known, score).alias(name))

@@ -1,8 +1,7 @@
 """The representative answer of a question: the one nearest a robust embedding centre.
 
-Input rows are ``(question_id, position, v)`` plus an optional answer column. All steps are
-partial aggregates and joins of per-question values, so a question may have any number of
-answers. Position 0 (the lowest position) is the clean answer.
+Input rows are ``(question_id, position, v)`` plus an optional answer column. A question may
+have any number of answers. Position 0 (the lowest position) is the clean answer.
 """
 
 from __future__ import annotations
@@ -13,11 +12,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlab.functions import vectors as vec
 from answerlab.plans.quantiles import exact_quantiles
-from answerlab.plans.skew import GroupSizes, attach, measure_groups, salt
+from answerlab.plans.skew import GroupSizes, attach, fits_broadcast, measure_groups, salt
 
 # Results for a question without any answer.
 NO_ANSWER_SIMILARITY = 0.0
 NO_ANSWER_SCORE = 1.0
+# Answers of one question that may be held in one row.
+GATHERED_ANSWERS = 512
 
 
 def _mean_vector(v: Column) -> Column:
@@ -33,9 +34,20 @@ def _vector_bytes(answers: DataFrame) -> int:
 def with_centre(
     answers: DataFrame, key: str = "question_id", sizes: GroupSizes | None = None
 ) -> DataFrame:
-    """Add ``dist`` (to the mean of all), ``kept`` and ``cos`` (to the centre of the kept)."""
+    """Add ``dist`` (to the mean of all), ``kept`` and ``cos`` (to the centre of the kept).
+
+    Few questions: their vectors are broadcast and the answers are not shuffled. Many
+    questions with few answers each, the usual case: one shuffle brings the answers of a
+    question together. Otherwise joins, with salts for very large questions.
+    """
     sizes = sizes or measure_groups(answers, key)
     width = _vector_bytes(answers)
+    if not fits_broadcast(sizes, width) and sizes.largest <= GATHERED_ANSWERS:
+        return _gathered(answers, key)
+    return _joined(answers, key, sizes, width)
+
+
+def _joined(answers: DataFrame, key: str, sizes: GroupSizes, width: int) -> DataFrame:
     rows = salt(answers, sizes, F.struct("position"), width)
     means = answers.groupBy(key).agg(_mean_vector(F.col("v")).alias("mean"))
     rows = attach(rows, means, sizes, bytes_per_group=width)
@@ -45,9 +57,49 @@ def with_centre(
     rows = rows.withColumn("kept", F.col("dist") <= F.col("limit")).drop("limit")
     centres = rows.where("kept").groupBy(key).agg(_mean_vector(F.col("v")).alias("centre"))
     rows = attach(rows, centres, sizes, how="left", bytes_per_group=width)
-    rows = rows.withColumn("centre", F.coalesce("centre", "mean"))
-    rows = rows.withColumn("cos", vec.cosine(F.col("v"), F.col("centre")))
-    return rows.drop("_salt")
+    rows = rows.withColumn("centre", F.coalesce("centre", "mean")).drop("mean")
+    return rows.withColumn("cos", vec.cosine(F.col("v"), F.col("centre"))).drop("_salt")
+
+
+def _gathered(answers: DataFrame, key: str) -> DataFrame:
+    """All steps on the list of a question's answers, which was measured to be short."""
+    own = [c for c in answers.columns if c != key]
+    lists = answers.groupBy(key).agg(F.collect_list(F.struct(*own)).alias("a"))
+    # Each step is a column that the next one reads more than once, so it is made once.
+    lists = lists.withColumn("vs", F.transform("a", lambda x: x["v"]))
+    lists = lists.withColumn("mean", _list_mean(F.col("vs")))
+    lists = lists.withColumn("ds", F.transform("vs", lambda v: vec.distance(v, F.col("mean"))))
+    lists = lists.withColumn("average", _list_average(F.col("ds")))
+    variance = _list_average(
+        F.transform("ds", lambda d: (d - F.col("average")) * (d - F.col("average")))
+    )
+    lists = lists.withColumn("limit", F.col("average") + F.sqrt(variance))
+    lists = lists.withColumn("ks", F.transform("ds", lambda d: d <= F.col("limit")))
+    kept = F.transform(F.filter(F.arrays_zip("vs", "ks"), lambda x: x["ks"]), lambda x: x["vs"])
+    centre = F.when(F.exists("ks", lambda k: k), _list_mean(kept)).otherwise(F.col("mean"))
+    lists = lists.withColumn("centre", centre)
+    lists = lists.withColumn("cs", F.transform("vs", lambda v: vec.cosine(v, F.col("centre"))))
+    rows = lists.select(key, "centre", F.inline(F.arrays_zip("a", "ds", "ks", "cs")))
+    return rows.select(
+        key,
+        *[F.col(f"a.{c}").alias(c) for c in own],
+        F.col("ds").alias("dist"),
+        F.col("ks").alias("kept"),
+        "centre",
+        F.col("cs").alias("cos"),
+    )
+
+
+def _list_average(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
+
+
+def _list_mean(vectors: Column) -> Column:
+    """Mean vector of a list of vectors."""
+    zero = F.transform(F.get(vectors, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(vectors, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    count = F.array_repeat(F.size(vectors), F.size(F.get(vectors, F.lit(0))))
+    return F.zip_with(total, count, lambda x, n: x / n)
 
 
 def centre_metrics(measured: DataFrame, answer: str = "position", key: str = "question_id") -> DataFrame:
@@ -89,7 +141,11 @@ def with_defaults(
 
     Scores of answered questions pass through, null included (a missing label).
     """
-    joined = questions.join(metrics, key, "left")
+    return fill_defaults(questions.join(metrics, key, "left"), score_columns)
+
+
+def fill_defaults(joined: DataFrame, score_columns: list[str]) -> DataFrame:
+    """The same where the metrics are already in the row, null for questions without an answer."""
     none = F.coalesce(F.col("answers"), F.lit(0)) == 0
     similarities = ["center_similarity_mean", "clean_to_center_similarity", "cluster_dispersion"]
     return joined.withColumns(

@@ -2,9 +2,9 @@
 
 A model is a factory without arguments that returns a function from lists of inputs to a
 list of results. It is called on the executor, once per task, so heavy imports and model
-loading stay off the driver. Equal inputs are sent once, results are written to the
-checkpoint folder before anything reads them (a retry or a second use calls nothing
-again), and they are joined back by a digest of the input.
+loading stay off the driver. Equal inputs are sent once, results are written to a table
+before anything reads them (a second use calls nothing again), and they are joined back
+by a digest of the input.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlab.functions import text
 from answerlab.functions.vectors import vector_fault
-from answerlab.plans.skew import attach, measure_groups, salt
+from answerlab.plans.skew import attach, salt, summarise_counts
 from answerlab.session import materialise
 
 # Fixed value: inputs per model call.
@@ -51,6 +51,7 @@ def _caller(make: Callable, inputs: list[str], batch_size: int):
                 yield pd.DataFrame(
                     {
                         "_input_id": part["_input_id"].tolist(),
+                        "rows": part["rows"].tolist(),
                         "result": pd.Series([answer for answer, _ in pairs], dtype=object),
                         "error": pd.Series([error for _, error in pairs], dtype=object),
                     }
@@ -76,24 +77,29 @@ def call_model(
 ) -> DataFrame:
     """Add ``result`` and ``<result>_error``; rows with a null input get null in both.
 
-    ``tasks`` bounds how many model calls run at the same time.
+    ``tasks`` is the number of tasks that call the model, so it bounds the calls at one time.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     keyed = rows.withColumn(_ID, input_id(inputs))
-    # Equal inputs are reduced before and after the shuffle.
-    distinct = keyed.where(F.col(_ID).isNotNull()).select(_ID, *inputs).dropDuplicates([_ID])
-    if tasks:
-        distinct = distinct.coalesce(tasks)
+    known = keyed.where(F.col(_ID).isNotNull())
+    # Equal inputs are reduced before and after the shuffle, and counted on the way.
+    distinct = known.groupBy(_ID).agg(
+        *[F.first(name).alias(name) for name in inputs], F.count(F.lit(1)).alias("rows")
+    )
+    # Inputs are few bytes and much work, so their number of tasks does not follow their size.
+    spark = rows.sparkSession
+    distinct = distinct.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
     called = materialise(
         distinct.mapInPandas(
-            _caller(make, inputs, batch_size), f"{_ID} string, result {result_type}, error string"
+            _caller(make, inputs, batch_size), f"{_ID} string, rows bigint, result {result_type}, error string"
         )
-    ).select(_ID, F.col("result").alias(result), F.col("error").alias(f"{result}_error"))
-    sizes = measure_groups(keyed.where(F.col(_ID).isNotNull()).select(_ID), _ID)
+    )
+    sizes = summarise_counts(called.select(_ID, "rows"), _ID)
+    results = called.select(_ID, F.col("result").alias(result), F.col("error").alias(f"{result}_error"))
     # Rows with the same input differ in their other columns, such as question and position.
     spread = salt(keyed, sizes, F.struct(*[F.col(c) for c in rows.columns if _comparable(rows, c)]))
-    return attach(spread, called, sizes, how="left").drop(_ID, "_salt")
+    return attach(spread, results, sizes, how="left").drop(_ID, "_salt")
 
 
 def _comparable(rows: DataFrame, column: str) -> bool:

@@ -22,15 +22,39 @@ def number_from_text(value: Column) -> Column:
     return F.when(value.rlike(_NUMBER), F.trim(value).try_cast("double"))
 
 
+def _numbers(scored: DataFrame, metrics: list[str]) -> DataFrame:
+    types = dict(scored.dtypes)
+    return scored.select(
+        *[
+            finite(number_from_text(F.col(m)) if types[m] == "string" else F.col(m).cast("double")).alias(m)
+            for m in metrics
+        ]
+    )
+
+
 def metric_values(scored: DataFrame, metrics: list[str]) -> DataFrame:
     """``(metric, value)`` rows of all finite values of the metric columns."""
-    types = dict(scored.dtypes)
-    numbers = [
-        (number_from_text(F.col(m)) if types[m] == "string" else F.col(m).cast("double")).alias(m)
-        for m in metrics
-    ]
-    long = scored.select(*numbers).unpivot([], metrics, "metric", "value")
-    return long.where(is_finite(F.col("value")))
+    return _numbers(scored, metrics).unpivot([], metrics, "metric", "value").where("value is not null")
+
+
+def metric_statistics(scored: DataFrame, metrics: list[str]) -> DataFrame:
+    """``(metric, mean, std, n)`` of the metric columns; mean and std are null without values.
+
+    The standard deviation is that of the population. One aggregation over the columns as
+    they are; rows are turned into ``metric`` rows only after it.
+    """
+    totals = _numbers(scored, metrics).agg(
+        *[
+            F.struct(
+                F.lit(m).alias("metric"),
+                F.avg(m).alias("mean"),
+                F.stddev_pop(m).alias("std"),
+                F.count(m).alias("n"),
+            ).alias(m)
+            for m in metrics
+        ]
+    )
+    return totals.select(F.inline(F.array(*[F.col(f"`{m}`") for m in metrics])))
 
 
 def metric_list(frame: DataFrame, metrics: list[str]) -> DataFrame:
@@ -39,19 +63,6 @@ def metric_list(frame: DataFrame, metrics: list[str]) -> DataFrame:
     return frame.sparkSession.range(1).select(names)
 
 
-def metric_statistics(values: DataFrame, metrics: list[str]) -> DataFrame:
-    """Mean and population standard deviation of each named metric; null without values."""
-    stats = (
-        values.where(is_finite(F.col("value")))
-        .groupBy("metric")
-        .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
-    )
-    names = F.broadcast(metric_list(values, metrics))
-    return stats.join(names, "metric", "right").select(
-        "metric", "mean", "std", F.coalesce("n", F.lit(0)).alias("n")
-    )
-
-
 def box_plot_statistics(values: DataFrame, metrics: list[str]) -> DataFrame:
     """What a box plot with means shows, per metric: box, whiskers and the number of outliers."""
     known = values.where(F.col("metric").isin(*metrics) & is_finite(F.col("value")))
@@ -77,18 +88,9 @@ def box_plot_statistics(values: DataFrame, metrics: list[str]) -> DataFrame:
 
 def run_summary(scored: DataFrame, mean_only: list[str], mean_and_std: list[str] = ()) -> DataFrame:
     """``(metric, mean, std)`` of a run; std only for the accuracy metrics."""
-    rows = scored.select(*[F.col(m).cast("double").alias(m) for m in [*mean_only, *mean_and_std]])
-    totals = rows.agg(
-        *[
-            F.struct(
-                F.lit(m).alias("metric"),
-                F.avg(finite(F.col(m))).alias("mean"),
-                (F.stddev_pop(finite(F.col(m))) if m in mean_and_std else F.lit(None).cast("double")).alias("std"),
-            ).alias(m)
-            for m in [*mean_only, *mean_and_std]
-        ]
-    )
-    return totals.select(F.inline(F.array(*totals.columns)))
+    rows = metric_statistics(scored, [*mean_only, *mean_and_std])
+    std = F.when(F.col("metric").isin(*mean_and_std), F.col("std")) if mean_and_std else F.lit(None).cast("double")
+    return rows.select("metric", "mean", std.alias("std"))
 
 
 def accuracy_summary(scored: DataFrame, columns: list[str]) -> DataFrame:

@@ -50,6 +50,11 @@ class GroupSizes:
 def measure_groups(rows: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> GroupSizes:
     """Count the rows of every group; one action that brings back two numbers."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    return summarise_counts(counts, key, rows_per_salt)
+
+
+def summarise_counts(counts: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> GroupSizes:
+    """The same from a table that already has the ``rows`` of every key."""
     groups, largest = counts.agg(F.count(F.lit(1)), F.coalesce(F.max("rows"), F.lit(0))).first()
     return GroupSizes(key, groups, largest, rows_per_salt, counts)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,21 +26,25 @@ def local_session(app: str = "answerlab", cores: str = "8", shuffle_partitions:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a folder only in local mode."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the cluster names, or a new one in local mode."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="answerlab-checkpoint-"))
-    else:
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="answerlab-"))
+    return context.getCheckpointDir()
 
 
 def materialise(frame: DataFrame) -> DataFrame:
-    """Write the frame once to the checkpoint folder so that nothing upstream runs again."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write the frame once, as Parquet, and read it back.
+
+    Nothing upstream runs again, also not when an executor is lost, and readers still get
+    column pruning. The table stays in the shared folder until that is cleaned up.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/answerlab-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -238,6 +238,10 @@ SELECT question_id, position, coalesce(replaced, 0) AS replaced,
 FROM fanned LEFT JOIN picked USING (question_id, position)
 """
 
+OVERLAP = """
+2.0::DOUBLE * len(list_intersect(string_split(reference, ' '), string_split(candidate, ' ')))
+  / (len(list_distinct(string_split(reference, ' '))) + len(list_distinct(string_split(candidate, ' '))))"""
+
 ORACLE = {
     "src_questions": f"WITH {QUESTIONS} SELECT id, question, category FROM questions",
     "src_responses": f"""
@@ -277,12 +281,16 @@ SELECT question_id, empty_columns, (SELECT count(*) FROM bad WHERE empty_columns
 FROM bad WHERE empty_columns <> '' ORDER BY question_id LIMIT 10""",
     "comparison_pairs": f"WITH {ANSWERED}, {PAIRS} SELECT * FROM pairs",
     "scored_rows": f"""
-WITH {ANSWERED}, {PAIRS}, {bleu("pairs", "question_id, comparison")}
+WITH {ANSWERED}, {PAIRS}, {bleu("pairs", "question_id, comparison")},
+scores AS (SELECT question_id, comparison, bleu, {OVERLAP} AS overlap FROM bleu JOIN pairs USING (question_id, comparison))
 SELECT question_id,
   round(max(bleu) FILTER (comparison = 'clean_vs_label'), 6) AS bleu_clean_vs_label,
   round(max(bleu) FILTER (comparison = 'center_vs_label'), 6) AS bleu_center_vs_label,
-  round(max(bleu) FILTER (comparison = 'center_vs_clean'), 6) AS bleu_center_vs_clean
-FROM answered LEFT JOIN bleu USING (question_id) GROUP BY question_id""",
+  round(max(bleu) FILTER (comparison = 'center_vs_clean'), 6) AS bleu_center_vs_clean,
+  round(max(overlap) FILTER (comparison = 'clean_vs_label'), 6) AS word_overlap_clean_vs_label,
+  round(max(overlap) FILTER (comparison = 'center_vs_label'), 6) AS word_overlap_center_vs_label,
+  round(max(overlap) FILTER (comparison = 'center_vs_clean'), 6) AS word_overlap_center_vs_clean
+FROM answered LEFT JOIN scores USING (question_id) GROUP BY question_id""",
     "review_decisions": f"""
 WITH {QUESTIONS}, {sample("questions")}, {REVIEWED} SELECT id, category, decision FROM decided""",
     "review_filtered": f"""
@@ -437,7 +445,5 @@ FROM h CROSS JOIN (SELECT unnest(range(0, 8)) AS dim)""",
     "batch_pair_scores": f"""
 WITH {ANSWERED}, {PAIRS}
 SELECT question_id, comparison, NULL::VARCHAR AS word_overlap_error,
-  round(2.0::DOUBLE * len(list_intersect(string_split(reference, ' '), string_split(candidate, ' ')))
-    / (len(list_distinct(string_split(reference, ' '))) + len(list_distinct(string_split(candidate, ' ')))), 6) AS word_overlap
-FROM pairs""",
+  round({OVERLAP}, 6) AS word_overlap FROM pairs""",
 }

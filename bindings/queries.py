@@ -125,9 +125,14 @@ def comparison_pairs(spark, sf):
 
 
 def scored_rows(spark, sf):
+    """Every question with its three comparisons: BLEU in the row, model scores put back by key."""
     questions = views.answered_questions(spark, sf)
-    scores = with_bleu(pairs.comparison_pairs(questions))
-    return finished(pairs.scatter_scores(questions.select("question_id"), scores, ["bleu"]))
+    scored = questions
+    for name, reference, candidate in pairs.COMPARISONS:
+        scored = with_bleu(scored, f"bleu_{name}", reference, candidate)
+    scores = inference.score_pairs(pairs.comparison_pairs(questions), standins.word_overlap(), "word_overlap")
+    scattered = pairs.scatter_scores(scored, scores, ["word_overlap"])
+    return finished(scattered.drop("label_gt", "clean_response", "center_response"))
 
 
 def _sample(spark, sf):
@@ -251,17 +256,16 @@ def metric_stats(spark, sf):
     )
     events = views.table(spark, sf, "events")
     wide = events.select(*[F.when(F.col("event_type") == m, value).alias(m) for m in METRICS])
-    return finished(stats.metric_statistics(stats.metric_values(wide, METRICS), METRICS))
+    return finished(stats.metric_statistics(wide, METRICS))
 
 
-def _overlap(frame: DataFrame) -> DataFrame:
-    mine, theirs = F.array_distinct(text.tokens(F.col("candidate"))), F.array_distinct(text.tokens(F.col("reference")))
-    shared = F.size(F.array_intersect(mine, theirs))
-    return frame.withColumn("token_overlap", F.try_divide(2.0 * shared, F.size(mine) + F.size(theirs)))
+def _token_overlap(reference, candidate):
+    mine, theirs = F.array_distinct(text.tokens(candidate)), F.array_distinct(text.tokens(reference))
+    return F.try_divide(2.0 * F.size(F.array_intersect(mine, theirs)), F.size(mine) + F.size(theirs))
 
 
 def position_metrics(spark, sf):
-    scorers = analysis.Scorers({}, {"token_overlap": _overlap})
+    scorers = analysis.Scorers({}, {"token_overlap": _token_overlap})
     means = analysis.analyze_long_positions(
         views.answers(spark, sf), views.answered_questions(spark, sf), scorers, text.boolean_accuracy
     )

@@ -30,13 +30,16 @@ def frame_of(spark, groups):
     return spark.createDataFrame(rows, "question_id bigint, position int, response string, v array<double>")
 
 
-@pytest.mark.parametrize("path", ["broadcast", "plain join", "salted join"])
+@pytest.mark.parametrize("path", ["broadcast", "gathered", "plain join", "salted join"])
 def test_centre_on_every_join_path(spark, groups, monkeypatch, path):
     if path != "broadcast":
         monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    if path.endswith("join"):
+        monkeypatch.setattr(centre, "GATHERED_ANSWERS", 0)
     frame = frame_of(spark, groups)
     sizes = skew.measure_groups(frame, "question_id", 20 if path == "salted join" else 10**6)
     measured = centre.with_centre(frame, sizes=sizes)
+    assert set(measured.columns) == {*frame.columns, "dist", "kept", "centre", "cos"}
     assert measured.count() == sum(map(len, groups.values()))
     for row in centre.centre_metrics(measured, "response").collect():
         kept, cosines, distances = expected_centre(groups[row.question_id])

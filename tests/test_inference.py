@@ -25,7 +25,7 @@ def calls_factory(folder):
 def test_equal_inputs_are_sent_once_and_results_are_not_made_again(spark, tmp_path):
     rows = [(i, f"prompt {i % 5}") for i in range(100)] + [(100, None)]
     frame = spark.createDataFrame(rows, "id int, prompt string").repartition(4)
-    answered = inference.generate_answers(frame, calls_factory(str(tmp_path)), batch_size=2)
+    answered = inference.generate_answers(frame, calls_factory(str(tmp_path)), batch_size=2, tasks=2)
     for _ in range(2):
         got = {r.id: r.response for r in answered.collect()}
         assert got == {i: p and p.upper() for i, p in rows}
@@ -34,8 +34,8 @@ def test_equal_inputs_are_sent_once_and_results_are_not_made_again(spark, tmp_pa
 
 
 def test_hot_input_is_salted(spark, tmp_path, monkeypatch):
-    real = inference.measure_groups
-    monkeypatch.setattr(inference, "measure_groups", lambda rows, key: real(rows, key, 10))
+    real = inference.summarise_counts
+    monkeypatch.setattr(inference, "summarise_counts", lambda counts, key: real(counts, key, 10))
     frame = spark.createDataFrame([(i, "hot" if i % 2 else f"p{i}") for i in range(200)], "id int, prompt string")
     answered = inference.generate_answers(frame, calls_factory(str(tmp_path))).collect()
     assert {r.id: r.response for r in answered} == {i: "HOT" if i % 2 else f"P{i}" for i in range(200)}
@@ -51,8 +51,8 @@ def test_failures_stay_in_their_row(spark):
 
         return call
 
-    frame = spark.createDataFrame([("a",), ("bad",), ("b",)], "prompt string").coalesce(1)
-    rows = {r.prompt: r for r in inference.generate_answers(frame, make).collect()}
+    frame = spark.createDataFrame([("a",), ("bad",), ("b",)], "prompt string")
+    rows = {r.prompt: r for r in inference.generate_answers(frame, make, tasks=1).collect()}
     assert (rows["a"].response, rows["b"].response, rows["bad"].response) == ("a!", "b!", None)
     assert rows["bad"].response_error == "RuntimeError: model says no" and rows["a"].response_error is None
 
@@ -60,7 +60,7 @@ def test_failures_stay_in_their_row(spark):
 def test_wrong_number_of_results_fails(spark):
     frame = spark.createDataFrame([("a",), ("b",)], "prompt string").coalesce(1)
     with pytest.raises(Exception, match="1 results for 2 inputs"):
-        inference.generate_answers(frame, lambda: lambda prompts: ["x"]).collect()
+        inference.generate_answers(frame, lambda: lambda prompts: ["x"], tasks=1).collect()
 
 
 def test_pair_scores_keep_direction(spark):

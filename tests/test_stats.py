@@ -14,8 +14,7 @@ def test_statistics_use_finite_values_only(spark):
         [("1", None), ("3", None), ("inf", None), ("-inf", None), (None, None), ("x", None), ("2d", None), ("NaN", None)],
         "metric string, empty double",
     )
-    values = stats.metric_values(frame, ["metric", "empty"])
-    rows = {r.metric: r for r in stats.metric_statistics(values, ["metric", "empty"]).collect()}
+    rows = {r.metric: r for r in stats.metric_statistics(frame, ["metric", "empty"]).collect()}
     assert (rows["metric"].mean, rows["metric"].std, rows["metric"].n) == (2.0, 1.0, 2)
     assert (rows["empty"].mean, rows["empty"].std, rows["empty"].n) == (None, None, 0)
 
