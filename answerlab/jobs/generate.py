@@ -34,16 +34,15 @@ class Models:
 
 def hallucination_scores(pairs: DataFrame, models: Models) -> DataFrame:
     """Add ``hallucination_score`` to (reference, candidate) rows; a factory failure leaves null."""
-    encoder = models.semantic or models.embed
-    scored = inference.call_model(pairs, ["reference"], encoder, "array<double>", "_ref")
-    scored = inference.call_model(scored, ["candidate"], encoder, "array<double>", "_cand")
+    texts = pairs.select(F.explode(F.array("reference", "candidate")).alias("text"))
+    encoded = inference.call_distinct(texts, ["text"], models.semantic or models.embed, "array<double>")
+    scored = inference.put_back(pairs, ["reference"], encoded, "_ref")
+    scored = inference.put_back(scored, ["candidate"], encoded, "_cand")
+    similar = vec.semantic_similarity(F.col("_ref"), F.col("_cand"))
+    scored = scored.withColumn("_similar", similar).drop("_ref", "_cand", "_ref_error", "_cand_error")
     scored = inference.call_model(scored, ["reference", "candidate"], models.logits, "array<double>", "_logits")
-    score = vec.hallucination_score(
-        vec.semantic_similarity(F.col("_ref"), F.col("_cand")), vec.factual_score(F.col("_logits"))
-    )
-    return scored.withColumn("hallucination_score", score).drop(
-        *[f"{c}{suffix}" for c in ("_ref", "_cand", "_logits") for suffix in ("", "_error")]
-    )
+    score = vec.hallucination_score(F.col("_similar"), vec.factual_score(F.col("_logits")))
+    return scored.withColumn("hallucination_score", score).drop("_similar", "_logits", "_logits_error")
 
 
 def generate(
@@ -67,7 +66,7 @@ def generate(
     asked = questions.select("question_id", F.col("question").alias("text"), label.alias("label_gt"))
     edited = noise.typo_variants(asked, seed, rate, variants)
     prompts = edited.withColumn("prompt", text.render_prompt(template, F.col("text_edited")))
-    answered = inference.generate_answers(prompts, models.answer).drop("prompt")
+    answered = materialise(inference.generate_answers(prompts, models.answer).drop("prompt"))
     embedded = materialise(inference.embed_texts(answered, models.embed, "response"))
     labels = inference.embed_texts(asked, models.embed, "label_gt").select(
         "question_id", F.col("v").alias("label_v")

@@ -66,23 +66,21 @@ def input_id(inputs: list[str]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def call_model(
+def call_distinct(
     rows: DataFrame,
     inputs: list[str],
     make: Callable,
     result_type: str,
-    result: str,
     batch_size: int = BATCH_SIZE,
     tasks: int | None = None,
 ) -> DataFrame:
-    """Add ``result`` and ``<result>_error``; rows with a null input get null in both.
+    """A written table with one row per distinct input: its digest, how many rows have it, result, error.
 
     ``tasks`` is the number of tasks that call the model, so it bounds the calls at one time.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
-    keyed = rows.withColumn(_ID, input_id(inputs))
-    known = keyed.where(F.col(_ID).isNotNull())
+    known = rows.select(input_id(inputs).alias(_ID), *inputs).where(F.col(_ID).isNotNull())
     # Equal inputs are reduced before and after the shuffle, and counted on the way.
     distinct = known.groupBy(_ID).agg(
         *[F.first(name).alias(name) for name in inputs], F.count(F.lit(1)).alias("rows")
@@ -90,11 +88,16 @@ def call_model(
     # Inputs are few bytes and much work, so their number of tasks does not follow their size.
     spark = rows.sparkSession
     distinct = distinct.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    called = materialise(
+    return materialise(
         distinct.mapInPandas(
             _caller(make, inputs, batch_size), f"{_ID} string, rows bigint, result {result_type}, error string"
         )
     )
+
+
+def put_back(rows: DataFrame, inputs: list[str], called: DataFrame, result: str) -> DataFrame:
+    """Add ``result`` and ``<result>_error`` from a table of :func:`call_distinct`, by input."""
+    keyed = rows.withColumn(_ID, input_id(inputs))
     sizes = summarise_counts(called.select(_ID, "rows"), _ID)
     results = called.select(_ID, F.col("result").alias(result), F.col("error").alias(f"{result}_error"))
     # Rows with the same input differ in their other columns, such as question and position.
@@ -102,6 +105,20 @@ def call_model(
     return attach(spread, results, sizes, how="left").drop(_ID, "_salt")
 
 
+def call_model(
+    rows: DataFrame,
+    inputs: list[str],
+    make: Callable,
+    result_type: str,
+    result: str,
+    batch_size: int = BATCH_SIZE,
+    tasks: int | None = None,
+) -> DataFrame:
+    """Add ``result`` and ``<result>_error``; rows with a null input get null in both."""
+    called = call_distinct(rows, inputs, make, result_type, batch_size, tasks)
+    return put_back(rows, inputs, called, result)
+
+
 def _comparable(rows: DataFrame, column: str) -> bool:
     return not rows.schema[column].dataType.simpleString().startswith(("map", "variant"))
 
