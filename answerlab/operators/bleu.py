@@ -15,48 +15,41 @@ MAX_ORDER = 4
 EPSILON = 0.1
 
 
-def _longer_grams(grams: Column, tokens: Column, order: int) -> Column:
-    """Extend every (order-1)-gram by the token after it. Tokens hold no space, so it can join them."""
-    count = F.greatest(F.size(tokens) - (order - 1), F.lit(0))
-    return F.zip_with(
-        F.slice(grams, F.lit(1), count),
-        F.slice(tokens, F.lit(order), count),
-        lambda gram, token: F.concat(gram, F.lit(" "), token),
-    )
-
+def _longer_grams(side: str, order: int) -> Column:
+    """Every gram of one order less, extended by the token after it.
 
-def _struct(**fields: Column) -> Column:
-    return F.struct(*[column.alias(name) for name, column in fields.items()])
+    Tokens hold no space, so a space can join them. Without a shared shorter gram there
+    is no shared longer one, and the longer ones are not even made.
+    """
+    count = f"greatest(size(_{side}1) - {order - 1}, 0)"
+    shorter, tokens = f"slice(_{side}{order - 1}, 1, {count})", f"slice(_{side}1, {order}, {count})"
+    longer = f"zip_with({shorter}, {tokens}, (gram, token) -> concat(gram, ' ', token))"
+    return F.expr(f"CASE WHEN _m{order - 1} > 0 THEN {longer} ELSE CAST(array() AS array<string>) END")
 
 
-def _shared(candidate: Column, reference: Column) -> Column:
-    """Size of the multiset intersection of two arrays of grams.
+def _shared(order: int) -> Column:
+    """Size of the multiset intersection of the candidate's and the reference's grams.
 
     Both sides are sorted together and folded once, counting each run of equal grams.
     The two cheap cases come first: nothing shared, and no gram repeated in the candidate.
     """
-    mine = F.transform(candidate, lambda g: _struct(gram=g, c=F.lit(1), r=F.lit(0)))
-    theirs = F.transform(reference, lambda g: _struct(gram=g, c=F.lit(0), r=F.lit(1)))
-
-    def step(run, item):
-        return F.when(
-            run["gram"] == item["gram"],
-            _struct(gram=run["gram"], c=run["c"] + item["c"], r=run["r"] + item["r"], done=run["done"]),
-        ).otherwise(
-            _struct(gram=item["gram"], c=item["c"], r=item["r"], done=run["done"] + F.least(run["c"], run["r"]))
-        )
-
-    counted = F.aggregate(
-        F.sort_array(F.concat(mine, theirs)),
-        _struct(gram=F.lit(""), c=F.lit(0), r=F.lit(0), done=F.lit(0)),
-        step,
-        lambda run: run["done"] + F.least(run["c"], run["r"]),
+    c, r = f"_c{order}", f"_r{order}"
+    both = (
+        f"sort_array(concat(transform({c}, g -> struct(g AS gram, 1 AS c, 0 AS r)),"
+        f" transform({r}, g -> struct(g AS gram, 0 AS c, 1 AS r))))"
     )
-    common = F.size(F.array_intersect(candidate, reference))
-    return (
-        F.when(common == 0, F.lit(0))
-        .when(F.size(F.array_distinct(candidate)) == F.size(candidate), common)
-        .otherwise(counted)
+    same = "struct(run.gram AS gram, run.c + x.c AS c, run.r + x.r AS r, run.done AS done)"
+    fresh = "struct(x.gram AS gram, x.c AS c, x.r AS r, run.done + least(run.c, run.r) AS done)"
+    return F.expr(
+        f"""CASE
+        WHEN size(array_intersect({c}, {r})) = 0 THEN 0
+        WHEN size(array_distinct({c})) = size({c}) THEN size(array_intersect({c}, {r}))
+        ELSE aggregate(
+            {both},
+            struct('' AS gram, 0 AS c, 0 AS r, 0 AS done),
+            (run, x) -> CASE WHEN run.gram = x.gram THEN {same} ELSE {fresh} END,
+            run -> run.done + least(run.c, run.r))
+        END"""
     )
 
 
@@ -69,35 +62,21 @@ def with_bleu(
         {"_r1": text.tokens(F.col(reference)), "_c1": text.tokens(F.col(candidate))}
     )
     for order in range(1, MAX_ORDER + 1):
-        mine, theirs = F.col(f"_c{order}"), F.col(f"_r{order}")
-        matched = matched.withColumn(f"_m{order}", _shared(mine, theirs))
-        if order < MAX_ORDER:
-            # Where no gram is shared, no longer one is: the longer ones are not even made.
-            some = F.col(f"_m{order}") > 0
-            matched = matched.withColumns(
-                {
-                    f"_{side}{order + 1}": F.when(
-                        some, _longer_grams(F.col(f"_{side}{order}"), F.col(f"_{side}1"), order + 1)
-                    ).otherwise(F.array().cast("array<string>"))
-                    for side in "rc"
-                }
-            )
+        if order > 1:
+            matched = matched.withColumns({f"_{side}{order}": _longer_grams(side, order) for side in "rc"})
+        matched = matched.withColumn(f"_m{order}", _shared(order))
     matched = matched.select(
         *kept,
         F.size("_r1").alias("_nr"),
         F.size("_c1").alias("_nc"),
         *[f"_m{order}" for order in range(1, MAX_ORDER + 1)],
     )
-    log_sum = F.lit(0.0)
-    for order in range(1, MAX_ORDER + 1):
-        hits = F.col(f"_m{order}")
-        possible = F.greatest(F.col("_nc") - (order - 1), F.lit(1))
-        log_sum = log_sum + F.ln(F.when(hits > 0, hits.cast("double")).otherwise(F.lit(EPSILON)) / possible)
-    brevity = F.when(F.col("_nc") > F.col("_nr"), F.lit(1.0)).otherwise(
-        F.exp(1.0 - F.try_divide(F.col("_nr"), F.col("_nc")))
+    logs = " + ".join(
+        f"ln(if(_m{n} > 0, double(_m{n}), {EPSILON}D) / greatest(_nc - {n - 1}, 1))" for n in range(1, MAX_ORDER + 1)
     )
-    score = F.when((F.col("_nc") == 0) | (F.col("_nr") == 0), F.lit(0.0)).otherwise(
-        brevity * F.exp(log_sum / MAX_ORDER)
+    score = F.expr(
+        f"""CASE WHEN `{reference}` IS NULL OR `{candidate}` IS NULL THEN NULL
+        WHEN _nc = 0 OR _nr = 0 THEN 0D
+        ELSE if(_nc > _nr, 1D, exp(1D - try_divide(_nr, _nc))) * exp(({logs}) / {MAX_ORDER}) END"""
     )
-    known = F.col(reference).isNotNull() & F.col(candidate).isNotNull()
-    return matched.select(*kept, F.when(known, score).alias(name))
+    return matched.select(*kept, score.alias(name))

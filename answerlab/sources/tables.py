@@ -45,11 +45,19 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataF
     return spark.read.format(format).load(path)
 
 
-def read_questions(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+def with_key(frame: DataFrame, key: str) -> DataFrame:
+    """The table with a key column; for one CSV file a missing key is the row number from 0.
+
+    Tables of many files should bring their own key, which then also gives the file order.
+    """
+    return frame if key in frame.columns else frame.withColumn(key, F.monotonically_increasing_id())
+
+
+def read_questions(spark: SparkSession, path: str, format: str = "parquet", key: str = "id") -> DataFrame:
     questions = read_table(spark, path, format)
     require_columns(questions, QUESTION_COLUMNS, "question table")
     require_rows(questions, "question table")
-    return questions
+    return with_key(questions, key)
 
 
 def read_dataset(spark: SparkSession, name: str, catalog: dict[str, Dataset]) -> DataFrame:
@@ -67,7 +75,9 @@ def read_dataset(spark: SparkSession, name: str, catalog: dict[str, Dataset]) ->
     return frame.where(F.col("split") == split) if split and "split" in frame.columns else frame
 
 
-def read_responses(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+def read_responses(
+    spark: SparkSession, path: str, format: str = "parquet", key: str = "question_id"
+) -> DataFrame:
     """The answer table with ``responses`` as an array, whatever its file format."""
     table = read_table(spark, path, format)
     require_columns(table, RESPONSE_COLUMNS, "answer table")
@@ -76,7 +86,7 @@ def read_responses(spark: SparkSession, path: str, format: str = "parquet") -> D
         responses = decode_list(F.col("LLM_response"))
     else:
         responses = F.coalesce(F.col("LLM_response"), F.array().cast("array<string>"))
-    return table.withColumn("responses", blanks_to_null(responses)).drop("LLM_response")
+    return with_key(table.withColumn("responses", blanks_to_null(responses)).drop("LLM_response"), key)
 
 
 def decode_list(serialised: Column) -> Column:

@@ -10,6 +10,8 @@ def test_questions_from_csv_with_mark_quotes_and_line_breaks(spark, tmp_path):
     path.write_bytes(b'\xef\xbb\xbfid,question,category\n0,"Say ""hi"",\nplease",N/A\n1,plain,\n')
     rows = tables.read_questions(spark, str(path), "csv").orderBy("id").collect()
     assert [(r.question, r.category) for r in rows] == [('Say "hi",\nplease', "N/A"), ("plain", None)]
+    keyed = tables.read_questions(spark, str(path), "csv", key="row").orderBy("row").collect()
+    assert [(r.row, r.id) for r in keyed] == [(0, "0"), (1, "1")]
 
 
 def test_missing_columns_and_rows(spark, tmp_path):
@@ -31,6 +33,7 @@ def test_responses_from_csv_and_parquet(spark, tmp_path):
     )
     out = sinks.write_table(frame, str(tmp_path / "in"), format="csv")
     read = tables.read_responses(spark, out, "csv")
+    assert "question_id" in read.columns
     got = {r.id: (r.responses, r.label_gt) for r in read.collect()}
     assert got == {"0": (["a", None, None, " b "], "N/A"), "1": ([], "N/A"), "2": (["x"], "N/A"), "4": ([None, "é"], "N/A")}
     nested = read.withColumnRenamed("responses", "LLM_response")
