@@ -128,19 +128,11 @@ def analyze_positions(
     Answer and label are in the same row, so pairs are made without a join.
     """
     accuracy = _checked(responses, key, dataset_name, true_false)
-    last = F.size("responses")
-    answers = F.posexplode(F.concat("responses", F.array("center_response")))
-    labels = {"reference": F.col("label_gt")}
+    columns = [key, F.col("label_gt").alias("reference")]
     if accuracy:
-        labels["_category"] = _category(responses, true_false)
-    pairs = responses.select(
-        key, last.alias("_last"), *[c.alias(n) for n, c in labels.items()], answers.alias("position", "candidate")
-    )
-    pairs = pairs.where(~text.is_blank(F.col("candidate"))).withColumn(
-        "position", F.when(F.col("position") < F.col("_last"), F.col("position"))
-    )
-    longest = responses.agg(F.max(last)).scalar()
-    return mean_by_position(pairs, longest, scorers, accuracy)
+        columns.append(_category(responses, true_false).alias("_category"))
+    listed = positions.listed_answers(F.col("responses"), F.col("center_response"))
+    return mean_by_position(responses.select(*columns, F.inline(listed)), scorers, accuracy)
 
 
 def analyze_long_positions(
@@ -152,7 +144,7 @@ def analyze_long_positions(
 ) -> DataFrame:
     """The same from long answers ``(key, position, response)`` and questions with label and centre.
 
-    The label is joined to every answer; a question with very many answers is salted.
+    Every place of an answer list is a row, blank or not. The label is joined to every answer; a question with very many answers is salted.
     """
     columns = [key, F.col("label_gt").alias("reference")]
     if accuracy:
@@ -161,17 +153,13 @@ def analyze_long_positions(
     everything = positions.with_center_position(answers, questions, key)
     sizes = measure_groups(answers, key)
     rows = salt(everything, sizes, F.struct("position"))
-    pairs = attach(rows, labels, sizes).withColumnRenamed("response", "candidate")
-    longest = answers.agg(F.max("position") + 1).scalar()
-    return mean_by_position(pairs.drop("_salt"), longest, scorers, accuracy)
+    return mean_by_position(attach(rows, labels, sizes).drop("_salt"), scorers, accuracy)
 
 
-def mean_by_position(
-    pairs: DataFrame, longest: Column, scorers: Scorers, accuracy: Callable | None
-) -> DataFrame:
+def mean_by_position(pairs: DataFrame, scorers: Scorers, accuracy: Callable | None) -> DataFrame:
     scored = with_model_scores(with_row_scores(pairs, scorers, "reference", "candidate"), scorers)
     means = {m: f"mean_{m}" for m in scorers.names()}
     if accuracy:
         scored = scored.withColumn("accuracy", accuracy(F.col("_category"), F.col("candidate")))
         means["accuracy"] = MEAN_ACCURACY
-    return positions.position_means(scored, longest, means)
+    return positions.position_means(scored, means)

@@ -56,8 +56,8 @@ def generate(
 ) -> tuple[DataFrame, DataFrame]:
     """``(answers, scored)`` of questions ``(question_id, question, category)``.
 
-    ``answers`` has one row per question and position; ``scored`` one row per question with
-    the centre answer, the similarities and, for the category data set, the accuracies.
+    ``answers`` has one row per question and position, with the errors of its model calls;
+    ``scored`` one row per question with the centre answer, the similarities and, for the category data set, the accuracies.
     """
     by_category = dataset_name is not None and validate.uses_categories(questions, dataset_name)
     if by_category:
@@ -71,9 +71,11 @@ def generate(
     labels = inference.embed_texts(asked, models.embed, "label_gt").select(
         "question_id", F.col("v").alias("label_v")
     )
-    answers = embedded.select("question_id", "position", "text_edited", "response", "response_error", "v")
+    fault = F.coalesce("v_error", "v_fault").alias("embedding_fault")
+    answers = embedded.select("question_id", "position", "text_edited", "response", "response_error", fault, "v")
 
-    usable = answers.where("v is not null")
+    # A vector without length has similarity 0; other faults take an answer out of the centre.
+    usable = answers.where("embedding_fault is null or embedding_fault = 'invalid norm'")
     sizes = measure_groups(usable, "question_id")
     against = attach(salt(usable, sizes, F.col("position")), labels, sizes)
     medians = ctr.median_similarity(

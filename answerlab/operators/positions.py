@@ -1,4 +1,8 @@
-"""Mean metrics per answer position: clean, each perturbed variant, and the centre answer."""
+"""Mean metrics per answer position: clean, each perturbed variant, and the centre answer.
+
+The centre answer has position null. Blank answers stay as rows without a score: they do
+not count in a mean, but their position appears in the summary.
+"""
 
 from __future__ import annotations
 
@@ -11,43 +15,36 @@ CLEAN, CENTER = "C", "Center"
 
 
 def position_name(position: Column) -> Column:
-    """``C`` for 0, else ``P<n>``."""
-    return F.when(position == 0, F.lit(CLEAN)).otherwise(F.concat(F.lit("P"), position.cast("string")))
+    """``C`` for 0, ``P<n>`` for others, ``Center`` for null."""
+    name = F.when(position == 0, F.lit(CLEAN)).otherwise(F.concat(F.lit("P"), position.cast("string")))
+    return F.coalesce(name, F.lit(CENTER))
 
 
-def with_center_position(
-    responses: DataFrame, center: DataFrame, key: str = "question_id"
-) -> DataFrame:
-    """Answers of all positions plus the centre answers (position null), blanks left out."""
-    listed = responses.select(key, F.col("position").cast("int").alias("position"), "response")
-    centres = center.select(
-        key, F.lit(None).cast("int").alias("position"), F.col("center_response").alias("response")
-    )
-    return listed.unionByName(centres).where(~text.is_blank(F.col("response")))
+def listed_answers(responses: Column, center: Column) -> Column:
+    """``ARRAY<STRUCT<position, candidate>>`` of a list and its centre; an empty list has a blank position 0."""
+    some = F.when(F.size(responses) > 0, responses).otherwise(F.array(F.lit(None).cast("string")))
+    listed = F.transform(some, lambda x, i: _answer(i, x))
+    return F.concat(listed, F.array(_answer(F.lit(None).cast("int"), center)))
 
 
-def position_means(
-    scored: DataFrame, longest: Column, metrics: dict[str, str]
-) -> DataFrame:
-    """One row per position up to ``longest``, then the centre; ``metrics`` maps column to mean name.
+def _answer(position: Column, response: Column) -> Column:
+    return F.struct(position.alias("position"), text.blank_to_null(response).alias("candidate"))
 
-    Positions without any answer stay, with null means. ``longest`` is the number of
-    positions (a scalar subquery over the answers, blanks included).
-    """
-    means = scored.groupBy("position").agg(
-        *[F.avg(finite(F.col(column))).alias(name) for column, name in metrics.items()]
-    )
-    last = F.greatest(F.coalesce(longest, F.lit(1)), F.lit(1)).cast("int")
-    grid = scored.sparkSession.range(1).select(
-        F.explode(F.sequence(F.lit(0), last)).alias("order"), last.alias("last")
+
+def with_center_position(answers: DataFrame, center: DataFrame, key: str = "question_id") -> DataFrame:
+    """Long answers of all positions plus the centre answers, blanks as null."""
+    listed = answers.select(key, F.col("position").cast("int").alias("position"), F.col("response").alias("candidate"))
+    centres = center.select(
+        key, F.lit(None).cast("int").alias("position"), F.col("center_response").alias("candidate")
     )
-    grid = grid.select("order", F.when(F.col("order") < F.col("last"), F.col("order")).alias("grid_position"))
+    return listed.unionByName(centres).withColumn("candidate", text.blank_to_null(F.col("candidate")))
+
+
+def position_means(scored: DataFrame, metrics: dict[str, str]) -> DataFrame:
+    """One row per position in order, the centre last; ``metrics`` maps column to mean name."""
     return (
-        grid.join(means, F.col("grid_position").eqNullSafe(means["position"]), "left")
-        .select(
-            F.col("order").alias("position"),
-            F.coalesce(position_name(F.col("grid_position")), F.lit(CENTER)).alias("response_position"),
-            *metrics.values(),
-        )
-        .orderBy("position")
+        scored.groupBy("position")
+        .agg(*[F.avg(finite(F.col(column))).alias(name) for column, name in metrics.items()])
+        .select("position", position_name(F.col("position")).alias("response_position"), *metrics.values())
+        .orderBy(F.col("position").asc_nulls_last())
     )

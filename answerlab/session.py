@@ -18,6 +18,8 @@ def local_session(app: str = "answerlab", cores: str = "8", shuffle_partitions:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # Whole texts are long: a batch of 10 000 can pass what one Arrow column may hold.
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         # Texts are few bytes and much work: keep small shuffle partitions apart.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()

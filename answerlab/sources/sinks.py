@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from answerlab.operators.validate import require_columns
 from answerlab.sources.tables import read_table
@@ -50,7 +50,7 @@ def write_position_summary(summary: DataFrame, output: str, sources: list[str] =
         output = output.rstrip("/") + ".csv"
     elif not name.lower().endswith(".csv"):
         raise ValueError("the position summary must have a .csv name")
-    ordered = summary.coalesce(1).sortWithinPartitions("position").drop("position")
+    ordered = summary.coalesce(1).sortWithinPartitions(F.col("position").asc_nulls_last()).drop("position")
     return write_table(ordered, output, sources, format="csv")
 
 

@@ -340,8 +340,8 @@ SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
 FROM names LEFT JOIN good USING (metric) GROUP BY metric""",
     "position_metrics": f"""
 WITH {ANSWERS}, {ANSWERED},
-grid AS (SELECT unnest(range(0, (SELECT max(position) + 2 FROM answers))) AS position),
-center AS (SELECT question_id, (SELECT max(position) + 1 FROM answers) AS position, center_response AS response FROM answered),
+grid AS (SELECT unnest(range(0, (SELECT max(position) + 1 FROM answers))) AS position UNION ALL SELECT 1000000),
+center AS (SELECT question_id, 1000000 AS position, center_response AS response FROM answered),
 rows AS (
   SELECT question_id, position, label_gt AS reference, response AS candidate
   FROM (SELECT * FROM answers UNION ALL SELECT * FROM center) JOIN answered USING (question_id)
@@ -352,10 +352,10 @@ judged AS (
     2.0::DOUBLE * len(list_intersect({tokens("reference")}, {tokens("candidate")}))
       / nullif(len(list_distinct({tokens("reference")})) + len(list_distinct({tokens("candidate")})), 0) AS overlap FROM rows),
 scored AS (SELECT * FROM judged JOIN bleu USING (question_id, position))
-SELECT position,
-  CASE position WHEN 0 THEN 'C' WHEN (SELECT max(position) FROM grid) THEN 'Center' ELSE 'P' || position END AS response_position,
+SELECT nullif(position, 1000000) AS position,
+  CASE position WHEN 0 THEN 'C' WHEN 1000000 THEN 'Center' ELSE 'P' || position END AS response_position,
   round(avg(bleu), 6) AS mean_bleu, round(avg(overlap), 6) AS mean_token_overlap, round(avg(accuracy), 6) AS mean_accuracy
-FROM grid LEFT JOIN scored USING (position) GROUP BY position ORDER BY position""",
+FROM grid LEFT JOIN scored USING (position) GROUP BY position""",
     "boxplot_stats": f"""
 WITH {NAMES},
 box AS (

@@ -78,7 +78,7 @@ def test_results_never_overwrite(spark, tmp_path):
 
 
 def test_position_summary_file(spark, tmp_path):
-    summary = spark.createDataFrame([(1, "P1", 0.25), (0, "C", 0.5), (2, "Center", None)], "position int, response_position string, mean_bleu double")
+    summary = spark.createDataFrame([(1, "P1", 0.25), (0, "C", 0.5), (None, "Center", None)], "position int, response_position string, mean_bleu double")
     out = sinks.write_position_summary(summary, str(tmp_path / "positions"))
     assert out.endswith("positions.csv")
     (part,) = [p for p in (tmp_path / "positions.csv").iterdir() if p.name.startswith("part-")]
