@@ -17,6 +17,8 @@ from answerlab.plans.skew import GroupSizes, attach, fits_broadcast, measure_gro
 # Results for a question without any answer.
 NO_ANSWER_SIMILARITY = 0.0
 NO_ANSWER_SCORE = 1.0
+# Relative room for rounding in the comparison of a distance with the limit.
+ROUNDING = 1e-9
 # Answers of one question that may be held in one row.
 GATHERED_ANSWERS = 512
 
@@ -52,7 +54,7 @@ def _joined(answers: DataFrame, key: str, sizes: GroupSizes, width: int) -> Data
     means = answers.groupBy(key).agg(_mean_vector(F.col("v")).alias("mean"))
     rows = attach(rows, means, sizes, bytes_per_group=width)
     rows = rows.withColumn("dist", vec.distance(F.col("v"), F.col("mean")))
-    limits = rows.groupBy(key).agg((F.avg("dist") + F.stddev_pop("dist")).alias("limit"))
+    limits = rows.groupBy(key).agg(_limit(F.avg("dist"), F.stddev_pop("dist")).alias("limit"))
     rows = attach(rows, limits, sizes, bytes_per_group=64)
     rows = rows.withColumn("kept", F.col("dist") <= F.col("limit")).drop("limit")
     centres = rows.where("kept").groupBy(key).agg(_mean_vector(F.col("v")).alias("centre"))
@@ -73,7 +75,7 @@ def _gathered(answers: DataFrame, key: str) -> DataFrame:
     variance = _list_average(
         F.transform("ds", lambda d: (d - F.col("average")) * (d - F.col("average")))
     )
-    lists = lists.withColumn("limit", F.col("average") + F.sqrt(variance))
+    lists = lists.withColumn("limit", _limit(F.col("average"), F.sqrt(variance)))
     lists = lists.withColumn("ks", F.transform("ds", lambda d: d <= F.col("limit")))
     kept = F.transform(F.filter(F.arrays_zip("vs", "ks"), lambda x: x["ks"]), lambda x: x["vs"])
     centre = F.when(F.exists("ks", lambda k: k), _list_mean(kept)).otherwise(F.col("mean"))
@@ -90,6 +92,14 @@ def _gathered(answers: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _limit(average: Column, deviation: Column) -> Column:
+    """Largest distance that is kept, with room for rounding.
+
+    Two answers are equally far from their mean, so both are kept whichever way sums round.
+    """
+    return (average + deviation) * (1.0 + ROUNDING)
+
+
 def _list_average(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
 

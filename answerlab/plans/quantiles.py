@@ -42,19 +42,48 @@ def exact_quantiles(
     )
 
 
+def _first_brackets(rows, key, counts, large, probabilities) -> list[tuple]:
+    """(key, rank, lo, hi, below, inside) for the ranks on both sides of every quantile.
+
+    One summary per group gives the brackets, one count over all rows verifies them. A
+    bracket that misses its ranks is replaced by the whole group.
+    """
+    spread = 2.0 / _SUMMARY_ACCURACY
+    ends = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-spread, spread)]
+    in_large = rows.join(F.broadcast(large), key)
+    marks = in_large.groupBy(key).agg(F.percentile_approx("x", ends, _SUMMARY_ACCURACY).alias("marks"))
+    # One row per large group: the list of large groups has a fixed bound.
+    counted = (
+        in_large.join(F.broadcast(marks), key)
+        .groupBy(key)
+        .agg(
+            F.first("marks").alias("marks"),
+            *[F.count_if(F.expr(f"x < marks[{2 * i}]")).alias(f"below{i}") for i in range(len(probabilities))],
+            *[
+                F.count_if(F.expr(f"x BETWEEN marks[{2 * i}] AND marks[{2 * i + 1}]")).alias(f"inside{i}")
+                for i in range(len(probabilities))
+            ],
+        )
+        .join(F.broadcast(counts.join(F.broadcast(large), key)), key)
+    )
+    brackets = []
+    for row in counted.limit(MAX_SALTED_GROUPS).collect():
+        for i, p in enumerate(probabilities):
+            position = p * (row["rows"] - 1)
+            below, inside = row[f"below{i}"], row[f"inside{i}"]
+            for rank in {math.floor(position), math.ceil(position)}:
+                if below <= rank < below + inside:
+                    brackets.append((row[key], rank, row["marks"][2 * i], row["marks"][2 * i + 1], below, inside))
+                else:
+                    brackets.append((row[key], rank, None, None, 0, row["rows"]))
+    return list({bracket[:2]: bracket for bracket in brackets}.values())
+
+
 def _large_groups(rows, key, counts, large, probabilities, rows_in_one_buffer) -> DataFrame:
     spark = rows.sparkSession
-    # At most MAX_SALTED_GROUPS rows come to the driver, whatever the size of the data.
-    totals = counts.join(F.broadcast(large), key).limit(MAX_SALTED_GROUPS).collect()
     key_type = rows.schema[key].dataType.simpleString()
     found: list[tuple] = []
-    open_ranks = []
-    for total in totals:
-        ranks = set()
-        for p in probabilities:
-            position = p * (total["rows"] - 1)
-            ranks |= {math.floor(position), math.ceil(position)}
-        open_ranks += [(total[key], rank, None, None, 0, total["rows"]) for rank in ranks]
+    open_ranks = _first_brackets(rows, key, counts, large, probabilities)
     schema = f"`{key}` {key_type}, rank bigint, lo double, hi double, below bigint, inside bigint"
     last_width = None
     while open_ranks:

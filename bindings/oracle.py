@@ -120,7 +120,7 @@ m AS (SELECT question_id, d, avg(val) AS mean FROM x GROUP BY ALL),
 dist AS (
   SELECT x.question_id, x.position, sqrt(sum((val - mean) * (val - mean))) AS dist
   FROM x JOIN m USING (question_id, d) GROUP BY ALL),
-lim AS (SELECT question_id, avg(dist) + stddev_pop(dist) AS lim FROM dist GROUP BY question_id),
+lim AS (SELECT question_id, (avg(dist) + stddev_pop(dist)) * (1 + 1e-9::DOUBLE) AS lim FROM dist GROUP BY question_id),
 k AS (SELECT question_id, position, dist, dist <= lim AS kept FROM dist JOIN lim USING (question_id)),
 c AS (
   SELECT x.question_id, x.d, avg(val) AS centre FROM x JOIN k USING (question_id, position)
