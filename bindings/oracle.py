@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from answerlab.functions.text import WHITESPACE
+from answerlab.jobs.generate import DEFAULT_TEMPLATE
 from bindings.queries import METRICS, SAMPLE, SEED, SKIP, TEMPLATE
 from bindings.views import ANSWER_SQL, LABEL_SQL
 
@@ -113,8 +114,8 @@ bleu AS (
   FROM logs)"""
 
 
-CENTRE = """
-e AS (SELECT label::BIGINT AS question_id, vec_id AS position, embedding::DOUBLE[] AS v FROM embeddings),
+VECTORS = "e AS (SELECT label::BIGINT AS question_id, vec_id AS position, embedding::DOUBLE[] AS v FROM embeddings)"
+MEASURED = """
 x AS (SELECT question_id, position, unnest(v) AS val, generate_subscripts(v, 1) AS d FROM e),
 m AS (SELECT question_id, d, avg(val) AS mean FROM x GROUP BY ALL),
 dist AS (
@@ -135,6 +136,7 @@ metrics AS (
          avg(cos) AS center_similarity_mean, arg_min(cos, position) AS clean_to_center_similarity,
          avg(dist) FILTER (kept) AS cluster_dispersion, count(*) AS answers
   FROM measured GROUP BY question_id)"""
+CENTRE = f"{VECTORS}, {MEASURED}"
 AGAINST_CLEAN = """
 e AS (SELECT label::BIGINT AS question_id, vec_id AS position, embedding::DOUBLE[] AS v FROM embeddings),
 f AS (SELECT question_id, arg_min(v, position) AS clean FROM e GROUP BY question_id),
@@ -177,8 +179,8 @@ LINES = "lines AS (SELECT doc_id, string_split(text, chr(10)) AS r FROM document
 NAMES = "names AS (SELECT unnest([" + ", ".join(quoted(m) for m in METRICS) + "]) AS metric, unnest(range(0, 6)) AS metric_order)"
 PRIME = 2147483647
 
+# From texts (question_id, text) to variants (question_id, position, text_edited).
 TYPOS = rf"""
-WITH {TEXTS},
 split AS (SELECT question_id, string_split(text, '') AS chars FROM texts),
 ch AS (SELECT question_id, unnest(chars) AS c, generate_subscripts(chars, 1) - 1 AS i FROM split),
 f AS (
@@ -209,11 +211,11 @@ firsts AS (
   FROM flags WINDOW w AS (PARTITION BY question_id, position ORDER BY i)),
 moved AS (
   SELECT *, CASE WHEN leads THEN i + 1 WHEN coalesce(lag(leads) OVER w, false) THEN i - 1 ELSE i END AS place
-  FROM firsts WINDOW w AS (PARTITION BY question_id, position ORDER BY i))
+  FROM firsts WINDOW w AS (PARTITION BY question_id, position ORDER BY i)),
+variants AS (
 SELECT question_id, position, string_agg(c, '' ORDER BY place) FILTER (NOT dropped) AS text_edited
 FROM moved GROUP BY question_id, position
-UNION ALL SELECT question_id, 0, text FROM texts
-"""
+UNION ALL SELECT question_id, 0, text FROM texts)"""
 
 SYNONYMS = rf"""
 WITH {TEXTS},
@@ -242,6 +244,50 @@ OVERLAP = """
 2.0::DOUBLE * len(list_intersect(string_split(reference, ' '), string_split(candidate, ' ')))
   / (len(list_distinct(string_split(reference, ' '))) + len(list_distinct(string_split(candidate, ' '))))"""
 
+def encoded(x: str) -> str:
+    """The stand-in encoder."""
+    return f"list_transform(range(0, 8), lambda d: ('0x' || md5({x})[2 * d + 1:2 * d + 2])::BIGINT / 255.0::DOUBLE)"
+
+
+def cosine(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+
+
+def judged(reference: str, candidate: str) -> str:
+    """Hallucination score with the stand-in encoder and the stand-in logits."""
+    one, two = f"exp(length({reference}) / 100.0::DOUBLE % 3)", f"exp(length({candidate}) / 100.0::DOUBLE % 3)"
+    semantic = f"greatest(-1.0, least(1.0, {cosine(encoded(reference), encoded(candidate))}))"
+    return f"{semantic} * (1 - greatest({two}, exp(1.0::DOUBLE)) / ({one} + {two} + exp(1.0::DOUBLE)))"
+
+
+GENERATED = f"""
+WITH texts AS (SELECT item_id AS question_id, text FROM benchmark), {TYPOS},
+asked AS (
+  SELECT question_id, position, 'True: ' || md5(replace({quoted(DEFAULT_TEMPLATE)}, '[DOCUMENT]', text_edited)) AS response
+  FROM variants),
+e AS (SELECT question_id, position, {encoded("response")} AS v FROM asked), {MEASURED},
+med AS (SELECT question_id, median({cosine("v", encoded("'factual'"))}) AS median_cosine FROM e GROUP BY question_id),
+t AS (
+  SELECT question_id, text AS sentence, 'factual' AS label_gt, clean.response AS clean_response,
+         center.response AS center_response, median_cosine, center_position, center_similarity_mean,
+         clean_to_center_similarity, cluster_dispersion, answers
+  FROM texts JOIN metrics USING (question_id) JOIN med USING (question_id)
+  JOIN asked clean USING (question_id) JOIN asked center USING (question_id)
+  WHERE clean.position = 0 AND center.position = center_position)
+SELECT question_id, sentence, label_gt, clean_response, center_response, center_position, answers,
+  round(median_cosine, 6) AS median_cosine, round(center_similarity_mean, 6) AS center_similarity_mean,
+  round(clean_to_center_similarity, 6) AS clean_to_center_similarity, round(cluster_dispersion, 6) AS cluster_dispersion,
+  round({judged("label_gt", "clean_response")}, 6) AS hallucination_score_clean_vs_label,
+  round({judged("label_gt", "center_response")}, 6) AS hallucination_score_center_vs_label,
+  round({judged("clean_response", "center_response")}, 6) AS hallucination_score_center_vs_clean
+FROM t
+"""
+LISTED = f"""
+docs AS (
+  SELECT doc_id AS question_id, string_split(text, chr(10)) AS r,
+         list_filter(string_split(text, chr(10)), lambda x: {strip("x")} <> '') AS lines FROM documents),
+listed AS (SELECT question_id, r, lines[1] AS label_gt, lines[-1] AS center_response FROM docs WHERE len(lines) > 0)"""
+
 ORACLE = {
     "src_questions": f"WITH {QUESTIONS} SELECT id, question, category FROM questions",
     "src_responses": f"""
@@ -356,6 +402,33 @@ SELECT nullif(position, 1000000) AS position,
   CASE position WHEN 0 THEN 'C' WHEN 1000000 THEN 'Center' ELSE 'P' || position END AS response_position,
   round(avg(bleu), 6) AS mean_bleu, round(avg(overlap), 6) AS mean_token_overlap, round(avg(accuracy), 6) AS mean_accuracy
 FROM grid LEFT JOIN scored USING (position) GROUP BY position""",
+    "analyzed_rows": f"""
+WITH {LISTED},
+answered AS (SELECT *, CASE WHEN {strip("r[1]")} <> '' THEN r[1] END AS clean_response FROM listed),
+{PAIRS}, {bleu("pairs", "question_id, comparison")}
+SELECT question_id,
+  round(max(bleu) FILTER (comparison = 'clean_vs_label'), 6) AS bleu_clean_vs_label,
+  round(max(bleu) FILTER (comparison = 'center_vs_label'), 6) AS bleu_center_vs_label,
+  round(max(bleu) FILTER (comparison = 'center_vs_clean'), 6) AS bleu_center_vs_clean,
+  any_value({boolean_hit("label_gt", "clean_response")}) AS accuracy_clean_vs_label,
+  any_value({boolean_hit("label_gt", "center_response")}) AS accuracy_center_vs_label
+FROM answered LEFT JOIN bleu USING (question_id) GROUP BY question_id""",
+    "analyzed_positions": f"""
+WITH {LISTED},
+placed AS (
+  SELECT question_id, label_gt, unnest(r) AS response, generate_subscripts(r, 1) - 1 AS position FROM listed
+  UNION ALL SELECT question_id, label_gt, center_response, NULL FROM listed),
+rows AS (
+  SELECT question_id, coalesce(position, -1) AS position, label_gt AS reference, response AS candidate
+  FROM placed WHERE NOT {blank("response")}),
+{bleu("rows", "question_id, position")},
+hits AS (SELECT question_id, position, {boolean_hit("reference", "candidate")} AS accuracy FROM rows),
+grid AS (SELECT DISTINCT coalesce(position, -1) AS position FROM placed)
+SELECT nullif(position, -1) AS position,
+  CASE position WHEN 0 THEN 'C' WHEN -1 THEN 'Center' ELSE 'P' || position END AS response_position,
+  round(avg(bleu), 6) AS mean_bleu, round(avg(accuracy), 6) AS mean_accuracy
+FROM grid LEFT JOIN (SELECT * FROM bleu JOIN hits USING (question_id, position)) USING (position) GROUP BY position""",
+    "generated_answers": GENERATED,
     "boxplot_stats": f"""
 WITH {NAMES},
 box AS (
@@ -431,7 +504,7 @@ WITH w AS (
 SELECT word, len(s) AS n, array_to_string(s, ',') AS synonyms FROM w""",
     "variant_fanout": """
 SELECT doc_id AS id, length(text) AS chars, position FROM documents CROSS JOIN (SELECT unnest(range(0, 19)) AS position)""",
-    "typo_variants": TYPOS,
+    "typo_variants": f"WITH {TEXTS}, {TYPOS} SELECT question_id, position, text_edited FROM variants",
     "synonym_variants": SYNONYMS,
     "batch_generate": f"""
 SELECT doc_id AS id, 'True: ' || md5(replace({quoted(TEMPLATE)}, '[DOCUMENT]', text)) AS response, NULL::VARCHAR AS response_error

@@ -272,6 +272,17 @@ def position_metrics(spark, sf):
     return finished(means)
 
 
+def analyzed_rows(spark, sf):
+    """The row job on answer lists."""
+    scored, names = analysis.analyze_rows(views.line_responses(spark, sf), true_false=True)
+    return finished(scored.select("question_id", *names))
+
+
+def analyzed_positions(spark, sf):
+    """The position job on answer lists."""
+    return finished(analysis.analyze_positions(views.line_responses(spark, sf), true_false=True))
+
+
 def boxplot_stats(spark, sf):
     return finished(stats.box_plot_statistics(views.scores(spark, sf), METRICS))
 
@@ -530,6 +541,8 @@ QUERIES = {
         kl_confidence,
         metric_stats,
         position_metrics,
+        analyzed_rows,
+        analyzed_positions,
         boxplot_stats,
         category_counts,
         review_summary,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerlab.functions import vectors as vec
+from answerlab.functions import text, vectors as vec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,18 @@ def line_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", F.split("text", "\n", -1).alias("responses"))
 
 
+def line_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: lines as answers, the first line with text as label and the last one as centre."""
+    with_text = F.filter("responses", lambda line: ~text.is_blank(line))
+    lists = line_lists(spark, sf_dir).select("doc_id", "responses", with_text.alias("lines"))
+    return lists.where(F.size("lines") > 0).select(
+        F.col("doc_id").alias("question_id"),
+        "responses",
+        F.get("lines", F.lit(0)).alias("label_gt"),
+        F.element_at("lines", -1).alias("center_response"),
+    )
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings: (question_id, position, v); positions are vec_ids, the lowest one is clean."""
     return table(spark, sf_dir, "embeddings").select(
