@@ -124,12 +124,9 @@ def category_accuracy(category: Column, answer: Column) -> Column:
 def boolean_accuracy(label: Column, answer: Column) -> Column:
     """1.0 when the only boolean word of the answer is the expected one; null for a blank answer."""
     joined = F.regexp_replace(fold(strip(label)), f"[{_WS}]+", "_")
-    expect_true = F.coalesce(joined.isin(*CATEGORIES), F.lit(False))
-    folded = fold(answer)
-    says = {
-        word: folded.rlike(f"(?<![{_WORD}]){word}(?![{_WORD}])") for word in ("true", "false")
-    }
-    right = F.when(expect_true, says["true"] & ~says["false"]).otherwise(says["false"] & ~says["true"])
+    expected = F.when(joined.isin(*CATEGORIES), F.lit("true")).otherwise(F.lit("false"))
+    said = F.regexp_extract_all(fold(answer), F.lit(f"(?<![{_WORD}])(true|false)(?![{_WORD}])"), F.lit(0))
+    right = F.array_distinct(said) == F.array(expected)
     return F.when(~is_blank(answer), right.cast("double"))
 
 

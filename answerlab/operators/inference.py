@@ -97,11 +97,14 @@ def call_distinct(
 
 def put_back(rows: DataFrame, inputs: list[str], called: DataFrame, result: str) -> DataFrame:
     """Add ``result`` and ``<result>_error`` from a table of :func:`call_distinct`, by input."""
-    keyed = rows.withColumn(_ID, input_id(inputs))
+    row_hash = F.xxhash64(*[F.col(c) for c in rows.columns if _hashable(rows, c)])
+    # Rows without an input match nothing; an id of their own keeps them from piling up in one task.
+    no_input = F.concat(F.lit("-"), row_hash.cast("string"))
+    keyed = rows.withColumn(_ID, F.coalesce(input_id(inputs), no_input))
     sizes = summarise_counts(called.select(_ID, "rows"), _ID)
     results = called.select(_ID, F.col("result").alias(result), F.col("error").alias(f"{result}_error"))
     # Rows with the same input differ in their other columns, such as question and position.
-    spread = salt(keyed, sizes, F.struct(*[F.col(c) for c in rows.columns if _comparable(rows, c)]))
+    spread = salt(keyed, sizes, row_hash)
     return attach(spread, results, sizes, how="left").drop(_ID, "_salt")
 
 
@@ -119,8 +122,9 @@ def call_model(
     return put_back(rows, inputs, called, result)
 
 
-def _comparable(rows: DataFrame, column: str) -> bool:
-    return not rows.schema[column].dataType.simpleString().startswith(("map", "variant"))
+def _hashable(rows: DataFrame, column: str) -> bool:
+    kind = rows.schema[column].dataType.simpleString()
+    return "map<" not in kind and "variant" not in kind
 
 
 def generate_answers(

@@ -38,10 +38,13 @@ class GroupSizes:
         return self.largest > self.rows_per_salt
 
     def large(self) -> DataFrame:
-        """(key, salts) of the largest groups, at most MAX_SALTED_GROUPS rows."""
+        """(key, salts) of the largest groups, at most MAX_SALTED_GROUPS rows.
+
+        The order is total, so both sides of a salted join see the same list.
+        """
         return (
             self.counts.where(F.col("rows") > self.rows_per_salt)
-            .orderBy(F.col("rows").desc())
+            .orderBy(F.col("rows").desc(), self.key)
             .limit(MAX_SALTED_GROUPS)
             .select(self.key, F.ceil(F.col("rows") / self.rows_per_salt).cast("int").alias("salts"))
         )
