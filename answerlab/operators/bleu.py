@@ -30,25 +30,29 @@ def _longer_grams(side: str, order: int) -> Column:
 def _shared(order: int) -> Column:
     """Size of the multiset intersection of the candidate's and the reference's grams.
 
-    Both sides are sorted together and folded once, counting each run of equal grams.
+    Both sides are sorted together, the reference first among equal grams, and folded once:
+    reference grams are put aside, and a candidate gram takes one of its kind if any is left.
     The two cheap cases come first: nothing shared, and no gram repeated in the candidate.
     """
     c, r = f"_c{order}", f"_r{order}"
     both = (
-        f"sort_array(concat(transform({c}, g -> struct(g AS gram, 1 AS c, 0 AS r)),"
-        f" transform({r}, g -> struct(g AS gram, 0 AS c, 1 AS r))))"
+        f"sort_array(concat(transform({r}, g -> struct(g AS gram, false AS mine)),"
+        f" transform({c}, g -> struct(g AS gram, true AS mine))))"
     )
-    same = "struct(run.gram AS gram, run.c + x.c AS c, run.r + x.r AS r, run.done AS done)"
-    fresh = "struct(x.gram AS gram, x.c AS c, x.r AS r, run.done + least(run.c, run.r) AS done)"
+    put_aside = "struct(x.gram AS gram, if(s.gram = x.gram, s.spare + 1, 1) AS spare, s.taken AS taken)"
+    take = "struct(s.gram AS gram, s.spare - 1 AS spare, s.taken + 1 AS taken)"
     return F.expr(
         f"""CASE
         WHEN size(array_intersect({c}, {r})) = 0 THEN 0
         WHEN size(array_distinct({c})) = size({c}) THEN size(array_intersect({c}, {r}))
         ELSE aggregate(
             {both},
-            struct('' AS gram, 0 AS c, 0 AS r, 0 AS done),
-            (run, x) -> CASE WHEN run.gram = x.gram THEN {same} ELSE {fresh} END,
-            run -> run.done + least(run.c, run.r))
+            struct('' AS gram, 0 AS spare, 0 AS taken),
+            (s, x) -> CASE
+                WHEN NOT x.mine THEN {put_aside}
+                WHEN s.gram = x.gram AND s.spare > 0 THEN {take}
+                ELSE s END,
+            s -> s.taken)
         END"""
     )
 

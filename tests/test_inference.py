@@ -42,6 +42,15 @@ def test_hot_input_is_salted(spark, tmp_path, monkeypatch):
     assert "_salt" not in answered[0].asDict()
 
 
+def test_rows_without_input_do_not_share_a_join_key(spark):
+    frame = spark.createDataFrame([(i, None if i else "x") for i in range(50)], "id int, prompt string")
+    called = inference.call_distinct(frame, ["prompt"], lambda: lambda prompts: prompts, "string")
+    joined = inference.put_back(frame, ["prompt"], called, "response")
+    assert {r.id: r.response for r in joined.collect()} == {i: None if i else "x" for i in range(50)}
+    keys = [c for c in joined._jdf.queryExecution().optimizedPlan().toString().split("\n") if "xxhash64" in c]
+    assert keys, "rows without input need a key of their own"
+
+
 def test_failures_stay_in_their_row(spark):
     def make():
         def call(prompts):
