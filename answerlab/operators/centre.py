@@ -28,9 +28,9 @@ def _mean_vector(v: Column) -> Column:
 
 
 def _vector_bytes(answers: DataFrame) -> int:
-    """Size of one vector; all vectors of a table have the same dimension."""
+    """Size of one vector; all vectors of a table have the same dimension (see ``vector_faults``)."""
     row = answers.select(F.size("v").alias("n")).first()
-    return 64 + 8 * max(row["n"] if row else 0, 0)
+    return 8 * max(row["n"] or 0, 0) if row else 0
 
 
 def with_centre(
@@ -55,7 +55,7 @@ def _joined(answers: DataFrame, key: str, sizes: GroupSizes, width: int) -> Data
     rows = attach(rows, means, sizes, bytes_per_group=width)
     rows = rows.withColumn("dist", vec.distance(F.col("v"), F.col("mean")))
     limits = rows.groupBy(key).agg(_limit(F.avg("dist"), F.stddev_pop("dist")).alias("limit"))
-    rows = attach(rows, limits, sizes, bytes_per_group=64)
+    rows = attach(rows, limits, sizes, bytes_per_group=8)
     rows = rows.withColumn("kept", F.col("dist") <= F.col("limit")).drop("limit")
     centres = rows.where("kept").groupBy(key).agg(_mean_vector(F.col("v")).alias("centre"))
     rows = attach(rows, centres, sizes, how="left", bytes_per_group=width)

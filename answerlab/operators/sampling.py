@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from answerlab.functions import text
 from answerlab.plans.skew import attach, measure_groups, salt
 
-_CUT_BYTES = 512
+# Upper bound for a key that is a number or a date.
+_CUT_BYTES = 32
 
 
 def draw_order(seed: int, key: Column) -> Column:
@@ -73,8 +74,9 @@ def stratified_sample(
         heads = questions.select(category, key).withColumn("_n", F.row_number().over(by_key))
         cuts = heads.where(F.col("_n") <= skip).groupBy(category).agg(F.max(key).alias("_cut"))
         sizes = measure_groups(questions, category)
-        rows = salt(questions, sizes, F.col(key), _CUT_BYTES)
-        rows = attach(rows, cuts, sizes, bytes_per_group=_CUT_BYTES)
+        width = None if dict(questions.dtypes)[key] in ("string", "binary") else _CUT_BYTES
+        rows = salt(questions, sizes, F.col(key), width)
+        rows = attach(rows, cuts, sizes, bytes_per_group=width)
         rows = rows.where(F.col(key) > F.col("_cut")).drop("_cut", "_salt")
     drawn = Window.partitionBy(category).orderBy(draw_order(seed, F.col(key)), F.col(key))
     return rows.withColumn("draw", F.row_number().over(drawn)).where(F.col("draw") <= sample_size)

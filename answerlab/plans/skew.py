@@ -21,6 +21,7 @@ ROWS_PER_SALT = 200_000
 # left out holds less than one part in MAX_SALTED_GROUPS of the rows.
 MAX_SALTED_GROUPS = 10_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+_ROW_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class GroupSizes:
     key: str
     groups: int
     largest: int
+    key_bytes: int
     rows_per_salt: int
     counts: DataFrame
 
@@ -51,19 +53,25 @@ class GroupSizes:
 
 
 def measure_groups(rows: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> GroupSizes:
-    """Count the rows of every group; one action that brings back two numbers."""
+    """Count the rows of every group; one action that brings back three numbers."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     return summarise_counts(counts, key, rows_per_salt)
 
 
 def summarise_counts(counts: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> GroupSizes:
     """The same from a table that already has the ``rows`` of every key."""
-    groups, largest = counts.agg(F.count(F.lit(1)), F.coalesce(F.max("rows"), F.lit(0))).first()
-    return GroupSizes(key, groups, largest, rows_per_salt, counts)
+    longest_key = F.max(F.octet_length(F.col(key).cast("string")))
+    groups, largest, key_bytes = counts.agg(
+        F.count(F.lit(1)), F.coalesce(F.max("rows"), F.lit(0)), F.coalesce(longest_key, F.lit(0))
+    ).first()
+    return GroupSizes(key, groups, largest, key_bytes, rows_per_salt, counts)
 
 
 def fits_broadcast(sizes: GroupSizes, bytes_per_group: int | None) -> bool:
-    return bytes_per_group is not None and sizes.groups * bytes_per_group <= BROADCAST_BYTES
+    """Whether one value of ``bytes_per_group`` for every group is small; None means no known bound."""
+    if bytes_per_group is None:
+        return False
+    return sizes.groups * (sizes.key_bytes + bytes_per_group + _ROW_BYTES) <= BROADCAST_BYTES
 
 
 def salt(
