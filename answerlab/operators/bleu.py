@@ -13,6 +13,8 @@ from answerlab.functions import text
 # Highest n-gram order and the match count used where nothing matches.
 MAX_ORDER = 4
 EPSILON = 0.1
+# Up to this many shared grams, finding them one by one costs less than sorting all grams.
+LOOKED_UP = 64
 
 
 def _longer_grams(side: str, order: int) -> Column:
@@ -27,26 +29,31 @@ def _longer_grams(side: str, order: int) -> Column:
     return F.expr(f"CASE WHEN _m{order - 1} > 0 THEN {longer} ELSE CAST(array() AS array<string>) END")
 
 
+def _found(side: str, order: int) -> Column:
+    """The grams of a side that are shared; all of them where looking each up costs too much."""
+    grams, k = f"_{side}{order}", f"_k{order}"
+    return F.expr(f"if(size({k}) <= {LOOKED_UP}, filter({grams}, g -> array_contains({k}, g)), {grams})")
+
+
 def _shared(order: int) -> Column:
     """Size of the multiset intersection of the candidate's and the reference's grams.
 
-    Both sides are sorted together, the reference first among equal grams, and folded once:
-    reference grams are put aside, and a candidate gram takes one of its kind if any is left.
-    The two cheap cases come first: nothing shared, and no gram repeated in the candidate.
+    ``_k`` holds the distinct shared grams and ``_f`` the candidate's grams found among
+    them. Where none of these repeats, the size is known. Otherwise both sides are sorted
+    together, the reference first among equal grams, and folded once: reference grams are
+    put aside, and a candidate gram takes one of its kind if any is left.
     """
-    c, r = f"_c{order}", f"_r{order}"
-    both = (
-        f"sort_array(concat(transform({r}, g -> struct(g AS gram, false AS mine)),"
-        f" transform({c}, g -> struct(g AS gram, true AS mine))))"
-    )
+    found, k = f"_f{order}", f"_k{order}"
+    mine = f"transform({found}, g -> struct(g AS gram, true AS mine))"
+    theirs = f"transform(_g{order}, g -> struct(g AS gram, false AS mine))"
     put_aside = "struct(x.gram AS gram, if(s.gram = x.gram, s.spare + 1, 1) AS spare, s.taken AS taken)"
     take = "struct(s.gram AS gram, s.spare - 1 AS spare, s.taken + 1 AS taken)"
     return F.expr(
         f"""CASE
-        WHEN size(array_intersect({c}, {r})) = 0 THEN 0
-        WHEN size(array_distinct({c})) = size({c}) THEN size(array_intersect({c}, {r}))
+        WHEN size({found}) = size({k}) OR size(_g{order}) = size({k}) THEN size({k})
+        WHEN size(array_distinct({found})) = size({found}) THEN size({k})
         ELSE aggregate(
-            {both},
+            sort_array(concat({theirs}, {mine})),
             struct('' AS gram, 0 AS spare, 0 AS taken),
             (s, x) -> CASE
                 WHEN NOT x.mine THEN {put_aside}
@@ -68,6 +75,8 @@ def with_bleu(
     for order in range(1, MAX_ORDER + 1):
         if order > 1:
             matched = matched.withColumns({f"_{side}{order}": _longer_grams(side, order) for side in "rc"})
+        matched = matched.withColumn(f"_k{order}", F.array_intersect(f"_c{order}", f"_r{order}"))
+        matched = matched.withColumns({f"_f{order}": _found("c", order), f"_g{order}": _found("r", order)})
         matched = matched.withColumn(f"_m{order}", _shared(order))
     matched = matched.select(
         *kept,

@@ -56,6 +56,12 @@ def test_random_texts_agree_with_the_definition(spark):
     pairs = [
         tuple(" ".join(rng.choices(vocabulary, k=rng.randint(0, 40))) for _ in range(2)) for _ in range(300)
     ]
+    # Long texts share more grams than are looked up one by one.
+    numbers = [f"n{i}" for i in range(150)]
+    for _ in range(20):
+        reference = rng.choices(numbers, k=rng.randint(100, 600))
+        start = rng.randint(0, 50)
+        pairs.append((" ".join(reference), " ".join(reference[start:] + rng.choices(numbers, k=50))))
     for got, pair in zip(scores(spark, pairs), pairs):
         assert got == pytest.approx(expected_bleu(*pair), abs=1e-12)
 
