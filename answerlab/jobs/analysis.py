@@ -95,6 +95,7 @@ def analyze_rows(
         # All texts of a comparison are in the row: these scores need no shuffle.
         scored = with_row_scores(scored, scorers, reference, candidate, f"_{name}")
     if scorers.models:
+        validate.require_unique(responses, key)
         pairs = with_model_scores(comparison_pairs(with_clean_and_center(responses), key), scorers)
         scored = scatter_scores(scored, pairs, list(scorers.models), key)
     names = [f"{m}_{c}" for m in scorers.names() for c, _, _ in COMPARISONS]
@@ -149,6 +150,7 @@ def analyze_long_positions(
     columns = [key, F.col("label_gt").alias("reference")]
     if accuracy:
         columns.append(F.col(validate.category_column(questions)).alias("_category"))
+    validate.require_unique(questions, key)
     labels = questions.select(*columns)
     everything = positions.with_center_position(answers, questions, key)
     sizes = measure_groups(answers, key)

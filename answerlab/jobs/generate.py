@@ -59,6 +59,7 @@ def generate(
     ``answers`` has one row per question and position, with the errors of its model calls;
     ``scored`` one row per question with the centre answer, the similarities and, for the category data set, the accuracies.
     """
+    validate.require_unique(questions, "question_id")
     by_category = dataset_name is not None and validate.uses_categories(questions, dataset_name)
     if by_category:
         validate.require_categories(questions, "question_id")

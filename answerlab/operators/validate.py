@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from answerlab.functions import text, vectors as vec
+from answerlab.plans.skew import measure_groups
 
 SHOWN = 10
 
@@ -35,6 +36,13 @@ def require_values(frame: DataFrame, column: str, key: str) -> None:
         raise ValueError(f"row {row[key]!r}: {column!r} is empty ({row['total_rows']} such rows)")
 
 
+def require_unique(frame: DataFrame, key: str) -> None:
+    """Results are put back by key, so no two rows may share one."""
+    sizes = measure_groups(frame, key)
+    if sizes.largest > 1:
+        raise ValueError(f"{key!r} is not unique: one value has {sizes.largest} rows")
+
+
 def invalid_categories(frame: DataFrame, column: str, key: str) -> DataFrame:
     """The first rows whose normalised category is not one of the four, with the total."""
     category = text.normalize_category(F.col(column))
