@@ -2,18 +2,53 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerlab.llm import bpe, quality
+from answerlab.llm import bpe, langid, lm, quality, rans, urls
+from answerlab.session import shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rules of the url query, as given.
+URL_RULES = [
+    urls.Rule("allow", "org/"),
+    urls.Rule("block", "example.org/es/"),
+    urls.Rule("block", "example.org/en/1"),
+    urls.Rule("allow", "com/fr/"),
+    urls.Rule("block", "com/de/"),
+]
+
+
+def _fold(docs: DataFrame, folds: int, fold: int) -> DataFrame:
+    """Adds ``learn``: whether crc32 of the id as text does not leave ``fold``; a null id is learned from."""
+    out = F.crc32(F.col("doc_id").cast("string")) % folds == fold
+    return docs.withColumn("learn", ~F.coalesce(out, F.lit(False)))
+
+
+def op2_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return lm.score_documents(_fold(docs, 7, 2), "learn")
+
+
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    path = f"{shared_folder(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
+    rans.write_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return rans.read_ids(spark, path)
+
+
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return langid.predict(_fold(docs, 3, 1), "learn")
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return bpe.digest_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -24,9 +59,17 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm": op2_lm,
+    "op4_token_files": op4_token_files,
+    "op5_language": op5_language,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
+    "op8_urls": op8_urls,
 }
 
 ORACLE: dict[str, str] = {}

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20
+PIECE = 1 << 20
+BATCH = 8 << 20
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -107,7 +108,34 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(raw + (ends - starts).astype(np.uint64))
 
 
-def split_words(texts: Texts) -> Words:
+def split_units(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes, first unit of each text): every word with the blanks before it.
+
+    Blanks at the end of a text are a unit of their own, so the units of a text make up all of it.
+    """
+    words = split_words(texts, hashed=False)
+    fresh = np.zeros(len(words.starts), dtype=bool)
+    some = words.counts > 0
+    fresh[words.first[:-1][some]] = True
+    starts = np.concatenate([[0], words.ends[:-1]])[: len(words.ends)]
+    starts[fresh] = texts.offsets[:-1][some]
+    last = texts.offsets[:-1].copy()
+    last[some] = words.ends[words.first[1:][some] - 1]
+    tail = np.flatnonzero(last < texts.offsets[1:])
+    at = words.first[1:][tail]
+    starts = np.insert(starts, at, last[tail])
+    ends = np.insert(words.ends, at, texts.offsets[1:][tail])
+    first = words.first.copy()
+    first[1:] += np.cumsum(last < texts.offsets[1:])
+    hashes = np.zeros(len(starts), np.uint64)
+    for index, piece in texts.pieces():
+        begin, end = first[index], first[index + len(piece)]
+        base = texts.offsets[index]
+        hashes[begin:end] = span_hashes(prefix_hashes(piece.data), starts[begin:end] - base, ends[begin:end] - base)
+    return starts, ends, hashes, first
+
+
+def split_words(texts: Texts, hashed: bool = True) -> Words:
     """Words of all texts, found and hashed piece by piece."""
     parts, begin = [], 0
     counts = [np.zeros(1, np.int64)]
@@ -124,7 +152,7 @@ def split_words(texts: Texts) -> Words:
         ends_here[edges - 1] = inside[edges - 1]
         starts = np.flatnonzero(starts_here)
         ends = np.flatnonzero(ends_here) + 1
-        hashes = span_hashes(prefix_hashes(piece.data), starts, ends)
+        hashes = span_hashes(prefix_hashes(piece.data), starts, ends) if hashed else np.zeros(0, np.uint64)
         parts.append((starts + begin, ends + begin, hashes))
         counts.append(np.diff(np.searchsorted(starts, piece.offsets)))
         begin += len(piece.data)
@@ -144,7 +172,7 @@ def runs(words: Words, size: int) -> np.ndarray:
     return mix(out)
 
 
-def batches_of(rows: Iterator[pa.RecordBatch], column: str, size: int = 4 * PIECE) -> Iterator[tuple[pa.Table, Texts]]:
+def batches_of(rows: Iterator[pa.RecordBatch], column: str, size: int = BATCH) -> Iterator[tuple[pa.Table, Texts]]:
     """Cut record batches into tables whose texts hold about ``size`` bytes."""
     for batch in rows:
         table = pa.Table.from_batches([batch])
