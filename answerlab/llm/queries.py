@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerlab.llm import bpe, langid, lm, quality, rans, urls
+from answerlab.llm import bpe, chat, langid, leaks, lm, quality, rans, urls
 from answerlab.session import shared_folder
 
 
@@ -37,6 +37,11 @@ def op2_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_documents(_fold(docs, 7, 2), "learn")
 
 
+def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = chat.calls_from_turns(_table(spark, folder, "conversations"))
+    return chat.link_tool_calls(calls, results, chat.TOOLS)
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     path = f"{shared_folder(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
@@ -63,13 +68,22 @@ def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm": op2_lm,
+    "op3_chat": op3_chat,
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
     "op8_urls": op8_urls,
+    "op10_leaks": op10_leaks,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_chat": chat.ORACLE_SQL,
+    "op10_leaks": leaks.ORACLE_SQL,
+}
