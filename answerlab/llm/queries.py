@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerlab.llm import bpe, chat, langid, leaks, lm, quality, rans, urls
+from answerlab.llm import bpe, chat, jaccard, langid, leaks, lm, quality, rans, suffixes, urls
 from answerlab.session import shared_folder
 
 
@@ -32,6 +32,10 @@ def _fold(docs: DataFrame, folds: int, fold: int) -> DataFrame:
     return docs.withColumn("learn", ~F.coalesce(out, F.lit(False)))
 
 
+def op1_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_near(_table(spark, folder, "documents"))
+
+
 def op2_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return lm.score_documents(_fold(docs, 7, 2), "learn")
@@ -68,11 +72,16 @@ def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op9_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digest_repeats(_table(spark, folder, "documents"))
+
+
 def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_lm": op2_lm,
     "op3_chat": op3_chat,
     "op4_token_files": op4_token_files,
@@ -80,10 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
     "op8_urls": op8_urls,
+    "op9_suffixes": op9_suffixes,
     "op10_leaks": op10_leaks,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_jaccard": jaccard.ORACLE_SQL,
     "op3_chat": chat.ORACLE_SQL,
     "op10_leaks": leaks.ORACLE_SQL,
 }
