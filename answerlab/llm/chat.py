@@ -112,7 +112,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: list[Tool]) ->
         .agg(F.min(F.struct("turn", "content")).alias("_first"))
     )
     known = edges.groupBy("conv", "id").agg(F.count(F.lit(1)).alias("_resolved"))
-    facts = placed.join(known, ["conv", "id"], "left").join(first, ["conv", "id"], "left")
+    facts = keys.join(placed, ["conv", "id"], "left").join(known, ["conv", "id"], "left").join(first, ["conv", "id"], "left")
     facts = facts.withColumn("_found", F.lit(True))
     joined = rows.join(
         facts.hint("shuffle_hash"), (rows["conv_id"] == facts["conv"]) & (rows["call_id"] == facts["id"]), "left"
