@@ -1,0 +1,86 @@
+"""Quality measures against plain Python."""
+
+import re
+from collections import Counter
+from math import log2
+
+import cases
+import public_tokenizers
+import pytest
+import sentencepiece
+
+from answerlab.llm import quality
+
+VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+MODEL = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    times = Counter(windows)
+    inside = {i + k for i, window in enumerate(windows) if times[window] > 1 for k in range(8)}
+    ids = [i for word in words for i in MODEL.encode(word)]
+    counts = Counter(ids)
+    entropy = -sum(n / len(ids) * log2(n / len(ids)) for n in counts.values()) if ids else 0.0
+    failed = len(words) < 20 or 100 * len(inside) > 30 * len(words)
+    return {
+        "n_words": len(words),
+        "word_chars": sum(map(len, words)),
+        "n_symbols": len(re.findall(r"[#*$%&|<>]", text)),
+        "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len(inside),
+        "n_tokens": len(ids),
+        "chars_per_token": sum(map(len, words)) / max(1, len(ids)),
+        "fallback_share": sum(MODEL.is_byte(i) for i in ids) / max(1, len(ids)),
+        "token_entropy": entropy,
+        "base_failed": failed,
+    }
+
+
+EXTRA = [
+    (50, "a b c d e f g h\n" * 6, "en", "s", 1),
+    (51, "same line\nother\nsame line\n\nsame line \n", "en", "s", 1),
+    (52, "x\ny\nx", "en", "s", 1),
+    (53, "x", "en", "s", 1),
+    (54, "x\nx", "en", "s", 1),
+    (55, "日本語のテキスト " * 30, None, "s", 1),
+    (56, "$$$ ### %%% " * 3 + cases.prose(5, 40), "en", "s", 1),
+]
+
+
+def test_measures(spark):
+    rows = cases.documents() + EXTRA
+    found = quality.score_quality(cases.frame(spark, rows), VOCABULARY, ["doc_id", "text"]).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        for name, value in plain(row["text"]).items():
+            assert row[name] == (pytest.approx(value) if isinstance(value, float) else value), (row["doc_id"], name)
+        assert not (row["kept"] and row["base_failed"])
+
+
+def test_bands_decide(spark):
+    frame = cases.frame(spark, [(1, cases.prose(1, 100), "en", "s", 1), (2, cases.prose(2, 100), None, "s", 1)])
+
+    def kept(**bands):
+        return {r["doc_id"] for r in quality.score_quality(frame, VOCABULARY, **bands).where("kept").collect()}
+
+    wide, narrow = quality.Band(0, 99, 1, 0), quality.Band(50, 99, 1, 0)
+    assert kept(bands={"en": wide}, default=wide) == {1, 2}
+    assert kept(bands={"en": narrow}, default=wide) == {2}
+    assert kept(bands={"en": wide}, default=quality.Band(0, 99, 1, 1.01)) == {1}
+
+
+def test_keep_good(spark):
+    frame = cases.frame(spark)
+    kept = quality.keep_good(frame, VOCABULARY)
+    scored = quality.score_quality(frame, VOCABULARY, ["text"]).where("kept")
+    assert kept.columns == frame.columns
+    assert sorted(r["text"] for r in kept.collect()) == sorted(r["text"] for r in scored.collect())
+    assert {r["doc_id"] for r in kept.collect()} & {1, 2, 3, 4, 5, -12} == set()
+    assert quality.keep_good(cases.frame(spark, []), VOCABULARY).collect() == []
+    with pytest.raises(ValueError, match="names of measures"):
+        quality.score_quality(frame.withColumnRenamed("row", "n_words"), VOCABULARY, ["n_words"])
