@@ -108,7 +108,7 @@ def normalize_category(label: Column) -> Column:
 
 def extract_category(answer: Column) -> Column:
     """The category an answer starts with, or null."""
-    return F.nullif(F.lower(F.regexp_extract(answer, LEADING_CATEGORY_PATTERN, 1)), F.lit(""))
+    return F.nullif(fold(F.regexp_extract(answer, LEADING_CATEGORY_PATTERN, 1)), F.lit(""))
 
 
 def is_category_dataset(name: Column) -> Column:

@@ -83,8 +83,3 @@ def best_class(scores: Column, labels: Column | None = None) -> Column:
     """Label (or index) of the highest score, the first one on a tie."""
     index = F.array_position(scores, F.array_max(scores)) - 1
     return index if labels is None else F.try_element_at(labels, (index + 1).cast("int"))
-
-
-def classifier_input(text: Column, max_chars: int | None = None) -> Column:
-    """Text for a classifier; ``max_chars=512`` gives the usual model limit."""
-    return text if max_chars is None else F.left(text, F.lit(max_chars))

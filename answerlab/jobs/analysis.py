@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerlab.functions import text
 from answerlab.operators import inference, positions, stats, validate
 from answerlab.operators.bleu import with_bleu
+from answerlab.operators.hallucination import NAME as HALLUCINATION, HallucinationModels, hallucination_scores
 from answerlab.operators.pairs import COMPARISONS, comparison_pairs, scatter_scores, with_clean_and_center
 from answerlab.plans.skew import attach, measure_groups, salt
+from answerlab.session import materialise
 
 CLEAN_ACCURACY, CENTER_ACCURACY, MEAN_ACCURACY = (
     "accuracy_clean_vs_label",
@@ -25,14 +27,19 @@ class Scorers:
     """Pair metrics besides BLEU.
 
     ``models`` maps a metric name to a factory over (references, candidates);
-    ``columns`` maps one to a function of the reference and candidate columns.
+    ``columns`` maps one to a function of the reference and candidate columns. ``hallucination`` holds
+    the two models of that score.
     """
 
     models: dict[str, Callable]
     columns: dict[str, Callable[[Column, Column], Column]]
+    hallucination: HallucinationModels | None = None
+
+    def of_models(self) -> list[str]:
+        return [HALLUCINATION] * (self.hallucination is not None) + list(self.models)
 
     def names(self) -> list[str]:
-        return ["bleu", *self.columns, *self.models]
+        return ["bleu", *self.columns, *self.of_models()]
 
 
 NO_SCORERS = Scorers({}, {})
@@ -47,11 +54,21 @@ def with_row_scores(frame: DataFrame, scorers: Scorers, reference: str, candidat
     )
 
 
-def with_model_scores(pairs: DataFrame, scorers: Scorers) -> DataFrame:
-    """Add the model metrics one after the other, so that one model is loaded at a time."""
+def with_model_scores(pairs: DataFrame, scorers: Scorers, keys: list[str]) -> DataFrame:
+    """Add the model metrics one after the other, so that one model is loaded at a time.
+
+    Every pair must come back exactly once.
+    """
+    if not scorers.of_models():
+        return pairs
+    pairs = scored = materialise(pairs)
+    if scorers.hallucination:
+        scored = hallucination_scores(scored, scorers.hallucination)
     for name, make in scorers.models.items():
-        pairs = inference.score_pairs(pairs, make, name).drop(f"{name}_error")
-    return pairs
+        scored = inference.score_pairs(scored, make, name).drop(f"{name}_error")
+    scored = materialise(scored)
+    validate.require_one_score_per_pair(scored, pairs, keys)
+    return scored
 
 
 def accuracy_of(responses: DataFrame, dataset_name: str | None, true_false: bool) -> Callable | None:
@@ -68,8 +85,10 @@ def _category(responses: DataFrame, true_false: bool) -> Column:
     return label if true_false else text.normalize_category(label)
 
 
-def _checked(responses: DataFrame, key: str, dataset_name: str | None, true_false: bool) -> Callable | None:
-    validate.require_columns(responses, {key, "responses", "center_response", "label_gt"}, "answer table")
+def _checked(
+    responses: DataFrame, key: str, dataset_name: str | None, true_false: bool, lists: set[str] = frozenset({"responses"})
+) -> Callable | None:
+    validate.require_columns(responses, {key, "center_response", "label_gt", *lists}, "answer table")
     validate.require_rows(responses, "answer table")
     accuracy = accuracy_of(responses, dataset_name, true_false)
     if accuracy is text.category_accuracy:
@@ -94,10 +113,11 @@ def analyze_rows(
     for name, reference, candidate in COMPARISONS:
         # All texts of a comparison are in the row: these scores need no shuffle.
         scored = with_row_scores(scored, scorers, reference, candidate, f"_{name}")
-    if scorers.models:
+    if scorers.of_models():
         validate.require_unique(responses, key)
-        pairs = with_model_scores(comparison_pairs(with_clean_and_center(responses), key), scorers)
-        scored = scatter_scores(scored, pairs, list(scorers.models), key)
+        pairs = comparison_pairs(with_clean_and_center(responses), key)
+        pairs = with_model_scores(pairs, scorers, [key, "comparison"])
+        scored = scatter_scores(scored, pairs, scorers.of_models(), key)
     names = [f"{m}_{c}" for m in scorers.names() for c, _, _ in COMPARISONS]
     if accuracy:
         category = _category(responses, true_false)
@@ -133,33 +153,40 @@ def analyze_positions(
     if accuracy:
         columns.append(_category(responses, true_false).alias("_category"))
     listed = positions.listed_answers(F.col("responses"), F.col("center_response"))
-    return mean_by_position(responses.select(*columns, F.inline(listed)), scorers, accuracy)
+    if scorers.of_models():
+        validate.require_unique(responses, key)
+    return mean_by_position(responses.select(*columns, F.inline(listed)), scorers, accuracy, key)
 
 
 def analyze_long_positions(
     answers: DataFrame,
     questions: DataFrame,
     scorers: Scorers = NO_SCORERS,
-    accuracy: Callable | None = None,
+    dataset_name: str | None = None,
+    true_false: bool = False,
     key: str = "question_id",
 ) -> DataFrame:
     """The same from long answers ``(key, position, response)`` and questions with label and centre.
 
-    Every place of an answer list is a row, blank or not. The label is joined to every answer; a question with very many answers is salted.
+    The checks are those of answer lists, and every answer must have a question. Positions that nobody
+    answered appear without means. The label is joined to every answer; a question with very many answers is salted.
     """
+    accuracy = _checked(questions, key, dataset_name, true_false, set())
+    validate.require_unique(questions, key)
+    validate.require_known(answers, questions, key)
     columns = [key, F.col("label_gt").alias("reference")]
     if accuracy:
-        columns.append(F.col(validate.category_column(questions)).alias("_category"))
-    validate.require_unique(questions, key)
+        columns.append(_category(questions, true_false).alias("_category"))
     labels = questions.select(*columns)
     everything = positions.with_center_position(answers, questions, key)
     sizes = measure_groups(answers, key)
     rows = salt(everything, sizes, F.struct("position"))
-    return mean_by_position(attach(rows, labels, sizes).drop("_salt"), scorers, accuracy)
+    return mean_by_position(attach(rows, labels, sizes).drop("_salt"), scorers, accuracy, key)
 
 
-def mean_by_position(pairs: DataFrame, scorers: Scorers, accuracy: Callable | None) -> DataFrame:
-    scored = with_model_scores(with_row_scores(pairs, scorers, "reference", "candidate"), scorers)
+def mean_by_position(pairs: DataFrame, scorers: Scorers, accuracy: Callable | None, key: str) -> DataFrame:
+    scored = with_row_scores(pairs, scorers, "reference", "candidate")
+    scored = with_model_scores(scored, scorers, [key, "position"])
     means = {m: f"mean_{m}" for m in scorers.names()}
     if accuracy:
         scored = scored.withColumn("accuracy", accuracy(F.col("_category"), F.col("candidate")))

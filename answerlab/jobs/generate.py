@@ -9,19 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from answerlab.functions import text, vectors as vec
 from answerlab.operators import centre as ctr, inference, noise, validate
+from answerlab.operators.hallucination import HallucinationModels, hallucination_scores
 from answerlab.operators.pairs import comparison_pairs, scatter_scores
 from answerlab.plans.skew import attach, measure_groups, salt
 from answerlab.session import materialise
 
-DEFAULT_TEMPLATE = (
-    "Decide whether the question or statement below belongs to one of these groups: did_not_happen (it asks "
-    "about something that never happened), far_future (it asks about something still to come), nonsense (it "
-    "makes no sense), obscure (its answer is not known), factual (it did happen). Answer True if it does and "
-    "False if it does not, then justify the answer in exactly 15 words.\n"
-    "Question: " + text.PLACEHOLDER
-)
-
-
 @dataclass(frozen=True)
 class Models:
     """Factories, see ``operators.inference``. ``logits`` takes premises and hypotheses."""
@@ -31,33 +23,25 @@ class Models:
     logits: Callable
     semantic: Callable | None = None
 
-
-def hallucination_scores(pairs: DataFrame, models: Models) -> DataFrame:
-    """Add ``hallucination_score`` to (reference, candidate) rows; a factory failure leaves null."""
-    texts = pairs.select(F.explode(F.array("reference", "candidate")).alias("text"))
-    encoded = inference.call_distinct(texts, ["text"], models.semantic or models.embed, "array<double>")
-    scored = inference.put_back(pairs, ["reference"], encoded, "_ref")
-    scored = inference.put_back(scored, ["candidate"], encoded, "_cand")
-    similar = vec.semantic_similarity(F.col("_ref"), F.col("_cand"))
-    scored = scored.withColumn("_similar", similar).drop("_ref", "_cand", "_ref_error", "_cand_error")
-    scored = inference.call_model(scored, ["reference", "candidate"], models.logits, "array<double>", "_logits")
-    score = vec.hallucination_score(F.col("_similar"), vec.factual_score(F.col("_logits")))
-    return scored.withColumn("hallucination_score", score).drop("_similar", "_logits", "_logits_error")
+    def hallucination(self) -> HallucinationModels:
+        return HallucinationModels(self.semantic or self.embed, self.logits)
 
 
 def generate(
     questions: DataFrame,
     models: Models,
+    template: str,
     dataset_name: str | None = None,
-    template: str = DEFAULT_TEMPLATE,
     variants: int = noise.VARIANTS,
     rate: float = noise.TYPO_RATE,
     seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """``(answers, scored)`` of questions ``(question_id, question, category)``.
 
-    ``answers`` has one row per question and position, with the errors of its model calls;
-    ``scored`` one row per question with the centre answer, the similarities and, for the category data set, the accuracies.
+    ``template`` is the prompt, with ``[DOCUMENT]`` where the text goes. ``answers`` has one row per question and
+    position, with the errors of its model calls; ``scored`` one row per question with the centre answer, the
+    similarities and, for the category data set, the accuracies. A failed call is no answer: it counts neither in
+    the centre nor in the median, and a question without any answer takes the defaults. A null label has no score.
     """
     validate.require_unique(questions, "question_id")
     by_category = dataset_name is not None and validate.uses_categories(questions, dataset_name)
@@ -65,20 +49,24 @@ def generate(
         validate.require_categories(questions, "question_id")
     label = text.normalize_category(F.col("category")) if by_category else F.col("category")
     asked = questions.select("question_id", F.col("question").alias("text"), label.alias("label_gt"))
-    edited = noise.typo_variants(asked, seed, rate, variants)
+    # Written once: the prompts are read for the distinct calls and again to put the answers back.
+    edited = materialise(noise.typo_variants(asked, seed, rate, variants))
     prompts = edited.withColumn("prompt", text.render_prompt(template, F.col("text_edited")))
-    answered = materialise(inference.generate_answers(prompts, models.answer).drop("prompt"))
+    answered = inference.generate_answers(prompts, models.answer).drop("prompt")
     embedded = materialise(inference.embed_texts(answered, models.embed, "response"))
-    labels = inference.embed_texts(asked, models.embed, "label_gt").select(
+    labelled = asked.where("label_gt is not null")
+    labels = inference.embed_texts(labelled, models.embed, "label_gt").select(
         "question_id", F.col("v").alias("label_v")
     )
-    fault = F.coalesce("v_error", "v_fault").alias("embedding_fault")
-    answers = embedded.select("question_id", "position", "text_edited", "response", "response_error", fault, "v")
+    fault = F.when(F.col("response").isNotNull(), F.coalesce("v_error", "v_fault")).alias("embedding_fault")
+    vector = F.when(F.col("response").isNotNull(), F.col("v")).alias("v")
+    answers = embedded.select("question_id", "position", "text_edited", "response", "response_error", fault, vector)
 
     # A vector without length has similarity 0; other faults take an answer out of the centre.
-    usable = answers.where("embedding_fault is null or embedding_fault = 'invalid norm'")
+    counts = F.col("embedding_fault").isNull() | (F.col("embedding_fault") == "invalid norm")
+    usable = answers.withColumn("v", F.when(counts, F.col("v")))
     sizes = measure_groups(usable, "question_id")
-    against = attach(salt(usable, sizes, F.col("position")), labels, sizes)
+    against = attach(salt(usable, sizes, F.col("position")), labels, sizes, how="left")
     medians = ctr.median_similarity(
         against.select("question_id", vec.cosine(F.col("v"), F.col("label_v")).alias("cos"))
     )
@@ -89,7 +77,7 @@ def generate(
         .join(clean, "question_id", "left")
         .join(medians, "question_id", "left")
     )
-    scores = hallucination_scores(comparison_pairs(per_question, blank_counts=True), models)
+    scores = hallucination_scores(comparison_pairs(per_question, blank_counts=True), models.hallucination())
     scored = scatter_scores(per_question, scores, ["hallucination_score"])
     names = [c for c in scored.columns if c.startswith("hallucination_score_")]
     scored = ctr.fill_defaults(scored.withColumnRenamed("text", "sentence"), names)
@@ -103,3 +91,20 @@ def generate(
             }
         )
     return answers.drop("v"), scored
+
+
+def answer_table(answers: DataFrame, scored: DataFrame) -> DataFrame:
+    """What :func:`generate` returns as one table for the analysis jobs.
+
+    One row per question: ``responses`` and ``texts_edited`` in the order of positions, which are as many as there
+    are variants, and all columns of ``scored``.
+    """
+    listed = answers.groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", "response", "text_edited"))).alias("_all")
+    )
+    lists = listed.select(
+        "question_id",
+        F.transform("_all", lambda a: a["response"]).alias("responses"),
+        F.transform("_all", lambda a: a["text_edited"]).alias("texts_edited"),
+    )
+    return scored.join(lists, "question_id", "left")

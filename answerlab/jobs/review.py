@@ -31,11 +31,11 @@ def finish(
     sample: DataFrame,
     decisions: DataFrame,
     output: str,
-    sources: list[str] = (),
+    sources: list[str],
     key: str = "id",
 ) -> DataFrame:
     """Write ``decisions`` and ``filtered`` under the output folder; returns the summary."""
     reviewed = with_decisions(sample, decisions, key)
     write_table(reviewed, f"{output}/decisions", sources)
-    write_table(keep_unremoved(questions, decisions, key), f"{output}/filtered", sources)
-    return review_summary(questions, reviewed)
+    filtered = write_table(keep_unremoved(questions, decisions, key), f"{output}/filtered", sources)
+    return review_summary(reviewed, questions.sparkSession.read.parquet(filtered))

@@ -12,15 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlab.functions import vectors as vec
 from answerlab.plans.quantiles import exact_quantiles
-from answerlab.plans.skew import GroupSizes, attach, fits_broadcast, measure_groups, salt
+from answerlab.plans.skew import GroupSizes, attach, measure_groups, salt
+from answerlab.session import materialise
 
 # Results for a question without any answer.
 NO_ANSWER_SIMILARITY = 0.0
 NO_ANSWER_SCORE = 1.0
 # Relative room for rounding in the comparison of a distance with the limit.
 ROUNDING = 1e-9
-# Answers of one question that may be held in one row.
-GATHERED_ANSWERS = 512
 
 
 def _mean_vector(v: Column) -> Column:
@@ -28,34 +27,29 @@ def _mean_vector(v: Column) -> Column:
 
 
 def _vector_bytes(answers: DataFrame) -> int:
-    """Size of one vector; all vectors of a table have the same dimension (see ``vector_faults``)."""
-    row = answers.select(F.size("v").alias("n")).first()
-    return 8 * max(row["n"] or 0, 0) if row else 0
+    """Size of the longest vector."""
+    return 8 * max(answers.agg(F.max(F.size("v"))).first()[0] or 0, 0)
 
 
 def with_centre(
     answers: DataFrame, key: str = "question_id", sizes: GroupSizes | None = None
 ) -> DataFrame:
-    """Add ``dist`` (to the mean of all), ``kept`` and ``cos`` (to the centre of the kept).
+    """Add ``dist`` (to the mean of all), ``kept``, ``centre`` and ``cos`` (to the centre of the kept).
 
-    Few questions: their vectors are broadcast and the answers are not shuffled. Many
-    questions with few answers each, the usual case: one shuffle brings the answers of a
-    question together. Otherwise joins, with salts for very large questions.
+    Rows without a vector stay, with null measures, and do not count; vectors of another dimension than the
+    rest of their question fail the job (``validate.vector_faults`` names both before). Means and limits are
+    aggregates put back by key: broadcast when they are few, else by joins with salts for very large questions.
+    The answers are read twice, for the means and to measure distances; what is measured is written once.
     """
     sizes = sizes or measure_groups(answers, key)
     width = _vector_bytes(answers)
-    if not fits_broadcast(sizes, width) and sizes.largest <= GATHERED_ANSWERS:
-        return _gathered(answers, key)
-    return _joined(answers, key, sizes, width)
-
-
-def _joined(answers: DataFrame, key: str, sizes: GroupSizes, width: int) -> DataFrame:
     rows = salt(answers, sizes, F.struct("position"), width)
-    means = answers.groupBy(key).agg(_mean_vector(F.col("v")).alias("mean"))
-    rows = attach(rows, means, sizes, bytes_per_group=width)
-    rows = rows.withColumn("dist", vec.distance(F.col("v"), F.col("mean")))
+    with_vector = answers.where("v is not null")
+    means = with_vector.groupBy(key).agg(_mean_vector(F.col("v")).alias("mean"))
+    rows = attach(rows, means, sizes, how="left", bytes_per_group=width)
+    rows = materialise(rows.withColumn("dist", vec.distance(F.col("v"), F.col("mean"))))
     limits = rows.groupBy(key).agg(_limit(F.avg("dist"), F.stddev_pop("dist")).alias("limit"))
-    rows = attach(rows, limits, sizes, bytes_per_group=8)
+    rows = attach(rows, limits, sizes, how="left", bytes_per_group=8)
     rows = rows.withColumn("kept", F.col("dist") <= F.col("limit")).drop("limit")
     centres = rows.where("kept").groupBy(key).agg(_mean_vector(F.col("v")).alias("centre"))
     rows = attach(rows, centres, sizes, how="left", bytes_per_group=width)
@@ -63,35 +57,6 @@ def _joined(answers: DataFrame, key: str, sizes: GroupSizes, width: int) -> Data
     return rows.withColumn("cos", vec.cosine(F.col("v"), F.col("centre"))).drop("_salt")
 
 
-def _gathered(answers: DataFrame, key: str) -> DataFrame:
-    """All steps on the list of a question's answers, which was measured to be short."""
-    own = [c for c in answers.columns if c != key]
-    lists = answers.groupBy(key).agg(F.collect_list(F.struct(*own)).alias("a"))
-    # Each step is a column that the next one reads more than once, so it is made once.
-    lists = lists.withColumn("vs", F.transform("a", lambda x: x["v"]))
-    lists = lists.withColumn("mean", _list_mean(F.col("vs")))
-    lists = lists.withColumn("ds", F.transform("vs", lambda v: vec.distance(v, F.col("mean"))))
-    lists = lists.withColumn("average", _list_average(F.col("ds")))
-    variance = _list_average(
-        F.transform("ds", lambda d: (d - F.col("average")) * (d - F.col("average")))
-    )
-    lists = lists.withColumn("limit", _limit(F.col("average"), F.sqrt(variance)))
-    lists = lists.withColumn("ks", F.transform("ds", lambda d: d <= F.col("limit")))
-    kept = F.transform(F.filter(F.arrays_zip("vs", "ks"), lambda x: x["ks"]), lambda x: x["vs"])
-    centre = F.when(F.exists("ks", lambda k: k), _list_mean(kept)).otherwise(F.col("mean"))
-    lists = lists.withColumn("centre", centre)
-    lists = lists.withColumn("cs", F.transform("vs", lambda v: vec.cosine(v, F.col("centre"))))
-    rows = lists.select(key, "centre", F.inline(F.arrays_zip("a", "ds", "ks", "cs")))
-    return rows.select(
-        key,
-        *[F.col(f"a.{c}").alias(c) for c in own],
-        F.col("ds").alias("dist"),
-        F.col("ks").alias("kept"),
-        "centre",
-        F.col("cs").alias("cos"),
-    )
-
-
 def _limit(average: Column, deviation: Column) -> Column:
     """Largest distance that is kept, with room for rounding.
 
@@ -100,28 +65,16 @@ def _limit(average: Column, deviation: Column) -> Column:
     return (average + deviation) * (1.0 + ROUNDING)
 
 
-def _list_average(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
-
-
-def _list_mean(vectors: Column) -> Column:
-    """Mean vector of a list of vectors."""
-    zero = F.transform(F.get(vectors, F.lit(0)), lambda x: F.lit(0.0))
-    total = F.aggregate(vectors, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    count = F.array_repeat(F.size(vectors), F.size(F.get(vectors, F.lit(0))))
-    return F.zip_with(total, count, lambda x, n: x / n)
-
-
 def centre_metrics(measured: DataFrame, answer: str = "position", key: str = "question_id") -> DataFrame:
     """One row per question from :func:`with_centre`: centre answer and consistency.
 
     The centre answer has the highest cosine over all answers, outliers included; the
     lowest position wins a tie. Dispersion is the mean distance of the kept answers to
-    the mean of all answers.
+    the mean of all answers. Only answers with a vector count.
     """
     best = F.max_by(
         F.struct(F.col("position").alias("position"), F.col(answer).alias("answer")),
-        F.struct("cos", -F.col("position")),
+        F.when(F.col("cos").isNotNull(), F.struct("cos", -F.col("position"))),
     )
     return (
         measured.groupBy(key)
@@ -130,7 +83,7 @@ def centre_metrics(measured: DataFrame, answer: str = "position", key: str = "qu
             F.avg("cos").alias("center_similarity_mean"),
             F.min_by("cos", "position").alias("clean_to_center_similarity"),
             F.coalesce(F.avg(F.when(F.col("kept"), F.col("dist"))), F.avg("dist")).alias("cluster_dispersion"),
-            F.count(F.lit(1)).alias("answers"),
+            F.count("cos").alias("answers"),
         )
         .select(
             key,

@@ -28,7 +28,10 @@ def _caller(make: Callable, inputs: list[str], batch_size: int):
     def one_by_one(call, columns):
         for values in zip(*columns):
             try:
-                yield call(*[[value] for value in values])[0], None
+                answers = list(call(*[[value] for value in values]))
+                if len(answers) != 1:
+                    raise ValueError(f"the model returned {len(answers)} results for 1 input")
+                yield answers[0], None
             except Exception as failure:  # noqa: BLE001 - the text of any failure goes into the row
                 yield None, f"{type(failure).__name__}: {failure}"
 

@@ -39,28 +39,33 @@ def _typo_mapper(seed: int, rate: float, variants: int, key: str):
         letters = np.flatnonzero(letter)
         return letters, part[letters]
 
+    def hashed(places, coefficients):
+        prime = 2_147_483_647
+        a, b, c = coefficients
+        return ((a * places % prime + b) * places % prime + c) % prime
+
     def edited(codes, letters, parts, edits, coefficients):
         import numpy as np
 
-        prime = 2_147_483_647
-        a, b, c = coefficients
-        hashed = ((a * letters % prime + b) * letters % prime + c) % prime
-        order = np.lexsort((letters, hashed))
+        order = np.lexsort((letters, hashed(letters, coefficients)))
         # The last letter of each part in this order stays, so no part loses all its letters.
         _, from_end = np.unique(parts[order][::-1], return_index=True)
         free = np.ones(len(order), dtype=bool)
         free[len(order) - 1 - from_end] = False
-        sites = letters[order[free]]
-        dropped = np.zeros(len(codes) + 1, dtype=bool)
-        dropped[sites[:edits]] = True
-        swap = np.zeros(len(codes) + 1, dtype=bool)
-        swap[sites[edits : 2 * edits]] = True
-        letter = np.zeros(len(codes) + 1, dtype=bool)
-        letter[letters] = True
-        first = np.flatnonzero(swap[:-1] & letter[1:] & ~dropped[1:] & ~swap[1:])
+        dropped = np.zeros(len(codes), dtype=bool)
+        dropped[letters[order[free]][:edits]] = True
+        # Letters that stay, in runs of neighbours; every second one of a run and its follower are a pair.
+        staying = letters[~dropped[letters]]
+        begins = np.ones(len(staying), dtype=bool)
+        begins[1:] = staying[1:] != staying[:-1] + 1
+        starts = np.flatnonzero(begins)
+        offset = np.arange(len(staying)) - starts[np.cumsum(begins) - 1]
+        follows = np.append(~begins[1:], False)
+        leaders = staying[(offset % 2 == 0) & follows]
+        first = leaders[np.lexsort((leaders, hashed(leaders, coefficients)))[:edits]]
         out = codes.copy()
         out[first], out[first + 1] = codes[first + 1], codes[first]
-        return out[~dropped[:-1]]
+        return out[~dropped]
 
     def variants_of(question, value):
         import hashlib
@@ -105,20 +110,21 @@ def typo_variants(
 ) -> DataFrame:
     """``(key, position, text_edited)``: the clean text and its typo variants.
 
-    ``int(rate * letters)`` edits per variant; each drops a letter and swaps another one
-    with its neighbour. Digits never move, and every text part keeps a letter. Sites are
-    drawn by a hash of seed, key and position, so a retried task gives the same text.
+    ``int(rate * letters)`` edits per variant. Each drops a letter and swaps two neighbouring letters that stay;
+    no letter takes part in two swaps. Digits never move, and every text part keeps a letter. So there are as many
+    drops as edits, or as many as leave every part a letter, and as many swaps as edits, or as many as the runs
+    of letters that stay have pairs (half their length, rounded down). Sites are drawn by a hash of seed, key (as
+    text) and position, so they do not depend on batches or retries.
     """
     if not 0 <= rate <= 1:
         raise ValueError("rate must be between 0 and 1")
     kind = questions.schema[key].dataType.simpleString()
-    return (
-        questions.select(key, "text")
-        .where("text is not null")
-        .mapInPandas(
-            _typo_mapper(seed, rate, variants, key), f"`{key}` {kind}, position int, text_edited string"
-        )
+    # The key travels as text: batches with a missing number would turn the others into fractions.
+    asked = questions.where("text is not null").select(F.col(key).cast("string").alias(key), "text")
+    edited = asked.mapInPandas(
+        _typo_mapper(seed, rate, variants, key), f"`{key}` string, position int, text_edited string"
     )
+    return edited.withColumn(key, F.col(key).cast(kind))
 
 
 def synonym_variants(
@@ -135,7 +141,12 @@ def synonym_variants(
     Words whose lexicon entry (word, pos, synonyms) has the wanted part of speech are
     candidates. Whole words are replaced, everywhere in the text.
     """
-    usable = lexicon.where((F.col("pos") == pos) & (F.size("synonyms") > 0)).select("word", "synonyms")
+    # One entry for each word: the synonyms of repeated entries are put together.
+    usable = (
+        lexicon.where((F.col("pos") == pos) & (F.size("synonyms") > 0))
+        .groupBy("word")
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("synonyms")))).alias("synonyms"))
+    )
     # Distinct words per question are found in the row, so a frequent word counts once per text.
     candidates = questions.select(
         key, F.explode(F.array_distinct(text.words(F.col("text")))).alias("token")

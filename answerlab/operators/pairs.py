@@ -86,11 +86,10 @@ def unavailable(questions: DataFrame, key: str = "question_id") -> DataFrame:
     return questions.select(key, empty.alias("empty_columns")).where(F.size("empty_columns") > 0)
 
 
-def unavailable_report(questions: DataFrame, key: str = "question_id", shown: int = 10) -> DataFrame:
-    """The first rows of :func:`unavailable` by key, each with the total number of such rows."""
+def unavailable_report(questions: DataFrame, key: str = "question_id") -> DataFrame:
+    """The rows of :func:`unavailable`, each with their total number."""
     missing = unavailable(questions, key)
-    total = missing.agg(F.count(F.lit(1))).scalar()
-    return missing.orderBy(key).limit(shown).withColumn("total_rows", total)
+    return missing.withColumn("total_rows", missing.agg(F.count(F.lit(1))).scalar())
 
 
 def explode_positions(responses: DataFrame, key: str = "question_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlab.functions import text
 from answerlab.operators.stats import finite
+from answerlab.session import materialise
 
 CLEAN, CENTER = "C", "Center"
 
@@ -41,10 +42,18 @@ def with_center_position(answers: DataFrame, center: DataFrame, key: str = "ques
 
 
 def position_means(scored: DataFrame, metrics: dict[str, str]) -> DataFrame:
-    """One row per position in order, the centre last; ``metrics`` maps column to mean name."""
-    return (
-        scored.groupBy("position")
-        .agg(*[F.avg(finite(F.col(column))).alias(name) for column, name in metrics.items()])
-        .select("position", position_name(F.col("position")).alias("response_position"), *metrics.values())
-        .orderBy(F.col("position").asc_nulls_last())
+    """One row per position from the first to the last in order, and the centre; ``metrics`` maps column to mean name.
+
+    Positions without a row have null means.
+    """
+    means = scored.groupBy("position").agg(
+        *[F.avg(finite(F.col(column))).alias(name) for column, name in metrics.items()]
     )
+    # One row per position; written, so that the scores are not made twice.
+    means = materialise(means).withColumnRenamed("position", "_position")
+    last = means.agg(F.coalesce(F.max("_position"), F.lit(0)).alias("last"))
+    places = F.concat(F.sequence(F.lit(0), F.col("last")), F.array(F.lit(None).cast("int")))
+    grid = last.select(F.explode(places).alias("position"))
+    return grid.join(means, grid["position"].eqNullSafe(means["_position"]), "left").select(
+        "position", position_name(F.col("position")).alias("response_position"), *metrics.values()
+    ).orderBy(F.col("position").asc_nulls_last())

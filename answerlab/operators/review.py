@@ -24,11 +24,11 @@ def keep_unremoved(questions: DataFrame, decisions: DataFrame, key: str = "id")
     return questions.join(removed, key, "left_anti")
 
 
-def review_summary(questions: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """Sampled, removed, still pending, and what remains of all questions."""
-    total = questions.agg(F.count(F.lit(1))).scalar()
+def review_summary(reviewed: DataFrame, filtered: DataFrame) -> DataFrame:
+    """Sampled, removed and still pending of the sample, and what remains of all questions in the filtered copy."""
+    total = filtered.agg(F.count(F.lit(1))).scalar()
     return reviewed.agg(
         F.count(F.lit(1)).alias("reviewed"),
         F.count_if(F.col("decision") == REMOVE).alias("removed"),
         F.count_if(F.col("decision") == PENDING).alias("pending"),
-    ).withColumn("remaining", total - F.col("removed"))
+    ).withColumn("remaining", total)

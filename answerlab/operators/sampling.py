@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlab.functions import text
+from answerlab.plans.ranks import first_of_groups, values_at_ranks
 from answerlab.plans.skew import attach, measure_groups, salt
 
 # Upper bound for a key that is a number or a date.
@@ -63,20 +64,19 @@ def stratified_sample(
 ) -> DataFrame:
     """Leave out the first ``skip`` rows of each category by key, then draw ``sample_size``.
 
-    Both rankings are limited to their first rows, so every task cuts its categories down
-    before the shuffle and a category of any size is fine.
+    Neither ranking puts a whole category in order: the last key to leave out is found by ranges of keys, and the
+    draw by counts of the leading digits, so categories, samples and skips may be of any size.
     """
     if only is not None:
         questions = questions.where(F.col(category) == only)
     rows = questions
     if skip > 0:
-        by_key = Window.partitionBy(category).orderBy(key)
-        heads = questions.select(category, key).withColumn("_n", F.row_number().over(by_key))
-        cuts = heads.where(F.col("_n") <= skip).groupBy(category).agg(F.max(key).alias("_cut"))
+        # A category with fewer rows is left out whole: its cut is its last key.
+        last = F.array(F.least(F.lit(skip), F.col("total")) - 1)
+        cuts = values_at_ranks(questions, category, key, last).select(category, F.col(key).alias("_cut"))
         sizes = measure_groups(questions, category)
         width = None if dict(questions.dtypes)[key] in ("string", "binary") else _CUT_BYTES
         rows = salt(questions, sizes, F.col(key), width)
         rows = attach(rows, cuts, sizes, bytes_per_group=width)
         rows = rows.where(F.col(key) > F.col("_cut")).drop("_cut", "_salt")
-    drawn = Window.partitionBy(category).orderBy(draw_order(seed, F.col(key)), F.col(key))
-    return rows.withColumn("draw", F.row_number().over(drawn)).where(F.col("draw") <= sample_size)
+    return first_of_groups(rows, category, draw_order(seed, F.col(key)), [F.col(key)], sample_size)

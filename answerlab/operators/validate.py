@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from answerlab.functions import text, vectors as vec
 from answerlab.plans.skew import measure_groups
 
-SHOWN = 10
 
 
 def require_columns(frame: DataFrame, required: set[str], what: str = "table") -> None:
@@ -23,16 +22,16 @@ def require_rows(frame: DataFrame, what: str = "table") -> None:
 
 def _report(bad: DataFrame, key: str, column: str) -> DataFrame:
     total = bad.agg(F.count(F.lit(1))).scalar()
-    return bad.select(key, column).orderBy(key).limit(SHOWN).withColumn("total_rows", total)
+    return bad.select(key, column).withColumn("total_rows", total)
 
 
 def blank_values(frame: DataFrame, column: str, key: str) -> DataFrame:
-    """The first rows by key whose value is blank, with the total number of such rows."""
+    """The rows whose value is blank, each with the total number of such rows."""
     return _report(frame.where(text.is_blank(F.col(column))), key, column)
 
 
 def require_values(frame: DataFrame, column: str, key: str) -> None:
-    for row in blank_values(frame, column, key).collect():
+    for row in blank_values(frame, column, key).orderBy(key).take(1):
         raise ValueError(f"row {row[key]!r}: {column!r} is empty ({row['total_rows']} such rows)")
 
 
@@ -43,8 +42,14 @@ def require_unique(frame: DataFrame, key: str) -> None:
         raise ValueError(f"{key!r} is not unique: one value has {sizes.largest} rows")
 
 
+def require_known(rows: DataFrame, known: DataFrame, key: str) -> None:
+    """Every row's key must be one of ``known``."""
+    for row in rows.select(key).join(known.select(key), key, "left_anti").orderBy(key).take(1):
+        raise ValueError(f"row {row[key]!r} has no question")
+
+
 def invalid_categories(frame: DataFrame, column: str, key: str) -> DataFrame:
-    """The first rows whose normalised category is not one of the four, with the total."""
+    """The rows whose normalised category is not one of the four, each with their total number."""
     category = text.normalize_category(F.col(column))
     return _report(frame.where(~F.coalesce(category.isin(*text.CATEGORIES), F.lit(False))), key, column)
 
@@ -65,7 +70,7 @@ def category_column(frame: DataFrame) -> str:
 
 def require_categories(frame: DataFrame, key: str) -> None:
     column = category_column(frame)
-    for row in invalid_categories(frame, column, key).collect():
+    for row in invalid_categories(frame, column, key).orderBy(key).take(1):
         raise ValueError(f"row {row[key]!r}: invalid category {row[column]!r} ({row['total_rows']} such rows)")
 
 

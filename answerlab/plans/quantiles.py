@@ -1,162 +1,26 @@
-"""Exact quantiles per group, also where one group holds most of the rows.
-
-``percentile`` keeps every distinct value of a group in one buffer. That is right for
-groups of a known size. For larger groups the wanted ranks are bracketed with the
-bounded ``percentile_approx`` summary, the bracket is checked by counting, and only the
-values inside it are looked at again until few enough are left to sort.
-"""
+"""Exact quantiles per group, also where one group holds most of the rows."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-from answerlab.plans.skew import MAX_SALTED_GROUPS, measure_groups
-
-ROWS_IN_ONE_BUFFER = 1_000_000
-_SUMMARY_ACCURACY = 10_000
-
-
-def exact_quantiles(
-    rows: DataFrame,
-    key: str,
-    value: str,
-    probabilities: Sequence[float],
-    rows_in_one_buffer: int = ROWS_IN_ONE_BUFFER,
-) -> DataFrame:
-    """``(key, quantiles ARRAY<DOUBLE>)`` with linear interpolation between ranks."""
-    rows = rows.select(key, F.col(value).cast("double").alias("x")).where("x is not null")
-    sizes = measure_groups(rows, key, rows_in_one_buffer)
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    if not sizes.has_large:
-        return rows.groupBy(key).agg(F.percentile("x", wanted).alias("quantiles"))
-    large = sizes.large().select(key)
-    small = rows.join(F.broadcast(large), key, "left_anti")
-    return (
-        small.groupBy(key)
-        .agg(F.percentile("x", wanted).alias("quantiles"))
-        .unionByName(_large_groups(rows, key, sizes.counts, large, probabilities, rows_in_one_buffer))
-    )
+from pyspark.sql import DataFrame, functions as F
 
+from answerlab.plans.ranks import values_at_ranks
 
-def _first_brackets(rows, key, counts, large, probabilities) -> list[tuple]:
-    """(key, rank, lo, hi, below, inside) for the ranks on both sides of every quantile.
 
-    One summary per group gives the brackets, one count over all rows verifies them. A
-    bracket that misses its ranks is replaced by the whole group.
-    """
-    spread = 2.0 / _SUMMARY_ACCURACY
-    ends = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-spread, spread)]
-    in_large = rows.join(F.broadcast(large), key)
-    marks = in_large.groupBy(key).agg(F.percentile_approx("x", ends, _SUMMARY_ACCURACY).alias("marks"))
-    # One row per large group: the list of large groups has a fixed bound.
-    counted = (
-        in_large.join(F.broadcast(marks), key)
-        .groupBy(key)
-        .agg(
-            F.first("marks").alias("marks"),
-            *[F.count_if(F.expr(f"x < marks[{2 * i}]")).alias(f"below{i}") for i in range(len(probabilities))],
-            *[
-                F.count_if(F.expr(f"x BETWEEN marks[{2 * i}] AND marks[{2 * i + 1}]")).alias(f"inside{i}")
-                for i in range(len(probabilities))
-            ],
-        )
-        .join(F.broadcast(counts.join(F.broadcast(large), key)), key)
+def exact_quantiles(rows: DataFrame, key: str, value: str, probabilities: Sequence[float]) -> DataFrame:
+    """``(key, quantiles ARRAY<DOUBLE>)`` with linear interpolation between ranks; null values do not count."""
+    values = rows.select(key, F.col(value).cast("double").alias("_x")).where("_x is not null")
+    places = [F.lit(float(p)) * (F.col("total") - 1) for p in probabilities]
+    ranks = F.array(*[end for place in places for end in (F.floor(place), F.ceil(place))])
+    found = values_at_ranks(values, key, "_x", ranks)
+    # Two values for each probability at most.
+    at = found.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", "_x"))).alias("_at"), F.first("total").alias("total")
     )
-    brackets = []
-    for row in counted.limit(MAX_SALTED_GROUPS).collect():
-        for i, p in enumerate(probabilities):
-            position = p * (row["rows"] - 1)
-            below, inside = row[f"below{i}"], row[f"inside{i}"]
-            for rank in {math.floor(position), math.ceil(position)}:
-                if below <= rank < below + inside:
-                    brackets.append((row[key], rank, row["marks"][2 * i], row["marks"][2 * i + 1], below, inside))
-                else:
-                    brackets.append((row[key], rank, None, None, 0, row["rows"]))
-    return list({bracket[:2]: bracket for bracket in brackets}.values())
-
-
-def _large_groups(rows, key, counts, large, probabilities, rows_in_one_buffer) -> DataFrame:
-    spark = rows.sparkSession
-    key_type = rows.schema[key].dataType.simpleString()
-    found: list[tuple] = []
-    open_ranks = _first_brackets(rows, key, counts, large, probabilities)
-    schema = f"`{key}` {key_type}, rank bigint, lo double, hi double, below bigint, inside bigint"
-    last_width = None
-    while open_ranks:
-        brackets = F.broadcast(spark.createDataFrame(open_ranks, schema))
-        inside = rows.join(brackets, key).where(
-            "(lo is null or x >= lo) and (hi is null or x <= hi)"
-        )
-        width = max(bracket[5] for bracket in open_ranks)
-        if width <= rows_in_one_buffer or width == last_width:
-            found += _sort_brackets(inside, key)
-            break
-        last_width = width
-        # Rank error of the summary is inside/accuracy; the margin below is twice that.
-        margin = 2.0 / _SUMMARY_ACCURACY
-        share = (F.max("rank") - F.max("below") + 0.5) / F.max("inside")
-        narrowed = (
-            inside.groupBy(key, "rank")
-            .agg(
-                share.alias("share"),
-                F.percentile_approx(
-                    "x", [i / 1000 for i in range(1001)], _SUMMARY_ACCURACY
-                ).alias("marks"),
-                F.max("below").alias("below"),
-                F.max("inside").alias("inside"),
-            )
-            .select(
-                key,
-                "rank",
-                F.expr(f"marks[int(greatest(0, floor((share - {margin}) * 1000) - 1))]").alias("lo"),
-                F.expr(f"marks[int(least(1000, ceil((share + {margin}) * 1000) + 1))]").alias("hi"),
-                "below",
-                "inside",
-            )
-        ).collect()
-        proposal = F.broadcast(
-            spark.createDataFrame(
-                [(b[key], b["rank"], b["lo"], b["hi"]) for b in narrowed],
-                f"`{key}` {key_type}, rank bigint, new_lo double, new_hi double",
-            )
-        )
-        checked = (
-            inside.join(proposal, [key, "rank"])
-            .groupBy(key, "rank", "lo", "hi", "below", "inside", "new_lo", "new_hi")
-            .agg(
-                F.count_if(F.col("x") < F.col("new_lo")).alias("left"),
-                F.count_if(F.col("x").between(F.col("new_lo"), F.col("new_hi"))).alias("kept"),
-            )
-            .collect()
-        )
-        open_ranks = []
-        for c in checked:
-            below = c["below"] + c["left"]
-            if not below <= c["rank"] < below + c["kept"]:
-                # The summary missed; keep the wider bracket and sort it instead.
-                open_ranks.append((c[key], c["rank"], c["lo"], c["hi"], c["below"], c["inside"]))
-            elif c["new_lo"] == c["new_hi"]:
-                found.append((c[key], c["rank"], c["new_lo"]))
-            else:
-                open_ranks.append((c[key], c["rank"], c["new_lo"], c["new_hi"], below, c["kept"]))
-    ranked = spark.createDataFrame(found, f"`{key}` {key_type}, rank bigint, x double")
-    by_rank = ranked.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
-    per_group = by_rank.join(F.broadcast(counts.join(F.broadcast(large), key)), key)
-    columns = []
-    for p in probabilities:
-        position = f"({float(p)}D * (rows - 1))"
-        low, high = f"at[bigint(floor({position}))]", f"at[bigint(ceil({position}))]"
-        columns.append(F.expr(f"{low} + ({high} - {low}) * ({position} - floor({position}))"))
-    return per_group.select(key, F.array(*columns).alias("quantiles"))
-
-
-def _sort_brackets(inside: DataFrame, key: str) -> list[tuple]:
-    """The value at each wanted rank; equal values are counted first, so few rows are sorted."""
-    order = Window.partitionBy(key, "rank").orderBy("x")
-    distinct = inside.groupBy(key, "rank", "below", "x").agg(F.count(F.lit(1)).alias("n"))
-    upto = distinct.withColumn("upto", F.col("below") + F.sum("n").over(order))
-    hit = upto.where("rank < upto and rank >= upto - n")
-    return [(row[key], row["rank"], row["x"]) for row in hit.select(key, "rank", "x").collect()]
+    quantiles = []
+    for place in places:
+        low, high = F.col("_at")[F.floor(place)], F.col("_at")[F.ceil(place)]
+        quantiles.append(low + (high - low) * (place - F.floor(place)))
+    return at.select(key, F.array(*quantiles).alias("quantiles"))

@@ -7,6 +7,10 @@ groups are measured first (a count that reads the key column only):
 * no large group: a plain join on the key;
 * otherwise rows of a large group get a salt, and its value is repeated once per salt.
 
+A group is large beyond ``rows_per_salt`` rows, or beyond the share of all rows at which the list of large groups
+would no longer fit a broadcast. So the list is never cut: with N rows and room for G groups, fewer than G groups
+can hold more than N / G rows, and no group without salts holds more.
+
 Salting changes where rows are processed, never which rows come out.
 """
 
@@ -16,11 +20,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from answerlab.session import materialise
+
 ROWS_PER_SALT = 200_000
-# Only this many groups can get salts, so their list is safe to broadcast. Any group
-# left out holds less than one part in MAX_SALTED_GROUPS of the rows.
-MAX_SALTED_GROUPS = 10_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# The list of large groups is kept within this size, see above.
+LIST_BYTES = 64 * 1024 * 1024
 _ROW_BYTES = 64
 
 
@@ -40,31 +45,28 @@ class GroupSizes:
         return self.largest > self.rows_per_salt
 
     def large(self) -> DataFrame:
-        """(key, salts) of the largest groups, at most MAX_SALTED_GROUPS rows.
-
-        The order is total, so both sides of a salted join see the same list.
-        """
-        return (
-            self.counts.where(F.col("rows") > self.rows_per_salt)
-            .orderBy(F.col("rows").desc(), self.key)
-            .limit(MAX_SALTED_GROUPS)
-            .select(self.key, F.ceil(F.col("rows") / self.rows_per_salt).cast("int").alias("salts"))
-        )
+        """(key, salts) of the large groups; they fit a broadcast."""
+        salts = F.ceil(F.col("rows") / self.rows_per_salt).cast("int").alias("salts")
+        return self.counts.where(F.col("rows") > self.rows_per_salt).select(self.key, salts)
 
 
 def measure_groups(rows: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> GroupSizes:
-    """Count the rows of every group; one action that brings back three numbers."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    """Count the rows of every group, once; a few numbers come back."""
+    counts = materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")))
     return summarise_counts(counts, key, rows_per_salt)
 
 
 def summarise_counts(counts: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> GroupSizes:
     """The same from a table that already has the ``rows`` of every key."""
     longest_key = F.max(F.octet_length(F.col(key).cast("string")))
-    groups, largest, key_bytes = counts.agg(
-        F.count(F.lit(1)), F.coalesce(F.max("rows"), F.lit(0)), F.coalesce(longest_key, F.lit(0))
+    groups, largest, total, key_bytes = counts.agg(
+        F.count(F.lit(1)),
+        F.coalesce(F.max("rows"), F.lit(0)),
+        F.coalesce(F.sum("rows"), F.lit(0)),
+        F.coalesce(longest_key, F.lit(0)),
     ).first()
-    return GroupSizes(key, groups, largest, key_bytes, rows_per_salt, counts)
+    room = max(1, LIST_BYTES // (key_bytes + _ROW_BYTES))
+    return GroupSizes(key, groups, largest, key_bytes, max(rows_per_salt, total // room), counts)
 
 
 def fits_broadcast(sizes: GroupSizes, bytes_per_group: int | None) -> bool:

@@ -29,12 +29,15 @@ def local_session(app: str = "answerlab", cores: str = "8", shuffle_partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one the cluster names, or a new one in local mode."""
+    """The folder for intermediate tables, as spark.checkpoint.dir names it.
+
+    Only where it is unset and driver and executors are one process is a new folder of this machine used.
+    """
     context = spark.sparkContext
     named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="answerlab-"))
     return context.getCheckpointDir()
@@ -44,9 +47,11 @@ def materialise(frame: DataFrame) -> DataFrame:
     """Write the frame once, as Parquet, and read it back.
 
     Nothing upstream runs again, also not when an executor is lost, and readers still get
-    column pruning. The table stays in the shared folder until that is cleaned up.
+    column pruning. The table goes when the application ends.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/answerlab-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

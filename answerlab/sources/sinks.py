@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlparse
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from answerlab.operators.validate import require_columns
 from answerlab.sources.tables import read_table
 
 
-def _location(path: str) -> tuple[str, str, str]:
-    parts = urlparse(str(path))
-    return parts.scheme if parts.scheme != "file" else "", parts.netloc, parts.path.rstrip("/")
+def _location(spark: SparkSession, path: str) -> str:
+    """The full name of a place, with its store, however it was written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.makeQualified(place).toString().rstrip("/")
 
 
-def refuse_overwrite(output: str, sources: list[str]) -> None:
+def refuse_overwrite(spark: SparkSession, output: str, sources: list[str]) -> None:
     """The output may not be a source, lie inside one, or contain one."""
-    out = _location(output)
+    out = _location(spark, output) + "/"
     for source in sources:
-        src = _location(source)
-        same_store = out[:2] == src[:2]
-        if same_store and (out[2] + "/").startswith(src[2] + "/") or same_store and (src[2] + "/").startswith(out[2] + "/"):
+        src = _location(spark, source) + "/"
+        if out.startswith(src) or src.startswith(out):
             raise ValueError(f"the output {output} cannot overwrite the source {source}")
 
 
-def write_table(frame: DataFrame, output: str, sources: list[str] = (), format: str = "parquet") -> str:
-    """Write to a new folder. Spark puts ``_SUCCESS`` there last, so a half result is never taken for one."""
-    refuse_overwrite(output, list(sources))
+def write_table(frame: DataFrame, output: str, sources: list[str], format: str = "parquet") -> str:
+    """Write to a new folder. Spark puts ``_SUCCESS`` there last, so a half result is never taken for one.
+
+    ``sources`` are the places that the frame was read from.
+    """
+    refuse_overwrite(frame.sparkSession, output, list(sources))
     writer = frame.write.mode("errorifexists")
     if format == "csv":
         writer.csv(output, header=True, escape='"', encoding="UTF-8")
@@ -36,14 +38,14 @@ def write_table(frame: DataFrame, output: str, sources: list[str] = (), format:
     return output
 
 
-def write_scored(scored: DataFrame, metrics: list[str], output: str, sources: list[str] = ()) -> str:
+def write_scored(scored: DataFrame, metrics: list[str], output: str, sources: list[str]) -> str:
     """All original columns, then the metric columns."""
     require_columns(scored, set(metrics), "scored table")
     original = [c for c in scored.columns if c not in metrics]
     return write_table(scored.select(*original, *metrics), output, sources)
 
 
-def write_position_summary(summary: DataFrame, output: str, sources: list[str] = ()) -> str:
+def write_position_summary(summary: DataFrame, output: str, sources: list[str]) -> str:
     """A CSV folder ending in ``.csv``; the summary has one row per position, so one file."""
     name = output.rstrip("/").rsplit("/", 1)[-1]
     if "." not in name:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from answerlab.functions import text
 from answerlab.operators.pairs import blanks_to_null
 from answerlab.operators.validate import require_columns, require_rows
 
@@ -28,7 +28,7 @@ DATASET_SPLITS = {
 
 @dataclass(frozen=True)
 class Dataset:
-    """Where a named data set lies; ``split`` selects rows when the table has such a column."""
+    """Where a named data set lies; ``split`` selects rows, and then the table must have such a column."""
 
     path: str
     format: str = "parquet"
@@ -41,16 +41,21 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataF
     A CSV with quoted line breaks cannot be split between tasks; convert large ones once.
     """
     if format == "csv":
-        return spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
+        # Columns are matched by name in every file of a folder.
+        return spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8", enforceSchema=False)
     return spark.read.format(format).load(path)
 
 
 def with_key(frame: DataFrame, key: str) -> DataFrame:
-    """The table with a key column; for one CSV file a missing key is the row number from 0.
+    """The table with a key column; for a table read by one task a missing key is the row number from 0.
 
-    Tables of many files should bring their own key, which then also gives the file order.
+    Row numbers of several tasks would depend on how files are split, so such tables must bring their key.
     """
-    return frame if key in frame.columns else frame.withColumn(key, F.monotonically_increasing_id())
+    if key in frame.columns:
+        return frame
+    if not frame.where(F.spark_partition_id() > 0).isEmpty():
+        raise ValueError(f"a table of several parts needs a column {key!r}")
+    return frame.withColumn(key, F.monotonically_increasing_id())
 
 
 def read_questions(spark: SparkSession, path: str, format: str = "parquet", key: str = "id") -> DataFrame:
@@ -72,7 +77,10 @@ def read_dataset(spark: SparkSession, name: str, catalog: dict[str, Dataset]) ->
     except Exception:  # noqa: BLE001 - Spark reports an unreadable file in several classes
         frame = read_table(spark, dataset.path, "csv")
     split = dataset.split or DATASET_SPLITS.get(wanted)
-    return frame.where(F.col("split") == split) if split and "split" in frame.columns else frame
+    if not split:
+        return frame
+    require_columns(frame, {"split"}, f"data set {name!r}")
+    return frame.where(F.col("split") == split)
 
 
 def read_responses(
@@ -82,42 +90,79 @@ def read_responses(
     table = read_table(spark, path, format)
     require_columns(table, RESPONSE_COLUMNS, "answer table")
     require_rows(table, "answer table")
+    table = with_key(table, key)
     if dict(table.dtypes)["LLM_response"] == "string":
-        responses = decode_list(F.col("LLM_response"))
+        responses = decode_list(F.col("LLM_response"), F.col(key))
     else:
         responses = F.coalesce(F.col("LLM_response"), F.array().cast("array<string>"))
-    return with_key(table.withColumn("responses", blanks_to_null(responses)).drop("LLM_response"), key)
+    return table.withColumn("responses", blanks_to_null(responses)).drop("LLM_response")
 
 
-def decode_list(serialised: Column) -> Column:
-    """A list written as a Python literal, as ``ARRAY<STRING>``; blank text gives an empty list.
+# What a backslash and the letter after it stand for in a Python literal.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\n": ""}
+# Private characters that stand for escaped backslashes and quotes while the text is cut.
+_HELD = {"\\\\": "\ue000", "\\'": "\ue001", '\\"': "\ue002"}
+_MARK = "\ue003"
+_ITEM = r"""'[^']*'|"[^"]*"|None|True|False|[+-]?(?:[0-9][0-9_]*(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"""
 
-    For importing older CSV files. Text that is no list fails the job and is quoted in the error.
-    """
 
-    @F.pandas_udf("array<string>")
-    def decode(values: pd.Series) -> pd.Series:
-        import ast
-        import math
-
-        def element(item):
-            if item is None or (isinstance(item, float) and math.isnan(item)):
-                return None
-            if isinstance(item, (list, tuple, dict, set)):
-                raise ValueError("an answer must be text")
-            return str(item)
-
-        def one(value):
-            if value is None or not value.strip():
-                return []
-            try:
-                parsed = ast.literal_eval(value)
-            except (SyntaxError, ValueError) as failure:
-                raise ValueError(f"not a valid list: {value[:80]!r}") from failure
-            if not isinstance(parsed, (list, tuple)):
-                raise ValueError(f"not a list: {value[:80]!r}")
-            return [element(item) for item in parsed]
-
-        return values.map(one)
-
-    return decode(serialised)
+def decode_list(serialised: Column, key: Column | None = None) -> Column:
+    """A list or tuple of texts written as a Python literal, as ``ARRAY<STRING>``; blank text gives an empty list.
+
+    Both kinds of quotes and all escapes but names of characters are read; ``None`` is null; numbers and truth
+    values keep their spelling. Text that is no list fails the job with an error that names ``key``.
+    """
+    held = serialised
+    for written, mark in _HELD.items():
+        held = F.replace(held, F.lit(written), F.lit(mark))
+    # What is left when every item is one letter: a bracket, letters between commas, a bracket.
+    skeleton = F.regexp_replace(F.regexp_replace(held, _ITEM, _MARK), r"\s+", "")
+    inner = F.regexp_replace(skeleton, r"^[\[(]|[\])]$", "")
+    plain = F.regexp_replace(F.concat(inner, F.lit(",")), f"{_MARK},", "")
+    closed = (skeleton.startswith("[") & skeleton.endswith("]")) | (skeleton.startswith("(") & skeleton.endswith(")"))
+    listed = closed & ((inner == "") | plain.isin("", ",")) & (skeleton != f"({_MARK})")
+    nested = closed & inner.rlike(r"[\[({]")
+    where = F.concat(F.lit("row "), key.cast("string"), F.lit(": ")) if key is not None else F.lit("")
+    shown = F.left(serialised, F.lit(80))
+
+    def fail(why: str) -> Column:
+        return F.raise_error(F.concat(where, F.lit(why + ": "), shown)).cast("array<string>")
+
+    items = F.transform(F.regexp_extract_all(held, F.lit(_ITEM), F.lit(0)), _item)
+    return (
+        F.when(text.is_blank(serialised), F.array().cast("array<string>"))
+        .when(listed, items)
+        .when(nested, fail("an answer must be text"))
+        .when(closed | skeleton.rlike(r"^[\[(]"), fail("not a valid list"))
+        .otherwise(fail("not a list"))
+    )
+
+
+def _item(written: Column) -> Column:
+    """The text of one item of a literal."""
+    quoted = written.startswith("'") | written.startswith('"')
+    content = F.substring(written, F.lit(2), F.length(written) - 2)
+    return F.when(quoted, _unescaped(content)).when(written != "None", _put_back(written))
+
+
+def _unescaped(content: Column) -> Column:
+    parts = r"(?s)\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\.|[^\\]+"
+
+    def read(part: Column) -> Column:
+        code = F.substring(part, 3, 8)
+        octal = F.conv(F.substring(part, 2, 3), 8, 16)
+        out = F.when(~part.startswith("\\"), part)
+        out = out.when(part.rlike(r"^\\[xuU]."), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+        out = out.when(part.rlike(r"^\\[0-7]"), F.decode(F.unhex(F.lpad(octal, 8, "0")), "UTF-32"))
+        for letter, meant in _ESCAPES.items():
+            out = out.when(part == "\\" + letter, F.lit(meant))
+        return out.otherwise(part)
+
+    pieces = F.transform(F.regexp_extract_all(content, F.lit(parts), F.lit(0)), read)
+    return _put_back(F.when(F.contains(content, F.lit("\\")), F.array_join(pieces, "")).otherwise(content))
+
+
+def _put_back(held: Column) -> Column:
+    for written, mark in _HELD.items():
+        held = F.replace(held, F.lit(mark), F.lit(written[1]))
+    return held

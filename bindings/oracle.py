@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from answerlab.functions.text import WHITESPACE
-from answerlab.jobs.generate import DEFAULT_TEMPLATE
-from bindings.queries import METRICS, SAMPLE, SEED, SKIP, TEMPLATE
-from bindings.views import ANSWER_SQL, LABEL_SQL
+from bindings.queries import LARGE_SAMPLE, LARGE_SKIP, METRICS, SAMPLE, SEED, SKIP, TEMPLATE
+from bindings.views import ANSWER_SQL, CATEGORISED_SQL, LABEL_SQL
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}"
@@ -68,14 +67,14 @@ def boolean_hit(label: str, answer: str) -> str:
 ANSWERS = """
 answers AS (
   SELECT conv_id AS question_id, turn - 1 AS position,
-         CASE WHEN role = 'assistant' THEN text ELSE '' END AS response
+         CASE WHEN (conv_id + turn) % 11 <> 0 THEN text ELSE ' ' END AS response
   FROM conversations WHERE turn >= 1)"""
 ANSWERED = """
 answered AS (
   SELECT conv_id AS question_id,
          max(text) FILTER (turn = 0) AS label_gt,
-         max(text) FILTER (turn = 1 AND role = 'assistant') AS clean_response,
-         arg_max(text, turn) FILTER (turn >= 1 AND role = 'assistant') AS center_response
+         max(text) FILTER (turn = 1 AND conv_id % 13 <> 5) AS clean_response,
+         arg_max(text, turn) FILTER (turn >= 1 AND conv_id % 17 <> 3) AS center_response
   FROM conversations GROUP BY conv_id)"""
 PAIRS = f"""
 pairs AS (
@@ -160,13 +159,13 @@ defaults AS (
 QUESTIONS = "questions AS (SELECT doc_id AS id, text AS question, source AS category FROM documents)"
 
 
-def sample(source: str) -> str:
+def sample(source: str, size: int = SAMPLE, skip: int = SKIP) -> str:
     return f"""
 placed AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS place FROM {source}),
 drawn AS (
   SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('{SEED}|' || id), id) AS draw
-  FROM placed WHERE place > {SKIP}),
-sampled AS (SELECT id, category, draw FROM drawn WHERE draw <= {SAMPLE})"""
+  FROM placed WHERE place > {skip}),
+sampled AS (SELECT id, category, draw FROM drawn WHERE draw <= {size})"""
 
 
 REVIEWED = """
@@ -201,14 +200,22 @@ back AS (
 sites AS (
   SELECT *, row_number() OVER (PARTITION BY question_id, position ORDER BY h, i) AS place FROM back WHERE from_end > 1),
 flags AS (
-  SELECT f.question_id, co.position, f.i, f.c, f.letter,
-         coalesce(place <= edits, false) AS dropped,
-         coalesce(place > edits AND place <= 2 * edits, false) AS swap
+  SELECT f.question_id, co.position, f.i, f.c, f.letter, coalesce(place <= edits, false) AS dropped, edits
   FROM f JOIN co USING (question_id) JOIN n USING (question_id)
   LEFT JOIN sites ON sites.question_id = f.question_id AND sites.position = co.position AND sites.i = f.i),
+staying AS (
+  SELECT question_id, position, i, edits,
+         i - row_number() OVER (PARTITION BY question_id, position ORDER BY i) AS run
+  FROM flags WHERE letter AND NOT dropped),
+paired AS (
+  SELECT *, (row_number() OVER w - 1) % 2 = 0 AND lead(i) OVER w IS NOT NULL AS leads
+  FROM staying WINDOW w AS (PARTITION BY question_id, position, run ORDER BY i)),
+chosen AS (
+  SELECT p.question_id, p.position, p.i,
+         row_number() OVER (PARTITION BY p.question_id, p.position ORDER BY h, p.i) <= p.edits AS leads
+  FROM paired p JOIN hashed USING (question_id, position, i) WHERE p.leads),
 firsts AS (
-  SELECT *, swap AND coalesce(lead(letter AND NOT dropped AND NOT swap) OVER w, false) AS leads
-  FROM flags WINDOW w AS (PARTITION BY question_id, position ORDER BY i)),
+  SELECT flags.*, coalesce(chosen.leads, false) AS leads FROM flags LEFT JOIN chosen USING (question_id, position, i)),
 moved AS (
   SELECT *, CASE WHEN leads THEN i + 1 WHEN coalesce(lag(leads) OVER w, false) THEN i - 1 ELSE i END AS place
   FROM firsts WINDOW w AS (PARTITION BY question_id, position ORDER BY i)),
@@ -220,7 +227,7 @@ UNION ALL SELECT question_id, 0, text FROM texts)"""
 SYNONYMS = rf"""
 WITH {TEXTS},
 lexicon AS (
-  SELECT DISTINCT word, [reverse(word), word || 'ing'] AS synonyms
+  SELECT DISTINCT word, list_sort([reverse(word), word || 'ing']) AS synonyms
   FROM (SELECT unnest({words("lower(text)")}) AS word FROM benchmark) WHERE length(word) >= 4),
 cand AS (SELECT DISTINCT question_id, unnest({words("text")}) AS token FROM texts),
 drawn AS (
@@ -260,28 +267,58 @@ def judged(reference: str, candidate: str) -> str:
     return f"{semantic} * (1 - greatest({two}, exp(1.0::DOUBLE)) / ({one} + {two} + exp(1.0::DOUBLE)))"
 
 
-GENERATED = f"""
+GENERATION = f"""
 WITH texts AS (SELECT item_id AS question_id, text FROM benchmark), {TYPOS},
+lab AS (
+  SELECT item_id AS question_id,
+         CASE WHEN item_id % 7 = 3 THEN NULL WHEN item_id % 2 = 0 THEN 'far_future' ELSE 'factual' END AS label_gt
+  FROM benchmark),
+prompts AS (
+  SELECT question_id, position, replace({quoted(TEMPLATE)}, '[DOCUMENT]', text_edited) AS prompt FROM variants),
 asked AS (
-  SELECT question_id, position, 'True: ' || md5(replace({quoted(DEFAULT_TEMPLATE)}, '[DOCUMENT]', text_edited)) AS response
-  FROM variants),
-e AS (SELECT question_id, position, {encoded("response")} AS v FROM asked), {MEASURED},
-med AS (SELECT question_id, median({cosine("v", encoded("'factual'"))}) AS median_cosine FROM e GROUP BY question_id),
+  SELECT question_id, position, CASE WHEN length(prompt) % 5 <> 0 THEN 'True: ' || md5(prompt) END AS response FROM prompts),
+e AS (SELECT question_id, position, {encoded("response")} AS v FROM asked WHERE response IS NOT NULL), {MEASURED},
+clean_sim AS (SELECT question_id, cos AS clean_cos FROM measured WHERE position = 0),
+med AS (
+  SELECT question_id, median({cosine("v", encoded("label_gt"))}) AS median_cosine
+  FROM e JOIN lab USING (question_id) WHERE label_gt IS NOT NULL GROUP BY question_id),
 t AS (
-  SELECT question_id, text AS sentence, 'factual' AS label_gt, clean.response AS clean_response,
+  SELECT texts.question_id, text AS sentence, label_gt, clean.response AS clean_response,
          center.response AS center_response, median_cosine, center_position, center_similarity_mean,
-         clean_to_center_similarity, cluster_dispersion, answers
-  FROM texts JOIN metrics USING (question_id) JOIN med USING (question_id)
-  JOIN asked clean USING (question_id) JOIN asked center USING (question_id)
-  WHERE clean.position = 0 AND center.position = center_position)
+         CASE WHEN answers IS NULL THEN 0.0 ELSE clean_cos END AS clean_to_center_similarity,
+         cluster_dispersion, coalesce(answers, 0) AS answers
+  FROM texts JOIN lab USING (question_id) LEFT JOIN metrics USING (question_id) LEFT JOIN med USING (question_id)
+  LEFT JOIN clean_sim USING (question_id)
+  LEFT JOIN asked clean ON clean.question_id = texts.question_id AND clean.position = 0
+  LEFT JOIN asked center ON center.question_id = texts.question_id AND center.position = center_position)"""
+
+
+def judged_or_default(reference: str, candidate: str) -> str:
+    missing = f"{reference} IS NULL OR {candidate} IS NULL"
+    return f"round(CASE WHEN answers = 0 THEN 1.0 WHEN {missing} THEN NULL ELSE {judged(reference, candidate)} END, 6)"
+
+
+GENERATED = f"""{GENERATION}
 SELECT question_id, sentence, label_gt, clean_response, center_response, center_position, answers,
-  round(median_cosine, 6) AS median_cosine, round(center_similarity_mean, 6) AS center_similarity_mean,
-  round(clean_to_center_similarity, 6) AS clean_to_center_similarity, round(cluster_dispersion, 6) AS cluster_dispersion,
-  round({judged("label_gt", "clean_response")}, 6) AS hallucination_score_clean_vs_label,
-  round({judged("label_gt", "center_response")}, 6) AS hallucination_score_center_vs_label,
-  round({judged("clean_response", "center_response")}, 6) AS hallucination_score_center_vs_clean
+  round(median_cosine, 6) AS median_cosine, round(coalesce(center_similarity_mean, 0.0), 6) AS center_similarity_mean,
+  round(clean_to_center_similarity, 6) AS clean_to_center_similarity,
+  round(coalesce(cluster_dispersion, 0.0), 6) AS cluster_dispersion,
+  {judged_or_default("label_gt", "clean_response")} AS hallucination_score_clean_vs_label,
+  {judged_or_default("label_gt", "center_response")} AS hallucination_score_center_vs_label,
+  {judged_or_default("clean_response", "center_response")} AS hallucination_score_center_vs_clean
 FROM t
 """
+GENERATED_AND_ANALYZED = f"""{GENERATION},
+answered AS (SELECT question_id, label_gt, clean_response, center_response FROM t WHERE label_gt IS NOT NULL),
+{PAIRS}, {bleu("pairs", "question_id, comparison")}
+SELECT question_id, 19 AS responses,
+  round(max(bleu) FILTER (comparison = 'clean_vs_label'), 6) AS bleu_clean_vs_label,
+  round(max(bleu) FILTER (comparison = 'center_vs_label'), 6) AS bleu_center_vs_label,
+  round(max(bleu) FILTER (comparison = 'center_vs_clean'), 6) AS bleu_center_vs_clean,
+  any_value({boolean_hit("label_gt", "clean_response")}) AS accuracy_clean_vs_label,
+  any_value({boolean_hit("label_gt", "center_response")}) AS accuracy_center_vs_label
+FROM answered LEFT JOIN bleu USING (question_id) GROUP BY question_id
+"""
 LISTED = f"""
 docs AS (
   SELECT doc_id AS question_id, string_split(text, chr(10)) AS r,
@@ -311,10 +348,10 @@ UNION ALL SELECT 'accuracy_clean_vs_label', round(avg(quality), 6), round(stddev
 WITH {LINES} SELECT doc_id, CASE WHEN {strip("r[1]")} <> '' THEN r[1] END AS first_response FROM lines""",
     "blank_labels": """
 WITH bad AS (SELECT d.doc_id, quality::VARCHAR AS label_gt FROM documents d LEFT JOIN labels USING (doc_id) WHERE quality IS NULL)
-SELECT doc_id, label_gt, (SELECT count(*) FROM bad) AS total_rows FROM bad ORDER BY doc_id LIMIT 10""",
+SELECT doc_id, label_gt, (SELECT count(*) FROM bad) AS total_rows FROM bad""",
     "invalid_categories": f"""
 WITH {OPTIONS}, bad AS (SELECT event_id, label FROM options WHERE {category("label")} NOT IN {FOUR})
-SELECT event_id, label, (SELECT count(*) FROM bad) AS total_rows FROM bad ORDER BY event_id LIMIT 10""",
+SELECT event_id, label, (SELECT count(*) FROM bad) AS total_rows FROM bad""",
     "bad_embeddings": """
 SELECT vec_id AS position, CASE vec_id % 50 WHEN 7 THEN 'invalid norm' WHEN 21 THEN 'wrong shape' ELSE 'not finite' END AS fault
 FROM embeddings WHERE vec_id % 50 IN (7, 13, 21, 34)""",
@@ -324,7 +361,7 @@ bad AS (
   SELECT question_id, concat_ws(', ', CASE WHEN {blank("clean_response")} THEN 'LLM_response' END,
     CASE WHEN {blank("center_response")} THEN 'center_response' END) AS empty_columns FROM answered)
 SELECT question_id, empty_columns, (SELECT count(*) FROM bad WHERE empty_columns <> '') AS total_rows
-FROM bad WHERE empty_columns <> '' ORDER BY question_id LIMIT 10""",
+FROM bad WHERE empty_columns <> ''""",
     "comparison_pairs": f"WITH {ANSWERED}, {PAIRS} SELECT * FROM pairs",
     "scored_rows": f"""
 WITH {ANSWERED}, {PAIRS}, {bleu("pairs", "question_id, comparison")},
@@ -405,14 +442,20 @@ FROM grid LEFT JOIN scored USING (position) GROUP BY position""",
     "analyzed_rows": f"""
 WITH {LISTED},
 answered AS (SELECT *, CASE WHEN {strip("r[1]")} <> '' THEN r[1] END AS clean_response FROM listed),
-{PAIRS}, {bleu("pairs", "question_id, comparison")}
+{PAIRS}, {bleu("pairs", "question_id, comparison")},
+scores AS (
+  SELECT question_id, comparison, bleu, {judged("reference", "candidate")} AS h
+  FROM bleu JOIN pairs USING (question_id, comparison))
 SELECT question_id,
   round(max(bleu) FILTER (comparison = 'clean_vs_label'), 6) AS bleu_clean_vs_label,
   round(max(bleu) FILTER (comparison = 'center_vs_label'), 6) AS bleu_center_vs_label,
   round(max(bleu) FILTER (comparison = 'center_vs_clean'), 6) AS bleu_center_vs_clean,
+  round(max(h) FILTER (comparison = 'clean_vs_label'), 6) AS hallucination_score_clean_vs_label,
+  round(max(h) FILTER (comparison = 'center_vs_label'), 6) AS hallucination_score_center_vs_label,
+  round(max(h) FILTER (comparison = 'center_vs_clean'), 6) AS hallucination_score_center_vs_clean,
   any_value({boolean_hit("label_gt", "clean_response")}) AS accuracy_clean_vs_label,
   any_value({boolean_hit("label_gt", "center_response")}) AS accuracy_center_vs_label
-FROM answered LEFT JOIN bleu USING (question_id) GROUP BY question_id""",
+FROM answered LEFT JOIN scores USING (question_id) GROUP BY question_id""",
     "analyzed_positions": f"""
 WITH {LISTED},
 placed AS (
@@ -422,13 +465,40 @@ rows AS (
   SELECT question_id, coalesce(position, -1) AS position, label_gt AS reference, response AS candidate
   FROM placed WHERE NOT {blank("response")}),
 {bleu("rows", "question_id, position")},
-hits AS (SELECT question_id, position, {boolean_hit("reference", "candidate")} AS accuracy FROM rows),
+hits AS (
+  SELECT question_id, position, {boolean_hit("reference", "candidate")} AS accuracy,
+         {judged("reference", "candidate")} AS h FROM rows),
 grid AS (SELECT DISTINCT coalesce(position, -1) AS position FROM placed)
 SELECT nullif(position, -1) AS position,
   CASE position WHEN 0 THEN 'C' WHEN -1 THEN 'Center' ELSE 'P' || position END AS response_position,
-  round(avg(bleu), 6) AS mean_bleu, round(avg(accuracy), 6) AS mean_accuracy
+  round(avg(bleu), 6) AS mean_bleu, round(avg(h), 6) AS mean_hallucination_score, round(avg(accuracy), 6) AS mean_accuracy
 FROM grid LEFT JOIN (SELECT * FROM bleu JOIN hits USING (question_id, position)) USING (position) GROUP BY position""",
     "generated_answers": GENERATED,
+    "generated_and_analyzed": GENERATED_AND_ANALYZED,
+    "gapped_positions": f"""
+WITH questions AS (
+  SELECT conv_id AS question_id, max(text) FILTER (turn = 0) AS label_gt, arg_max({CATEGORISED_SQL}, turn) AS center_response
+  FROM conversations GROUP BY conv_id),
+placed AS (
+  SELECT conv_id AS question_id, turn - 1 AS position, {CATEGORISED_SQL} AS response
+  FROM conversations WHERE turn >= 1 AND turn <> 2 AND (conv_id + turn) % 3 <> 0
+  UNION ALL SELECT question_id, 1000000, center_response FROM questions),
+rows AS (
+  SELECT question_id, position, label_gt AS reference, response AS candidate,
+         CASE WHEN question_id % 2 = 0 THEN '4. Nonsense' ELSE ' (1) obscure' END AS category
+  FROM placed JOIN questions USING (question_id) WHERE NOT {blank("response")}),
+{bleu("rows", "question_id, position")},
+hits AS (SELECT question_id, position, {category_hit("category", "candidate")} AS accuracy FROM rows),
+grid AS (
+  SELECT unnest(range(0, (SELECT max(position) + 1 FROM placed WHERE position < 1000000))) AS position
+  UNION ALL SELECT 1000000)
+SELECT nullif(position, 1000000) AS position,
+  CASE position WHEN 0 THEN 'C' WHEN 1000000 THEN 'Center' ELSE 'P' || position END AS response_position,
+  round(avg(bleu), 6) AS mean_bleu, round(avg(accuracy), 6) AS mean_accuracy
+FROM grid LEFT JOIN (SELECT * FROM bleu JOIN hits USING (question_id, position)) USING (position) GROUP BY position""",
+    "stratified_sample_large": f"""
+WITH evs AS (SELECT event_id AS id, event_type AS category FROM events), {sample("evs", LARGE_SAMPLE, LARGE_SKIP)}
+SELECT id, category, draw FROM sampled""",
     "boxplot_stats": f"""
 WITH {NAMES},
 box AS (

@@ -19,12 +19,14 @@ from answerlab.operators import (
     validate,
 )
 from answerlab.operators.bleu import with_bleu
+from answerlab.operators.hallucination import HallucinationModels
 from answerlab.plans.skew import attach, measure_groups, salt
 from answerlab.sources.tables import decode_list
 from bindings import standins, views
 
 METRICS = ["click", "view", "purchase", "signup", "error", "refund"]
 SAMPLE, SKIP, SEED = 20, 10, 7
+LARGE_SAMPLE, LARGE_SKIP = 1200, 1100
 
 
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
@@ -56,8 +58,8 @@ def src_responses(spark, sf):
 
 
 def decode_lists(spark, sf):
-    lists = views.line_lists(spark, sf).withColumn("serialised", F.to_json("responses"))
-    decoded = lists.select("doc_id", pairs.blanks_to_null(decode_list(F.col("serialised"))).alias("r"))
+    lists = views.line_lists(spark, sf).withColumn("serialised", views.as_literal(F.col("responses")))
+    decoded = lists.select("doc_id", pairs.blanks_to_null(decode_list(F.col("serialised"), F.col("doc_id"))).alias("r"))
     return long_ints(
         decoded.select(
             "doc_id",
@@ -267,20 +269,30 @@ def _token_overlap(reference, candidate):
 def position_metrics(spark, sf):
     scorers = analysis.Scorers({}, {"token_overlap": _token_overlap})
     means = analysis.analyze_long_positions(
-        views.answers(spark, sf), views.answered_questions(spark, sf), scorers, text.boolean_accuracy
+        views.answers(spark, sf), views.answered_questions(spark, sf), scorers, true_false=True
     )
     return finished(means)
 
 
+def _judges():
+    return analysis.Scorers({}, {}, HallucinationModels(standins.encoder(), standins.logits()))
+
+
 def analyzed_rows(spark, sf):
     """The row job on answer lists."""
-    scored, names = analysis.analyze_rows(views.line_responses(spark, sf), true_false=True)
+    scored, names = analysis.analyze_rows(views.line_responses(spark, sf), _judges(), true_false=True)
     return finished(scored.select("question_id", *names))
 
 
 def analyzed_positions(spark, sf):
     """The position job on answer lists."""
-    return finished(analysis.analyze_positions(views.line_responses(spark, sf), true_false=True))
+    return finished(analysis.analyze_positions(views.line_responses(spark, sf), _judges(), true_false=True))
+
+
+def gapped_positions(spark, sf):
+    """The position job on long answers with missing positions, numbered labels and category accuracy."""
+    answers, questions = views.categorised_answers(spark, sf)
+    return finished(analysis.analyze_long_positions(answers, questions, dataset_name="mbzuai"))
 
 
 def boxplot_stats(spark, sf):
@@ -293,7 +305,7 @@ def category_counts(spark, sf):
 
 def review_summary(spark, sf):
     reviewed = review.with_decisions(_sample(spark, sf), _decisions(spark, sf))
-    return review.review_summary(views.questions(spark, sf), reviewed)
+    return review.review_summary(reviewed, review_filtered(spark, sf))
 
 
 def accuracy_summary(spark, sf):
@@ -317,6 +329,11 @@ def stratified_sample_events(spark, sf):
     return long_ints(sampling.stratified_sample(events, SAMPLE, SKIP, SEED))
 
 
+def stratified_sample_large(spark, sf):
+    events = views.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("category"))
+    return long_ints(sampling.stratified_sample(events, LARGE_SAMPLE, LARGE_SKIP, SEED))
+
+
 def sample_shortfall(spark, sf):
     return long_ints(sampling.sample_shortfall(views.questions(spark, sf), 45, SKIP))
 
@@ -506,16 +523,31 @@ def batch_pair_scores(spark, sf):
     return finished(scored.drop("reference", "candidate"))
 
 
-def generated_answers(spark, sf):
-    """The whole generation job over the benchmark questions, with stand-in models."""
-    items = views.table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.lit("factual").alias("category")
+def _items(spark, sf):
+    """Benchmark items as questions; some have no label."""
+    label = F.when(F.col("item_id") % 7 == 3, None).when(F.col("item_id") % 2 == 0, "far_future").otherwise("factual")
+    return views.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("question_id"), F.col("text").alias("question"), label.alias("category")
     )
-    models = gen.Models(standins.answers(), standins.encoder(), standins.logits())
-    _, scored = gen.generate(items, models)
+
+
+def generated_answers(spark, sf):
+    """The whole generation job over the benchmark questions, with stand-in models of which one fails at times."""
+    models = gen.Models(standins.answers(failing=5), standins.encoder(), standins.logits())
+    _, scored = gen.generate(_items(spark, sf), models, TEMPLATE)
     return finished(scored)
 
 
+def generated_and_analyzed(spark, sf):
+    """Generation and then the row job on what it made."""
+    models = gen.Models(standins.answers(failing=5), standins.encoder(), standins.logits())
+    items = _items(spark, sf).where("category is not null")
+    table = gen.answer_table(*gen.generate(items, models, TEMPLATE))
+    table = table.select("question_id", "responses", "center_response", "label_gt")
+    scored, names = analysis.analyze_rows(table, true_false=True)
+    return finished(scored.select("question_id", F.size("responses").alias("responses"), *names))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -543,12 +575,14 @@ QUERIES = {
         position_metrics,
         analyzed_rows,
         analyzed_positions,
+        gapped_positions,
         boxplot_stats,
         category_counts,
         review_summary,
         accuracy_summary,
         stratified_sample,
         stratified_sample_events,
+        stratified_sample_large,
         sample_shortfall,
         token_counts,
         normalized_categories,
@@ -571,5 +605,6 @@ QUERIES = {
         batch_embed,
         batch_pair_scores,
         generated_answers,
+        generated_and_analyzed,
     )
 }

@@ -4,11 +4,18 @@ Each function returns a factory made inside it, so that it travels to the worker
 """
 
 
-def answers():
+def answers(failing: int = 0):
+    """Digests of the prompts; with ``failing`` the prompts whose length it divides fail."""
+
     def make():
         import hashlib
 
-        return lambda prompts: ["True: " + hashlib.md5(prompt.encode()).hexdigest() for prompt in prompts]
+        def answer(prompts):
+            if failing and any(len(prompt) % failing == 0 for prompt in prompts):
+                raise RuntimeError("no answer")
+            return ["True: " + hashlib.md5(prompt.encode()).hexdigest() for prompt in prompts]
+
+        return answer
 
     return make
 

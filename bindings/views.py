@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from answerlab.functions import text, vectors as vec
 
@@ -12,12 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """For work that is heavy per row: a table in one file is read by one task, so deal out its rows.
-
-    A table in several files comes back as it is.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if len(frame.inputFiles()) == 1 else frame
+    """For work that is heavy per row: rows are few bytes, so deal them out to all cores."""
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,35 +33,68 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations: turns after the first are answers; those of others than the assistant are blank."""
+    """conversations: the turns after the first are answers, a few of them blank."""
     turns = table(spark, sf_dir, "conversations").where("turn >= 1")
     return spread(turns).select(
         F.col("conv_id").alias("question_id"),
         (F.col("turn") - 1).cast("int").alias("position"),
-        F.when(F.col("role") == "assistant", F.col("text")).otherwise("").alias("response"),
+        F.when((F.col("conv_id") + F.col("turn")) % 11 != 0, F.col("text")).otherwise(" ").alias("response"),
     )
 
 
 def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations: label is turn 0, clean answer turn 1, centre answer the last one of the assistant."""
-    assistant = (F.col("role") == "assistant") & (F.col("turn") >= 1)
+    """conversations: label is turn 0, clean answer turn 1, centre answer the last turn; a few of both are missing."""
+    answer = F.col("turn") >= 1
     return (
         table(spark, sf_dir, "conversations")
         .groupBy(F.col("conv_id").alias("question_id"))
         .agg(
             F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("label_gt"),
-            F.max(F.when(assistant & (F.col("turn") == 1), F.col("text"))).alias("clean_response"),
-            F.max_by("text", F.when(assistant, F.col("turn"))).alias("center_response"),
+            F.max(F.when((F.col("turn") == 1) & (F.col("conv_id") % 13 != 5), F.col("text"))).alias("clean_response"),
+            F.max_by("text", F.when(answer & (F.col("conv_id") % 17 != 3), F.col("turn"))).alias("center_response"),
         )
     )
 
 
+CATEGORISED_SQL = """
+CASE turn % 3 WHEN 0 THEN 'nonsense: ' || text WHEN 1 THEN '2) OBSCURE ' || text ELSE text END
+"""
+
+
+def categorised_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """conversations: answers with gaps, at position 1 for all, and questions with numbered categories."""
+    turns = table(spark, sf_dir, "conversations")
+    rows = turns.where("turn >= 1 and turn <> 2 and (conv_id + turn) % 3 <> 0").select(
+        F.col("conv_id").alias("question_id"),
+        (F.col("turn") - 1).cast("int").alias("position"),
+        F.expr(CATEGORISED_SQL).alias("response"),
+    )
+    questions = turns.groupBy(F.col("conv_id").alias("question_id")).agg(
+        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("label_gt"),
+        F.max_by(F.expr(CATEGORISED_SQL), "turn").alias("center_response"),
+    )
+    category = F.when(F.col("question_id") % 2 == 0, "4. Nonsense").otherwise(" (1) obscure")
+    return spread(rows), questions.withColumn("category", category)
+
+
 def line_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: the lines of a text as an answer list."""
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return documents.select("doc_id", F.split("text", "\n", -1).alias("responses"))
 
 
+def as_literal(values: Column) -> Column:
+    """An array of texts as a Python literal: quotes in turn, backslashes and tabs escaped, blanks as None."""
+
+    def written(value: Column, place: Column) -> Column:
+        kept = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t"))
+        single = F.concat(F.lit("'"), F.replace(kept, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        double = F.concat(F.lit('"'), F.replace(F.replace(kept, F.lit('"'), F.lit('\\"')), F.lit("é"), F.lit("\\xe9")), F.lit('"'))
+        return F.when(value == "", "None").when(place % 2 == 0, single).otherwise(double)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(values, written), ", "), F.lit("]"))
+
+
 def line_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: lines as answers, the first line with text as label and the last one as centre."""
     with_text = F.filter("responses", lambda line: ~text.is_blank(line))
@@ -96,13 +125,13 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWER_SQL = """
 CASE WHEN event_id % 8 = 6 THEN '  ' ELSE
 CASE event_id % 8
-  WHEN 0 THEN '1. Did_Not_Happen: ' || event_type
-  WHEN 1 THEN '  **2. FAR_FUTURE** because ' || event_type
-  WHEN 2 THEN '3) nonsense. ' || props
-  WHEN 3 THEN '"obscure" unknown ' || event_type
-  WHEN 4 THEN 'I think obscure, ' || event_type
-  WHEN 5 THEN 'obscurely worded ' || event_type
-  ELSE 'far_future' END ||
+  WHEN 0 THEN '(1) Did_not_Happen, says ' || event_type
+  WHEN 1 THEN ' *7: Far_Future* / ' || event_type
+  WHEN 2 THEN 'nonsense; see ' || props
+  WHEN 3 THEN '`NONSENSE` of kind ' || event_type
+  WHEN 4 THEN event_type || ' is obscure'
+  WHEN 5 THEN 'nonsensegroup ' || event_type
+  ELSE 'obscure' END ||
 CASE user_id % 5
   WHEN 0 THEN ' TRUE.'
   WHEN 1 THEN ' (false)'

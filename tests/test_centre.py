@@ -30,12 +30,10 @@ def frame_of(spark, groups):
     return spark.createDataFrame(rows, "question_id bigint, position int, response string, v array<double>")
 
 
-@pytest.mark.parametrize("path", ["broadcast", "gathered", "plain join", "salted join"])
+@pytest.mark.parametrize("path", ["broadcast", "plain join", "salted join"])
 def test_centre_on_every_join_path(spark, groups, monkeypatch, path):
     if path != "broadcast":
         monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
-    if path.endswith("join"):
-        monkeypatch.setattr(centre, "GATHERED_ANSWERS", 0)
     frame = frame_of(spark, groups)
     sizes = skew.measure_groups(frame, "question_id", 20 if path == "salted join" else 10**6)
     measured = centre.with_centre(frame, sizes=sizes)
@@ -51,6 +49,17 @@ def test_centre_on_every_join_path(spark, groups, monkeypatch, path):
         assert row.answers == len(distances)
 
 
+def test_answers_without_a_vector_do_not_count(spark, groups):
+    frame = frame_of(spark, {1: groups[1]})
+    gaps = frame.unionByName(frame.where("position < 3").selectExpr("question_id", "-position - 1 AS position", "response", "cast(null as array<double>) AS v"))
+    row = centre.centre_metrics(centre.with_centre(gaps), "response").first()
+    kept, cosines, _ = expected_centre(groups[1])
+    assert row.answers == len(cosines) and row.center_similarity_mean == pytest.approx(cosines.mean())
+    assert row.clean_to_center_similarity is None
+    nothing = centre.centre_metrics(centre.with_centre(gaps.where("v is null")), "response").first()
+    assert (nothing.answers, nothing.center_response, nothing.center_position) == (0, None, None)
+
+
 def test_a_tie_goes_to_the_lowest_position(spark):
     frame = frame_of(spark, {1: np.array([[1.0, 0.0]] * 3)})
     row = centre.centre_metrics(centre.with_centre(frame)).first()

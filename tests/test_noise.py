@@ -56,6 +56,28 @@ def test_variants_differ_from_each_other(questions):
     assert len({r.text_edited for r in rows}) > 15
 
 
+@pytest.mark.parametrize("rate", [0.09, 0.3, 0.5])
+def test_as_many_swaps_as_drops(spark, rate):
+    """With letters that are all different, letters out of order tell the swaps."""
+    value = "".join(chr(0x4E00 + i) for i in range(200))
+    rows = noise.typo_variants(spark.createDataFrame([(1, value)], "question_id int, text string"), rate=rate, variants=6).collect()
+    edits = int(rate * 200)
+    for row in rows[1:]:
+        out = row.text_edited
+        swaps = sum(a > b for a, b in zip(out, out[1:]))
+        held = [value.index(c) for c in out]
+        runs = [i for i in range(len(held)) if i == 0 or sorted(held)[i] != sorted(held)[i - 1] + 1]
+        possible = sum((b - a) // 2 for a, b in zip(runs, [*runs[1:], len(held)]))
+        assert len(out) == 200 - edits and swaps == min(edits, possible)
+
+
+def test_keys_do_not_depend_on_the_batch(spark):
+    schema = "question_id bigint, text string"
+    alone = noise.typo_variants(spark.createDataFrame([(1, TEXTS[5])], schema), variants=3).collect()
+    mixed = spark.createDataFrame([(1, TEXTS[5]), (None, "another text")], schema).coalesce(1)
+    assert sorted(alone) == sorted(noise.typo_variants(mixed, variants=3).where("question_id = 1").collect())
+
+
 def test_rate_is_checked(questions):
     with pytest.raises(ValueError):
         noise.typo_variants(questions, rate=1.5)
@@ -66,7 +88,7 @@ def test_synonym_variants(spark):
         [(1, "Running dogs run; the runner will run and jump."), (2, "no verbs here")], "question_id int, text string"
     )
     lexicon = spark.createDataFrame(
-        [("run", "VERB", ["sprint", "dash"]), ("jump", "VERB", ["leap"]), ("dogs", "NOUN", ["hounds"]), ("will", "VERB", [])],
+        [("run", "VERB", ["sprint", "dash"]), ("run", "VERB", ["dash"]), ("jump", "VERB", ["leap"]), ("dogs", "NOUN", ["hounds"]), ("will", "VERB", [])],
         "word string, pos string, synonyms array<string>",
     )
     rows = noise.synonym_variants(questions, lexicon, sample_size=2, variants=6).collect()

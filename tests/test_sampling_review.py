@@ -1,10 +1,11 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from answerlab.jobs import review as job
 from answerlab.operators import review, sampling
-from answerlab.plans import skew
+from answerlab.plans import ranks, skew
 
 
 @pytest.fixture(scope="module")
@@ -40,9 +41,24 @@ def test_sample_depends_on_seed_only(questions):
     assert ids[0] == ids[1] != ids[2]
 
 
-def test_limited_ranking_cuts_rows_before_the_shuffle(questions):
-    plan = sampling.stratified_sample(questions, 5, 2)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 2
+def test_large_samples_and_skips(questions):
+    rows = [(r.id, r.category) for r in questions.collect()]
+    for size, skip in ((150, 80), (1, 599), (1000, 0), (3, 95)):
+        got = sampling.stratified_sample(questions, size, skip, seed=3).collect()
+        assert {r.id for r in got} == expected_sample(rows, size, skip, 3)
+        for category in {r.category for r in got}:
+            drawn = sorted((r for r in got if r.category == category), key=lambda r: r.draw)
+            assert [r.draw for r in drawn] == list(range(1, len(drawn) + 1))
+            keys = [hashlib.md5(f"3|{r.id}".encode()).hexdigest() for r in drawn]
+            assert keys == sorted(keys)
+
+
+def test_ranks_of_texts(spark):
+    frame = spark.createDataFrame([("a", f"k{i:03d}") for i in range(300)] + [(None, "z")], "g string, x string")
+    found = ranks.values_at_ranks(frame, "g", "x", F.array(F.lit(0), F.lit(250), F.col("total") - 1, F.lit(9999)))
+    assert {(r.g, r["rank"], r.x, r.total) for r in found.collect()} == {
+        ("a", 0, "k000", 300), ("a", 250, "k250", 300), ("a", 299, "k299", 300), (None, 0, "z", 1)
+    }
 
 
 def test_sample_checks(questions):
@@ -62,7 +78,7 @@ def test_review_job(spark, questions, tmp_path):
     ids = sorted(r.id for r in sample.collect())
     assert len(ids) == 5
     decisions = spark.createDataFrame([(ids[0], "remove"), (ids[1], "keep")], "id bigint, decision string")
-    summary = job.finish(questions, sample, decisions, str(tmp_path / "out")).first()
+    summary = job.finish(questions, sample, decisions, str(tmp_path / "out"), []).first()
     assert (summary.reviewed, summary.removed, summary.pending, summary.remaining) == (5, 1, 3, 599)
     saved = {r.id: r.decision for r in spark.read.parquet(str(tmp_path / "out/decisions")).collect()}
     assert saved == {ids[0]: "remove", ids[1]: "keep", **{i: "pending" for i in ids[2:]}}

@@ -31,13 +31,17 @@ def test_responses_from_csv_and_parquet(spark, tmp_path):
         [(i, v, "c", "N/A") for i, v in enumerate(values) if "float" not in v],
         "id int, LLM_response string, center_response string, label_gt string",
     )
-    out = sinks.write_table(frame, str(tmp_path / "in"), format="csv")
+    out = sinks.write_table(frame.coalesce(1), str(tmp_path / "in"), [], format="csv")
+    many = sinks.write_table(frame.repartition(3, "id"), str(tmp_path / "many"), [], format="csv")
+    with pytest.raises(ValueError, match="needs a column 'question_id'"):
+        tables.read_responses(spark, many, "csv")
+    assert tables.read_responses(spark, many, "csv", key="id").count() == 4
     read = tables.read_responses(spark, out, "csv")
     assert "question_id" in read.columns
     got = {r.id: (r.responses, r.label_gt) for r in read.collect()}
     assert got == {"0": (["a", None, None, " b "], "N/A"), "1": ([], "N/A"), "2": (["x"], "N/A"), "4": ([None, "é"], "N/A")}
     nested = read.withColumnRenamed("responses", "LLM_response")
-    sinks.write_table(nested, str(tmp_path / "pq"))
+    sinks.write_table(nested, str(tmp_path / "pq"), [])
     again = tables.read_responses(spark, str(tmp_path / "pq"))
     assert {r.id: r.responses for r in again.collect()} == {k: v[0] for k, v in got.items()}
 
@@ -45,8 +49,30 @@ def test_responses_from_csv_and_parquet(spark, tmp_path):
 @pytest.mark.parametrize("value, message", [("[1, ", "not a valid list"), ("'text'", "not a list"), ("[['x']]", "must be text")])
 def test_bad_lists_name_the_value(spark, value, message):
     frame = spark.createDataFrame([(value,)], "x string")
-    with pytest.raises(Exception, match=message):
-        frame.select(tables.decode_list(F.col("x"))).collect()
+    with pytest.raises(Exception, match=f"row 7: .*{message}"):
+        frame.select(tables.decode_list(F.col("x"), F.lit(7))).collect()
+
+
+def test_python_literals(spark):
+    import ast
+
+    literals = [
+        "['it\\'s', \"a \\\"b\\\" 'c'\", '']",
+        "['back\\\\', '\\\\n', '\\n\\t\\r', \"\\x41\\u00e9\\U0001f600\\101\\0\"]",
+        "( 'a' , None,\n \"[x, 'y']\" , )",
+        "[]",
+        "()",
+        "['a, b', '), (', '#']",
+        "[ None ]",
+        "['" + "long \\n \\' text " * 3000 + "']",
+        repr([f"item {i}" for i in range(2000)]),
+    ]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(literals)], "i int, x string")
+    rows = frame.select("i", tables.decode_list(F.col("x")).alias("r")).collect()
+    assert {r.i: r.r for r in rows} == {i: list(ast.literal_eval(v)) for i, v in enumerate(literals)}
+    for bad in ("['a' 'b']", "['a',,]", "[,]", "['a'", "('x')", "a", "['a']]", "[b'x']", "[x]", "{'a': 1}"):
+        with pytest.raises(Exception, match="list"):
+            spark.createDataFrame([(bad,)], "x string").select(tables.decode_list(F.col("x"))).collect()
 
 
 def test_named_data_sets(spark, tmp_path):
@@ -58,7 +84,10 @@ def test_named_data_sets(spark, tmp_path):
         "imdb": tables.Dataset(str(tmp_path / "plain.csv")),
     }
     assert [r.question for r in tables.read_dataset(spark, " OpenAI/GSM8K ", catalog).collect()] == ["q1"]
-    assert tables.read_dataset(spark, "imdb", catalog).first().category == "c"
+    with pytest.raises(ValueError, match="missing required column.*split"):
+        tables.read_dataset(spark, "imdb", catalog)
+    unsplit = {"own": tables.Dataset(str(tmp_path / "plain.csv"))}
+    assert tables.read_dataset(spark, "own", unsplit).first().category == "c"
     with pytest.raises(ValueError, match="unknown data set 'other'"):
         tables.read_dataset(spark, "other", catalog)
 
@@ -67,7 +96,7 @@ def test_results_never_overwrite(spark, tmp_path):
     frame = spark.createDataFrame([(1, 0.5, "keep")], "id int, bleu double, extra string")
     source, out = str(tmp_path / "source"), str(tmp_path / "out")
     frame.write.parquet(source)
-    for output in (source, f"file:{source}/", source + "/part", str(tmp_path)):
+    for output in (source, f"file:{source}/", source + "/part", str(tmp_path), f"file://{source}"):
         with pytest.raises(ValueError, match="cannot overwrite"):
             sinks.write_scored(frame, ["bleu"], output, [source])
     sinks.write_scored(frame, ["bleu"], out, [source])
@@ -79,12 +108,12 @@ def test_results_never_overwrite(spark, tmp_path):
 
 def test_position_summary_file(spark, tmp_path):
     summary = spark.createDataFrame([(1, "P1", 0.25), (0, "C", 0.5), (None, "Center", None)], "position int, response_position string, mean_bleu double")
-    out = sinks.write_position_summary(summary, str(tmp_path / "positions"))
+    out = sinks.write_position_summary(summary, str(tmp_path / "positions"), [])
     assert out.endswith("positions.csv")
     (part,) = [p for p in (tmp_path / "positions.csv").iterdir() if p.name.startswith("part-")]
     assert part.read_text().split("\n")[:4] == ["response_position,mean_bleu", "C,0.5", "P1,0.25", "Center,"]
     with pytest.raises(ValueError, match="csv"):
-        sinks.write_position_summary(summary, str(tmp_path / "x.parquet"))
+        sinks.write_position_summary(summary, str(tmp_path / "x.parquet"), [])
 
 
 def test_parquet_to_csv_round_trip(spark, tmp_path):
