@@ -79,6 +79,14 @@ def hallucination_score(semantic: Column, factual: Column) -> Column:
     return semantic * (F.lit(1.0) - factual)
 
 
+def class_scores(scores: Column, labels: Column) -> Column:
+    """The whole score list with its labels, best first; equal scores keep the order of the labels."""
+    paired = F.transform(
+        scores, lambda s, i: F.struct((-s).alias("down"), i.alias("i"), F.get(labels, i).alias("label"), s.alias("score"))
+    )
+    return F.transform(F.array_sort(paired), lambda p: F.struct(p["label"].alias("label"), p["score"].alias("score")))
+
+
 def best_class(scores: Column, labels: Column | None = None) -> Column:
     """Label (or index) of the highest score, the first one on a tie."""
     index = F.array_position(scores, F.array_max(scores)) - 1

@@ -43,11 +43,19 @@ class Scorers:
 
 
 NO_SCORERS = Scorers({}, {})
+_TOKENS = "_reference_tokens"
 
 
-def with_row_scores(frame: DataFrame, scorers: Scorers, reference: str, candidate: str, suffix: str = "") -> DataFrame:
+def with_row_scores(
+    frame: DataFrame,
+    scorers: Scorers,
+    reference: str,
+    candidate: str,
+    suffix: str = "",
+    tokens: dict[str, str] | None = None,
+) -> DataFrame:
     """Add every metric that needs only the two texts of the row; null where one is missing."""
-    frame = with_bleu(frame, f"bleu{suffix}", reference, candidate)
+    frame = with_bleu(frame, f"bleu{suffix}", reference, candidate, tokens)
     both = F.col(reference).isNotNull() & F.col(candidate).isNotNull()
     return frame.withColumns(
         {f"{m}{suffix}": F.when(both, score(F.col(reference), F.col(candidate))) for m, score in scorers.columns.items()}
@@ -71,15 +79,6 @@ def with_model_scores(pairs: DataFrame, scorers: Scorers, keys: list[str]) -> Da
     return scored
 
 
-def accuracy_of(responses: DataFrame, dataset_name: str | None, true_false: bool) -> Callable | None:
-    """How an answer is judged against ``_category``, or None when accuracy does not apply."""
-    if true_false:
-        return text.boolean_accuracy
-    if validate.uses_categories(responses, dataset_name):
-        return text.category_accuracy
-    return None
-
-
 def _category(responses: DataFrame, true_false: bool) -> Column:
     label = F.col(validate.category_column(responses))
     return label if true_false else text.normalize_category(label)
@@ -88,13 +87,12 @@ def _category(responses: DataFrame, true_false: bool) -> Column:
 def _checked(
     responses: DataFrame, key: str, dataset_name: str | None, true_false: bool, lists: set[str] = frozenset({"responses"})
 ) -> Callable | None:
+    """How an answer is judged against ``_category``, or None when accuracy does not apply; raises on bad input."""
     validate.require_columns(responses, {key, "center_response", "label_gt", *lists}, "answer table")
-    validate.require_rows(responses, "answer table")
-    accuracy = accuracy_of(responses, dataset_name, true_false)
-    if accuracy is text.category_accuracy:
-        validate.require_categories(responses, key)
-    validate.require_values(responses, "label_gt", key)
-    return accuracy
+    by_category = validate.check_answers(responses, key, dataset_name, judge_categories=not true_false)
+    if true_false:
+        return text.boolean_accuracy
+    return text.category_accuracy if by_category else None
 
 
 def analyze_rows(
@@ -109,10 +107,14 @@ def analyze_rows(
     :func:`summarise` gives the statistics of the result once it is written.
     """
     accuracy = _checked(responses, key, dataset_name, true_false)
+    # All texts of a comparison are in the row: these scores need no shuffle. Each text is in two
+    # comparisons and cut into tokens once.
+    tokens = {c: f"_tokens_{c}" for c in ("label_gt", "clean_response", "center_response")}
     scored = with_clean_and_center(responses)
+    scored = scored.withColumns({name: text.tokens(F.col(c)) for c, name in tokens.items()})
     for name, reference, candidate in COMPARISONS:
-        # All texts of a comparison are in the row: these scores need no shuffle.
-        scored = with_row_scores(scored, scorers, reference, candidate, f"_{name}")
+        scored = with_row_scores(scored, scorers, reference, candidate, f"_{name}", tokens)
+    scored = scored.drop(*tokens.values())
     if scorers.of_models():
         validate.require_unique(responses, key)
         pairs = comparison_pairs(with_clean_and_center(responses), key)
@@ -149,13 +151,16 @@ def analyze_positions(
     Answer and label are in the same row, so pairs are made without a join.
     """
     accuracy = _checked(responses, key, dataset_name, true_false)
-    columns = [key, F.col("label_gt").alias("reference")]
+    columns = [key, F.col("label_gt").alias("reference"), text.tokens(F.col("label_gt")).alias(_TOKENS)]
     if accuracy:
         columns.append(_category(responses, true_false).alias("_category"))
     listed = positions.listed_answers(F.col("responses"), F.col("center_response"))
     if scorers.of_models():
         validate.require_unique(responses, key)
-    return mean_by_position(responses.select(*columns, F.inline(listed)), scorers, accuracy, key)
+    # The label is cut into tokens before it is repeated for every answer.
+    rows = responses.select(*columns, listed.alias("_listed"))
+    rows = rows.select(*[c for c in rows.columns if c != "_listed"], F.inline("_listed"))
+    return mean_by_position(rows, scorers, accuracy, key)
 
 
 def analyze_long_positions(
@@ -174,7 +179,7 @@ def analyze_long_positions(
     accuracy = _checked(questions, key, dataset_name, true_false, set())
     validate.require_unique(questions, key)
     validate.require_known(answers, questions, key)
-    columns = [key, F.col("label_gt").alias("reference")]
+    columns = [key, F.col("label_gt").alias("reference"), text.tokens(F.col("label_gt")).alias(_TOKENS)]
     if accuracy:
         columns.append(_category(questions, true_false).alias("_category"))
     labels = questions.select(*columns)
@@ -185,7 +190,7 @@ def analyze_long_positions(
 
 
 def mean_by_position(pairs: DataFrame, scorers: Scorers, accuracy: Callable | None, key: str) -> DataFrame:
-    scored = with_row_scores(pairs, scorers, "reference", "candidate")
+    scored = with_row_scores(pairs, scorers, "reference", "candidate", tokens={"reference": _TOKENS}).drop(_TOKENS)
     scored = with_model_scores(scored, scorers, [key, "position"])
     means = {m: f"mean_{m}" for m in scorers.names()}
     if accuracy:

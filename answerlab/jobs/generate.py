@@ -41,13 +41,16 @@ def generate(
     ``template`` is the prompt, with ``[DOCUMENT]`` where the text goes. ``answers`` has one row per question and
     position, with the errors of its model calls; ``scored`` one row per question with the centre answer, the
     similarities and, for the category data set, the accuracies. A failed call is no answer: it counts neither in
-    the centre nor in the median, and a question without any answer takes the defaults. A null label has no score.
+    the centre nor in the median, and a question without any answer takes the defaults. A null label has no score;
+    where questions have a column ``reference_answer``, that stands in for it.
     """
     validate.require_unique(questions, "question_id")
     by_category = dataset_name is not None and validate.uses_categories(questions, dataset_name)
     if by_category:
         validate.require_categories(questions, "question_id")
     label = text.normalize_category(F.col("category")) if by_category else F.col("category")
+    if "reference_answer" in questions.columns:
+        label = ctr.ground_truth(label, F.col("reference_answer"))
     asked = questions.select("question_id", F.col("question").alias("text"), label.alias("label_gt"))
     # Written once: the prompts are read for the distinct calls and again to put the answers back.
     edited = materialise(noise.typo_variants(asked, seed, rate, variants))

@@ -65,16 +65,23 @@ def _shared(order: int) -> Column:
 
 
 def with_bleu(
-    pairs: DataFrame, name: str = "bleu", reference: str = "reference", candidate: str = "candidate"
+    pairs: DataFrame,
+    name: str = "bleu",
+    reference: str = "reference",
+    candidate: str = "candidate",
+    tokens: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add the score; 0.0 where either side has no token, null where either side is null."""
+    """Add the score; 0.0 where either side has no token, null where either side is null.
+
+    ``tokens`` names the columns that hold the tokens of a text already, for texts that are in several pairs.
+    """
     kept = pairs.columns
-    matched = pairs.withColumns(
-        {"_r1": text.tokens(F.col(reference)), "_c1": text.tokens(F.col(candidate))}
-    )
+    known = tokens or {}
+    side = {c: F.col(known[c]) if c in known else text.tokens(F.col(c)) for c in (reference, candidate)}
+    matched = pairs.withColumns({"_r1": side[reference], "_c1": side[candidate]})
     for order in range(1, MAX_ORDER + 1):
         if order > 1:
-            matched = matched.withColumns({f"_{side}{order}": _longer_grams(side, order) for side in "rc"})
+            matched = matched.withColumns({f"_{s}{order}": _longer_grams(s, order) for s in "rc"})
         matched = matched.withColumn(f"_k{order}", F.array_intersect(f"_c{order}", f"_r{order}"))
         matched = matched.withColumns({f"_f{order}": _found("c", order), f"_g{order}": _found("r", order)})
         matched = matched.withColumn(f"_m{order}", _shared(order))

@@ -74,6 +74,38 @@ def require_categories(frame: DataFrame, key: str) -> None:
         raise ValueError(f"row {row[key]!r}: invalid category {row[column]!r} ({row['total_rows']} such rows)")
 
 
+def check_answers(frame: DataFrame, key: str, dataset_name: str | None, judge_categories: bool) -> bool:
+    """Raise unless there are rows and all have a label and, where categories are judged, a category of the four.
+
+    Returns whether they are judged. All checks are one aggregation.
+    """
+    column = category_column(frame)
+    normal = text.normalize_category(F.col(column))
+    wrong = ~F.coalesce(normal.isin(*text.CATEGORIES), F.lit(False))
+    blank = text.is_blank(F.col("label_gt"))
+    named = F.bool_and(text.is_category_dataset(F.col("dataset_name"))) if "dataset_name" in frame.columns else F.lit(False)
+    found = frame.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(blank).alias("blanks"),
+        F.min(F.when(blank, F.col(key))).alias("blank"),
+        F.count_if(wrong).alias("wrongs"),
+        F.min_by(F.struct(F.col(key).alias("key"), F.col(column).alias("value")), F.when(wrong, F.col(key))).alias("wrong"),
+        named.alias("named"),
+    ).first()
+    if not found["rows"]:
+        raise ValueError("answer table contains no data rows")
+    if dataset_name is not None:
+        named = dataset_name.strip().casefold() in text.CATEGORY_DATASET_NAMES
+    else:
+        named = bool(found["named"])
+    if judge_categories and named and found["wrongs"]:
+        bad = found["wrong"]
+        raise ValueError(f"row {bad['key']!r}: invalid category {bad['value']!r} ({found['wrongs']} such rows)")
+    if found["blanks"]:
+        raise ValueError(f"row {found['blank']!r}: 'label_gt' is empty ({found['blanks']} such rows)")
+    return judge_categories and named
+
+
 def require_one_score_per_pair(scores: DataFrame, pairs: DataFrame, keys: list[str]) -> None:
     """Every pair has exactly one score row."""
     counted = (

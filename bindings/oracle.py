@@ -565,7 +565,10 @@ SELECT conv_id, turn, len(w) AS tokens,
   md5(array_to_string(w, ' ')) AS digest FROM t""",
     "best_class": """
 WITH e AS (SELECT vec_id AS position, embedding::DOUBLE[] AS v FROM embeddings)
-SELECT position, (list_position(v, list_max(v)) - 1)::BIGINT AS best_class, round(list_max(v), 6) AS score FROM e""",
+SELECT position, 'class ' || (list_position(v, list_max(v)) - 1) AS best_class, round(list_max(v), 6) AS score,
+  round(list_min(v), 6) AS last_score,
+  (SELECT string_agg('class ' || (i - 1), ',' ORDER BY s DESC, i)
+   FROM (SELECT unnest(v) AS s, generate_subscripts(v, 1) AS i)) AS ranking FROM e""",
     "synonym_table": f"""
 WITH w AS (
   SELECT conv_id || '-' || turn AS word,

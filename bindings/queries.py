@@ -449,8 +449,16 @@ def message_span(spark, sf):
 
 def best_class(spark, sf):
     rows = views.vectors(spark, sf)
+    labels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(F.lit("class "), i.cast("string")))
+    listed = rows.select("position", "v", vec.class_scores(F.col("v"), labels).alias("scores"))
     return finished(
-        rows.select("position", vec.best_class(F.col("v")).alias("best_class"), F.array_max("v").alias("score"))
+        listed.select(
+            "position",
+            vec.best_class(F.col("v"), labels).alias("best_class"),
+            F.array_max("v").alias("score"),
+            F.array_join(F.transform("scores", lambda s: s["label"]), ",").alias("ranking"),
+            F.element_at("scores", -1)["score"].alias("last_score"),
+        )
     )
 
 

@@ -112,8 +112,10 @@ def test_probabilities_and_score(spark):
         vec.hallucination_score(F.lit(0.5), vec.factual_score(F.col("l"))).alias("h"),
         vec.best_class(F.col("l")).alias("i"),
         vec.best_class(F.col("l"), F.array(*map(F.lit, "abc"))).alias("name"),
+        vec.class_scores(F.col("l"), F.array(*map(F.lit, "abc"))).alias("all"),
     ).first()
     assert row.p == pytest.approx([math.exp(x) / total for x in (1, 3, 2)])
     assert row.f == pytest.approx(math.exp(3) / total)
     assert row.h == pytest.approx(0.5 * (1 - row.f))
     assert (row.i, row.name) == (1, "b")
+    assert [(s.label, s.score) for s in row.all] == [("b", 3.0), ("c", 2.0), ("a", 1.0)]
