@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from answerlab.operators import ensemble, stats
 from answerlab.plans import quantiles, skew
@@ -98,3 +99,16 @@ def test_salted_join_gives_the_same_rows(spark, monkeypatch):
         assert sorted(map(tuple, joined.collect()), key=str) == sorted(
             map(tuple, rows.join(values, "k", how).select("k", "i", "v").collect()), key=str
         )
+
+
+def test_large_groups_fit_their_list_and_none_is_left_out(spark, monkeypatch):
+    frame = spark.range(10_000).selectExpr("if(id < 4000, 0, id % 100) AS k")
+    sizes = skew.measure_groups(frame, "k", 10)
+    assert sizes.rows_per_salt == 10 and sizes.large().count() == 100
+    monkeypatch.setattr(skew, "LIST_BYTES", 5 * (2 + skew._ROW_BYTES))
+    sizes = skew.measure_groups(frame, "k", 10)
+    assert sizes.rows_per_salt == 2000 and [tuple(r) for r in sizes.large().collect()] == [(0, 3)]
+    values = spark.range(100).selectExpr("id AS k", "id * 2 AS v")
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    joined = skew.attach(skew.salt(frame.withColumn("i", F.monotonically_increasing_id()), sizes, F.col("i")), values, sizes)
+    assert joined.count() == 10_000 and joined.where("v <> 2 * k").isEmpty()
