@@ -8,7 +8,8 @@ when the Jaccard similarity of their sets is at least THRESHOLD.
 2. Chosen paths: from the root of every run, a node picks one or (one time in four) two of the sampled
    coordinates by its own hash, and sends each set to the child named by its token there, so sets stay
    together by the tokens they share. Buckets of one set end; buckets of at most LIMIT sets are compared by
-   brute force; larger ones are split again, and compared in tiles at depth DEPTH. A pair at the threshold
+   brute force; larger ones are split again. Sets that are alike stay together whatever the token, so a bucket
+   that keeps most of its parent is compared in tiles, as are those at depth DEPTH. A pair at the threshold
    survives a run with known probability; runs are repeated until RECALL is reached (:func:`runs_for`).
 3. Pairs whose samples agree in AGREE places are candidates. Within the connected groups of candidates all
    pairs are compared exactly, on the whole sets, each pair in exactly one tile; links are counted there
@@ -38,8 +39,10 @@ NUMERATOR, DENOMINATOR = 4, 5  # the threshold, 0.8, as a fraction of integers
 MINIMA = 64
 #: At similarity 0.8 fewer than 35 of 64 samples agree with probability below 1e-6.
 AGREE = 35
-LIMIT = 128
+LIMIT = 256
 DEPTH = 6
+#: A bucket that keeps this share of its parent holds sets that are alike, and is compared without more splits.
+ALIKE = 0.7
 RECALL = 0.9999
 BLOCK = 256
 _RANDOM = np.random.default_rng(414243)
@@ -120,11 +123,14 @@ def _buckets(reps: DataFrame) -> DataFrame:
     picks = [(run, _ORDER[run % MINIMA]) for run in range(runs_for(RECALL, DEPTH))]
     picks += [(run, _ORDER[(len(picks) + run // 4) % MINIMA]) for run, _ in picks[::4]]
     roots = F.array(*[F.xxhash64(F.lit(run), F.lit(c), F.get("sig", F.lit(c))) for run, c in picks])
-    entries = reps.select("rep", F.explode(roots).alias("path"))
+    entries = reps.select("rep", F.explode(roots).alias("path"), F.lit(None).cast("long").alias("_parent"))
     done = []
     for depth in range(1, DEPTH + 1):
+        # Written, as they are counted and then joined with their counts; both sides of that join have a
+        # shuffle of their own, so Spark can split a bucket that holds many sets.
+        entries = materialise(entries)
         sizes = entries.groupBy("path").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-        entries = materialise(entries.join(sizes, "path"))
+        entries = materialise(entries.join(materialise(sizes), "path"))
         small = entries.where(F.col("_size") <= LIMIT).groupBy("path").agg(F.array_sort(F.collect_set("rep")).alias("_reps"))
         # The runs find the same buckets again and again; each set of members is compared once.
         small = small.select("_reps").distinct().withColumn("_bucket", F.xxhash64("_reps"))
@@ -132,16 +138,20 @@ def _buckets(reps: DataFrame) -> DataFrame:
         entries = entries.where(F.col("_size") > LIMIT)
         if entries.isEmpty():
             break
+        alike = F.coalesce(F.col("_size") >= ALIKE * F.col("_parent"), F.lit(False)) | F.lit(depth == DEPTH)
+        tiled = entries.where(alike)
+        done.append(tiled.select(F.col("path").alias("_bucket"), "rep", F.col("_size").cast("int").alias("_size")))
+        entries = entries.where(~alike)
         if depth == DEPTH:
-            done.append(entries.select(F.col("path").alias("_bucket"), "rep", F.col("_size").cast("int").alias("_size")))
             break
         path = F.col("path")
         first = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(MINIMA)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64(path, F.lit(2)), F.lit(MINIMA - 1)), F.lit(MINIMA)).cast("int")
         twice = F.pmod(F.xxhash64(path, F.lit(3)), F.lit(4)) == 0
         chosen = F.when(twice, F.array(first, second)).otherwise(F.array(first))
-        split = entries.select("rep", "path", F.explode(chosen).alias("c")).join(reps.select("rep", "sig"), "rep")
-        entries = split.select("rep", F.xxhash64("path", "c", F.get("sig", F.col("c"))).alias("path"))
+        split = entries.select("rep", "path", F.col("_size").alias("_parent"), F.explode(chosen).alias("c"))
+        split = split.join(reps.select("rep", "sig"), "rep")
+        entries = split.select("rep", F.xxhash64("path", "c", F.get("sig", F.col("c"))).alias("path"), "_parent")
     buckets = done[0]
     for more in done[1:]:
         buckets = buckets.unionByName(more)
