@@ -299,7 +299,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(id, key, spans): byte ranges [begin, end) that repeated strings cover; ``docs`` has id, text and key."""
     pieces = _pieces(docs)
     grams = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
-    grams = grams.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
+    # Written, so that the join below is between two shuffles, of which Spark splits the frequent anchors.
+    grams = materialise(grams.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")))
     shared = materialise(pieces.join(grams, "gram"))
     # Anchors with a single context: all of it is repeated.
     whole = shared.where(~F.col("mixed")).select(
@@ -308,8 +309,9 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     mixed = shared.where("mixed")
     example = F.min(F.struct("id", "key", "start", "windows")).alias("e")
     distinct = materialise(mixed.groupBy("gram", "ctx").agg(example, F.count(F.lit(1)).alias("copies")))
-    sizes = distinct.groupBy("gram").agg((F.count(F.lit(1)) > hot).alias("hot"))
-    wanted = distinct.join(sizes, "gram").select("gram", "ctx", "copies", "hot", "e.*")
+    frequent = materialise(distinct.groupBy("gram").count().where(F.col("count") > hot).select("gram"))
+    flagged = distinct.join(frequent.withColumn("hot", F.lit(True)), "gram", "left")
+    wanted = flagged.select("gram", "ctx", "copies", F.coalesce("hot", F.lit(False)).alias("hot"), "e.*")
     cut = materialise(_cut(wanted, docs))
     marks = _compare(cut.where(~F.col("hot")))
     if not cut.where("hot").limit(1).isEmpty():
