@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -95,7 +96,7 @@ def count_words(docs: DataFrame, text: str, learn: str) -> DataFrame:
     """(hash, ending, c) of all words of the rows where ``learn`` is true, the end token included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in W.batches_of(batches, "_text", 4 * W.BATCH):
+        for _, texts in W.batches_of(batches, "_text", 2 * W.BATCH):
             hashes, endings, _ = tokens_of(texts)
             keys, first, counts = np.unique(hashes, return_index=True, return_counts=True)
             columns = [pa.array(keys.view(np.int64)), pa.array(endings[first]), pa.array(counts)]
@@ -106,9 +107,26 @@ def count_words(docs: DataFrame, text: str, learn: str) -> DataFrame:
     return partial.groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
 
+def _commonest(counts: DataFrame) -> pd.DataFrame:
+    """The words of at least some count, as many as there are within COMMON.
+
+    The count is found from a histogram of at most 8 bins for each doubling, so no task and not the driver
+    gets more than COMMON words.
+    """
+    level = F.floor(F.log2(F.col("c")) * 8).cast("int")
+    bins = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
+    lowest, held = 1 << 30, 0
+    for number, words in bins:
+        held += words
+        if held > COMMON:
+            break
+        lowest = number
+    return counts.where(level >= lowest).toPandas()
+
+
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
     """Common words, endings and totals from written counts; what comes to the driver has a fixed bound."""
-    top = counts.orderBy(F.desc("c"), "hash").limit(COMMON).toPandas()
+    top = _commonest(counts).sort_values(["c", "hash"], ascending=[False, True], ignore_index=True)
     own = top.head(OWN_UNITS)
     rest = counts.join(
         F.broadcast(counts.sparkSession.createDataFrame(own[["hash"]], "hash long")), "hash", "left_anti"
