@@ -50,7 +50,8 @@ def in_tiles(rows: DataFrame, group: str, size: str, member: str, block: int) ->
     block, 1 for the second, and 2 where both are the same. Adds ``_tile``; a tile holds about 2 * block rows.
     """
     blocks = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64(F.col(group), F.col(member)), F.col("_blocks")).cast("int")
+    # By the member alone: groups that overlap deal their members alike, so their forests have the same edges.
+    own = F.pmod(F.xxhash64(F.col(member)), F.col("_blocks")).cast("int")
     dealt = rows.withColumn("_blocks", blocks).withColumn("_own", own)
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     side = F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
@@ -70,11 +71,26 @@ def forest(linked: np.ndarray) -> np.ndarray:
         labels = lowest
 
 
+def spanning(linked: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """For the members of a tile, the index each needs an edge to; itself where it needs none.
+
+    The links within a block are found in the tile of that block with itself, so a tile of two blocks only
+    joins what is not connected within them.
+    """
+    labels = forest(linked)
+    if (sides == 2).all():
+        return labels
+    own = np.arange(len(labels))
+    inner = forest(linked & (sides[:, None] == sides[None, :]))
+    return np.where(inner == own, labels, own)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge (a, b); the root is the smallest node of its component.
 
     Large-star and small-star steps alternate until every node points at a root. The edges of a node are
-    never gathered: minima are aggregates, and joined back. Each round is written, so no lineage grows.
+    never gathered: minima are aggregates, and joined back. All steps are written, so no lineage grows, and both
+    sides of every join have a shuffle of their own, of which Spark splits the node that most edges are on.
     """
     stars = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -88,9 +104,10 @@ def components(edges: DataFrame) -> DataFrame:
             )
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lowest = materialise(lowest)
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large.where("u <> v").distinct())
+        lowest = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(lowest, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()

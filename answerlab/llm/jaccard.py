@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from answerlab.llm import words as W
-from answerlab.llm.graphs import components, forest, in_tiles, map_groups
+from answerlab.llm.graphs import components, in_tiles, map_groups, spanning
 from answerlab.session import materialise
 
 SHINGLE = 5
@@ -160,6 +160,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
 
 def _agreeing(group: pa.Table) -> Iterator[pa.RecordBatch]:
     """Edges of a spanning forest of the sets of a tile whose samples agree."""
+    group = group.sort_by("rep")
     reps = group.column("rep").to_numpy()
     sides = group.column("_side").to_numpy()
     count = len(reps)
@@ -168,8 +169,7 @@ def _agreeing(group: pa.Table) -> Iterator[pa.RecordBatch]:
     for begin in range(0, count, 32):
         same = (signature[begin : begin + 32, None, :] == signature[None, :, :]).sum(axis=2, dtype=np.uint8)
         linked[begin : begin + 32] = same >= AGREE
-    linked &= (sides[:, None] != sides[None, :]) | (sides[:, None] == 2)
-    yield from _edges(reps, forest(linked), np.zeros(0, np.int64))
+    yield from _edges(reps, spanning(linked, sides), np.zeros(0, np.int64))
 
 
 def _edges(reps: np.ndarray, labels: np.ndarray, links: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -204,14 +204,16 @@ def intersections(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _linked(group: pa.Table) -> Iterator[pa.RecordBatch]:
     """Exact links of a tile: how many each set has, copies counted, and a spanning forest."""
+    group = group.sort_by("rep")
     reps, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
     sides = group.column("_side").to_numpy()
     both, sizes = intersections(W.texts_of(group.column("_text")))
     union = sizes[:, None] + sizes[None, :] - both
     linked = DENOMINATOR * both >= NUMERATOR * union
-    linked &= (sides[:, None] != sides[None, :]) | (sides[:, None] == 2)
     np.fill_diagonal(linked, False)
-    yield from _edges(reps, forest(linked), linked @ copies)
+    # Every pair counts in one tile only: those within a block in the tile of the block with itself.
+    counted = linked & ((sides[:, None] != sides[None, :]) | (sides[:, None] == 2))
+    yield from _edges(reps, spanning(linked, sides), counted @ copies)
 
 
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
