@@ -3,7 +3,8 @@
 Every text is measured once: its words, symbols, repeated lines and repeated passages, and what
 a public vocabulary makes of its words: characters per token, the share of tokens that are single
 bytes for lack of a piece (byte fallback), and the entropy of the tokens. A text is rejected by the
-base rules, or when a measure lies outside the band of its language.
+base rules, or when a measure lies outside the band of its language. Bands are learned from labelled
+documents (``learn_bands``); BANDS are for tables without labels.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; a null or
 unknown language takes the default band; equal rows get equal results; other columns are not read
@@ -13,13 +14,14 @@ unless named in ``keep``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from answerlab.llm import words as W
+from answerlab.session import materialise
 
 WINDOW = 8
 MEASURES = (
@@ -45,6 +47,50 @@ class Band:
     max_fallback: float
     min_spread: float
 
+    def holds(self, per_token, fallback, entropy, n_tokens, pieces: int) -> np.ndarray:
+        possible = np.log2(np.maximum(np.minimum(n_tokens, pieces), 2))
+        inside = (per_token >= self.min_chars) & (per_token <= self.max_chars)
+        return inside & (fallback <= self.max_fallback) & (entropy >= self.min_spread * possible)
+
+
+@dataclass(frozen=True)
+class LearnedBand:
+    """What a language's texts may measure for their length.
+
+    A mean over n tokens scatters by 1 / sqrt(n). So the distance from the language's characters per token, and
+    from its entropy at that length, is multiplied by sqrt(n) before it is held against the limits: short texts
+    have wider bands. ``lengths`` (log2 of tokens, rising) and ``entropies`` are the corners of the entropy's
+    curve; below the first it falls by a bit for each halving, above the last it is level.
+    """
+
+    chars: float
+    min_chars: float
+    max_chars: float
+    max_fallback: float
+    lengths: tuple[float, ...]
+    entropies: tuple[float, ...]
+    min_entropy: float
+
+    def distances(self, per_token, entropy, n_tokens) -> tuple[np.ndarray, np.ndarray]:
+        root = np.sqrt(np.maximum(n_tokens, 1))
+        length = np.log2(np.maximum(n_tokens, 1))
+        usual = np.interp(length, self.lengths, self.entropies) + np.minimum(length - self.lengths[0], 0)
+        return (per_token - self.chars) * root, (entropy - usual) * root
+
+    def holds(self, per_token, fallback, entropy, n_tokens, pieces: int) -> np.ndarray:
+        chars, spread = self.distances(per_token, entropy, n_tokens)
+        inside = (chars >= self.min_chars) & (chars <= self.max_chars)
+        return inside & (fallback <= self.max_fallback) & (spread >= self.min_entropy)
+
+
+#: Share of good texts beyond each end of a learned band, and the fewest good texts to learn a language from.
+TAIL = 0.002
+LEAST = 50
+#: Fewest texts for a corner of the entropy's curve. The share of byte tokens that is never held against a text.
+CORNER = 8
+FREE_FALLBACK = 0.05
+#: Without labels an end lies so many times as far from the middle as a sixth of the texts do.
+FAR = 3.5
 
 #: Lower ends near the 0.3 % point of texts labelled good, so prose of any topic stays inside; texts of
 #: symbols or of a foreign language fall below. Upper ends and spreads are far from all prose.
@@ -129,7 +175,7 @@ def _entropy(tokens: np.ndarray, owners: np.ndarray, counts: np.ndarray, pieces:
     return np.where(counts > 0, np.log2(np.maximum(counts, 1)) - held / np.maximum(counts, 1), 0.0)
 
 
-def measure(texts: W.Texts, langs: list, vocabulary: str, bands: dict[str, Band], default: Band) -> dict:
+def measure(texts: W.Texts, langs: list, vocabulary: str, bands: dict[str, Band | LearnedBand], default: Band) -> dict:
     """All columns of MEASURES for the texts, as NumPy arrays."""
     memo, single = _vocabulary(vocabulary)
     words = W.split_words(texts)
@@ -147,14 +193,13 @@ def measure(texts: W.Texts, langs: list, vocabulary: str, bands: dict[str, Band]
     some = np.maximum(n_tokens, 1)
     n_repeat = repeat_words(words)
     base_failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
-    band = [bands.get(lang, default) for lang in langs]
-    low, high, most, spread = (
-        np.array([getattr(b, name) for b in band], dtype=float)
-        for name in ("min_chars", "max_chars", "max_fallback", "min_spread")
-    )
     per_token, fallback = word_chars / some, bytes_only / some
-    possible = np.log2(np.maximum(np.minimum(n_tokens, len(single)), 2))
-    fine = (per_token >= low) & (per_token <= high) & (fallback <= most) & (entropy >= spread * possible)
+    fine = np.zeros(n_texts, dtype=bool)
+    named = np.array([lang if lang in bands else None for lang in langs], dtype=object)
+    for lang in set(named):
+        at = np.flatnonzero(named == lang)
+        band = default if lang is None else bands[lang]
+        fine[at] = band.holds(per_token[at], fallback[at], entropy[at], n_tokens[at], len(single))
     return {
         "n_words": n_words,
         "word_chars": word_chars,
@@ -176,7 +221,7 @@ def score_quality(
     keep: list[str] | None = None,
     text: str = "text",
     lang: str = "lang",
-    bands: dict[str, Band] | None = None,
+    bands: dict[str, Band | LearnedBand] | None = None,
     default: Band = DEFAULT_BAND,
 ) -> DataFrame:
     """The columns ``keep`` of every document and MEASURES. One pass without a shuffle.
@@ -203,6 +248,80 @@ def score_quality(
     return read.mapInArrow(run, f"{kept}, {MEASURES}" if kept else MEASURES)
 
 
+def _fitted(rows: DataFrame, end) -> dict[str, LearnedBand]:
+    """Bands of the languages with LEAST rows. ``end`` makes a lower (0) or upper (1) end of five quantiles."""
+    found = rows.groupBy("lang", F.floor(F.log2("n_tokens")).alias("k")).agg(
+        F.percentile_approx(F.log2("n_tokens"), 0.5, 100_000).alias("length"),
+        F.percentile_approx("token_entropy", 0.5, 100_000).alias("entropy"),
+        F.count("*").alias("rows"),
+    )
+    classes: dict[str, list] = {}
+    for row in found.orderBy("lang", "k").collect():
+        classes.setdefault(row["lang"], []).append(row)
+    classes = {lang: parts for lang, parts in classes.items() if sum(row["rows"] for row in parts) >= LEAST}
+    if not classes:
+        return {}
+    rows = rows.where(F.col("lang").isin(list(classes)))
+    middle = dict(rows.groupBy("lang").agg(F.percentile_approx("chars_per_token", 0.5, 100_000)).collect())
+    plain = {}
+    for lang, parts in classes.items():
+        corners = [r for r in parts if r["rows"] >= CORNER] or [max(parts, key=lambda r: r["rows"])]
+        curve = tuple(r["length"] for r in corners), tuple(r["entropy"] for r in corners)
+        plain[lang] = LearnedBand(middle[lang], 0.0, 0.0, 0.0, *curve, 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            measures = [batch.column(c).to_numpy() for c in ("chars_per_token", "token_entropy", "n_tokens")]
+            chars, entropy = np.zeros(len(langs)), np.zeros(len(langs))
+            for lang in set(langs):
+                at = langs == lang
+                chars[at], entropy[at] = plain[lang].distances(*(m[at] for m in measures))
+            columns = [batch.column("lang"), pa.array(chars), batch.column("fallback_share"), pa.array(entropy)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "chars", "fallback", "entropy"])
+
+    shares = F.array(*(F.lit(q) for q in (TAIL, 1 / 6, 0.5, 5 / 6, 1 - TAIL)))
+    apart = rows.mapInArrow(run, "lang string, chars double, fallback double, entropy double")
+    quantiles = [F.percentile_approx(c, shares, 100_000).alias(c) for c in ("chars", "fallback", "entropy")]
+    return {
+        row["lang"]: replace(
+            plain[row["lang"]],
+            min_chars=end(row["chars"], 0),
+            max_chars=end(row["chars"], 1),
+            max_fallback=max(FREE_FALLBACK, end(row["fallback"], 1)),
+            min_entropy=end(row["entropy"], 0),
+        )
+        for row in apart.groupBy("lang").agg(*quantiles).collect()
+    }
+
+
+def learn_bands(
+    docs: DataFrame,
+    labels: DataFrame,
+    vocabulary: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    quality: str = "quality",
+) -> dict[str, Band | LearnedBand]:
+    """A band for every language with LEAST documents that pass the base rules, and BANDS besides.
+
+    Learned from the documents whose id has the label 1 in ``quality``. A language with fewer than LEAST of
+    them is learned from all its documents, with ends from the inner part of their scatter, since some of
+    them are junk. Only the bands come to the driver; the rows put down for the two passes hold no text.
+    """
+    named = docs.select(docs[doc_id].alias("_id"), docs[text].alias("text"), docs[lang].cast("string").alias("lang"))
+    marks = labels.where(labels[quality] == 1).select(labels[doc_id].alias("_id"))
+    measured = materialise(
+        score_quality(named, vocabulary, ["_id", "lang"])
+        .where("NOT base_failed AND lang IS NOT NULL")
+        .select("_id", "lang", "chars_per_token", "fallback_share", "token_entropy", "n_tokens")
+    )
+    good = _fitted(measured.join(marks, "_id", "left_semi"), lambda ends, i: (ends[0], ends[4])[i])
+    rest = measured.where(~F.col("lang").isin(list(good))) if good else measured
+    return BANDS | _fitted(rest, lambda ends, i: ends[2] + FAR * (ends[1 + 2 * i] - ends[2])) | good
+
+
 def keep_good(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     """The documents that pass, with the columns they had."""
     taken = {part.split()[0] for part in MEASURES.split(", ")}

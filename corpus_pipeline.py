@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from answerlab.llm import bpe, jaccard, leaks, quality, suffixes
@@ -16,8 +17,15 @@ from answerlab.session import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Documents that the quality rules keep, by bands learned from the labels where there are any."""
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    try:
+        labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return quality.keep_good(docs, vocabulary)
+    return quality.keep_good(docs, vocabulary, bands=quality.learn_bands(docs, labels, vocabulary))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

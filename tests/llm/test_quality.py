@@ -84,3 +84,41 @@ def test_keep_good(spark):
     assert quality.keep_good(cases.frame(spark, []), VOCABULARY).collect() == []
     with pytest.raises(ValueError, match="names of measures"):
         quality.score_quality(frame.withColumnRenamed("row", "n_words"), VOCABULARY, ["n_words"])
+
+def labelled(first=1000):
+    """Prose of many lengths (quality 1), and junk as tables, symbols and capitals (quality 0)."""
+    rows, marks = [], []
+    for i in range(900):
+        words = cases.prose(first + i, 24 + 7 * (i % 60), "en" if i % 2 else "de").split(" ")
+        kind = i % 9
+        if kind == 0:
+            words = [w.upper() for w in words]
+        if kind == 1:
+            words = [w + "###" for w in words]
+        if kind == 2:
+            words = [part for w in words for part in (w, "|")]
+        rows.append((first + i, " ".join(words), "en" if i % 2 else "de", "s", 1))
+        marks.append((first + i, int(kind > 2)))
+    return rows, marks
+
+
+def test_learned_bands_on_held_out_labels(spark):
+    rows, marks = labelled()
+    docs, labels = cases.frame(spark, rows), spark.createDataFrame(marks, "doc_id bigint, quality int")
+    bands = quality.learn_bands(docs.where("doc_id % 20 < 10"), labels, VOCABULARY)
+    assert isinstance(bands["en"], quality.LearnedBand) and isinstance(bands["de"], quality.LearnedBand)
+    found = quality.score_quality(docs.where("doc_id % 20 >= 10"), VOCABULARY, bands=bands).where("NOT base_failed").collect()
+    good = dict(marks)
+    kept = [[row["kept"] for row in found if good[row["doc_id"]] == mark] for mark in (0, 1)]
+    assert sum(kept[0]) <= 0.05 * len(kept[0]) and sum(kept[1]) >= 0.95 * len(kept[1])
+    same = quality.learn_bands(docs.where("doc_id % 20 < 10").repartition(7), labels, VOCABULARY)
+    assert same == bands
+
+
+def test_bands_without_labels(spark):
+    docs = cases.frame(spark, [row for i, row in enumerate(labelled()[0]) if i % 9 > 2 or i % 27 == 0])
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    bands = quality.learn_bands(docs, none, VOCABULARY)
+    kept = {r["doc_id"] for r in quality.score_quality(docs, VOCABULARY, bands=bands).where("kept").collect()}
+    assert sum((i - 1000) % 9 > 2 for i in kept) >= 0.95 * 600 and sum((i - 1000) % 9 <= 2 for i in kept) <= 0.2 * 34
+    assert quality.learn_bands(cases.frame(spark, rows=[]), none, VOCABULARY) == quality.BANDS
