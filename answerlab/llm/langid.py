@@ -9,7 +9,9 @@ Texts are read as letters in lower case with one blank between runs of letters.
 STRETCH are parsed in stretches of that length, all of which count, so that many are read side by side.
 
 The automata are fitted on a bounded sample: per language the ROWS learning texts of lowest hash, and
-of each the first LETTERS letters, together at most ROWS * LETTERS. Every text is then judged whole.
+of each the first LETTERS letters, together at most ROWS * LETTERS. With more than FULL labels all learn, each
+from fewer rows. Every text is then judged whole. All letters of a sample are told apart, in any script: an
+automaton's commonest letters have columns of a table of moves, its other moves are looked up in sorted order.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; labels that are null are
 not learned; ties go to the label that sorts first; without any label all texts are ``und``.
@@ -26,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from answerlab.llm import words as W
+from answerlab.session import materialise
 
 ROWS = 48
 LETTERS = 1_200
 STRETCH = 2_048
-ALPHABET = 63
-MAX_LABELS = 400
+#: Labels that learn from ROWS texts each; columns of an automaton's table, and cells of all tables.
+FULL = 64
+COLUMNS = 62
+CELLS = 64_000_000
 
 
 def letters_of(text: str) -> np.ndarray:
@@ -55,8 +60,8 @@ def _letters() -> np.ndarray:
     return _letter_table[0]
 
 
-def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Transition table (state, symbol) of the automaton of all substrings; -1 where none follows."""
+def suffix_automaton(symbols: list[int]) -> tuple[np.ndarray, int]:
+    """Moves (state, symbol, next state) of the automaton of all substrings, and the number of states."""
     follow: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -83,60 +88,98 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
                     state = link[state]
                 link[other] = link[current] = copy
         last = current
-    table = np.full((len(follow), size), -1, dtype=np.int32)
-    for state, moves in enumerate(follow):
-        for symbol, target in moves.items():
-            table[state, symbol] = target
-    return table
+    moves = [(state, symbol, target) for state, found in enumerate(follow) for symbol, target in found.items()]
+    return np.array(moves, dtype=np.int64).reshape(-1, 3), len(follow)
 
 
 class Parser:
     """Automata of all languages in one table of moves.
 
     A move holds (next state << 1 | 1 if a phrase ends before this letter). Where a letter does not
-    follow, the next phrase starts with it; a letter that the language lacks is a phrase of its own.
+    follow, the next phrase starts with it; a letter that the language lacks is a phrase of its own there.
+    A move of -1 is one of a rarer letter, to be found among ``keys``.
     """
 
     def __init__(self, samples: dict[str, list[str]]):
         self.labels = sorted(samples)
         learned = {label: [letters_of(text) for text in samples[label]] for label in self.labels}
         seen = np.concatenate([p for parts in learned.values() for p in parts] or [np.zeros(0, np.uint32)])
-        points, counts = np.unique(seen[seen > 0], return_counts=True)
-        common = points[np.lexsort((points, -counts))][: ALPHABET - 1]
-        # 0 is the blank, ALPHABET any letter that is not among the common ones.
-        self.symbol = np.full(0x110000, ALPHABET, dtype=np.uint8)
+        points = np.unique(seen[seen > 0])
+        # 0 is the blank, the last symbol any letter that no language has.
+        unknown = len(points) + 1
+        self.size = unknown + 1
+        self.symbol = np.full(0x110000, unknown, dtype=np.uint8 if self.size <= 256 else np.int32)
         self.symbol[0] = 0
-        self.symbol[np.sort(common)] = np.arange(1, len(common) + 1)
-        width = self.width = ALPHABET + 1
-        tables, roots, bits, base = [], [], [], 0
+        self.symbol[points] = np.arange(1, unknown)
+        built = []
         for label in self.labels:
             text = np.concatenate([np.append(self.symbol[p], 0) for p in learned[label]] or [np.zeros(1, np.uint8)])
-            table = suffix_automaton(text.tolist(), width)
-            table[:, ALPHABET] = -1  # rare letters match nothing, not even each other
-            fresh = table[0]
-            moves = np.where(table >= 0, (table + base) << 1, ((np.maximum(fresh, 0) + base) << 1) | 1)
-            tables.append(moves.astype(np.int64))
+            built.append((text, *suffix_automaton(text.tolist())))
+        own = max(1, min(COLUMNS, CELLS // max(1, sum(states for _, _, states in built)) - 2))
+        # Few letters in all: the same columns for every language. Otherwise each has those of its own
+        # commonest letters, then one for letters it lacks and one for its rarer letters.
+        shared = self.size <= own + 2
+        width = self.size if shared else own + 2
+        self.columns = None if shared else np.full((len(built), self.size), own, dtype=np.int16)
+        self.fresh = None if shared else np.zeros((len(built), self.size), dtype=np.int64)
+        tables, roots, bits, keys, targets, base = [], [], [], [], [], 0
+        for number, (text, moves, states) in enumerate(built):
+            column = np.arange(self.size)
+            if not shared:
+                counts = np.bincount(text, minlength=self.size)
+                order = np.lexsort((np.arange(self.size), -counts))
+                order = order[counts[order] > 0]
+                column = self.columns[number]
+                column[order[:own]] = np.arange(min(own, len(order)))
+                column[order[own:]] = own + 1
+                starts = moves[moves[:, 0] == 0]
+                self.fresh[number, starts[:, 1]] = (starts[:, 2] + base) * width << 1 | 1
+                rarer = moves[column[moves[:, 1]] == own + 1]
+                keys.append((rarer[:, 0] + base) * width * self.size + rarer[:, 1])
+                targets.append((rarer[:, 2] + base) * width << 1)
+                moves = moves[column[moves[:, 1]] < own]
+            table = np.full((states, width), -1, dtype=np.int64)
+            table[moves[:, 0], column[moves[:, 1]]] = moves[:, 2]
+            # Moves lead to rows of the flat table.
+            ended = (np.maximum(table[0], 0) + base) * width << 1 | 1
+            table = np.where(table >= 0, (table + base) * width << 1, ended)
+            if not shared:
+                table[:, own + 1] = -1
+            tables.append(table.astype(np.int32 if table.max() < 1 << 31 else np.int64))
             roots.append(base)
             bits.append(np.log2(max(2, len(text))))
-            base += len(table)
+            base += states
         self.moves = (np.concatenate(tables) if tables else np.zeros((1, width), np.int64)).ravel()
-        # Moves lead to rows of the flat table.
-        self.moves = ((self.moves >> 1) * width << 1 | self.moves & 1).astype(np.int32 if base * width < 1 << 29 else np.int64)
+        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        self.targets = np.concatenate(targets) if keys else self.keys
+        order = np.argsort(self.keys)
+        self.keys, self.targets = self.keys[order], self.targets[order]
         self.roots = np.array(roots, dtype=np.int64) * width
         self.bits = np.array(bits)
 
+    def _rarer(self, move: np.ndarray, state: np.ndarray, symbols: np.ndarray) -> None:
+        """Puts the moves of rarer letters in the place of -1."""
+        label, at = np.nonzero(move < 0)
+        if len(at):
+            key = state[label, at] * self.size + symbols[at]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            move[label, at] = np.where(self.keys[place] == key, self.targets[place], self.fresh[label, symbols[at]])
+
     def phrases(self, stretches: list[np.ndarray]) -> np.ndarray:
         """Phrases of every stretch of symbols (rows) in every language (columns)."""
         order = np.argsort([-len(s) for s in stretches], kind="stable")
         lengths = np.array([len(stretches[i]) for i in order])
-        grid = np.zeros((int(lengths[0]), len(order)), dtype=np.uint8)
+        grid = np.zeros((int(lengths[0]), len(order)), dtype=self.symbol.dtype)
         for column, index in enumerate(order.tolist()):
             grid[: lengths[column], column] = stretches[index]
         state = np.repeat(self.roots[:, None], len(order), axis=1)
         count = np.ones(state.shape, dtype=np.int32)
         for step in range(len(grid)):
             active = int(np.searchsorted(-lengths, -step, "left"))
-            move = self.moves[state[:, :active] + grid[step, :active]]
+            symbols = grid[step, :active]
+            move = self.moves[state[:, :active] + (symbols if self.columns is None else self.columns[:, symbols])]
+            if len(self.keys):
+                self._rarer(move, state, symbols)
             count[:, :active] += move & 1
             state[:, :active] = move >> 1
         out = np.empty((len(order), len(self.labels)), dtype=np.int64)
@@ -183,9 +226,9 @@ def sample(docs: DataFrame, text: str, lang: str, learn: str, key: str) -> dict[
         .withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= ROWS)
     )
-    rows = chosen.select("lang", "text", "_n").orderBy("lang", "_n").limit(MAX_LABELS * ROWS + 1).collect()
-    if len(rows) > MAX_LABELS * ROWS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    found = materialise(chosen.select("lang", "text", "_n"))
+    n_labels = found.where("_n = 1").count()
+    rows = found.where(F.col("_n") <= max(1, ROWS * FULL // max(FULL, n_labels))).orderBy("lang", "_n").collect()
     samples: dict[str, list[str]] = {}
     for row in rows:
         samples.setdefault(row["lang"], []).append(row["text"][:LETTERS])

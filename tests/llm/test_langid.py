@@ -78,3 +78,35 @@ def test_stretches_count_together(monkeypatch):
     assert parser.judge([long])[0] == ["x"]
     monkeypatch.setattr(langid, "STRETCH", 10)
     assert parser.judge([long, "zyx", None])[0] == ["x", "y", "und"]
+
+
+def test_letters_of_many_scripts():
+    scripts = {"ru": (0x430, 32), "el": (0x3B1, 24), "zh": (0x4E00, 900), "ja": (0x5200, 700), "ko": (0xAC00, 800), "en": (0x61, 26)}
+
+    def text(label, seed, length):
+        first, size = scripts[label]
+        chance = random.Random(f"{label}-{seed}")
+        words = ["".join(chr(first + int(size * chance.random() ** 2)) for _ in range(4)) for _ in range(length)]
+        return " ".join(words)
+
+    samples = {label: [text(label, seed, 150) for seed in range(6)] for label in scripts}
+    samples["zh2"] = ["".join(reversed(t)) for t in samples["zh"]]
+    parser = langid.Parser(samples)
+    found = [text(label, 99, 40) for label in scripts]
+    assert [label[:2] for label in parser.judge(found)[0]] == list(scripts)
+    texts = found + samples["zh2"][:1] + samples["ko"][:1] + ["\u0e01\u0e02 " * 5]
+    counts = parser.phrases([parser.symbol[langid.letters_of(t)] for t in texts])
+    for row, t in zip(counts, texts, strict=True):
+        read = "".join(chr(p) if p else " " for p in langid.letters_of(t))
+        for column, label in enumerate(parser.labels):
+            parts = [langid.letters_of(s) for s in samples[label]]
+            learned = "".join("".join(chr(p) if p else " " for p in part) + " " for part in parts)
+            assert row[column] == plain_phrases(read, learned), label
+
+
+def test_more_labels_than_learn_in_full(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FULL", 3)
+    monkeypatch.setattr(langid, "ROWS", 4)
+    rows = [(i, chr(0x4E00 + i % 450) * 3 + f" {'abc'[i % 3]}", f"l{i % 450}", "s", 1) for i in range(900)]
+    docs = cases.frame(spark, rows).withColumn("learn", F.lit(True))
+    assert all(row["lang_pred"] == f"l{row['doc_id'] % 450}" for row in langid.predict(docs, "learn").collect())
