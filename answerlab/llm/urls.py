@@ -7,8 +7,8 @@ rules of equal length blocking ones. Where no rule fits, the regression decides.
 and JVM-side ML work.
 
 The regression learns from a small labelled URL table (``url``, ``label`` 1 to block, 0 to allow). Without
-one, the urls that rules decide are the labelled table; of each label the TRAIN_ROWS urls of lowest hash
-are taken, which bounds the table.
+one, the urls that rules decide are the labelled table; of each label the TRAIN_ROWS different urls of lowest
+hash are taken, which bounds the table. Copies of a url count once.
 
 Defined results: a null url or one without ``://`` has an empty host and path and no rule; with fewer
 than two labels to learn from, urls without a rule are allowed; other columns are not read.
@@ -102,11 +102,12 @@ def _featured(rows: DataFrame) -> DataFrame:
 
 
 def lowest_by_hash(labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """Of each label the ``rows`` urls of lowest hash.
+    """Of each label the ``rows`` different urls of lowest hash.
 
-    The rows of a label are counted first, and those far above the expected hash left out, so that no task
+    The urls of a label are counted first, and those far above the expected hash left out, so that no task
     sorts more than a few times ``rows``.
     """
+    labelled = materialise(labelled.select("host", "path", "label").distinct())
     hashed = labelled.withColumn("_h", F.shiftrightunsigned(F.xxhash64("host", "path"), 1))
     sizes = {row["label"]: row["count"] for row in labelled.groupBy("label").count().collect()}
     each = []

@@ -92,6 +92,18 @@ def test_bounded_sample(spark):
         assert {r["host"] for r in low.where(low.label == label).collect()} == want
 
 
+def test_sample_of_different_urls(spark):
+    """A url with many copies neither fills the sample nor pushes other urls out of it."""
+    rows = spark.range(6000).selectExpr("concat('h', IF(id % 4 = 0, id, id % 40)) AS host", "'/' AS path", "cast(id % 2 AS int) AS label")
+    low = urls.lowest_by_hash(rows, 100).collect()
+    different = {(r["host"], r["label"]) for r in rows.select("host", "label").distinct().collect()}
+    for label in (0, 1):
+        hosts = [r["host"] for r in low if r["label"] == label]
+        assert len(hosts) == len(set(hosts)) == min(100, sum(k == label for _, k in different))
+    hot = spark.range(4000).selectExpr("'h1' AS host", "'/' AS path", "cast(1 AS int) AS label")
+    assert urls.lowest_by_hash(rows.unionByName(hot), 100).where("host = 'h1'").count() <= 1
+
+
 def test_bad_rules():
     with pytest.raises(ValueError):
         urls.Rule("deny", "org/")
