@@ -183,8 +183,11 @@ def measure(texts: W.Texts, langs: list, vocabulary: str, bands: dict[str, Band
     pieces, number = memo.look_up(texts.data, words.starts, words.ends, words.hashes)
     n_texts = len(texts)
     letters = np.concatenate([[0], np.cumsum(_LETTER_START[texts.data], dtype=np.int64)])
-    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[texts.data], dtype=np.int64)])
     word_chars = np.bincount(owners, letters[words.ends] - letters[words.starts], n_texts).astype(np.int64)
+    del letters  # as long as all texts together, eight bytes each
+    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[texts.data], dtype=np.int64)])
+    n_symbols = symbols[texts.offsets[1:]] - symbols[texts.offsets[:-1]]
+    del symbols
     tokens = pieces.take(number)
     n_tokens = np.bincount(owners, tokens.lengths, n_texts).astype(np.int64)
     owner_of = np.repeat(owners, tokens.lengths)
@@ -203,7 +206,7 @@ def measure(texts: W.Texts, langs: list, vocabulary: str, bands: dict[str, Band
     return {
         "n_words": n_words,
         "word_chars": word_chars,
-        "n_symbols": symbols[texts.offsets[1:]] - symbols[texts.offsets[:-1]],
+        "n_symbols": n_symbols,
         "n_dup_lines": duplicate_lines(texts),
         "n_repeat_words": n_repeat,
         "n_tokens": n_tokens,
