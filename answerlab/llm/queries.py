@@ -8,7 +8,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerlab.llm import bpe, chat, jaccard, langid, leaks, lm, quality, rans, suffixes, urls
+from answerlab.llm import (
+    bpe,
+    centroids,
+    chat,
+    jaccard,
+    langid,
+    leaks,
+    lm,
+    periods,
+    quality,
+    rans,
+    recompress,
+    suffixes,
+    urls,
+)
 from answerlab.session import shared_folder
 
 
@@ -81,6 +95,18 @@ def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op11_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    return recompress.digest_copies(_table(spark, folder, "documents"))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, folder, "embeddings")).drop("centroid")
+
+
+def op13_periods(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.digest_runs(periods.plant_periods(_table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_lm": op2_lm,
@@ -92,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_suffixes": op9_suffixes,
     "op10_leaks": op10_leaks,
+    "op11_recompression": op11_recompression,
+    "op12_centroids": op12_centroids,
+    "op13_periods": op13_periods,
 }
 
 ORACLE: dict[str, str] = {
