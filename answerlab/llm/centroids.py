@@ -254,3 +254,36 @@ def cluster_vectors(
     return assigned.join(F.broadcast(spark.createDataFrame(told, kinds)), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256", "centroid"
     )
+
+
+def _oracle(rounds: int = ROUNDS) -> str:
+    """DuckDB SQL of all rounds: every distance written out in whole numbers."""
+    parts = [
+        """kept AS MATERIALIZED (
+             SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR), v) AS rank, v
+             FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+             WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        """x AS MATERIALIZED (SELECT rank, unnest(range(1, 65)) AS d,
+             unnest(list_transform(v, lambda x: CAST(floor(1024 * x) AS HUGEINT))) AS x FROM kept)""",
+        "c0 AS MATERIALIZED (SELECT CAST(rank - 1 AS INTEGER) AS c, d, x FROM x WHERE rank <= 8)",
+    ]
+    for step in range(rounds + 1):
+        parts.append(f"""p{step} AS MATERIALIZED (
+             SELECT rank, arg_min(c, struct_pack(far := far, c := c)) AS c, min(far) AS far
+             FROM (SELECT x.rank, k.c, sum((x.x - k.x) * (x.x - k.x)) AS far FROM x JOIN c{step} k ON k.d = x.d GROUP BY ALL)
+             GROUP BY rank)""")
+        if step < rounds:
+            parts.append(f"""c{step + 1} AS MATERIALIZED (
+             SELECT k.c, k.d, coalesce(m.x, k.x) AS x FROM c{step} k LEFT JOIN (
+               SELECT p.c, x.d, (sum(x.x) - ((sum(x.x) % count(*)) + count(*)) % count(*)) // count(*) AS x
+               FROM x JOIN p{step} p ON p.rank = x.rank GROUP BY ALL) m ON m.c = k.c AND m.d = k.d)""")
+    return f"""WITH {", ".join(parts)}
+SELECT k.vec_id, p.c AS cluster, CAST(p.far AS BIGINT) AS distance,
+       CAST(sum(p.far) OVER (PARTITION BY p.c) AS BIGINT) AS cluster_inertia, CAST(sum(p.far) OVER () AS BIGINT) AS inertia,
+       t.told AS centroid_sha256
+FROM kept k JOIN p{rounds} p ON p.rank = k.rank
+JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS told FROM c{rounds} GROUP BY c) t ON t.c = p.c
+"""
+
+
+ORACLE_SQL = _oracle()

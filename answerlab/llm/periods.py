@@ -193,3 +193,29 @@ def plant_periods(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             yield from pa.table([table.column("doc_id"), column], ["doc_id", "text"]).to_batches()
 
     return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, text string")
+
+
+#: Every pair of equal words of a text, at most a quarter of it apart; crc32 bit by bit.
+ORACLE_SQL = r"""WITH bytes AS (SELECT doc_id, text, list_transform(str_split(CAST(doc_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT) AS b FROM documents),
+     hashed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                       xor(list_reduce(b, lambda crc, byte: list_reduce(range(8), lambda v, bit:
+                           xor(v >> 1, (v & 1) * 3988292384), xor(crc, byte)), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM bytes),
+     sized AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g FROM hashed),
+     planned AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM sized),
+     words AS MATERIALIZED (SELECT doc_id, i, n, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+               FROM (SELECT *, unnest(range(0, n)) AS i FROM planned)),
+     pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x
+               JOIN words y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+     grouped AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+     stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM grouped GROUP BY doc_id, q, island
+                   HAVING count(*) + q >= greatest(6, 4 * q)),
+     runs AS MATERIALIZED (SELECT doc_id, s, l, min(q) AS q FROM stretches GROUP BY doc_id, s, l),
+     best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / q DESC, s, q) AS place FROM runs),
+     lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(s::VARCHAR || ',' || l::VARCHAR || ',' || q::VARCHAR || chr(10), '' ORDER BY s, q) AS told
+               FROM runs GROUP BY doc_id),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+     held AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS left_ FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, d.n AS n_words, coalesce(r.n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.q::BIGINT AS period,
+       (1000 * b.l // b.q)::BIGINT AS exponent_milli, sha256(coalesce(r.told, '')) AS runs_sha256, sha256(coalesce(h.left_, '')) AS collapsed_sha256
+FROM sized d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.place = 1 LEFT JOIN lines r ON r.doc_id = d.doc_id LEFT JOIN held h ON h.doc_id = d.doc_id
+"""

@@ -127,4 +127,7 @@ ORACLE: dict[str, str] = {
     "op1_jaccard": jaccard.ORACLE_SQL,
     "op3_chat": chat.ORACLE_SQL,
     "op10_leaks": leaks.ORACLE_SQL,
+    "op11_recompression": recompress.ORACLE_SQL,
+    "op12_centroids": centroids.ORACLE_SQL,
+    "op13_periods": periods.ORACLE_SQL,
 }

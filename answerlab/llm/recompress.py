@@ -360,3 +360,21 @@ def digest_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     """Per document: doc_id, n_words, n_removed and the digest of the words that stay."""
     kept = remove_copies(docs, doc_id, text, **options)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: All windows written out and counted.
+ORACLE_SQL = r"""WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     words AS (SELECT doc_id, w[i] AS word, i, len(w) AS n, w
+               FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM cut)),
+     windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM words WHERE i + 12 <= n),
+     lowest AS (SELECT t, min(doc_id) AS low FROM windows GROUP BY t HAVING min(doc_id) <> max(doc_id)),
+     hits AS (SELECT DISTINCT v.doc_id, v.i FROM windows v JOIN lowest l ON v.t = l.t AND l.low < v.doc_id),
+     marked AS (SELECT w.doc_id, w.i, w.word, max(CASE WHEN h.i IS NULL THEN 0 ELSE 1 END)
+                    OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+                FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.i = w.i),
+     told AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS kept
+              FROM marked GROUP BY doc_id)
+SELECT c.doc_id, CAST(len(c.w) AS BIGINT) AS n_words, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM cut c LEFT JOIN told t ON t.doc_id = c.doc_id
+"""
