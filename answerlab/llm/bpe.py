@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from answerlab.llm import words as W
+from answerlab.llm.columns import renamed
 
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value of the vocabulary file
@@ -158,9 +159,11 @@ def encode_texts(texts: W.Texts, path: str) -> W.Ragged:
     return W.Ragged(tokens.values, tokens.offsets[words.first])
 
 
-def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``ids array<int>`` of every document; one pass without a shuffle."""
-    return _mapped(docs, path, ["doc_id"] if keep is None else keep, text, "ids array<int>", _ids)
+def encode_documents(
+    docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", ids: str = "ids"
+) -> DataFrame:
+    """The columns ``keep`` and the array ``ids`` of every document; one pass without a shuffle."""
+    return _mapped(docs, path, ["doc_id"] if keep is None else keep, text, f"{ids} array<int>", _ids)
 
 
 def digest_documents(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -173,15 +176,17 @@ def _mapped(docs: DataFrame, path: str, keep: list[str], text: str, result: str,
     clash = set(keep) & set(names)
     if clash:
         raise ValueError(f"columns to keep have the names of results: {sorted(clash)}")
-    read = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"))
+    safe, named = renamed(docs)
+    own = [named[c] for c in keep]
+    read = safe.select(*own, safe[named[text]].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in W.batches_of(batches, "_text"):
-            columns = [table.column(c) for c in keep] + make(encode_texts(texts, path), path)
-            yield from pa.table(columns, names=keep + names).to_batches()
+        for table, texts in W.batches_of(batches, "text"):
+            columns = [table.column(c) for c in own] + make(encode_texts(texts, path), path)
+            yield from pa.table(columns, names=own + names).to_batches()
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.select(*keep).schema)
-    return read.mapInArrow(run, f"{kept}, {result}" if kept else result)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.select(*own).schema)
+    return read.mapInArrow(run, f"{kept}, {result}" if kept else result).toDF(*keep, *names)
 
 
 def _ids(tokens: W.Ragged, path: str) -> list[pa.Array]:

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from answerlab.llm import words as W
+from answerlab.llm.columns import renamed
 from answerlab.llm.graphs import components, in_tiles, map_groups, spanning
 from answerlab.session import materialise
 
@@ -263,10 +264,11 @@ def join_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of every group, with the columns it had: the one of smallest id (then row)."""
-    linked = link(docs, text, doc_id)
-    chosen = linked.groupBy("_root").agg(F.min(F.struct(doc_id, "_row"))["_row"].alias("_kept"))
+    safe, named = renamed(docs)
+    linked = link(safe, named[text], named[doc_id])
+    chosen = linked.groupBy("_root").agg(F.min(F.struct(named[doc_id], "_row"))["_row"].alias("_kept"))
     kept = linked.join(chosen, linked["_row"] == chosen["_kept"], "left_semi")
-    return kept.select(*docs.columns)
+    return kept.select(*safe.columns).toDF(*docs.columns)
 
 
 #: All pairs of documents that share a shingle, and the groups they form.

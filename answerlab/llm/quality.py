@@ -21,9 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from answerlab.llm import words as W
+from answerlab.llm.columns import renamed
 from answerlab.session import materialise
 
 WINDOW = 8
+#: Bytes of text measured together, and of the memo of words: a worker takes some 100 MB besides its vocabulary.
+BATCH = 2 << 20
+MEMO = 32 << 20
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
     "chars_per_token double, fallback_share double, token_entropy double, base_failed boolean, kept boolean"
@@ -47,7 +51,7 @@ class Band:
     max_fallback: float
     min_spread: float
 
-    def holds(self, per_token, fallback, entropy, n_tokens, pieces: int) -> np.ndarray:
+    def holds(self, per_token, fallback, entropy, n_tokens, pieces) -> np.ndarray:
         possible = np.log2(np.maximum(np.minimum(n_tokens, pieces), 2))
         inside = (per_token >= self.min_chars) & (per_token <= self.max_chars)
         return inside & (fallback <= self.max_fallback) & (entropy >= self.min_spread * possible)
@@ -77,7 +81,7 @@ class LearnedBand:
         usual = np.interp(length, self.lengths, self.entropies) + np.minimum(length - self.lengths[0], 0)
         return (per_token - self.chars) * root, (entropy - usual) * root
 
-    def holds(self, per_token, fallback, entropy, n_tokens, pieces: int) -> np.ndarray:
+    def holds(self, per_token, fallback, entropy, n_tokens, pieces) -> np.ndarray:
         chars, spread = self.distances(per_token, entropy, n_tokens)
         inside = (chars >= self.min_chars) & (chars <= self.max_chars)
         return inside & (fallback <= self.max_fallback) & (spread >= self.min_entropy)
@@ -116,7 +120,7 @@ def _vocabulary(path: str):
         def encode(strings: list[bytes]) -> list[list[int]]:
             return model.encode([s.decode("utf-8", "replace") for s in strings], num_threads=1)
 
-        _loaded[path] = W.Memo(encode, np.uint16 if len(single) <= 1 << 16 else np.uint32), single
+        _loaded[path] = W.Memo(encode, np.uint16 if len(single) <= 1 << 16 else np.uint32, most_bytes=MEMO), single
     return _loaded[path]
 
 
@@ -175,8 +179,8 @@ def _entropy(tokens: np.ndarray, owners: np.ndarray, counts: np.ndarray, pieces:
     return np.where(counts > 0, np.log2(np.maximum(counts, 1)) - held / np.maximum(counts, 1), 0.0)
 
 
-def measure(texts: W.Texts, langs: list, vocabulary: str, bands: dict[str, Band | LearnedBand], default: Band) -> dict:
-    """All columns of MEASURES for the texts, as NumPy arrays."""
+def measure(texts: W.Texts, vocabulary: str) -> dict:
+    """The columns of MEASURES but the last one for the texts, as NumPy arrays, and the size of the vocabulary."""
     memo, single = _vocabulary(vocabulary)
     words = W.split_words(texts)
     owners, n_words = words.owners, words.counts
@@ -196,13 +200,6 @@ def measure(texts: W.Texts, langs: list, vocabulary: str, bands: dict[str, Band
     some = np.maximum(n_tokens, 1)
     n_repeat = repeat_words(words)
     base_failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
-    per_token, fallback = word_chars / some, bytes_only / some
-    fine = np.zeros(n_texts, dtype=bool)
-    named = np.array([lang if lang in bands else None for lang in langs], dtype=object)
-    for lang in set(named):
-        at = np.flatnonzero(named == lang)
-        band = default if lang is None else bands[lang]
-        fine[at] = band.holds(per_token[at], fallback[at], entropy[at], n_tokens[at], len(single))
     return {
         "n_words": n_words,
         "word_chars": word_chars,
@@ -210,14 +207,70 @@ def measure(texts: W.Texts, langs: list, vocabulary: str, bands: dict[str, Band
         "n_dup_lines": duplicate_lines(texts),
         "n_repeat_words": n_repeat,
         "n_tokens": n_tokens,
-        "chars_per_token": per_token,
-        "fallback_share": fallback,
+        "chars_per_token": word_chars / some,
+        "fallback_share": bytes_only / some,
         "token_entropy": entropy,
         "base_failed": base_failed,
-        "kept": ~base_failed & fine,
+        "pieces": np.full(n_texts, len(single)),
     }
 
 
+def judge(found: dict, langs: list, bands: dict[str, Band | LearnedBand], default: Band) -> np.ndarray:
+    """Which texts pass, by their measures and languages."""
+    per_token, fallback, entropy, n_tokens, pieces = (
+        found[name] for name in ("chars_per_token", "fallback_share", "token_entropy", "n_tokens", "pieces")
+    )
+    fine = np.zeros(len(per_token), dtype=bool)
+    named = np.array([lang if lang in bands else None for lang in langs], dtype=object)
+    for lang in set(named):
+        at = np.flatnonzero(named == lang)
+        band = default if lang is None else bands[lang]
+        fine[at] = band.holds(per_token[at], fallback[at], entropy[at], n_tokens[at], pieces[at])
+    return ~found["base_failed"] & fine
+
+
+def _names() -> list[str]:
+    return [part.split()[0] for part in MEASURES.split(", ")]
+
+
+def measured(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The columns ``keep`` of every document, its language as ``_lang``, MEASURES but the last, and ``pieces``."""
+    names = [*_names()[:-1], "pieces"]
+    clash = set(keep) & {*names, "kept", "_lang", "_text"}
+    if clash:
+        raise ValueError(f"columns to keep have the names of measures: {sorted(clash)}")
+    read = docs.select(
+        *[docs[c] for c in keep], docs[lang].cast("string").alias("_lang"), docs[text].cast("string").alias("_text")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, texts in W.batches_of(batches, "_text", BATCH):
+            found = measure(texts, vocabulary)
+            columns = [table.column(c) for c in [*keep, "_lang"]] + [pa.array(found[n]) for n in names]
+            yield from pa.table(columns, names=[*keep, "_lang", *names]).to_batches()
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in read.select(*keep).schema)
+    made = MEASURES.rpartition(", ")[0]
+    return read.mapInArrow(run, f"{kept}_lang string, {made}, pieces long")
+
+
+def judged(rows: DataFrame, bands: dict[str, Band | LearnedBand] | None = None, default: Band = DEFAULT_BAND) -> DataFrame:
+    """Rows of ``measured`` with ``kept`` in place of ``_lang`` and ``pieces``."""
+    bands = BANDS if bands is None else bands
+    needed = ("chars_per_token", "fallback_share", "token_entropy", "n_tokens", "pieces", "base_failed")
+    left = [c for c in rows.columns if c not in ("_lang", "pieces")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in needed}
+            kept = judge(found, batch.column("_lang").to_pylist(), bands, default)
+            columns = [batch.column(c) for c in left] + [pa.array(kept)]
+            yield pa.RecordBatch.from_arrays(columns, [*left, "kept"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*left).schema)
+    return rows.mapInArrow(run, f"{kinds}, kept boolean")
+
+
 def score_quality(
     docs: DataFrame,
     vocabulary: str,
@@ -231,24 +284,13 @@ def score_quality(
 
     ``vocabulary`` is the path of a sentencepiece model that every executor has.
     """
-    keep = ["doc_id"] if keep is None else keep
-    names = [part.split()[0] for part in MEASURES.split(", ")]
-    clash = set(keep) & set(names)
-    if clash:
-        raise ValueError(f"columns to keep have the names of measures: {sorted(clash)}")
-    bands = BANDS if bands is None else bands
-    read = docs.select(
-        *[docs[c] for c in keep], docs[text].alias("_text"), docs[lang].cast("string").alias("_lang")
-    )
+    return judged(measured(docs, vocabulary, ["doc_id"] if keep is None else keep, text, lang), bands, default)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in W.batches_of(batches, "_text"):
-            found = measure(texts, table.column("_lang").to_pylist(), vocabulary, bands, default)
-            columns = [table.column(c) for c in keep] + [pa.array(found[n]) for n in names]
-            yield from pa.table(columns, names=keep + names).to_batches()
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.select(*keep).schema)
-    return read.mapInArrow(run, f"{kept}, {MEASURES}" if kept else MEASURES)
+def score_learned(docs: DataFrame, labels: DataFrame, vocabulary: str, doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id`` and MEASURES of every document, by bands learned from its labels. Texts are measured once."""
+    rows = materialise(measured(docs, vocabulary, [doc_id]))
+    return judged(rows, bands_of(rows, labels, doc_id))
 
 
 def _fitted(rows: DataFrame, end) -> dict[str, LearnedBand]:
@@ -298,6 +340,24 @@ def _fitted(rows: DataFrame, end) -> dict[str, LearnedBand]:
     }
 
 
+def bands_of(
+    rows: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label_id: str = "doc_id", quality: str = "quality"
+) -> dict[str, Band | LearnedBand]:
+    """A band for every language with LEAST documents that pass the base rules, and BANDS besides.
+
+    Learned from the ``measured`` rows whose id has the label 1 in ``quality``. A language with fewer than LEAST of
+    them is learned from all its documents, with ends from the inner part of their scatter, since some of
+    them are junk. ``rows`` is read several times; only the bands come to the driver.
+    """
+    fine = rows.where("NOT base_failed AND _lang IS NOT NULL").select(
+        F.col(doc_id).alias("_id"), F.col("_lang").alias("lang"), "chars_per_token", "fallback_share", "token_entropy", "n_tokens"
+    )
+    marks = labels.where(labels[quality] == 1).select(labels[label_id].alias("_id"))
+    good = _fitted(fine.join(marks, "_id", "left_semi"), lambda ends, i: (ends[0], ends[4])[i])
+    rest = fine.where(~F.col("lang").isin(list(good))) if good else fine
+    return BANDS | _fitted(rest, lambda ends, i: ends[2] + FAR * (ends[1 + 2 * i] - ends[2])) | good
+
+
 def learn_bands(
     docs: DataFrame,
     labels: DataFrame,
@@ -307,32 +367,29 @@ def learn_bands(
     lang: str = "lang",
     quality: str = "quality",
 ) -> dict[str, Band | LearnedBand]:
-    """A band for every language with LEAST documents that pass the base rules, and BANDS besides.
+    """The bands of ``bands_of`` for documents that are not measured yet."""
+    named = docs.select(docs[doc_id].alias("_id"), docs[text].alias("text"), docs[lang].alias("lang"))
+    return bands_of(materialise(measured(named, vocabulary, ["_id"])), labels, "_id", doc_id, quality)
 
-    Learned from the documents whose id has the label 1 in ``quality``. A language with fewer than LEAST of
-    them is learned from all its documents, with ends from the inner part of their scatter, since some of
-    them are junk. Only the bands come to the driver; the rows put down for the two passes hold no text.
-    """
-    named = docs.select(docs[doc_id].alias("_id"), docs[text].alias("text"), docs[lang].cast("string").alias("lang"))
-    marks = labels.where(labels[quality] == 1).select(labels[doc_id].alias("_id"))
-    measured = materialise(
-        score_quality(named, vocabulary, ["_id", "lang"])
-        .where("NOT base_failed AND lang IS NOT NULL")
-        .select("_id", "lang", "chars_per_token", "fallback_share", "token_entropy", "n_tokens")
-    )
-    good = _fitted(measured.join(marks, "_id", "left_semi"), lambda ends, i: (ends[0], ends[4])[i])
-    rest = measured.where(~F.col("lang").isin(list(good))) if good else measured
-    return BANDS | _fitted(rest, lambda ends, i: ends[2] + FAR * (ends[1 + 2 * i] - ends[2])) | good
 
+def keep_good(
+    docs: DataFrame,
+    vocabulary: str,
+    text: str = "text",
+    lang: str = "lang",
+    labels: DataFrame | None = None,
+    doc_id: str = "doc_id",
+    bands: dict[str, Band | LearnedBand] | None = None,
+    default: Band = DEFAULT_BAND,
+) -> DataFrame:
+    """The documents that pass, with the columns they had, of any names.
 
-def keep_good(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
-    """The documents that pass, with the columns they had."""
-    taken = {part.split()[0] for part in MEASURES.split(", ")}
-    names = list(docs.columns)
-    safe = [f"_c{i}" for i in range(len(names))]
-    renamed = docs.toDF(*safe)
-    text, lang = options.pop("text", "text"), options.pop("lang", "lang")
-    scored = score_quality(
-        renamed, vocabulary, safe, safe[names.index(text)], safe[names.index(lang)], **options
-    )
-    return scored.where("kept").drop(*taken).toDF(*names)
+    With ``labels`` the bands are learned from them: all rows are written with their measures, so that no text is
+    measured twice.
+    """
+    safe, named = renamed(docs)
+    rows = measured(safe, vocabulary, safe.columns, named[text], named[lang])
+    if labels is not None:
+        rows = materialise(rows)
+        bands = bands_of(rows, labels, named[doc_id])
+    return judged(rows, bands, default).where("kept").select(*safe.columns).toDF(*docs.columns)

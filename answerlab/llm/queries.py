@@ -79,8 +79,7 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, vocabulary = _table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")
-    bands = quality.learn_bands(docs, _table(spark, folder, "labels"), vocabulary)
-    return quality.score_quality(docs, vocabulary, bands=bands)
+    return quality.score_learned(docs, _table(spark, folder, "labels"), vocabulary)
 
 
 def op8_urls(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from answerlab.llm import words as W
+from answerlab.llm.columns import renamed
 from answerlab.session import materialise
 
 LENGTH = 200
@@ -398,11 +399,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``n_chars`` names a column that holds the length of the text in characters, to be renewed.
     """
-    clash = [c for c in docs.columns if c.startswith("_")]
-    if clash:
-        raise ValueError(f"columns must not start with an underscore: {clash}")
-    joined = _joined(docs, doc_id, text, hot)
-    names = docs.columns
+    safe, named = renamed(docs)
+    text, n_chars = named[text], None if n_chars is None else named[n_chars]
+    joined = _joined(safe, named[doc_id], text, hot)
+    names = safe.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -415,9 +415,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             columns[names.index(text)] = pa.array(texts, columns[names.index(text)].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in safe.schema)
     cleaned = joined.select(*names, "_spans").mapInArrow(run, kinds)
     if n_chars is not None:
-        changed = F.when(F.col(text).isNotNull(), F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
+        changed = F.when(F.col(text).isNotNull(), F.length(text).cast(safe.schema[n_chars].dataType)).otherwise(F.col(n_chars))
         cleaned = cleaned.withColumn(n_chars, changed)
-    return cleaned
+    return cleaned.toDF(*docs.columns)

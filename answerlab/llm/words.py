@@ -213,13 +213,13 @@ class Ragged:
 
 
 class Memo:
-    """What was computed for byte strings, by hash; forgets everything when it holds ``limit`` of them.
+    """What was computed for byte strings, by hash; forgets everything when it holds ``limit`` of them, or ``most_bytes``.
 
     ``compute`` takes a list of bytes and returns one sequence of integers for each.
     """
 
-    def __init__(self, compute, dtype, limit: int = 2_000_000):
-        self.compute, self.dtype, self.limit = compute, dtype, limit
+    def __init__(self, compute, dtype, limit: int = 2_000_000, most_bytes: int | None = None):
+        self.compute, self.dtype, self.limit, self.most_bytes = compute, dtype, limit, most_bytes
         self._clear()
 
     def _clear(self) -> None:
@@ -230,7 +230,8 @@ class Memo:
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
         """(Ragged of distinct strings, number of its string for every given one)."""
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > self.limit:
+        held = sum(part.nbytes for part in (self.keys, self.rank, self.rows.values, self.rows.offsets))
+        if len(self.keys) + len(distinct) > self.limit or (self.most_bytes is not None and held > self.most_bytes):
             self._clear()
         place = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), dtype=bool)

@@ -76,9 +76,11 @@ def test_runs_follow_recall():
     assert jaccard.runs_for(0.9, 1) < jaccard.runs_for(0.9, 6) < jaccard.runs_for(0.9999, 6)
 
 
-def test_underscored_columns_are_refused(spark):
-    with pytest.raises(ValueError, match="underscore"):
-        jaccard.keep_one(cases.frame(spark).withColumnRenamed("row", "_row"))
+def test_columns_of_any_name(spark):
+    frame = cases.frame(spark).withColumnsRenamed({"row": "_row", "a": "_root", "b": "_key", "n": "_n"})
+    kept = jaccard.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert kept.count() == len(set(brute(cases.documents())[1]))
 
 
 def test_components_of_a_path(spark):

@@ -78,8 +78,8 @@ def test_remove_repeats(spark):
         expected.append((row[0], row[1] if row[1] is None else text, *row[2:4], row[4] if row[1] is None else len(text)))
     found = [tuple(row)[:5] for row in cleaned.collect()]
     assert sorted(found, key=repr) == sorted(expected, key=repr)
-    with pytest.raises(ValueError, match="underscore"):
-        suffixes.remove_repeats(frame.withColumnRenamed("row", "_row"))
+    other = suffixes.remove_repeats(frame.withColumnsRenamed({"row": "_text", "a": "_spans"}), n_chars="n_chars")
+    assert sorted((tuple(row)[:5] for row in other.collect()), key=repr) == sorted(expected, key=repr)
 
 
 def test_empty_table(spark):
