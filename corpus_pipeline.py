@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         if failure.getCondition() != "PATH_NOT_FOUND":
             raise
         return quality.keep_good(docs, vocabulary)
-    return quality.keep_good(docs, vocabulary, bands=quality.learn_bands(docs, labels, vocabulary))
+    return quality.keep_good(docs, vocabulary, labels=labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,11 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids."""
-    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=list(docs.columns))
+    """Every document with its token ids, in the column ids; ids_, ids__, ... where there is one already."""
+    name = "ids"
+    while name in docs.columns:
+        name += "_"
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=list(docs.columns), ids=name)
 
 
 STAGES = [
