@@ -384,12 +384,11 @@ def keep_good(
 ) -> DataFrame:
     """The documents that pass, with the columns they had, of any names.
 
-    With ``labels`` the bands are learned from them: all rows are written with their measures, so that no text is
-    measured twice.
+    With ``labels`` the bands are learned from them in a pass of its own, which writes the measures without the
+    texts: measuring twice costs processor time, a copy of all texts would stay on the disk.
     """
     safe, named = renamed(docs)
-    rows = measured(safe, vocabulary, safe.columns, named[text], named[lang])
     if labels is not None:
-        rows = materialise(rows)
-        bands = bands_of(rows, labels, named[doc_id])
+        bands = learn_bands(docs, labels, vocabulary, doc_id, text, lang)
+    rows = measured(safe, vocabulary, safe.columns, named[text], named[lang])
     return judged(rows, bands, default).where("kept").select(*safe.columns).toDF(*docs.columns)
