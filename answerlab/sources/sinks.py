@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from answerlab.operators.validate import require_columns
+from answerlab.sources.order import number_rows
 from answerlab.sources.tables import read_table
 
 
@@ -56,6 +57,11 @@ def write_position_summary(summary: DataFrame, output: str, sources: list[str])
     return write_table(ordered, output, sources, format="csv")
 
 
-def parquet_to_csv(spark: SparkSession, source: str, output: str) -> str:
-    """A columnar table as CSV; rows are told apart by their own key column."""
-    return write_table(read_table(spark, source), output, [source], format="csv")
+def parquet_to_csv(spark: SparkSession, source: str, output: str, index: str | None = "index") -> str:
+    """A columnar table as CSV, its rows numbered from 0 in file order by a first column ``index`` (None: without)."""
+    table = read_table(spark, source)
+    if index is not None:
+        if index in table.columns:
+            raise ValueError(f"the table has a column {index!r}")
+        table = number_rows(table, index).select(index, *table.columns)
+    return write_table(table, output, [source], format="csv")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerlab.functions import text
 from answerlab.operators.pairs import blanks_to_null
 from answerlab.operators.validate import require_columns, require_rows
+from answerlab.sources.literals import decode_list
+from answerlab.sources.order import number_rows
 
 QUESTION_COLUMNS = {"question", "category"}
 RESPONSE_COLUMNS = {"LLM_response", "center_response", "label_gt"}
@@ -47,15 +48,8 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataF
 
 
 def with_key(frame: DataFrame, key: str) -> DataFrame:
-    """The table with a key column; for a table read by one task a missing key is the row number from 0.
-
-    Row numbers of several tasks would depend on how files are split, so such tables must bring their key.
-    """
-    if key in frame.columns:
-        return frame
-    if not frame.where(F.spark_partition_id() > 0).isEmpty():
-        raise ValueError(f"a table of several parts needs a column {key!r}")
-    return frame.withColumn(key, F.monotonically_increasing_id())
+    """The table with a key column; one without it, as it was read, gets the row number from 0 in file order."""
+    return frame if key in frame.columns else number_rows(frame, key)
 
 
 def read_questions(spark: SparkSession, path: str, format: str = "parquet", key: str = "id") -> DataFrame:
@@ -65,8 +59,20 @@ def read_questions(spark: SparkSession, path: str, format: str = "parquet", key:
     return with_key(questions, key)
 
 
+def _other_format(failure: Exception) -> bool:
+    """Whether a table could not be opened because its files are not of the format; a damaged file still is.
+
+    Parquet's own mark is missing at the end of such files, or there is no Parquet file from which to take columns.
+    """
+    said = str(failure)
+    return "UNABLE_TO_INFER_SCHEMA" in said or "is not a Parquet file" in said or "Expected magic number" in said
+
+
 def read_dataset(spark: SparkSession, name: str, catalog: dict[str, Dataset]) -> DataFrame:
-    """A data set by name; a table that cannot be read in its format is tried as CSV."""
+    """A data set by name; where its files are not of its format they are read as CSV.
+
+    A place that is missing, not allowed or damaged is an error, not a CSV.
+    """
     wanted = name.strip().lower()
     known = {entry.lower(): dataset for entry, dataset in catalog.items()}
     if wanted not in known:
@@ -74,7 +80,9 @@ def read_dataset(spark: SparkSession, name: str, catalog: dict[str, Dataset]) ->
     dataset = known[wanted]
     try:
         frame = read_table(spark, dataset.path, dataset.format)
-    except Exception:  # noqa: BLE001 - Spark reports an unreadable file in several classes
+    except Exception as failure:  # Spark reports files of another format in several classes
+        if not _other_format(failure):
+            raise
         frame = read_table(spark, dataset.path, "csv")
     split = dataset.split or DATASET_SPLITS.get(wanted)
     if not split:
@@ -96,73 +104,3 @@ def read_responses(
     else:
         responses = F.coalesce(F.col("LLM_response"), F.array().cast("array<string>"))
     return table.withColumn("responses", blanks_to_null(responses)).drop("LLM_response")
-
-
-# What a backslash and the letter after it stand for in a Python literal.
-_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\n": ""}
-# Private characters that stand for escaped backslashes and quotes while the text is cut.
-_HELD = {"\\\\": "\ue000", "\\'": "\ue001", '\\"': "\ue002"}
-_MARK = "\ue003"
-_ITEM = r"""'[^']*'|"[^"]*"|None|True|False|[+-]?(?:[0-9][0-9_]*(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"""
-
-
-def decode_list(serialised: Column, key: Column | None = None) -> Column:
-    """A list or tuple of texts written as a Python literal, as ``ARRAY<STRING>``; blank text gives an empty list.
-
-    Both kinds of quotes and all escapes but names of characters are read; ``None`` is null; numbers and truth
-    values keep their spelling. Text that is no list fails the job with an error that names ``key``.
-    """
-    held = serialised
-    for written, mark in _HELD.items():
-        held = F.replace(held, F.lit(written), F.lit(mark))
-    # What is left when every item is one letter: a bracket, letters between commas, a bracket.
-    skeleton = F.regexp_replace(F.regexp_replace(held, _ITEM, _MARK), r"\s+", "")
-    inner = F.regexp_replace(skeleton, r"^[\[(]|[\])]$", "")
-    plain = F.regexp_replace(F.concat(inner, F.lit(",")), f"{_MARK},", "")
-    closed = (skeleton.startswith("[") & skeleton.endswith("]")) | (skeleton.startswith("(") & skeleton.endswith(")"))
-    listed = closed & ((inner == "") | plain.isin("", ",")) & (skeleton != f"({_MARK})")
-    nested = closed & inner.rlike(r"[\[({]")
-    where = F.concat(F.lit("row "), key.cast("string"), F.lit(": ")) if key is not None else F.lit("")
-    shown = F.left(serialised, F.lit(80))
-
-    def fail(why: str) -> Column:
-        return F.raise_error(F.concat(where, F.lit(why + ": "), shown)).cast("array<string>")
-
-    items = F.transform(F.regexp_extract_all(held, F.lit(_ITEM), F.lit(0)), _item)
-    return (
-        F.when(text.is_blank(serialised), F.array().cast("array<string>"))
-        .when(listed, items)
-        .when(nested, fail("an answer must be text"))
-        .when(closed | skeleton.rlike(r"^[\[(]"), fail("not a valid list"))
-        .otherwise(fail("not a list"))
-    )
-
-
-def _item(written: Column) -> Column:
-    """The text of one item of a literal."""
-    quoted = written.startswith("'") | written.startswith('"')
-    content = F.substring(written, F.lit(2), F.length(written) - 2)
-    return F.when(quoted, _unescaped(content)).when(written != "None", _put_back(written))
-
-
-def _unescaped(content: Column) -> Column:
-    parts = r"(?s)\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\.|[^\\]+"
-
-    def read(part: Column) -> Column:
-        code = F.substring(part, 3, 8)
-        octal = F.conv(F.substring(part, 2, 3), 8, 16)
-        out = F.when(~part.startswith("\\"), part)
-        out = out.when(part.rlike(r"^\\[xuU]."), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
-        out = out.when(part.rlike(r"^\\[0-7]"), F.decode(F.unhex(F.lpad(octal, 8, "0")), "UTF-32"))
-        for letter, meant in _ESCAPES.items():
-            out = out.when(part == "\\" + letter, F.lit(meant))
-        return out.otherwise(part)
-
-    pieces = F.transform(F.regexp_extract_all(content, F.lit(parts), F.lit(0)), read)
-    return _put_back(F.when(F.contains(content, F.lit("\\")), F.array_join(pieces, "")).otherwise(content))
-
-
-def _put_back(held: Column) -> Column:
-    for written, mark in _HELD.items():
-        held = F.replace(held, F.lit(mark), F.lit(written[1]))
-    return held

@@ -335,6 +335,21 @@ WITH {LINES}
 SELECT doc_id, len(r) AS answers, len(list_filter(r, lambda x: {strip("x")} = '')) AS blanks,
   md5(array_to_string(list_transform(r, lambda x: CASE WHEN {strip("x")} = '' THEN '<null>' ELSE x END), '|')) AS digest
 FROM lines""",
+    "decoded_literals": r"""
+WITH t AS (SELECT doc_id, text, text || chr(57344) || chr(57345) || chr(57346) || chr(57347) AS whole FROM documents)
+SELECT doc_id, CAST(6 AS BIGINT) AS items, true AS is_null, md5(whole) AS digest0,
+  md5(replace(replace(whole, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest2,
+  md5(regexp_replace(text, '[''\\\r\n]', ' ', 'g')) AS digest3,
+  md5(left(text, CAST(floor(length(text) / 2) AS INTEGER)) || 'a\d') AS digest4, '1_0' AS number
+FROM t""",
+    "file_numbers": """
+SELECT doc_id, row_number, chars FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_number, length(text) AS chars FROM documents)
+WHERE row_number >= 30""",
+    "versioned_results": """
+SELECT conv_id AS question_id, turn - 1 AS position, r AS response, length(r) AS chars, CAST(2 AS BIGINT) AS version
+FROM (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 11 <> 0 THEN text ELSE ' ' END AS r FROM conversations)
+WHERE turn BETWEEN 1 AND 5""",
     "run_summary": f"""
 WITH {CENTRE.replace("e AS (", "e0 AS (").replace("FROM e)", "FROM e0)")}, {DEFAULTS}, {AGAINST_CLEAN}, {MEDIANS},
 t AS (SELECT * FROM defaults LEFT JOIN medians USING (question_id))

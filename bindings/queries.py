@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from answerlab.functions import spans, text, vectors as vec
@@ -21,6 +23,9 @@ from answerlab.operators import (
 from answerlab.operators.bleu import with_bleu
 from answerlab.operators.hallucination import HallucinationModels
 from answerlab.plans.skew import attach, measure_groups, salt
+from answerlab.session import shared_folder
+from answerlab.sources import versions
+from answerlab.sources.order import number_rows
 from answerlab.sources.tables import decode_list
 from bindings import standins, views
 
@@ -70,6 +75,50 @@ def decode_lists(spark, sf):
     )
 
 
+def decoded_literals(spark, sf):
+    """Every document in five spellings of a literal, with the private characters that some readers hold escapes by."""
+    whole = F.concat(F.col("text"), F.lit("\ue000\ue001\ue002\ue003"))
+    escaped = whole
+    for meant, spelling in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r")):
+        escaped = F.replace(escaped, F.lit(meant), F.lit(spelling))
+    tripled = F.replace(F.replace(whole, F.lit("\\"), F.lit("\\134")), F.lit('"'), F.lit("\\x22"))
+    raw = F.regexp_replace(F.col("text"), r"['\\\r\n]", " ")
+    half = F.floor(F.length("text") / 2).cast("int")
+    left = F.replace(F.replace(F.left("text", half), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\u000a"))
+    parts = ["[u'", escaped, "', None,\n\"\"\"", tripled, "\"\"\" , r'", raw, "', '", F.replace(left, F.lit("'"), F.lit("\\'"))]
+    parts += ["' # halves, ]\n '\\N{LATIN SMALL LETTER A}\\\n\\d', 1_0]"]
+    serialised = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    items = views.spread(views.table(spark, sf, "documents")).select("doc_id", decode_list(serialised, F.col("doc_id")).alias("r"))
+    digests = [F.md5(F.get("r", F.lit(i))).alias(f"digest{i}") for i in (0, 2, 3, 4)]
+    return long_ints(items.select("doc_id", F.size("r").alias("items"), F.get("r", F.lit(1)).isNull().alias("is_null"), *digests, F.get("r", F.lit(5)).alias("number")))
+
+
+def _scratch(spark, name):
+    """A new place in the shared folder that goes when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def file_numbers(spark, sf):
+    """documents as a table of many files without a key: numbers in file order, and what is left after skipping some."""
+    path = _scratch(spark, "unkeyed")
+    views.table(spark, sf, "documents").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    numbered = number_rows(spark.read.parquet(path), "row_number")
+    return numbered.select("doc_id", "row_number", F.length("text").cast("bigint").alias("chars")).where("row_number >= 30")
+
+
+def versioned_results(spark, sf):
+    """The answers as a table, replaced by one made from it with a metric, then read by the pointer."""
+    path = _scratch(spark, "versions")
+    first = versions.replace_table(views.answers(spark, sf), path)
+    scored = versions.read_current(spark, path).withColumn("chars", F.length("response").cast("bigint"))
+    versions.replace_table(scored.where("position < 5"), path, expected=first)
+    rows = versions.read_current(spark, path)
+    return long_ints(rows.withColumn("version", F.lit(versions.current_version(spark, path))))
+
+
 def run_summary(spark, sf):
     scored = _defaults(spark, sf).join(
         _medians(spark, sf).withColumnRenamed("question_id", "id"), F.col("question_id") == F.col("id"), "left"
@@ -562,6 +611,9 @@ QUERIES = {
         src_questions,
         src_responses,
         decode_lists,
+        decoded_literals,
+        file_numbers,
+        versioned_results,
         run_summary,
         first_response,
         blank_labels,

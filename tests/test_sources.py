@@ -33,8 +33,7 @@ def test_responses_from_csv_and_parquet(spark, tmp_path):
     )
     out = sinks.write_table(frame.coalesce(1), str(tmp_path / "in"), [], format="csv")
     many = sinks.write_table(frame.repartition(3, "id"), str(tmp_path / "many"), [], format="csv")
-    with pytest.raises(ValueError, match="needs a column 'question_id'"):
-        tables.read_responses(spark, many, "csv")
+    assert sorted(r.question_id for r in tables.read_responses(spark, many, "csv").collect()) == [0, 1, 2, 3]
     assert tables.read_responses(spark, many, "csv", key="id").count() == 4
     read = tables.read_responses(spark, out, "csv")
     assert "question_id" in read.columns
@@ -70,7 +69,7 @@ def test_python_literals(spark):
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(literals)], "i int, x string")
     rows = frame.select("i", tables.decode_list(F.col("x")).alias("r")).collect()
     assert {r.i: r.r for r in rows} == {i: list(ast.literal_eval(v)) for i, v in enumerate(literals)}
-    for bad in ("['a' 'b']", "['a',,]", "[,]", "['a'", "('x')", "a", "['a']]", "[b'x']", "[x]", "{'a': 1}"):
+    for bad in ("['a',,]", "[,]", "['a'", "('x')", "a", "['a']]", "[b'x']", "[x]", "{'a': 1}"):
         with pytest.raises(Exception, match="list"):
             spark.createDataFrame([(bad,)], "x string").select(tables.decode_list(F.col("x"))).collect()
 
