@@ -5,13 +5,21 @@ list of results. It is called on the executor, once per task, so heavy imports a
 loading stay off the driver. Equal inputs are sent once, results are written to a table
 before anything reads them (a second use calls nothing again), and they are joined back
 by a digest of the input.
+
+A task sends its inputs by length, in batches that stay within a budget of tokens when every input is padded to the
+longest one. A batch that fails is halved until the inputs that fail are alone. With a :class:`Journal` results
+outlive the application: they are written slice by slice, and what is there is never called again.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlab.functions import text
@@ -19,36 +27,84 @@ from answerlab.functions.vectors import vector_fault
 from answerlab.plans.skew import attach, salt, summarise_counts
 from answerlab.session import materialise
 
-# Fixed value: inputs per model call.
+# Fixed value: most inputs per model call.
 BATCH_SIZE = 32
-_ID = "_input_id"
+#: Most tokens per model call, padding included, and characters to a token.
+TOKEN_BUDGET = 16_384
+CHARS_PER_TOKEN = 4
+_ID, _SIZE = "_input_id", "_tokens"
+
+
+@dataclass(frozen=True)
+class Journal:
+    """Where the results of a model are kept for later runs, in a folder that all runs share.
+
+    ``model`` names all that decides a result: the model, its version and its settings. A job that dies loses
+    the slice it was at, of about ``slice_inputs`` inputs.
+    """
+
+    path: str
+    model: str
+    slice_inputs: int = 100_000
+
+    @property
+    def folder(self) -> str:
+        if not re.fullmatch(r"[\w.@+-]+", self.model):
+            raise ValueError(f"a model's name has letters, digits and . @ + - _ only, not {self.model!r}")
+        return f"{self.path.rstrip('/')}/{self.model}"
+
+
+def _packer() -> Callable:
+    # Made here, so that it travels to workers whole.
+    def packed(sizes: list[int], batch_size: int, budget: int, last: bool = True) -> tuple[list[int], int]:
+        """(ends of the batches, inputs in them) for inputs by rising size; without ``last`` the open batch waits.
 
+        A batch of n inputs takes n times its largest size; an input beyond the budget is a batch of its own.
+        """
+        ends, begin = [], 0
+        for index, size in enumerate(sizes):
+            count = index - begin + 1
+            if count > 1 and (count > batch_size or count * size > budget):
+                ends.append(index)
+                begin = index
+        if last and begin < len(sizes):
+            ends.append(len(sizes))
+        return ends, ends[-1] if ends else 0
 
-def _caller(make: Callable, inputs: list[str], batch_size: int):
-    def one_by_one(call, columns):
-        for values in zip(*columns):
-            try:
-                answers = list(call(*[[value] for value in values]))
-                if len(answers) != 1:
-                    raise ValueError(f"the model returned {len(answers)} results for 1 input")
-                yield answers[0], None
-            except Exception as failure:  # noqa: BLE001 - the text of any failure goes into the row
-                yield None, f"{type(failure).__name__}: {failure}"
+    return packed
+
+
+packed = _packer()
+
+
+def _caller(make: Callable, inputs: list[str], batch_size: int, budget: int):
+    packed = _packer()
 
     def results(call, columns):
+        """(answer, error) of every input; a batch that fails is tried again by halves."""
+        count = len(columns[0])
         try:
             answers = list(call(*columns))
-        except Exception:  # noqa: BLE001 - a failed batch is tried again item by item
-            return list(one_by_one(call, columns))
-        if len(answers) != len(columns[0]):
-            raise ValueError(f"the model returned {len(answers)} results for {len(columns[0])} inputs")
+        except Exception as failure:  # noqa: BLE001 - the text of any failure goes into the row
+            if count == 1:
+                return [(None, f"{type(failure).__name__}: {failure}")]
+            half = count // 2
+            return results(call, [c[:half] for c in columns]) + results(call, [c[half:] for c in columns])
+        if len(answers) != count:
+            wrong = f"the model returned {len(answers)} results for {count} input{'s' if count > 1 else ''}"
+            if count == 1:
+                return [(None, f"ValueError: {wrong}")]
+            raise ValueError(wrong)
         return [(answer, None) for answer in answers]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = None
-        for frame in batches:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
+        call, held = None, None
+
+        def sent(frame, last):
+            nonlocal call
+            ends, done = packed(frame["_tokens"].tolist(), batch_size, budget, last)
+            for start, end in zip([0, *ends], ends, strict=False):
+                part = frame.iloc[start:end]
                 call = call or make()
                 pairs = results(call, [part[name].tolist() for name in inputs])
                 yield pd.DataFrame(
@@ -59,6 +115,14 @@ def _caller(make: Callable, inputs: list[str], batch_size: int):
                         "error": pd.Series([error for _, error in pairs], dtype=object),
                     }
                 )
+            return frame.iloc[done:]
+
+        for frame in batches:
+            # The open batch goes on with the next rows.
+            held = frame if held is None or held.empty else pd.concat([held, frame], ignore_index=True)
+            held = yield from sent(held, False)
+        if held is not None and not held.empty:
+            yield from sent(held, True)
 
     return run
 
@@ -76,26 +140,61 @@ def call_distinct(
     result_type: str,
     batch_size: int = BATCH_SIZE,
     tasks: int | None = None,
+    token_budget: int = TOKEN_BUDGET,
+    journal: Journal | None = None,
 ) -> DataFrame:
     """A written table with one row per distinct input: its digest, how many rows have it, result, error.
 
-    ``tasks`` is the number of tasks that call the model, so it bounds the calls at one time.
+    ``tasks`` is the number of tasks that call the model, so it bounds the calls at one time. With a journal only
+    inputs that it holds no result of are sent; inputs that failed are sent again.
     """
-    if batch_size < 1:
-        raise ValueError("batch_size must be at least 1")
+    if batch_size < 1 or token_budget < 1:
+        raise ValueError("batch_size and token_budget must be at least 1")
     known = rows.select(input_id(inputs).alias(_ID), *inputs).where(F.col(_ID).isNotNull())
     # Equal inputs are reduced before and after the shuffle, and counted on the way.
     distinct = known.groupBy(_ID).agg(
         *[F.first(name).alias(name) for name in inputs], F.count(F.lit(1)).alias("rows")
     )
-    # Inputs are few bytes and much work, so their number of tasks does not follow their size.
     spark = rows.sparkSession
-    distinct = distinct.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return materialise(
-        distinct.mapInPandas(
-            _caller(make, inputs, batch_size), f"{_ID} string, rows bigint, result {result_type}, error string"
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def called(part: DataFrame) -> DataFrame:
+        size = F.ceil(sum((F.length(name) for name in inputs), F.lit(0)) / CHARS_PER_TOKEN)
+        # Inputs are few bytes and much work, so their number of tasks does not follow their size.
+        dealt = part.withColumn(_SIZE, F.greatest(size, F.lit(1))).repartition(tasks)
+        return dealt.sortWithinPartitions(_SIZE, _ID).mapInPandas(
+            _caller(make, inputs, batch_size, token_budget), f"{_ID} string, rows bigint, result {result_type}, error string"
         )
-    )
+
+    if journal is None:
+        return materialise(called(distinct))
+    return _journaled(materialise(distinct), called, result_type, journal)
+
+
+def _journaled(distinct: DataFrame, called: Callable, result_type: str, journal: Journal) -> DataFrame:
+    """Results of the distinct inputs from the journal, after what it lacks was called slice by slice."""
+    spark, run = distinct.sparkSession, uuid.uuid4().hex
+    schema = f"{_ID} string, result {result_type}, error string, run string"
+
+    def held() -> DataFrame:
+        return spark.read.schema(schema).parquet(journal.folder)
+
+    try:
+        missing = distinct.join(held().where("error IS NULL"), _ID, "left_anti")
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
+        missing = distinct
+    missing = materialise(missing)
+    slices = max(1, -(-missing.count() // journal.slice_inputs))
+    for number in range(slices):
+        part = missing if slices == 1 else missing.where(F.pmod(F.xxhash64(_ID), F.lit(slices)) == number)
+        # Spark puts the files of a job in place when all of them are whole.
+        called(part).select(_ID, "result", "error", F.lit(run).alias("run")).write.mode("append").parquet(journal.folder)
+    # A result of any run, and else the failure of this one; two runs at once may both have a result.
+    usable = held().where((F.col("error").isNull()) | (F.col("run") == run)).join(distinct, _ID)
+    best = F.max_by(F.struct("rows", "result", "error"), F.struct(F.col("error").isNull(), "run")).alias("best")
+    return materialise(usable.groupBy(_ID).agg(best).select(_ID, "best.*"))
 
 
 def put_back(rows: DataFrame, inputs: list[str], called: DataFrame, result: str) -> DataFrame:
@@ -111,17 +210,9 @@ def put_back(rows: DataFrame, inputs: list[str], called: DataFrame, result: str)
     return attach(spread, results, sizes, how="left").drop(_ID, "_salt")
 
 
-def call_model(
-    rows: DataFrame,
-    inputs: list[str],
-    make: Callable,
-    result_type: str,
-    result: str,
-    batch_size: int = BATCH_SIZE,
-    tasks: int | None = None,
-) -> DataFrame:
-    """Add ``result`` and ``<result>_error``; rows with a null input get null in both."""
-    called = call_distinct(rows, inputs, make, result_type, batch_size, tasks)
+def call_model(rows: DataFrame, inputs: list[str], make: Callable, result_type: str, result: str, **options) -> DataFrame:
+    """Add ``result`` and ``<result>_error``; rows with a null input get null in both. Options of :func:`call_distinct`."""
+    called = call_distinct(rows, inputs, make, result_type, **options)
     return put_back(rows, inputs, called, result)
 
 
@@ -130,43 +221,30 @@ def _hashable(rows: DataFrame, column: str) -> bool:
     return "map<" not in kind and "variant" not in kind
 
 
-def generate_answers(
-    prompts: DataFrame, make: Callable, batch_size: int = BATCH_SIZE, tasks: int | None = None
-) -> DataFrame:
+def generate_answers(prompts: DataFrame, make: Callable, **options) -> DataFrame:
     """Add ``response`` for every ``prompt``."""
-    return call_model(prompts, ["prompt"], make, "string", "response", batch_size, tasks)
+    return call_model(prompts, ["prompt"], make, "string", "response", **options)
 
 
-def translate_back(
-    sentences: DataFrame,
-    make: Callable,
-    there: str,
-    back: str,
-    batch_size: int = BATCH_SIZE,
-    tasks: int | None = None,
-) -> DataFrame:
+def translate_back(sentences: DataFrame, make: Callable, there: str, back: str, **options) -> DataFrame:
     """Noise by translating there and back: ``text_edited``, "" for blank input or a failed call."""
 
     def asked(frame: DataFrame, task: str, source: str) -> DataFrame:
         prompt = F.when(F.coalesce(F.col(source), F.lit("")) != "", F.concat(F.lit(task + "\n\n"), source))
-        answered = generate_answers(frame.withColumn("prompt", prompt), make, batch_size, tasks)
+        answered = generate_answers(frame.withColumn("prompt", prompt), make, **options)
         answer = F.coalesce(text.strip(F.col("response")), F.lit(""))
         return answered.withColumn("text_edited", answer).drop("prompt", "response", "response_error")
 
     return asked(asked(sentences, there, "text"), back, "text_edited")
 
 
-def embed_texts(
-    rows: DataFrame, make: Callable, column: str = "text", batch_size: int = BATCH_SIZE, tasks: int | None = None
-) -> DataFrame:
+def embed_texts(rows: DataFrame, make: Callable, column: str = "text", **options) -> DataFrame:
     """Add vector ``v`` of the cleaned text, and ``v_fault`` naming an unusable vector."""
     cleaned = rows.withColumn("_embedded", text.embedding_text(F.col(column)))
-    embedded = call_model(cleaned, ["_embedded"], make, "array<double>", "v", batch_size, tasks)
+    embedded = call_model(cleaned, ["_embedded"], make, "array<double>", "v", **options)
     return embedded.withColumn("v_fault", vector_fault(F.col("v"))).drop("_embedded")
 
 
-def score_pairs(
-    pairs: DataFrame, make: Callable, metric: str, batch_size: int = BATCH_SIZE, tasks: int | None = None
-) -> DataFrame:
+def score_pairs(pairs: DataFrame, make: Callable, metric: str, **options) -> DataFrame:
     """Add a metric of (reference, candidate); call once per metric so one model is loaded at a time."""
-    return call_model(pairs, ["reference", "candidate"], make, "double", metric, batch_size, tasks)
+    return call_model(pairs, ["reference", "candidate"], make, "double", metric, **options)

@@ -597,6 +597,9 @@ SELECT doc_id AS id, length(text) AS chars, position FROM documents CROSS JOIN (
     "batch_generate": f"""
 SELECT doc_id AS id, 'True: ' || md5(replace({quoted(TEMPLATE)}, '[DOCUMENT]', text)) AS response, NULL::VARCHAR AS response_error
 FROM documents""",
+    "journaled_calls": f"""
+WITH {TEXTS} SELECT question_id, 'True: ' || md5(text) AS response, NULL::VARCHAR AS response_error, CAST(1 AS BIGINT) AS sent
+FROM texts WHERE text IS NOT NULL""",
     "back_translation": f"WITH {TEXTS} SELECT question_id, {strip('text')} AS text_edited FROM texts",
     "batch_embed": f"""
 WITH h AS (

@@ -567,6 +567,16 @@ def back_translation(spark, sf):
     return inference.translate_back(views.texts(spark, sf), standins.reverser(), there, back).drop("text")
 
 
+def journaled_calls(spark, sf):
+    """Every turn sent to a model with a journal, a part of them in an earlier run; and how often each input was sent."""
+    rows = views.texts(spark, sf).withColumnRenamed("text", "prompt")
+    journal = inference.Journal(_scratch(spark, "journal"), "stand-in@1")
+    inference.generate_answers(rows.where(F.length("prompt") % 3 == 0), standins.answers(), journal=journal)
+    answered = inference.generate_answers(rows, standins.answers(), journal=journal, token_budget=2000).drop("prompt")
+    sent = spark.read.parquet(journal.folder).groupBy(F.col("result").alias("response")).agg(F.count(F.lit(1)).alias("sent"))
+    return answered.join(sent, "response").select("question_id", "response", "response_error", "sent")
+
+
 def batch_embed(spark, sf):
     rows = views.spread(views.questions(spark, sf).select("id", "question"))
     embedded = inference.embed_texts(rows, standins.encoder(), "question")
@@ -662,6 +672,7 @@ QUERIES = {
         synonym_variants,
         batch_generate,
         back_translation,
+        journaled_calls,
         batch_embed,
         batch_pair_scores,
         generated_answers,

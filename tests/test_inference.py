@@ -124,3 +124,124 @@ def test_broadcast_limit_is_a_size_check(spark):
     assert skew.fits_broadcast(sizes, 100) and not skew.fits_broadcast(sizes, 2**20)
     assert not skew.fits_broadcast(sizes, None)
     assert frame.select(F.lit(1)).count() == 100
+
+
+def test_packing_stays_within_the_budget():
+    sizes = sorted([1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 500, 3, 3, 3, 3])
+    for budget in (1, 10, 40, 120, 1000):
+        for batch_size in (1, 4, 32):
+            ends, done = inference.packed(sizes, batch_size, budget)
+            assert done == len(sizes) and ends == sorted(set(ends))
+            for a, b in zip([0, *ends], ends, strict=False):
+                assert b - a == 1 or (b - a <= batch_size and (b - a) * sizes[b - 1] <= budget)
+                # No batch could take the next input too.
+                assert b == len(sizes) or b - a == batch_size or (b - a + 1) * sizes[b] > budget
+            open_ends, held = inference.packed(sizes, batch_size, budget, last=False)
+            assert open_ends == ends[:-1] and held == (ends[-2] if len(ends) > 1 else 0)
+
+
+def test_batches_by_length_over_all_rows_of_a_task(spark, tmp_path):
+    texts = [f"{i:04d}" + "x" * (i * 37 % 901) for i in range(700)]
+    frame = spark.createDataFrame([(t,) for t in texts], "prompt string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        answered = inference.generate_answers(frame, calls_factory(str(tmp_path)), tasks=2, token_budget=1000).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert {r.prompt: r.response for r in answered} == {t: t.upper() for t in texts}
+    batches = [f.read_text().split("\n") for f in tmp_path.iterdir()]
+    assert sorted(t for batch in batches for t in batch) == sorted(texts)
+    for batch in batches:
+        assert len(batch) <= 32 and (len(batch) == 1 or len(batch) * max(-(-len(t) // 4) for t in batch) <= 1000)
+    # Padded, the texts take little more than they are; in any order they took about twice as much.
+    padded = sum(len(batch) * max(map(len, batch)) for batch in batches)
+    assert padded <= 1.25 * sum(map(len, texts)) and len(batches) <= 1.5 * sum(map(len, texts)) / 4000 + 700 / 32
+
+
+def test_a_bad_input_costs_few_calls(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        def call(prompts):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as out:
+                out.write("\n".join(prompts))
+            if "p13" in prompts:
+                raise RuntimeError("no")
+            return prompts
+
+        return call
+
+    frame = spark.createDataFrame([(f"p{i:02d}",) for i in range(32)], "prompt string")
+    rows = {r.prompt: r for r in inference.generate_answers(frame, make, tasks=1).collect()}
+    assert [p for p, r in rows.items() if r.response is None] == ["p13"] and rows["p13"].response_error == "RuntimeError: no"
+    assert len(list(tmp_path.iterdir())) == 1 + 2 * 5
+
+
+def test_a_run_goes_on_where_the_last_one_died(spark, tmp_path):
+    calls, journal = tmp_path / "calls", inference.Journal(str(tmp_path / "journal"), "fake@1", slice_inputs=25)
+    calls.mkdir()
+    folder, alive = str(calls), str(tmp_path / "alive")
+
+    def make():
+        import os
+        import uuid
+
+        def call(prompts):
+            # The worker dies at about half of all inputs.
+            done = sum(len(open(os.path.join(folder, f)).read().split("\n")) for f in os.listdir(folder))
+            if done >= 100 and not os.path.exists(alive):
+                os._exit(1)
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as out:
+                out.write("\n".join(prompts))
+            return [p.upper() for p in prompts]
+
+        return call
+
+    def sent():
+        return [line for f in calls.iterdir() for line in f.read_text().split("\n")]
+
+    texts = [f"prompt {i}" for i in range(200)]
+    frame = spark.createDataFrame([(t,) for t in texts], "prompt string")
+    with pytest.raises(Exception):  # noqa: B017 - of Spark
+        inference.generate_answers(frame, make, journal=journal, batch_size=5, tasks=2)
+    kept = {r["result"] for r in spark.read.parquet(journal.folder).collect()}
+    assert 50 <= len(kept) < 150
+    (tmp_path / "alive").touch()
+    answered = inference.generate_answers(frame, make, journal=journal, batch_size=5, tasks=2)
+    assert {r.prompt: r.response for r in answered.collect()} == {t: t.upper() for t in texts}
+    again = [t for t in set(sent()) if sent().count(t) > 1]
+    # What was kept was not called again; of the slice that died, at most that slice.
+    assert not {t.upper() for t in again} & kept and len(again) <= 50
+    count = len(sent())
+    # A third run, and one of fewer inputs in another table, call nothing.
+    for rows in (frame, frame.where("prompt LIKE '%7'")):
+        assert inference.generate_answers(rows, make, journal=journal).where("response IS NULL").count() == 0
+    assert len(sent()) == count
+
+
+def test_failed_calls_are_sent_again_and_models_kept_apart(spark, tmp_path):
+    journal = inference.Journal(str(tmp_path / "journal"), "m1")
+    frame = spark.createDataFrame([("a",), ("bad",), ("b",), (None,)], "prompt string")
+
+    def failing():
+        def call(prompts):
+            if "bad" in prompts:
+                raise RuntimeError("no")
+            return [p + "1" for p in prompts]
+
+        return call
+
+    rows = {r.prompt: r for r in inference.generate_answers(frame, failing, journal=journal).collect()}
+    assert rows["bad"].response_error == "RuntimeError: no" and rows["a"].response == "a1" and rows[None].response is None
+    second = inference.generate_answers(frame, lambda: lambda prompts: [p + "2" for p in prompts], journal=journal)
+    assert {r.prompt: (r.response, r.response_error) for r in second.collect()} == {
+        "a": ("a1", None), "b": ("b1", None), "bad": ("bad2", None), None: (None, None)
+    }
+    other = inference.Journal(str(tmp_path / "journal"), "m2")
+    third = inference.generate_answers(frame, lambda: lambda prompts: [p + "3" for p in prompts], journal=other)
+    assert {r.response for r in third.collect()} == {"a3", "b3", "bad3", None}
+    with pytest.raises(ValueError, match="name"):
+        inference.generate_answers(frame, failing, journal=inference.Journal(str(tmp_path), "a/b"))
