@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from answerlab.operators import sampling, validate
 from answerlab.operators.review import keep_unremoved, review_summary, with_decisions
+from answerlab.session import materialise
 from answerlab.sources.sinks import write_table
 
 
@@ -17,13 +18,13 @@ def draw(
     category: str | None = None,
     key: str = "id",
 ) -> DataFrame:
-    """A checked sample per category, or of one category."""
+    """A checked sample per category, or of one category, drawn once: all that follows reads what was written."""
     validate.require_columns(questions, {"question", "category", key}, "question table")
     validate.require_rows(questions, "question table")
     validate.require_values(questions, "category", key)
     validate.require_values(questions, "question", key)
     sampling.check_sample(questions, sample_size, skip, only=category)
-    return sampling.stratified_sample(questions, sample_size, skip, seed, key=key, only=category)
+    return materialise(sampling.stratified_sample(questions, sample_size, skip, seed, key=key, only=category))
 
 
 def finish(

@@ -135,11 +135,16 @@ def synonym_variants(
     variants: int = VARIANTS,
     pos: str = "VERB",
     key: str = "question_id",
+    whole_words: bool = True,
 ) -> DataFrame:
     """``(key, position, text_edited, replaced)``: up to ``sample_size`` words swapped for a synonym.
 
     Words whose lexicon entry (word, pos, synonyms) has the wanted part of speech are
     candidates. Whole words are replaced, everywhere in the text.
+
+    Without ``whole_words`` one picked word after the other, in the order they were drawn, is replaced wherever its
+    letters stand, inside other words and in what was put in before; the number of its synonym is drawn below the number
+    of picked words, and a word with fewer synonyms than that stays. ``replaced`` counts the picked words.
     """
     # One entry for each word: the synonyms of repeated entries are put together.
     usable = (
@@ -170,13 +175,20 @@ def synonym_variants(
         ),
     )
 
+    drawn = F.when(F.col("position") > 0, F.slice(F.sort_array(ordered), 1, sample_size))
+
     def choose(w):
         number = F.conv(F.substring(F.md5(F.concat(w["draw"], F.lit("choice"))), 1, 7), 16, 10).cast("bigint")
-        chosen = F.get(w["synonyms"], F.pmod(number, F.size(w["synonyms"])).cast("int"))
+        bound = F.size(w["synonyms"]) if whole_words else F.size(drawn)
+        chosen = F.get(w["synonyms"], F.pmod(number, bound).cast("int"))
         return F.struct(w["token"].alias("token"), chosen.alias("synonym"))
 
-    drawn = F.when(F.col("position") > 0, F.slice(F.sort_array(ordered), 1, sample_size))
     fanned = fanned.withColumn("swaps", F.transform(drawn, choose))
+    replaced = F.coalesce(F.size("swaps"), F.lit(0)).alias("replaced")
+    if not whole_words:
+        put_in = lambda held, swap: F.replace(held, swap["token"], F.coalesce(swap["synonym"], swap["token"]))
+        everywhere = F.aggregate(F.coalesce("swaps", F.array().cast(fanned.schema["swaps"].dataType)), F.col("text"), put_in)
+        return fanned.select(key, "position", everywhere.alias("text_edited"), replaced)
     swapped = F.transform(
         "pieces",
         lambda piece: F.coalesce(
@@ -184,6 +196,4 @@ def synonym_variants(
         ),
     )
     edited = F.when(F.coalesce(F.size("swaps"), F.lit(0)) == 0, F.col("text")).otherwise(F.array_join(swapped, ""))
-    return fanned.select(
-        key, "position", edited.alias("text_edited"), F.coalesce(F.size("swaps"), F.lit(0)).alias("replaced")
-    )
+    return fanned.select(key, "position", edited.alias("text_edited"), replaced)

@@ -8,6 +8,15 @@ from answerlab.functions import text, vectors as vec
 from answerlab.plans.skew import measure_groups
 
 
+def column_report(frame: DataFrame, required: set[str]) -> DataFrame:
+    """``(name, present, filled)`` of the required columns: whether there, and in how many rows not null. One pass."""
+    counts = [F.count(frame[c] if c in frame.columns else F.lit(None)).alias(f"c{i}") for i, c in enumerate(sorted(required))]
+    told = [
+        F.struct(F.lit(c).alias("name"), F.lit(c in frame.columns).alias("present"), F.col(f"c{i}").alias("filled"))
+        for i, c in enumerate(sorted(required))
+    ]
+    return frame.agg(*counts).select(F.inline(F.array(*told)))
+
 
 def require_columns(frame: DataFrame, required: set[str], what: str = "table") -> None:
     missing = sorted(required - set(frame.columns))
@@ -106,14 +115,23 @@ def check_answers(frame: DataFrame, key: str, dataset_name: str | None, judge_ca
     return judge_categories and named
 
 
-def require_one_score_per_pair(scores: DataFrame, pairs: DataFrame, keys: list[str]) -> None:
-    """Every pair has exactly one score row."""
-    counted = (
+def _pair_counts(scores: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    return (
         pairs.select(*keys, F.lit(1).alias("_pair"))
         .unionByName(scores.select(*keys, F.lit(0).alias("_pair")))
         .groupBy(*keys)
         .agg(F.sum("_pair").alias("pairs"), F.sum(1 - F.col("_pair")).alias("scores"))
     )
+
+
+def score_faults(scores: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys without exactly one pair and one score, with how many there are of each."""
+    return _pair_counts(scores, pairs, keys).where("pairs <> 1 OR scores <> 1")
+
+
+def require_one_score_per_pair(scores: DataFrame, pairs: DataFrame, keys: list[str]) -> None:
+    """Every pair has exactly one score row."""
+    counted = _pair_counts(scores, pairs, keys)
     row = counted.agg(
         F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"),
         F.coalesce(F.sum("scores"), F.lit(0)).alias("scores"),

@@ -224,6 +224,33 @@ SELECT question_id, position, string_agg(c, '' ORDER BY place) FILTER (NOT dropp
 FROM moved GROUP BY question_id, position
 UNION ALL SELECT question_id, 0, text FROM texts)"""
 
+SUBSTRINGS = rf"""
+WITH {TEXTS},
+lexicon AS (
+  SELECT DISTINCT word, list_sort([reverse(word), word || 'ing']) AS synonyms
+  FROM (SELECT unnest({words("lower(text)")}) AS word FROM benchmark) WHERE length(word) >= 4),
+cand AS (SELECT DISTINCT question_id, unnest({words("text")}) AS token FROM texts),
+drawn AS (
+  SELECT question_id, token, synonyms, position, md5('42|' || question_id || '|' || position || '|' || token) AS h
+  FROM cand JOIN lexicon ON lower(token) = word CROSS JOIN (SELECT unnest(range(1, 19)) AS position)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id, position ORDER BY h, token) AS n FROM drawn),
+few AS (
+  SELECT question_id, position, token, synonyms[1 + ('0x' || md5(h || 'choice')[1:7])::BIGINT % least(2, count(*) OVER w)] AS synonym,
+         n, least(2, count(*) OVER w) AS replaced
+  FROM ranked WINDOW w AS (PARTITION BY question_id, position)),
+picked AS (
+  SELECT question_id, position, max(replaced) AS replaced, max(token) FILTER (n = 1) AS t1, max(synonym) FILTER (n = 1) AS s1,
+         max(token) FILTER (n = 2) AS t2, max(synonym) FILTER (n = 2) AS s2
+  FROM few WHERE n <= 2 GROUP BY question_id, position),
+fanned AS (SELECT question_id, text, position FROM texts CROSS JOIN (SELECT unnest(range(0, 19)) AS position)),
+once AS (
+  SELECT *, CASE WHEN t1 IS NULL THEN text ELSE replace(text, t1, coalesce(s1, t1)) END AS first_done
+  FROM fanned LEFT JOIN picked USING (question_id, position))
+SELECT question_id, position, coalesce(replaced, 0) AS replaced,
+  CASE WHEN t2 IS NULL THEN first_done ELSE replace(first_done, t2, coalesce(s2, t2)) END AS text_edited FROM once
+"""
+
 SYNONYMS = rf"""
 WITH {TEXTS},
 lexicon AS (
@@ -580,10 +607,28 @@ SELECT conv_id, turn, len(w) AS tokens,
   md5(array_to_string(w, ' ')) AS digest FROM t""",
     "best_class": """
 WITH e AS (SELECT vec_id AS position, embedding::DOUBLE[] AS v FROM embeddings)
-SELECT position, 'class ' || (list_position(v, list_max(v)) - 1) AS best_class, round(list_max(v), 6) AS score,
-  round(list_min(v), 6) AS last_score,
+SELECT position, 'class ' || (list_position(v, list_max(v)) - 1) AS best_class, round(list_max(v), 6) AS score FROM e""",
+    "class_ranking": """
+WITH e AS (SELECT vec_id AS position, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT position, round(list_min(v), 6) AS last_score,
   (SELECT string_agg('class ' || (i - 1), ',' ORDER BY s DESC, i)
    FROM (SELECT unnest(v) AS s, generate_subscripts(v, 1) AS i)) AS ranking FROM e""",
+    "written_review": f"""
+WITH {QUESTIONS}, {sample("questions")}, {REVIEWED} SELECT id, category, decision, decision <> 'remove' AS kept FROM decided""",
+    "required_columns": """
+SELECT 'documents' AS source, n AS name, n IN ('text', 'lang') AS present,
+  CASE n WHEN 'text' THEN (SELECT count(text) FROM documents) WHEN 'lang' THEN (SELECT count(lang) FROM documents) ELSE 0 END AS filled
+FROM (SELECT unnest(['question', 'category', 'text', 'lang', 'turn']) AS n)
+UNION ALL
+SELECT 'conversations', n, n IN ('text', 'turn'),
+  CASE n WHEN 'text' THEN (SELECT count(text) FROM conversations) WHEN 'turn' THEN (SELECT count(turn) FROM conversations) ELSE 0 END
+FROM (SELECT unnest(['question', 'category', 'text', 'lang', 'turn']) AS n)""",
+    "score_faults": """
+SELECT * FROM (
+  SELECT conv_id, turn, CAST(1 AS BIGINT) AS pairs, CAST(CASE WHEN (conv_id + turn) % 7 = 0 THEN 0
+    WHEN (conv_id + turn) % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS scores FROM conversations) WHERE scores <> 1""",
+    "category_datasets": "SELECT doc_id, doc_id % 6 < 2 AS judged FROM documents",
+    "synonym_substrings": SUBSTRINGS,
     "synonym_table": f"""
 WITH w AS (
   SELECT conv_id || '-' || turn AS word,
@@ -611,3 +656,5 @@ WITH {ANSWERED}, {PAIRS}
 SELECT question_id, comparison, NULL::VARCHAR AS word_overlap_error,
   round({OVERLAP}, 6) AS word_overlap FROM pairs""",
 }
+
+ORACLE["written_positions"] = f"SELECT * EXCLUDE (position) FROM ({ORACLE['position_metrics']}) AS told"

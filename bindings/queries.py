@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from answerlab.functions import spans, text, vectors as vec
-from answerlab.jobs import analysis, generate as gen
+from answerlab.jobs import analysis, generate as gen, review as review_job
 from answerlab.operators import (
     centre,
     ensemble,
@@ -23,10 +23,10 @@ from answerlab.operators import (
 from answerlab.operators.bleu import with_bleu
 from answerlab.operators.hallucination import HallucinationModels
 from answerlab.plans.skew import attach, measure_groups, salt
-from answerlab.session import shared_folder
-from answerlab.sources import versions
+from answerlab.session import materialise, shared_folder
+from answerlab.sources import sinks, versions
 from answerlab.sources.order import number_rows
-from answerlab.sources.tables import decode_list
+from answerlab.sources.tables import decode_list, read_table
 from bindings import standins, views
 
 METRICS = ["click", "view", "purchase", "signup", "error", "refund"]
@@ -175,6 +175,30 @@ def comparison_pairs(spark, sf):
     return pairs.comparison_pairs(views.answered_questions(spark, sf))
 
 
+def required_columns(spark, sf):
+    """What a question table would need, held against two tables."""
+    told = [
+        validate.column_report(views.table(spark, sf, name), {"question", "category", "text", "lang", "turn"}).withColumn("source", F.lit(name))
+        for name in ("documents", "conversations")
+    ]
+    return told[0].unionByName(told[1])
+
+
+def score_faults(spark, sf):
+    """Turns as pairs; some have no score and some two."""
+    turns = views.table(spark, sf, "conversations").select("conv_id", "turn")
+    scores = turns.where("(conv_id + turn) % 7 <> 0")
+    scores = scores.unionByName(scores.where("(conv_id + turn) % 5 = 0"))
+    return long_ints(validate.score_faults(scores, turns, ["conv_id", "turn"]))
+
+
+def category_datasets(spark, sf):
+    """Names of data sets as people write them, and whether answers of them are judged by category."""
+    name = F.expr("""CASE doc_id % 6 WHEN 0 THEN '  MBZUAI ' WHEN 1 THEN 'mbzuai/LaMini-Hallucination\\n' WHEN 2 THEN 'mbzuai2'
+        WHEN 3 THEN lang WHEN 4 THEN source END""")
+    return views.table(spark, sf, "documents").select("doc_id", text.is_category_dataset(name).alias("judged"))
+
+
 def scored_rows(spark, sf):
     """Every question with its three comparisons: BLEU in the row, model scores put back by key."""
     questions = views.answered_questions(spark, sf)
@@ -186,23 +210,32 @@ def scored_rows(spark, sf):
     return finished(scattered.drop("label_gt", "clean_response", "center_response"))
 
 
-def _sample(spark, sf):
-    return sampling.stratified_sample(views.questions(spark, sf), SAMPLE, SKIP, SEED)
-
-
-def _decisions(spark, sf):
+def _review(spark, sf):
+    """(sample, decisions): the sample is drawn once, from the two columns it needs, and written."""
+    drawn = sampling.stratified_sample(views.questions(spark, sf).select("id", "category"), SAMPLE, SKIP, SEED)
+    sample = materialise(drawn)
     labels = views.table(spark, sf, "labels").select(
         F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "remove").otherwise("keep").alias("decision")
     )
-    return _sample(spark, sf).select("id").join(labels, "id")
+    return sample, sample.select("id").join(labels, "id")
 
 
 def review_decisions(spark, sf):
-    return review.with_decisions(_sample(spark, sf), _decisions(spark, sf)).select("id", "category", "decision")
+    return review.with_decisions(*_review(spark, sf)).select("id", "category", "decision")
 
 
 def review_filtered(spark, sf):
-    return review.keep_unremoved(views.questions(spark, sf), _decisions(spark, sf))
+    return review.keep_unremoved(views.questions(spark, sf), _review(spark, sf)[1])
+
+
+def written_review(spark, sf):
+    """The review job's files, read back: decisions, and whether the question is in the filtered copy."""
+    sample, decisions = _review(spark, sf)
+    path = _scratch(spark, "review")
+    review_job.finish(views.questions(spark, sf), sample, decisions, path, [f"{sf}/documents.parquet"])
+    left = spark.read.parquet(f"{path}/filtered").select("id", F.lit(True).alias("kept"))
+    told = spark.read.parquet(f"{path}/decisions").select("id", "category", "decision")
+    return told.join(left, "id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 # --- aggregations --------------------------------------------------------------------
@@ -323,6 +356,15 @@ def position_metrics(spark, sf):
     return finished(means)
 
 
+def written_positions(spark, sf):
+    """The position summary as the CSV file it is written to, read back."""
+    path = _scratch(spark, "positions")
+    written = sinks.write_position_summary(position_metrics(spark, sf), path, [f"{sf}/conversations.parquet"])
+    kinds = [(name, kind) for name, kind in position_metrics(spark, sf).dtypes if name != "position"]
+    table = read_table(spark, written, "csv")
+    return table.select(*[F.col(name).cast(kind) for name, kind in kinds])
+
+
 def _judges():
     return analysis.Scorers({}, {}, HallucinationModels(standins.encoder(), standins.logits()))
 
@@ -353,8 +395,9 @@ def category_counts(spark, sf):
 
 
 def review_summary(spark, sf):
-    reviewed = review.with_decisions(_sample(spark, sf), _decisions(spark, sf))
-    return review.review_summary(reviewed, review_filtered(spark, sf))
+    sample, decisions = _review(spark, sf)
+    filtered = review.keep_unremoved(views.questions(spark, sf).select("id"), decisions)
+    return review.review_summary(review.with_decisions(sample, decisions), filtered)
 
 
 def accuracy_summary(spark, sf):
@@ -496,19 +539,21 @@ def message_span(spark, sf):
     )
 
 
+def _classes():
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(F.lit("class "), i.cast("string")))
+
+
 def best_class(spark, sf):
     rows = views.vectors(spark, sf)
-    labels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(F.lit("class "), i.cast("string")))
-    listed = rows.select("position", "v", vec.class_scores(F.col("v"), labels).alias("scores"))
-    return finished(
-        listed.select(
-            "position",
-            vec.best_class(F.col("v"), labels).alias("best_class"),
-            F.array_max("v").alias("score"),
-            F.array_join(F.transform("scores", lambda s: s["label"]), ",").alias("ranking"),
-            F.element_at("scores", -1)["score"].alias("last_score"),
-        )
-    )
+    best = vec.best_class(F.col("v"), _classes()).alias("best_class")
+    return finished(rows.select("position", best, F.array_max("v").alias("score")))
+
+
+def class_ranking(spark, sf):
+    """All classes of a row, best first."""
+    listed = views.vectors(spark, sf).select("position", vec.class_scores(F.col("v"), _classes()).alias("scores"))
+    ranking = F.array_join(F.transform("scores", lambda s: s["label"]), ",").alias("ranking")
+    return finished(listed.select("position", ranking, F.element_at("scores", -1)["score"].alias("last_score")))
 
 
 def synonym_table(spark, sf):
@@ -556,6 +601,11 @@ def synonym_variants(spark, sf):
     return long_ints(noise.synonym_variants(views.texts(spark, sf), _lexicon(spark, sf)))
 
 
+def synonym_substrings(spark, sf):
+    """Picked words replaced wherever their letters stand."""
+    return long_ints(noise.synonym_variants(views.texts(spark, sf), _lexicon(spark, sf), whole_words=False))
+
+
 def batch_generate(spark, sf):
     questions = views.spread(views.questions(spark, sf).select("id", "question"))
     prompts = questions.select("id", text.render_prompt(TEMPLATE, F.col("question")).alias("prompt"))
@@ -634,6 +684,11 @@ QUERIES = {
         scored_rows,
         review_decisions,
         review_filtered,
+        written_review,
+        written_positions,
+        required_columns,
+        score_faults,
+        category_datasets,
         robust_centre,
         centre_response,
         centre_consistency,
@@ -666,10 +721,12 @@ QUERIES = {
         hallucination_score,
         message_span,
         best_class,
+        class_ranking,
         synonym_table,
         variant_fanout,
         typo_variants,
         synonym_variants,
+        synonym_substrings,
         batch_generate,
         back_translation,
         journaled_calls,
