@@ -101,15 +101,152 @@ def _typo_mapper(seed: int, rate: float, variants: int, key: str):
     return run
 
 
+def _compounding_mapper(seed: int, rate: float, variants: int, key: str):
+    """As above, for edits that act one after the other. Every edit takes steps in the logarithm of the text's length."""
+    most = _OUTPUT_CHARS
+
+    class Sums:
+        """Whole numbers by place, with their running sums: a tree of prefix sums."""
+
+        def __init__(self, values):
+            self.size = len(values)
+            self.tree = [0, *values]
+            self.top = 1 << self.size.bit_length() >> 1
+            for place in range(1, self.size + 1):
+                above = place + (place & -place)
+                if above <= self.size:
+                    self.tree[above] += self.tree[place]
+
+        def copy(self):
+            other = object.__new__(Sums)
+            other.size, other.top, other.tree = self.size, self.top, self.tree[:]
+            return other
+
+        def add(self, place, value):
+            place += 1
+            while place <= self.size:
+                self.tree[place] += value
+                place += place & -place
+
+        def before(self, place):
+            total = 0
+            while place:
+                total += self.tree[place]
+                place &= place - 1
+            return total
+
+        def find(self, rank):
+            """The first place whose running sum, itself included, exceeds ``rank``."""
+            place, step = 0, self.top
+            while step:
+                ahead = place + step
+                if ahead <= self.size and self.tree[ahead] <= rank:
+                    place, rank = ahead, rank - self.tree[ahead]
+                step >>= 1
+            return place
+
+    def prepared(value):
+        letter = [int(char.isalpha()) for char in value]
+        part, parts, begins = [], 0, [0]
+        for place, char in enumerate(value):
+            # Every digit begins a part, so a part is letters and signs without a digit between them.
+            if char.isdecimal():
+                parts += 1
+                begins.append(place)
+            part.append(parts)
+        counts = [0] * (parts + 1)
+        for place, own in enumerate(part):
+            counts[own] += letter[place]
+        pairs = [int(a and b) for a, b in zip(letter, [*letter[1:], 0])]
+        weights = Sums([count if count > 1 else 0 for count in counts])
+        return letter, [*begins, len(value)], counts, weights, Sums(letter), Sums(pairs)
+
+    def edited(value, state, edits, draws):
+        letter, begins, counts, weights, letters, pairs = state
+        counts, weights, letters, pairs = counts[:], weights.copy(), letters.copy(), pairs.copy()
+        chars = list(value)
+        size = len(chars)
+        after, ahead = list(range(1, size + 1)), list(range(-1, size - 1))
+        alive = [True] * size
+        left = sum(count for count in counts if count > 1)
+        for step in range(edits):
+            if not left:
+                break
+            which, swap, drop = draws(step)
+            # A part is drawn by the letters it still has; parts with a single one are left alone.
+            own = weights.find(which % left)
+            begin, end = begins[own], begins[own + 1]
+            held = pairs.before(begin)
+            found = pairs.before(end) - held
+            if found:
+                first = pairs.find(held + swap % found)
+                second = after[first]
+                chars[first], chars[second] = chars[second], chars[first]
+            gone = letters.find(letters.before(begin) + drop % counts[own])
+            before, next_ = ahead[gone], after[gone]
+            alive[gone] = False
+            letters.add(gone, -1)
+            follows = next_ < size and letter[next_]
+            if follows:
+                pairs.add(gone, -1)
+            if before >= 0 and letter[before] and not follows:
+                pairs.add(before, -1)
+            if before >= 0:
+                after[before] = next_
+            if next_ < size:
+                ahead[next_] = before
+            counts[own] -= 1
+            lost = 1 if counts[own] > 1 else 2
+            weights.add(own, -lost)
+            left -= lost
+        return "".join(char for char, stays in zip(chars, alive) if stays)
+
+    def variants_of(question, value):
+        import hashlib
+
+        yield 0, value
+        state = prepared(value)
+        edits = int(rate * sum(state[2]))
+        for position in range(1, variants + 1):
+
+            def draws(step, position=position):
+                digest = hashlib.md5(f"{seed}|{question}|{position}|{step}".encode()).hexdigest()
+                return int(digest[:10], 16), int(digest[10:20], 16), int(digest[20:30], 16)
+
+            yield position, edited(value, state, edits, draws) if edits else value
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, size = [], 0
+            for question, value in zip(batch[key], batch["text"]):
+                for position, variant in variants_of(question, value):
+                    rows.append((question, position, variant))
+                    size += len(variant)
+                if size > most:
+                    yield pd.DataFrame(rows, columns=[key, "position", "text_edited"])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "position", "text_edited"])
+
+    return run
+
+
 def typo_variants(
     questions: DataFrame,
     seed: int = 42,
     rate: float = TYPO_RATE,
     variants: int = VARIANTS,
     key: str = "question_id",
+    compounding: bool = False,
 ) -> DataFrame:
     """``(key, position, text_edited)``: the clean text and its typo variants.
 
+    With ``compounding`` the ``int(rate * letters)`` edits of a variant act one after the other, each on the text that the
+    last one left. Digits cut a text into parts. An edit draws a part with at least two letters, in proportion to the letters
+    it still has; there it swaps two neighbouring letters, if any stand together, and then drops a letter. Where
+    no part has two letters left the variant is done.
+
+    Without, all sites are drawn at once from the clean text, which is some ten times faster.
     ``int(rate * letters)`` edits per variant. Each drops a letter and swaps two neighbouring letters that stay;
     no letter takes part in two swaps. Digits never move, and every text part keeps a letter. So there are as many
     drops as edits, or as many as leave every part a letter, and as many swaps as edits, or as many as the runs
@@ -122,7 +259,7 @@ def typo_variants(
     # The key travels as text: batches with a missing number would turn the others into fractions.
     asked = questions.where("text is not null").select(F.col(key).cast("string").alias(key), "text")
     edited = asked.mapInPandas(
-        _typo_mapper(seed, rate, variants, key), f"`{key}` string, position int, text_edited string"
+        (_compounding_mapper if compounding else _typo_mapper)(seed, rate, variants, key), f"`{key}` string, position int, text_edited string"
     )
     return edited.withColumn(key, F.col(key).cast(kind))
 

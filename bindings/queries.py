@@ -588,6 +588,11 @@ def typo_variants(spark, sf):
     return long_ints(noise.typo_variants(views.texts(spark, sf)))
 
 
+def compounded_typos(spark, sf):
+    """Typos whose edits act one after the other."""
+    return long_ints(noise.typo_variants(views.texts(spark, sf), compounding=True, variants=6))
+
+
 def _lexicon(spark, sf):
     words = views.table(spark, sf, "benchmark").select(F.explode(text.words(F.lower("text"))).alias("word"))
     return words.distinct().select(
@@ -725,6 +730,7 @@ QUERIES = {
         synonym_table,
         variant_fanout,
         typo_variants,
+        compounded_typos,
         synonym_variants,
         synonym_substrings,
         batch_generate,

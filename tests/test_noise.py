@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter
 
@@ -78,6 +79,75 @@ def test_keys_do_not_depend_on_the_batch(spark):
     assert sorted(alone) == sorted(noise.typo_variants(mixed, variants=3).where("question_id = 1").collect())
 
 
+def compounded(value, edits, draws):
+    """The definition, on a list of parts."""
+    parts, digits = re.split(r"\d", value), re.findall(r"\d", value)
+    for step in range(edits):
+        letters = [[i for i, c in enumerate(p) if c.isalpha()] for p in parts]
+        weights = [len(places) if len(places) > 1 else 0 for places in letters]
+        if not sum(weights):
+            break
+        which, swap, drop = draws(step)
+        own = next(i for i in range(len(parts)) if sum(weights[: i + 1]) > which % sum(weights))
+        chars = list(parts[own])
+        pairs = [i for i in range(len(chars) - 1) if chars[i].isalpha() and chars[i + 1].isalpha()]
+        if pairs:
+            i = pairs[swap % len(pairs)]
+            chars[i], chars[i + 1] = chars[i + 1], chars[i]
+        del chars[letters[own][drop % weights[own]]]
+        parts[own] = "".join(chars)
+    return "".join(p + d for p, d in zip(parts, [*digits, ""], strict=True))
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.09, 0.4, 1.0])
+def test_compounding_edits(spark, rate):
+    texts = [*TEXTS, "ab1cd2e3", "a b c d e f", "x" * 300 + "7" + "yz " * 50, "longer text 4 of many words " * 40]
+    frame = spark.createDataFrame(list(enumerate(texts)), "question_id bigint, text string")
+    rows = noise.typo_variants(frame, rate=rate, variants=4, compounding=True).collect()
+    again = noise.typo_variants(frame.repartition(3), rate=rate, variants=4, compounding=True).collect()
+    assert len(rows) == 5 * len(texts) and sorted(rows) == sorted(again)
+    for row in rows:
+        original, edited = texts[row.question_id], row.text_edited
+
+        def draws(step, row=row):
+            digest = hashlib.md5(f"42|{row.question_id}|{row.position}|{step}".encode()).hexdigest()
+            return [int(digest[i : i + 10], 16) for i in (0, 10, 20)]
+
+        edits = int(rate * sum(c.isalpha() for c in original)) if row.position else 0
+        assert edited == compounded(original, edits, draws)
+        # What held before: digits stay, a part keeps a letter, only letters go, one an edit as far as they last.
+        assert re.findall(r"\d", edited) == re.findall(r"\d", original)
+        parts = re.split(r"\d", original)
+        droppable = sum(max(sum(c.isalpha() for c in p) - 1, 0) for p in parts)
+        assert len(edited) == len(original) - min(edits, droppable)
+        assert all(c.isalpha() for c in Counter(original) - Counter(edited))
+        for before, after in zip(parts, re.split(r"\d", edited), strict=True):
+            assert not any(c.isalpha() for c in before) or any(c.isalpha() for c in after)
+
+
+def test_parts_are_drawn_by_their_letters(spark):
+    """Chi-square of the first edit over parts of 2, 4, 8, 16 and 30 letters, and of the dropped place."""
+    parts = ["ab", "cdef", "ghijklmn", "opqrstuvwxyzABCD", "EFGHIJKLMNOPQRSTUVWXYZabcdefgh"]
+    value, letters = "1".join(["x", *parts]), 60
+    questions = spark.createDataFrame([(i, value) for i in range(400)], "question_id int, text string")
+    rows = noise.typo_variants(questions, rate=1.01 / 61, variants=60, compounding=True).where("position > 0").collect()
+    hit = Counter()
+    for row in rows:
+        after = row.text_edited.split("1")
+        assert after[0] == "x"
+        lost = [i for i, (a, b) in enumerate(zip(["x", *parts], after, strict=True)) if len(b) < len(a)]
+        assert len(lost) == 1
+        hit[lost[0] - 1] += 1
+    expected = [len(rows) * len(p) / letters for p in parts]
+    # 4 degrees of freedom: 18.5 is exceeded once in a thousand.
+    assert sum((hit[i] - e) ** 2 / e for i, e in enumerate(expected)) < 18.5
+    plain = spark.createDataFrame([(i, "abcdefghij") for i in range(400)], "question_id int, text string")
+    rows = noise.typo_variants(plain, rate=0.1, variants=60, compounding=True).where("position > 0").collect()
+    gone = Counter(next(iter(set("abcdefghij") - set(r.text_edited))) for r in rows)
+    # 9 degrees of freedom; a swap before the drop only exchanges neighbours.
+    assert sum((gone[c] - len(rows) / 10) ** 2 / (len(rows) / 10) for c in "abcdefghij") < 27.9
+
+
 def test_rate_is_checked(questions):
     with pytest.raises(ValueError):
         noise.typo_variants(questions, rate=1.5)
@@ -106,6 +176,33 @@ def test_synonym_variants(spark):
     assert {r.replaced for r in one.collect()} == {1}
 
 
+def test_synonyms_inside_words(spark):
+    questions = spark.createDataFrame([(1, "cat scatter Cat concat"), (2, None), (3, "")], "question_id int, text string")
+    lexicon = spark.createDataFrame([("cat", "VERB", ["scatter"]), ("scatter", "VERB", ["cat", "dog"])], "word string, pos string, synonyms array<string>")
+    rows = noise.synonym_variants(questions, lexicon, sample_size=2, variants=40, whole_words=False).collect()
+    found = {}
+    for row in rows:
+        if row.question_id == 1 and row.position:
+            found.setdefault(row.replaced, set()).add(row.text_edited)
+        elif row.question_id != 1 or not row.position:
+            assert row.text_edited == {1: "cat scatter Cat concat", 2: None, 3: ""}[row.question_id] and row.replaced == 0
+    assert list(found) == [2]
+    # Any two of cat, Cat and scatter, either first; the second of two numbers has no synonym of cat.
+    made = set()
+    options = {"cat": ["scatter", None], "Cat": ["scatter", None], "scatter": ["cat", "dog"]}
+    for one in options:
+        for two in set(options) - {one}:
+            for s1 in options[one]:
+                for s2 in options[two]:
+                    done = "cat scatter Cat concat"
+                    for word, synonym in ((one, s1), (two, s2)):
+                        done = done.replace(word, word if synonym is None else synonym)
+                    made.add(done)
+    assert found[2] <= made and len(found[2]) > 4
+    one = noise.synonym_variants(questions, lexicon, sample_size=1, variants=9, whole_words=False).where("position > 0 AND question_id = 1")
+    assert {r.text_edited for r in one.collect()} <= {"scatter sscatterter Cat conscatter", "cat cat Cat concat", "cat scatter scatter concat"}
+
+
 ENTRY = """{"meta": {"id": "run", "syns": [["dash", "sprint"], ["flow"]]}, "def": [{"sseq": [
  [["sense", {"dt": [], "syn_list": [[{"wd": "race"}, {"wd": "dash"}, {"wvrs": []}]]}], ["pseq", [["sense", {"syn_list": [[{"wd": "no"}]]}]]]],
  [["sense", {"dt": []}], ["bs", {"sense": {}}]]]}, {}]}"""
