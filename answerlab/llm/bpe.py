@@ -138,16 +138,18 @@ class Bpe:
         return " ".join(self.strings[i] for i in ids)
 
 
-_loaded: dict[str, tuple[Bpe, W.Memo]] = {}
+#: Bytes of text encoded together, and of the memo of words.
+BATCH = 2 << 20
+MEMO = 32 << 20
 
 
 def _bpe(path: str) -> tuple[Bpe, W.Memo]:
-    if path not in _loaded:
+    def make():
         bpe = Bpe(path)
-        _loaded[path] = bpe, W.Memo(
-            lambda strings: [bpe.encode(s.decode("utf-8", "replace")) for s in strings], np.uint32
-        )
-    return _loaded[path]
+        encode = lambda strings: [bpe.encode(s.decode("utf-8", "replace")) for s in strings]
+        return bpe, W.Memo(encode, np.uint32, most_bytes=MEMO)
+
+    return W.only(("bpe", path), make)
 
 
 def encode_texts(texts: W.Texts, path: str) -> W.Ragged:
@@ -181,7 +183,7 @@ def _mapped(docs: DataFrame, path: str, keep: list[str], text: str, result: str,
     read = safe.select(*own, safe[named[text]].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in W.batches_of(batches, "text"):
+        for table, texts in W.batches_of(batches, "text", BATCH):
             columns = [table.column(c) for c in own] + make(encode_texts(texts, path), path)
             yield from pa.table(columns, names=own + names).to_batches()
 

@@ -106,12 +106,10 @@ BANDS = {
 }
 DEFAULT_BAND = Band(1.1, 7.0, 0.30, 0.35)
 
-_loaded: dict[str, tuple] = {}
-
-
 def _vocabulary(path: str):
-    """(memo of piece numbers per word, which pieces are single bytes, number of pieces) in this worker."""
-    if path not in _loaded:
+    """(memo of piece numbers per word, which pieces are single bytes) in this worker."""
+
+    def make():
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -120,8 +118,9 @@ def _vocabulary(path: str):
         def encode(strings: list[bytes]) -> list[list[int]]:
             return model.encode([s.decode("utf-8", "replace") for s in strings], num_threads=1)
 
-        _loaded[path] = W.Memo(encode, np.uint16 if len(single) <= 1 << 16 else np.uint32, most_bytes=MEMO), single
-    return _loaded[path]
+        return W.Memo(encode, np.uint16 if len(single) <= 1 << 16 else np.uint32, most_bytes=MEMO), single
+
+    return W.only(("quality", path), make)
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:

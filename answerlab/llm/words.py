@@ -181,6 +181,18 @@ def batches_of(rows: Iterator[pa.RecordBatch], column: str, size: int = BATCH) -
             yield table.slice(first, len(piece)), piece
 
 
+_held: dict = {}
+
+
+def only(key, make):
+    """What ``make`` gives, once a worker. Workers serve tasks of many operators: the next key takes its place."""
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 class Ragged:
     """Rows of varying length: row i is values[offsets[i]:offsets[i + 1]]."""
 
