@@ -6,11 +6,10 @@ have any number of answers. Position 0 (the lowest position) is the clean answer
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlab.functions import vectors as vec
+from answerlab.operators import exact
 from answerlab.plans.quantiles import exact_quantiles
 from answerlab.plans.skew import GroupSizes, attach, measure_groups, salt
 from answerlab.session import materialise
@@ -18,17 +17,6 @@ from answerlab.session import materialise
 # Results for a question without any answer.
 NO_ANSWER_SIMILARITY = 0.0
 NO_ANSWER_SCORE = 1.0
-# Relative room for rounding in the comparison of a distance with the limit.
-ROUNDING = 1e-9
-
-
-def _mean_vector(v: Column) -> Column:
-    return vector_to_array(Summarizer.mean(array_to_vector(v)))
-
-
-def _vector_bytes(answers: DataFrame) -> int:
-    """Size of the longest vector."""
-    return 8 * max(answers.agg(F.max(F.size("v"))).first()[0] or 0, 0)
 
 
 def with_centre(
@@ -40,31 +28,30 @@ def with_centre(
     rest of their question fail the job (``validate.vector_faults`` names both before). Means and limits are
     aggregates put back by key: broadcast when they are few, else by joins with salts for very large questions.
     The answers are read twice, for the means and to measure distances; what is measured is written once.
+
+    An answer is kept when its distance is not above the exact mean plus the exact deviation of the distances.
+    All sums are exact (``exact``), so results are the same on any partitioning to the last bit. Two answers are
+    equally far from their mean up to rounding, and the farther one is then just the limit: both are kept.
     """
     sizes = sizes or measure_groups(answers, key)
-    width = _vector_bytes(answers)
+    sums = exact.VectorSums.measure(answers)
+    width = sums.bytes
     rows = salt(answers, sizes, F.struct("position"), width)
     with_vector = answers.where("v is not null")
-    means = with_vector.groupBy(key).agg(_mean_vector(F.col("v")).alias("mean"))
+    means = with_vector.groupBy(key).agg(sums.mean(F.col("v")).alias("mean"))
     rows = attach(rows, means, sizes, how="left", bytes_per_group=width)
     rows = materialise(rows.withColumn("dist", vec.distance(F.col("v"), F.col("mean"))))
-    limits = rows.groupBy(key).agg(_limit(F.avg("dist"), F.stddev_pop("dist")).alias("limit"))
+    limits = exact.statistics(rows, [key], {"dists": F.col("dist")}).select(key, F.col("dists.limit").alias("limit"))
     rows = attach(rows, limits, sizes, how="left", bytes_per_group=8)
-    rows = rows.withColumn("kept", F.col("dist") <= F.col("limit")).drop("limit")
-    centres = rows.where("kept").groupBy(key).agg(_mean_vector(F.col("v")).alias("centre"))
+    # Without a limit no distance of the question is a number.
+    kept = F.when(F.col("dist").isNotNull(), F.coalesce(F.col("dist") <= F.col("limit"), F.lit(True)))
+    rows = rows.withColumn("kept", kept).drop("limit")
+    centres = rows.where("kept").groupBy(key).agg(sums.mean(F.col("v")).alias("centre"))
     rows = attach(rows, centres, sizes, how="left", bytes_per_group=width)
     rows = rows.withColumn("centre", F.coalesce("centre", "mean")).drop("mean")
     return rows.withColumn("cos", vec.cosine(F.col("v"), F.col("centre"))).drop("_salt")
 
 
-def _limit(average: Column, deviation: Column) -> Column:
-    """Largest distance that is kept, with room for rounding.
-
-    Two answers are equally far from their mean, so both are kept whichever way sums round.
-    """
-    return (average + deviation) * (1.0 + ROUNDING)
-
-
 def centre_metrics(measured: DataFrame, answer: str = "position", key: str = "question_id") -> DataFrame:
     """One row per question from :func:`with_centre`: centre answer and consistency.
 
@@ -76,24 +63,21 @@ def centre_metrics(measured: DataFrame, answer: str = "position", key: str = "qu
         F.struct(F.col("position").alias("position"), F.col(answer).alias("answer")),
         F.when(F.col("cos").isNotNull(), F.struct("cos", -F.col("position"))),
     )
-    return (
-        measured.groupBy(key)
-        .agg(
-            best.alias("best"),
-            F.avg("cos").alias("center_similarity_mean"),
-            F.min_by("cos", "position").alias("clean_to_center_similarity"),
-            F.coalesce(F.avg(F.when(F.col("kept"), F.col("dist"))), F.avg("dist")).alias("cluster_dispersion"),
-            F.count("cos").alias("answers"),
-        )
-        .select(
-            key,
-            F.col("best.position").alias("center_position"),
-            F.col("best.answer").alias("center_response"),
-            "center_similarity_mean",
-            "clean_to_center_similarity",
-            "cluster_dispersion",
-            "answers",
-        )
+    chosen = measured.groupBy(key).agg(
+        best.alias("best"),
+        F.min_by("cos", "position").alias("clean_to_center_similarity"),
+        F.count("cos").alias("answers"),
+    )
+    kept = F.when(F.col("kept"), F.col("dist"))
+    means = exact.statistics(measured, [key], {"_cos": F.col("cos"), "_kept": kept, "_all": F.col("dist")})
+    return chosen.join(means, key).select(
+        key,
+        F.col("best.position").alias("center_position"),
+        F.col("best.answer").alias("center_response"),
+        F.col("_cos.mean").alias("center_similarity_mean"),
+        "clean_to_center_similarity",
+        F.coalesce("_kept.mean", "_all.mean").alias("cluster_dispersion"),
+        "answers",
     )
 
 

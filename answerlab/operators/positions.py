@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlab.functions import text
-from answerlab.operators.stats import finite
+from answerlab.operators import exact
 from answerlab.session import materialise
 
 CLEAN, CENTER = "C", "Center"
@@ -44,10 +44,11 @@ def with_center_position(answers: DataFrame, center: DataFrame, key: str = "ques
 def position_means(scored: DataFrame, metrics: dict[str, str]) -> DataFrame:
     """One row per position from the first to the last in order, and the centre; ``metrics`` maps column to mean name.
 
-    Positions without a row have null means.
+    Positions without a row have null means. Sums are exact: the same on any partitioning.
     """
-    means = scored.groupBy("position").agg(
-        *[F.avg(finite(F.col(column))).alias(name) for column, name in metrics.items()]
+    values = {f"_{i}": F.col(column) for i, column in enumerate(metrics)}
+    means = exact.statistics(scored, ["position"], values).select(
+        "position", *[F.col(place)["mean"].alias(name) for place, name in zip(values, metrics.values(), strict=True)]
     )
     # One row per position; written, so that the scores are not made twice.
     means = materialise(means).withColumnRenamed("position", "_position")

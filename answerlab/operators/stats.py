@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlab.functions.vectors import is_finite
+from answerlab.operators import exact
 from answerlab.plans.quantiles import exact_quantiles
 
 # Fixed value: whisker length of a box plot, in interquartile ranges.
@@ -40,21 +41,23 @@ def metric_values(scored: DataFrame, metrics: list[str]) -> DataFrame:
 def metric_statistics(scored: DataFrame, metrics: list[str]) -> DataFrame:
     """``(metric, mean, std, n)`` of the metric columns; mean and std are null without values.
 
-    The standard deviation is that of the population. One aggregation over the columns as
-    they are; rows are turned into ``metric`` rows only after it.
+    The standard deviation is that of the population. Sums are exact: the same on any partitioning. One pass
+    over the columns as they are; rows are turned into ``metric`` rows only after it.
     """
-    totals = _numbers(scored, metrics).agg(
-        *[
-            F.struct(
-                F.lit(m).alias("metric"),
-                F.avg(m).alias("mean"),
-                F.stddev_pop(m).alias("std"),
-                F.count(m).alias("n"),
-            ).alias(m)
-            for m in metrics
-        ]
-    )
-    return totals.select(F.inline(F.array(*[F.col(f"`{m}`") for m in metrics])))
+    names = {f"_{i}": F.col(f"`{m}`") for i, m in enumerate(metrics)}
+    totals = exact.statistics(_numbers(scored, metrics), [], names)
+    each = [
+        F.struct(
+            F.lit(m).alias("metric"),
+            F.col(name)["mean"].alias("mean"),
+            F.col(name)["std"].alias("std"),
+            F.coalesce(F.col(name)["n"], F.lit(0)).alias("n"),
+        )
+        for name, m in zip(names, metrics, strict=True)
+    ]
+    # A table without rows has no group; its metrics are listed all the same.
+    one = scored.sparkSession.range(1)
+    return one.join(totals, F.lit(True), "left").select(F.inline(F.array(*each)))
 
 
 def metric_list(frame: DataFrame, metrics: list[str]) -> DataFrame:

@@ -1,0 +1,141 @@
+"""Exact sums against fractions, on several partitionings."""
+
+import math
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from answerlab.operators import centre, exact, stats
+
+NAN, INF = float("nan"), float("inf")
+
+
+def numbers(kind, chance):
+    if kind == "wide":
+        return [chance.choice([-1, 1]) * chance.random() * 2.0 ** chance.randint(-1070, 1000) for _ in range(60)]
+    if kind == "cancel":
+        return [1e16, 1.0, -1e16, 3e-300, 5e-324, -5e-324] * 7
+    if kind == "edges":
+        return [s * 2.0**e * f for e in range(-1074, 1001, 20) for f in (1.0, 1 - 2.0**-53, 1 + 2.0**-52) for s in (1, -1)]
+    if kind == "equal":
+        return [0.1] * 10
+    if kind == "zeros":
+        return [0.0, -0.0, 0.0]
+    return [chance.gauss(3, 1) for _ in range(500)]
+
+
+KINDS = ["plain", "wide", "cancel", "edges", "equal", "zeros"]
+
+
+def expected(values):
+    n = len(values)
+    exactly = [Fraction(v) for v in values]
+    mean = sum(exactly) / n
+    return n, mean, sum((v - mean) ** 2 for v in exactly) / n
+
+
+def test_equals_fractions_on_any_partitioning(spark):
+    chance = random.Random(2)
+    data = {kind: numbers(kind, chance) for kind in KINDS}
+    rows = [(kind, v) for kind in KINDS for v in data[kind]]
+    rows += [("plain", NAN), ("plain", INF), ("plain", None), ("none", None), ("none", NAN), (None, 2.5)]
+    chance.shuffle(rows)
+    seen = set()
+    for parts in (1, 7, 200):
+        frame = spark.createDataFrame(rows, "kind string, x double").repartition(parts, F.rand(parts))
+        out = exact.statistics(frame, ["kind"], {"a": F.col("x"), "b": -F.col("x")})
+        found = {row["kind"]: row for row in out.collect()}
+        assert len(found) == len(KINDS) + 2
+        for kind in KINDS:
+            n, mean, variance = expected(data[kind])
+            for name, sign in (("a", 1), ("b", -1)):
+                got = found[kind][name]
+                assert got["n"] == n and got["mean"] == float(sign * mean)
+                if variance > Fraction(2) ** 1000:
+                    continue
+                root = Fraction(math.isqrt(int(variance * 4**1200)), 2**1200)
+                assert got["std"] == pytest.approx(float(root), rel=1e-15, abs=1e-300)
+                for x in (got["limit"], math.nextafter(got["limit"], INF)):
+                    beyond = Fraction(x) - sign * mean
+                    assert (beyond <= 0 or beyond * beyond <= variance) == (x == got["limit"])
+        assert found["none"]["a"] == (0, None, None, None)
+        assert found[None]["a"] == (1, 2.5, 0.0, 2.5)
+        seen.add(repr(sorted(found.items(), key=repr)))
+    assert len(seen) == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-(2**53), 2**53), min_size=2, max_size=2), st.integers(-1070, 900))
+def test_both_of_two_values_are_within_the_limit(pair, exponent):
+    values = [math.ldexp(x, exponent) for x in pair]
+    n, _, _, limit = exact.summary([bin_of(v) for v in values])
+    assert n == 2 and limit == max(values)
+
+
+def bin_of(x):
+    """The bin row of one value, from its definition."""
+    at = max(math.floor(math.log2(abs(x)) / exact.WIDTH), exact._LOWEST) if x else 0
+    scaled = Fraction(x) / Fraction(2) ** (exact.WIDTH * at)
+
+    def parts(v, weights):
+        out = []
+        for w in weights:
+            own = math.trunc(v / Fraction(2) ** (exact.WIDTH * w))
+            out.append(own)
+            v -= own * Fraction(2) ** (exact.WIDTH * w)
+        assert v == 0
+        return out
+
+    return [at, 1, *parts(scaled, exact._VALUE_PARTS), *parts(scaled * scaled, exact._SQUARE_PARTS)]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e200])
+def test_vector_means(spark, scale):
+    rng = np.random.default_rng(5)
+    groups = {g: rng.normal(size=(n, 3)) * scale * [1.0, 1e-9, 1e9] for g, n in ((1, 1), (2, 2), (3, 257))}
+    groups[4] = np.array([[1e15, -1e15, 0.0], [1.0, 1e-3, 0.0], [-1e15, 1e15, 0.0]]) * scale
+    rows = [(g, v.tolist()) for g, m in groups.items() for v in m] + [(5, None)]
+    seen = set()
+    for parts in (1, 7, 200):
+        frame = spark.createDataFrame(rows, "g int, v array<double>").repartition(parts, F.rand(parts))
+        sums = exact.VectorSums.measure(frame)
+        assert sums.bytes == 24
+        out = frame.where("v is not null").groupBy("g").agg(sums.mean(F.col("v")).alias("m"))
+        found = {row["g"]: row["m"] for row in out.collect()}
+        for g, m in groups.items():
+            for got, column in zip(found[g], m.T, strict=True):
+                assert got == pytest.approx(float(sum(map(Fraction, column.tolist())) / len(m)), rel=4e-16, abs=0)
+        seen.add(repr(sorted(found.items())))
+    assert len(seen) == 1
+
+
+def test_vectors_that_are_no_numbers_or_missing(spark):
+    frame = spark.createDataFrame([(1, [1.0, NAN]), (1, [2.0, 4.0]), (3, [INF, 0.0])], "g int, v array<double>")
+    sums = exact.VectorSums.measure(frame)
+    found = {r["g"]: r["m"] for r in frame.groupBy("g").agg(sums.mean(F.col("v")).alias("m")).collect()}
+    assert found[1][0] == 1.5 and math.isnan(found[1][1]) and math.isnan(found[3][0])
+    assert exact.VectorSums.measure(frame.where("g = 9")).bytes == 0
+
+
+def test_centre_is_the_same_on_any_partitioning(spark):
+    rng = np.random.default_rng(8)
+    sizes = [(1, 400), (2, 31), *((q, 2) for q in range(3, 120))]
+    rows = [(q, p, v.tolist()) for q, n in sizes for p, v in enumerate(rng.normal(size=(n, 6)) + 0.3)]
+    seen = set()
+    for parts in (1, 7, 200):
+        frame = spark.createDataFrame(rows, "question_id int, position int, v array<double>").repartition(parts, F.rand(1))
+        measured = centre.with_centre(frame).orderBy("question_id", "position").collect()
+        assert all(row["kept"] for row in measured if row["question_id"] > 2)
+        metrics = centre.centre_metrics(centre.with_centre(frame)).orderBy("question_id").collect()
+        seen.add(repr((measured, metrics)))
+    assert len(seen) == 1
+
+
+def test_metric_statistics_of_an_empty_table(spark):
+    frame = spark.createDataFrame([], "`a b` double, c string")
+    rows = stats.metric_statistics(frame, ["a b", "c"]).collect()
+    assert [tuple(row) for row in rows] == [("a b", None, None, 0), ("c", None, None, 0)]
