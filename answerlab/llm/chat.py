@@ -12,7 +12,8 @@ Defined results: a call without a result has none in its JSON and the problem ``
 results the one of the lowest turn (then text) counts; a dependency on an unknown call is ignored and
 noted as ``unknown_dependency``; a null conversation or id links to nothing and has step 0; calls that
 share an identifier share result and step; null or invalid arguments are ``bad_json`` and serialised as
-null; results without a call appear in :func:`orphan_results` only.
+null. :func:`link_turns` lists results that answer no call, and those of a call beyond the one that counts, as
+rows of their own with the problems ``no_call`` and ``surplus_result``; a repeat of the one that counts is that result.
 """
 
 from __future__ import annotations
@@ -149,6 +150,31 @@ def orphan_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     return results.join(known, ["conv_id", "call_id"], "left_anti")
 
 
+def unlinked_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Results that are in no call's JSON, in the columns of :func:`link_tool_calls`; they have no step.
+
+    The result that counts is an aggregate put back by a hash join, so results of one call are never put in order.
+    """
+    keys = ["conv_id", "call_id"]
+    rows = results.select("conv_id", "turn", "call_id", "content")
+    known = calls.select(*keys).distinct().join(
+        rows.groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("_first")), keys
+    )
+    found = rows.join(known.hint("shuffle_hash"), keys, "left")
+    problem = F.when(F.col("_first").isNull(), "no_call").when(
+        ~F.struct("turn", "content").eqNullSafe(F.col("_first")), "surplus_result"
+    )
+    message = F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"))
+    return found.withColumn("problems", problem).where("problems is not null").select(
+        "conv_id", "turn", "call_id", F.lit(None).cast("int").alias("step"), "problems", F.to_json(message).alias("json")
+    )
+
+
+def link_turns(calls: DataFrame, results: DataFrame, tools: list[Tool]) -> DataFrame:
+    """All calls as by :func:`link_tool_calls`, and all results that are in none of them."""
+    return link_tool_calls(calls, results, tools).unionByName(unlinked_results(calls, results))
+
+
 def calls_from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results read into a table of plain turns (conv_id, turn, role, text).
 
@@ -230,4 +256,12 @@ SELECT conv_id, turn, id AS call_id, CAST(step AS INTEGER) AS step,
   || '],"id":' || CAST(to_json(id) AS VARCHAR) || ',"name":"' || name || '"'
   || CASE WHEN r.content IS NULL THEN '' ELSE ',"result":' || CAST(to_json(r.content) AS VARCHAR) END || '}' AS json
 FROM calls
+UNION ALL
+SELECT u.conv_id, u.turn, u.id, NULL, CASE WHEN u.id IN (SELECT id FROM ids WHERE id IS NOT NULL) THEN 'surplus_result' ELSE 'no_call' END,
+  '{' || array_to_string([p FOR p IN [
+    '"id":' || CAST(to_json(u.id) AS VARCHAR), '"result":' || CAST(to_json(u.text) AS VARCHAR)] IF p IS NOT NULL], ',') || '}'
+FROM (SELECT *, conv_id || ':' || (turn - 1) AS id FROM conversations WHERE role = 'user') u
+WHERE NOT EXISTS (
+  SELECT 1 FROM ids JOIN results ON results.id = ids.id
+  WHERE ids.id = u.id AND r.turn IS NOT DISTINCT FROM u.turn AND r.content IS NOT DISTINCT FROM u.text)
 """

@@ -57,7 +57,7 @@ def op2_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     calls, results = chat.calls_from_turns(_table(spark, folder, "conversations"))
-    return chat.link_tool_calls(calls, results, chat.TOOLS)
+    return chat.link_turns(calls, results, chat.TOOLS)
 
 
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:

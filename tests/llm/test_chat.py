@@ -80,3 +80,27 @@ def test_canonical_json(spark):
 def test_empty_tables(spark):
     assert linked(spark, [], []) == {}
     assert len(linked(spark, [(1, 1, "a", "add", "{}", [])], [])) == 1
+
+
+def test_results_that_are_in_no_call_are_rows(spark):
+    calls = [(1, 5, "a", "add", "{}", []), (1, 6, "b", "add", "{}", []), (2, 1, None, "add", "{}", []), (3, 1, "n", "add", "{}", [])]
+    results = [
+        (1, 7, "a", "first"), (1, 7, "a", "first"), (1, 7, "a", "later in order"), (1, 9, "a", "first"), (1, 8, "a", None),
+        (1, 7, "z", "no such call"), (4, 1, "a", "no such conversation"), (None, 1, "a", "null"), (2, 2, None, "é\n\""),
+        (3, 2, "n", None), (3, 2, "n", "text"),
+    ]
+    left, right = spark.createDataFrame([(*c, 0) for c in calls], CALLS), spark.createDataFrame([(*r, "") for r in results], RESULTS)
+    rows = chat.link_turns(left, right.repartition(3), TOOLS).collect()
+    # Every result is in a call's JSON or a row of its own.
+    counted = {(1, "a"): (7, "first"), (3, "n"): (2, None)}
+    expected = []
+    for conv, turn, call, content in results:
+        first = counted.get((conv, call))
+        if first != (turn, content):
+            what = "surplus_result" if first else "no_call"
+            expected.append((conv, turn, call, None, what, {k: v for k, v in (("id", call), ("result", content)) if v is not None}))
+    alone = [(*row[:5], json.loads(row["json"])) for row in rows if row["problems"] in ("no_call", "surplus_result")]
+    assert sorted(alone, key=repr) == sorted(expected, key=repr)
+    assert len(rows) == len(calls) + len(expected)
+    assert chat.unlinked_results(left, spark.createDataFrame([], RESULTS)).collect() == []
+    assert chat.unlinked_results(spark.createDataFrame([], CALLS), right).count() == len(results)
