@@ -7,8 +7,11 @@ the word among its unit's words, so the whole open vocabulary has probability on
 
 The network: the context vector is the sum of the vectors of the ``CONTEXT`` units before, each
 weighted by its place; a unit's score is its product with the unit's output vector plus a bias.
-Training is by noise-contrastive estimation over all training texts: in every round each task starts
-from the same parameters, trains on its share, and Spark averages what the tasks have learned.
+Training is by noise-contrastive estimation over all training texts. The texts are dealt by hashes of
+their rows into rounds and shards of about ``SHARD_TOKENS`` tokens; in every round each shard starts from
+the same parameters and Adagrad sums, goes through its texts in the order of their hashes, and Spark
+averages what the shards have learned, in whole numbers. So the model follows from the rows alone: not
+from the number of tasks, the files or the batches; and a larger corpus has more shards, not shorter ones.
 Scoring normalises over all units by a matrix product for each block of tokens.
 
 Counts cover all training texts. The counts of the commonest words (``COMMON``, a fixed number) are sent
@@ -41,6 +44,11 @@ ENDING = 3
 DIMENSION = 16
 CONTEXT = 3
 ROUNDS = 4
+SHARD_TOKENS = 1_000_000
+MAX_TASKS = 1 << 14
+SLICE = 64  # batches whose contexts are laid out at once
+_WEIGHT = 256  # of a shard of SHARD_TOKENS in the averages
+_FIXED = float(1 << 24)  # parameters are averaged as whole multiples of its inverse
 BATCH = 1024
 NOISE = 32
 RATE = 0.12
@@ -192,16 +200,22 @@ def contexts(units: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
 
 
 class LogBilinear:
-    """Parameters as one flat vector: context vectors, output vectors, weights by place, biases."""
+    """Parameters as one flat vector: context vectors, output vectors, weights by place, biases.
 
-    def __init__(self, units: int, flat: np.ndarray):
+    ``past`` holds the Adagrad sums of the same parameters.
+    """
+
+    def __init__(self, units: int, flat: np.ndarray, past: np.ndarray | None = None):
         self.units = units
+        self.inputs, self.outputs, self.places, self.biases = self._parts(flat)
+        self.past = self._parts(np.full(len(flat), 1e-2) if past is None else past)
+
+    def _parts(self, flat: np.ndarray) -> list[np.ndarray]:
+        units = self.units
         sizes = [(units + 1) * DIMENSION, units * DIMENSION, CONTEXT * DIMENSION, units]
         parts = np.split(flat.astype(np.float32), np.cumsum(sizes)[:-1])
-        self.inputs = parts[0].reshape(-1, DIMENSION)
-        self.outputs = parts[1].reshape(-1, DIMENSION)
-        self.places = parts[2].reshape(CONTEXT, DIMENSION)
-        self.biases = parts[3]
+        shapes = [(-1, DIMENSION), (-1, DIMENSION), (CONTEXT, DIMENSION), (-1,)]
+        return [part.reshape(shape) for part, shape in zip(parts, shapes, strict=True)]
 
     @classmethod
     def fresh(cls, shares: np.ndarray, seed: int = 7) -> LogBilinear:
@@ -217,6 +231,9 @@ class LogBilinear:
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in (self.inputs, self.outputs, self.places, self.biases)])
 
+    def flat_past(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.past])
+
     def predicted(self, context: np.ndarray) -> np.ndarray:
         out = self.inputs[context[:, 0]] * self.places[0]
         for place in range(1, CONTEXT):
@@ -241,7 +258,7 @@ class LogBilinear:
         """One pass of noise-contrastive estimation with Adagrad; noise is shared within a batch."""
         log_noise = np.log(noise * NOISE).astype(np.float32)
         cumulative = np.cumsum(noise)
-        past = [np.full(p.shape, 1e-2, np.float32) for p in (self.inputs, self.outputs, self.places, self.biases)]
+        past = self.past
 
         def step(index: int, values: np.ndarray, change: np.ndarray) -> None:
             past[index] += change * change
@@ -286,42 +303,96 @@ class LogBilinear:
                 step(index, values, change * scale)
 
 
+def dealt_units(docs: DataFrame, text: str, learn: str, key: str, vocabulary: Vocabulary) -> tuple[DataFrame, int]:
+    """The learning rows as unit numbers, dealt into rounds and shards; and how many shards a round has.
+
+    Rows of equal id and text are counted before they are shuffled and numbered afterwards, so that also
+    the copies of one row are spread over all shards.
+    """
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, texts in W.batches_of(batches, "_text"):
+            hashes, endings, first = tokens_of(texts)
+            units = look_up(known.value, hashes, endings)[0].astype("<u2").tobytes()
+            held = pa.array([units[2 * a : 2 * b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+            yield from pa.table({"_row": table.column("_row"), "units": held}).to_batches()
+
+    shards = max(1, round(vocabulary.tokens / (ROUNDS * SHARD_TOKENS)))
+    read = docs.where(F.col(learn)).select(F.xxhash64(F.col(key), F.col(text)).alias("_row"), F.col(text).alias("_text"))
+    copies = read.mapInArrow(run, "_row long, units binary").groupBy("_row", "units").count()
+    each = copies.select("_row", "units", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
+    place = F.pmod(F.xxhash64("_row", "copy"), F.lit(ROUNDS * shards)).cast("int")
+    dealt = each.withColumn("_place", place).select(
+        (F.col("_place") % ROUNDS).alias("round"), F.floor(F.col("_place") / ROUNDS).cast("int").alias("shard"), "_row", "copy", "units"
+    )
+    return materialise(dealt), shards
+
+
+def _learn_shard(model: LogBilinear, pieces: list[bytes], start: int, noise: np.ndarray, rate: float, random) -> int:
+    """Train on the texts of a shard one after the other; the number of their tokens."""
+    first = np.cumsum([0] + [len(p) // 2 for p in pieces])
+    units = np.frombuffer(b"".join(pieces), "<u2")
+    size = SLICE * BATCH
+    for begin in range(0, len(units), size):
+        end = min(begin + size, len(units))
+        # The slice with the tokens before it, of which only those of the same text count.
+        lead = min(begin, CONTEXT)
+        inside = first[(first > begin - lead) & (first < end)] - (begin - lead)
+        # Where the slice begins in the middle of a text, its start lies further back than any context.
+        bounds = np.concatenate([[0], inside, [end - begin + lead]])
+        own = units[begin - lead : end].astype(np.int64)
+        model.train(own[lead:], contexts(own, bounds, start)[lead:], noise, rate, random)
+    return len(units)
+
+
 def fit(docs: DataFrame, text: str, learn: str, key: str, vocabulary: Vocabulary) -> LogBilinear:
     """Train over all learning rows, in ROUNDS rounds of a share each; the parameters have a fixed size."""
     shares = (vocabulary.unit_tokens + 0.5) / (vocabulary.unit_tokens + 0.5).sum()
     model = LogBilinear.fresh(shares)
     spark = docs.sparkSession
-    rows = docs.where(F.col(learn)).select(
-        F.col(text).alias("_text"), F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(ROUNDS)).alias("_round")
-    )
-    known = spark.sparkContext.broadcast(vocabulary)
+    dealt, shards = dealt_units(docs, text, learn, key, vocabulary)
+    size, start = vocabulary.size, vocabulary.start
     for number in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(model.flat())
+        sent = spark.sparkContext.broadcast((model.flat(), model.flat_past(), shares))
         rate = RATE * (1 - number / (2 * ROUNDS))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate, number=number) -> Iterator[pa.RecordBatch]:
-            own = LogBilinear(known.value.size, sent.value)
-            noise = (known.value.unit_tokens + 0.5) / (known.value.unit_tokens + 0.5).sum()
-            random = np.random.default_rng([number, TaskContext.get().partitionId()])
-            seen = 0
-            for _, texts in W.batches_of(batches, "_text"):
-                hashes, endings, first = tokens_of(texts)
-                units = look_up(known.value, hashes, endings)[0]
-                own.train(units, contexts(units, first, known.value.start), noise, rate, random)
-                seen += len(units)
-            if seen:
-                flat = own.flat().astype(np.float64) * seen
-                flat = np.append(flat, seen)
-                columns = [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)]
-                yield from pa.table(columns, names=["place", "value"]).to_batches()
-
-        learned = rows.where(F.col("_round") == number).select("_text").mapInArrow(run, "place int, value double")
-        summed = learned.groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")
+            flat, past, noise = sent.value
+
+            def learned(shard: int, pieces: list[bytes]) -> pa.RecordBatch:
+                own = LogBilinear(size, flat, past)
+                seen = _learn_shard(own, pieces, start, noise, rate, np.random.default_rng([number, shard]))
+                weight = max(1, round(_WEIGHT * seen / SHARD_TOKENS))
+                values = np.concatenate([own.flat(), own.flat_past()]).astype(np.float64)
+                values = np.append(np.rint(values * _FIXED).astype(np.int64) * weight, weight)
+                columns = [pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)]
+                return pa.RecordBatch.from_arrays(columns, names=["place", "value"])
+
+            shard, pieces = -1, []
+            for batch in batches:
+                for own, units in zip(batch.column("shard").to_pylist(), batch.column("units").to_pylist(), strict=True):
+                    if own != shard and pieces:
+                        yield learned(shard, pieces)
+                        pieces = []
+                    shard = own
+                    pieces.append(units)
+            if pieces:
+                yield learned(shard, pieces)
+
+        own = dealt.where(F.col("round") == number).select("shard", "_row", "copy", "units")
+        # A partition for each shard, as far as a driver can list them; those with several take one by one.
+        own = own.repartitionById(min(shards, MAX_TASKS), F.col("shard") % MAX_TASKS)
+        trained = own.sortWithinPartitions("shard", "_row", "copy", "units").select("shard", "units").mapInArrow(
+            run, "place int, value long"
+        )
+        summed = trained.groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")
         sent.unpersist()
         if len(summed):
-            flat = summed["value"].to_numpy()
-            model = LogBilinear(vocabulary.size, flat[:-1] / flat[-1])
-    known.unpersist()
+            values = summed["value"].to_numpy()
+            values = values[:-1] / (_FIXED * values[-1])
+            model = LogBilinear(size, *np.split(values, 2))
     return model
 
 

@@ -69,6 +69,50 @@ def test_learns_the_language_of_a_text(spark):
     assert all(gain > 0 for _, gain in sums.collect())
 
 
+def test_model_does_not_depend_on_partitions(spark, monkeypatch):
+    """Several shards, copies of one row in all of them: equal parameters, and scores up to 32-bit products."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1500)
+    rows = [(i, cases.prose(i, 150), None, "s", 1) for i in range(60)] + [(7, "the same row", None, "s", 1)] * 300
+    rows.append((99, cases.prose(99, 3000), None, "s", 1))
+    docs = spark.createDataFrame(rows, cases.SCHEMA).withColumn("learn", F.col("doc_id") % 5 != 2)
+    models, scores = [], []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *given: models.append(fit(*given)) or models[-1])
+    for parts in (1, 7):
+        scored = lm.score_documents(docs.repartition(parts, F.rand(parts)), "learn")
+        scores.append(sorted((r["doc_id"], r["score"]) for r in scored.collect()))
+    assert np.array_equal(models[0].flat(), models[1].flat())
+    assert np.allclose(scores[0], scores[1], rtol=0, atol=1e-4)
+
+
+def test_copies_are_dealt_over_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 300)
+    rows = [(7, "the same row", None, "s", 1)] * 2000
+    docs = cases.frame(spark, rows).withColumn("learn", F.lit(True))
+    counts = lm.materialise(lm.count_words(docs.withColumn("_text", F.col("text")), "_text", "learn"))
+    dealt, shards = lm.dealt_units(docs, "text", "learn", "doc_id", lm.read_vocabulary(counts))
+    sizes = [r["count"] for r in dealt.groupBy("round", "shard").count().collect()]
+    assert shards > 4 and len(sizes) == lm.ROUNDS * shards and sum(sizes) == 2000 and max(sizes) < 2000 / len(sizes) * 2
+
+
+def test_slices_do_not_change_contexts(monkeypatch):
+    """A shard laid out in slices is trained on the same tokens and contexts as at once."""
+    pieces = [np.arange(n, dtype="<u2").tobytes() for n in (5, 0, 1, 700, 2, 64, 130)]
+    seen = {}
+    for size in (2, 1000):
+        monkeypatch.setattr(lm, "BATCH", 32)
+        monkeypatch.setattr(lm, "SLICE", size)
+        calls = []
+
+        class Listener:
+            def train(self, units, context, *rest, calls=calls):
+                calls.append(np.column_stack([units, context]))
+
+        lm._learn_shard(Listener(), pieces, 999, None, 0.1, None)
+        seen[size] = np.concatenate(calls)
+    assert np.array_equal(seen[2], seen[1000])
+
+
 def test_tokens_of_a_piece():
     import pyarrow as pa
 
