@@ -1,18 +1,22 @@
 """A log-bilinear language model, trained with noise-contrastive estimation.
 
-Tokens are the words of a text with A-Z in lower case, then one end token. A *unit* is what the
-network predicts: each of the commonest words is its own unit, the other words share units by their
-ending. The probability of a token is that of its unit in its context times the add-one probability of
-the word among its unit's words, so the whole open vocabulary has probability one.
+Tokens are the words of a text with A-Z in lower case, then one end token. A *class* is a word by itself
+(the commonest ones) or the words of one ending. Words that occur often enough (``own_count``, which grows
+more slowly than the corpus, so there are more of them the larger it is) have vectors of their own, as
+targets and as context; the *rest* of a class shares one vector. The probability of a token is that of its
+class in its context, times that of the word, or of the rest, among the words of the class, and within a
+rest the add-one probability by counts. So the whole open vocabulary has probability one.
+
+The network: the context vector is the sum of the vectors of the ``CONTEXT`` words before, each
+weighted by its place; a score is its product with an output vector plus a bias.
+Scoring normalises over all classes, and over the words of a token's class, by matrix products for
+blocks of tokens.
 
-The network: the context vector is the sum of the vectors of the ``CONTEXT`` units before, each
-weighted by its place; a unit's score is its product with the unit's output vector plus a bias.
 Training is by noise-contrastive estimation over all training texts. The texts are dealt by hashes of
 their rows into rounds and shards of about ``SHARD_TOKENS`` tokens; in every round each shard starts from
 the same parameters and Adagrad sums, goes through its texts in the order of their hashes, and Spark
 averages what the shards have learned, in whole numbers. So the model follows from the rows alone: not
 from the number of tasks, the files or the batches; and a larger corpus has more shards, not shorter ones.
-Scoring normalises over all units by a matrix product for each block of tokens.
 
 Counts cover all training texts. The counts of the commonest words (``COMMON``, a fixed number) are sent
 to the tasks; rarer words are joined by their hash, so nothing that grows with the data is broadcast.
@@ -38,8 +42,9 @@ from answerlab.llm import words as W
 from answerlab.session import materialise
 
 COMMON = 200_000
-OWN_UNITS = 96
-ENDING_UNITS = 158
+OWN_CLASSES = 96
+ENDING_CLASSES = 158
+OWN_WORDS = 600
 ENDING = 3
 DIMENSION = 16
 CONTEXT = 3
@@ -48,10 +53,12 @@ SHARD_TOKENS = 1_000_000
 MAX_TASKS = 1 << 14
 SLICE = 64  # batches whose contexts are laid out at once
 _WEIGHT = 256  # of a shard of SHARD_TOKENS in the averages
-_FIXED = float(1 << 24)  # parameters are averaged as whole multiples of its inverse
+_FIXED = float(1 << 20)  # parameters are averaged as whole multiples of its inverse
 BATCH = 1024
 NOISE = 32
+WORD_NOISE = 2
 RATE = 0.12
+FIRST_ROOT = 10.0  # of the Adagrad sums
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 _END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
@@ -60,27 +67,41 @@ _END_ENDING = -1
 
 @dataclass
 class Vocabulary:
-    """What the tasks know of the words: common ones with counts and units, endings, totals."""
+    """What the tasks know of the words: common ones, endings, classes and totals.
+
+    Words with vectors are numbered class by class, the rest of a class last; ``first`` are the classes' first
+    ones. ``keys``, ``counts`` and ``numbers`` are the hashes, counts and numbers of the common words.
+    """
 
     keys: np.ndarray
     counts: np.ndarray
-    units: np.ndarray
+    numbers: np.ndarray
     endings: np.ndarray
-    ending_units: np.ndarray
-    unit_tokens: np.ndarray
-    unit_words: np.ndarray
+    ending_classes: np.ndarray
+    first: np.ndarray
+    word_tokens: np.ndarray
+    spread: np.ndarray  # log10 of what a word's count + 1 is divided by within its number
     tokens: int
     words: int
 
     @property
     def size(self) -> int:
-        return len(self.unit_tokens)
+        return len(self.word_tokens)
 
     @property
     def start(self) -> int:
-        """The unit that stands before the first word of a text."""
+        """The number that stands before the first word of a text."""
         return self.size
 
+    @property
+    def shares(self) -> np.ndarray:
+        return (self.word_tokens + 0.5) / (self.word_tokens + 0.5).sum()
+
+
+def own_count(tokens: int) -> float:
+    """How often a word must occur to have vectors: as tokens ** 0.75, which leaves more and more words."""
+    return max(2.0, tokens**0.75 / OWN_WORDS)
+
 
 def folded(texts: W.Texts) -> W.Texts:
     return W.Texts(_FOLD[texts.data], texts.offsets)
@@ -135,62 +156,78 @@ def _commonest(counts: DataFrame) -> pd.DataFrame:
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
     """Common words, endings and totals from written counts; what comes to the driver has a fixed bound."""
     top = _commonest(counts).sort_values(["c", "hash"], ascending=[False, True], ignore_index=True)
-    own = top.head(OWN_UNITS)
+    own = top.head(OWN_CLASSES)
     rest = counts.join(
         F.broadcast(counts.sparkSession.createDataFrame(own[["hash"]], "hash long")), "hash", "left_anti"
     )
     by_ending = rest.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("words"))
-    kept = by_ending.orderBy(F.desc("c"), "ending").limit(ENDING_UNITS).toPandas()
+    kept = by_ending.orderBy(F.desc("c"), "ending").limit(ENDING_CLASSES).toPandas()
     totals = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    tokens, words = totals[0] or 0, totals[1]
-    first_ending, other = len(own), len(own) + len(kept)
-    unit_tokens = np.zeros(other + 1, np.int64)
-    unit_words = np.zeros(other + 1, np.int64)
-    unit_tokens[: len(own)], unit_words[: len(own)] = own["c"], 1
-    unit_tokens[len(own) : other], unit_words[len(own) : other] = kept["c"], kept["words"]
-    unit_tokens[other] = tokens - unit_tokens.sum()
-    unit_words[other] = words - unit_words.sum()
+    tokens, words = int(totals[0] or 0), int(totals[1])
+    single, other = len(own), len(own) + len(kept)
+    class_tokens = np.concatenate([own["c"], kept["c"], [0]]).astype(np.int64)
+    class_words = np.concatenate([np.ones(single), kept["words"], [0]]).astype(np.int64)
+    class_tokens[other] = tokens - class_tokens.sum()
+    class_words[other] = words - class_words.sum()
     order = np.argsort(kept["ending"].to_numpy(np.int64))
-    endings = kept["ending"].to_numpy(np.int64)[order]
-    ending_units = first_ending + order
-    vocabulary = Vocabulary(
-        np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64),
-        endings, ending_units, unit_tokens, unit_words, int(tokens), int(words),
-    )
-    units = _ending_unit(vocabulary, top["ending"].to_numpy(np.int64))
-    units[: len(own)] = np.arange(len(own))
+    endings, ending_classes = kept["ending"].to_numpy(np.int64)[order], single + order
+
+    # Common words by class and, within it, by count; those with vectors come first.
+    classes = _class_of(endings, ending_classes, other, top["ending"].to_numpy(np.int64))
+    classes[:single] = np.arange(single)
+    found = top["c"].to_numpy(np.int64)
+    vectors = found >= own_count(tokens)
+    vectors[:single] = True
+    members = np.bincount(classes[vectors], minlength=other + 1)
+    sizes = members + (np.arange(other + 1) >= single)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    numbers = first[classes + 1] - 1
+    held = np.flatnonzero(vectors)
+    held = held[np.argsort(classes[held], kind="stable")]
+    rank = np.arange(len(held)) - np.repeat(np.cumsum(members) - members, members)
+    numbers[held] = first[classes[held]] + rank
+    word_tokens, spread = np.zeros(first[-1], np.int64), np.zeros(first[-1])
+    word_tokens[numbers[held]] = found[held]
+    spread[numbers[held]] = np.log10(found[held] + 1.0)
+    left_tokens = class_tokens - np.bincount(classes[held], found[held], other + 1).astype(np.int64)
+    left_words = class_words - members
+    last = first[1:][single:] - 1
+    word_tokens[last] = left_tokens[single:]
+    spread[last] = np.log10(left_tokens[single:] + left_words[single:] + 1.0)
     keys = top["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    vocabulary.keys, vocabulary.units = keys[order], units[order]
-    vocabulary.counts = top["c"].to_numpy(np.int64)[order]
-    return vocabulary
+    return Vocabulary(
+        keys[order], found[order], numbers[order], endings, ending_classes, first, word_tokens, spread, tokens, words
+    )
 
 
-def _ending_unit(vocabulary: Vocabulary, endings: np.ndarray) -> np.ndarray:
-    units = np.full(len(endings), vocabulary.size - 1)
-    if len(vocabulary.endings):
-        place = np.minimum(np.searchsorted(vocabulary.endings, endings), len(vocabulary.endings) - 1)
-        found = vocabulary.endings[place] == endings
-        units[found] = vocabulary.ending_units[place[found]]
-    return units
+def _class_of(endings: np.ndarray, ending_classes: np.ndarray, other: int, given: np.ndarray) -> np.ndarray:
+    classes = np.full(len(given), other)
+    if len(endings):
+        place = np.minimum(np.searchsorted(endings, given), len(endings) - 1)
+        found = endings[place] == given
+        classes[found] = ending_classes[place[found]]
+    return classes
 
 
 def look_up(vocabulary: Vocabulary, hashes: np.ndarray, endings: np.ndarray):
-    """(unit, count or 0, whether the word is common) for every token."""
+    """(number, count or 0, whether the word is common) for every token."""
     distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    units = _ending_unit(vocabulary, endings[first])
+    other = len(vocabulary.first) - 2
+    classes = _class_of(vocabulary.endings, vocabulary.ending_classes, other, endings[first])
+    numbers = vocabulary.first[classes + 1] - 1
     counts = np.zeros(len(distinct), np.int64)
     common = np.zeros(len(distinct), dtype=bool)
     if len(vocabulary.keys):
         place = np.minimum(np.searchsorted(vocabulary.keys, distinct), len(vocabulary.keys) - 1)
         common = vocabulary.keys[place] == distinct
-        units[common] = vocabulary.units[place[common]]
+        numbers[common] = vocabulary.numbers[place[common]]
         counts[common] = vocabulary.counts[place[common]]
-    return units[inverse], counts[inverse], common[inverse]
+    return numbers[inverse], counts[inverse], common[inverse]
 
 
 def contexts(units: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
-    """Units 1 .. CONTEXT places before every token; ``start`` before a text's beginning."""
+    """Numbers 1 .. CONTEXT places before every token; ``start`` before a text's beginning."""
     places = np.arange(len(units)) - np.repeat(first[:-1], np.diff(first))
     out = np.full((len(units), CONTEXT), start)
     for back in range(1, CONTEXT + 1):
@@ -200,111 +237,149 @@ def contexts(units: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
 
 
 class LogBilinear:
-    """Parameters as one flat vector: context vectors, output vectors, weights by place, biases.
+    """The parameters as rows of one table, each a vector and a bias.
 
-    ``past`` holds the Adagrad sums of the same parameters.
+    Rows: a context vector for every word number and the start of a text, an output vector for every class, one
+    for every word number, and the weights by place. ``roots`` are the roots of the Adagrad sums.
     """
 
-    def __init__(self, units: int, flat: np.ndarray, past: np.ndarray | None = None):
-        self.units = units
-        self.inputs, self.outputs, self.places, self.biases = self._parts(flat)
-        self.past = self._parts(np.full(len(flat), 1e-2) if past is None else past)
-
-    def _parts(self, flat: np.ndarray) -> list[np.ndarray]:
-        units = self.units
-        sizes = [(units + 1) * DIMENSION, units * DIMENSION, CONTEXT * DIMENSION, units]
-        parts = np.split(flat.astype(np.float32), np.cumsum(sizes)[:-1])
-        shapes = [(-1, DIMENSION), (-1, DIMENSION), (CONTEXT, DIMENSION), (-1,)]
-        return [part.reshape(shape) for part, shape in zip(parts, shapes, strict=True)]
+    def __init__(self, first: np.ndarray, shares: np.ndarray, table: np.ndarray, roots: np.ndarray | None = None):
+        self.first, self.words, self.classes = first, len(shares), len(first) - 1
+        self.class_of = np.repeat(np.arange(self.classes), np.diff(first))
+        self.class_shares = np.add.reduceat(shares, first[:-1])
+        self.within = shares / self.class_shares[self.class_of]
+        self.table = table.astype(np.float32)
+        self.roots = np.full(table.shape, FIRST_ROOT, np.float32) if roots is None else roots.astype(np.float32)
+        self.class_row = self.words + 1
+        self.word_row = self.class_row + self.classes
+        self.place_row = self.word_row + self.words
 
     @classmethod
-    def fresh(cls, shares: np.ndarray, seed: int = 7) -> LogBilinear:
+    def fresh(cls, first: np.ndarray, shares: np.ndarray, seed: int = 7) -> LogBilinear:
         """Small random vectors; biases that make the model the unigram distribution ``shares``."""
-        units = len(shares)
-        random = np.random.default_rng(seed)
-        flat = random.normal(0, 0.1, (2 * units + 1 + CONTEXT) * DIMENSION + units)
-        model = cls(units, flat)
-        model.places[:] = 1.0
-        model.biases[:] = np.log(shares)
-        return model
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in (self.inputs, self.outputs, self.places, self.biases)])
-
-    def flat_past(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.past])
+        rows = 2 * len(shares) + len(first) + CONTEXT
+        table = np.zeros((rows, DIMENSION + 1), np.float32)
+        table[:, :DIMENSION] = np.random.default_rng(seed).normal(0, 0.1, (rows, DIMENSION))
+        model = cls(first, shares, table)
+        table[model.class_row : model.word_row, DIMENSION] = np.log(model.class_shares)
+        table[model.word_row : model.place_row, DIMENSION] = np.log(model.within)
+        table[model.place_row :, :DIMENSION] = 1.0
+        return cls(first, shares, table)
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        out = self.inputs[context[:, 0]] * self.places[0]
-        for place in range(1, CONTEXT):
-            out += self.inputs[context[:, place]] * self.places[place]
+        """Context vectors, with a one for the bias."""
+        out = np.ones((len(context), DIMENSION + 1), np.float32)
+        vectors, places = self.table[:, :DIMENSION], self.table[self.place_row :, :DIMENSION]
+        out[:, :DIMENSION] = sum(vectors[context[:, p]] * places[p] for p in range(CONTEXT))
         return out
 
-    def log_probabilities(self, units: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each unit's normalised probability in its context."""
-        out = np.empty(len(units))
-        for begin in range(0, len(units), BATCH):
-            own = units[begin : begin + BATCH]
-            scores = self.predicted(context[begin : begin + BATCH]) @ self.outputs.T
-            scores += self.biases
-            chosen = scores[np.arange(len(own)), own]
-            top = scores.max(axis=1)
-            scores -= top[:, None]
+    @staticmethod
+    def _log_share(hidden: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Logarithm of the chosen row's share in the normalised scores of all rows."""
+        out = np.empty(len(hidden))
+        size = max(1, BATCH * 256 // len(rows))
+        ones = np.ones(len(rows), np.float32)
+        # No score is above the product of the norms; where that could overflow, it is taken off first.
+        longest = np.sqrt(np.square(rows).sum(axis=1).max())
+        for begin in range(0, len(hidden), size):
+            part = hidden[begin : begin + size]
+            scores = part @ rows.T
+            bound = longest * np.sqrt(np.square(part).sum(axis=1).max())
+            if bound > 60:
+                scores -= scores.max(axis=1)[:, None]
+            own = scores[np.arange(len(scores)), chosen[begin : begin + size]]
             np.exp(scores, out=scores)
-            out[begin : begin + BATCH] = chosen - top - np.log(scores.sum(axis=1))
+            out[begin : begin + size] = own - np.log(scores @ ones)
+        return out
+
+    def log_probabilities(self, words: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the normalised probability of each word number in its context."""
+        out = np.empty(len(words))
+        for begin in range(0, len(words), SLICE * BATCH):
+            own = words[begin : begin + SLICE * BATCH]
+            hidden = self.predicted(context[begin : begin + SLICE * BATCH])
+            classes = self.class_of[own]
+            logs = self._log_share(hidden, self.table[self.class_row : self.word_row], classes)
+            order = np.argsort(classes, kind="stable")
+            bounds = np.searchsorted(classes[order], np.arange(self.classes + 1))
+            for number in np.flatnonzero((np.diff(self.first) > 1) & (np.diff(bounds) > 0)):
+                at = order[bounds[number] : bounds[number + 1]]
+                low, high = self.first[number], self.first[number + 1]
+                rows = self.table[self.word_row + low : self.word_row + high]
+                logs[at] += self._log_share(hidden[at], rows, own[at] - low)
+            out[begin : begin + SLICE * BATCH] = logs
         return out
 
-    def train(self, units: np.ndarray, context: np.ndarray, noise: np.ndarray, rate: float, random) -> None:
-        """One pass of noise-contrastive estimation with Adagrad; noise is shared within a batch."""
-        log_noise = np.log(noise * NOISE).astype(np.float32)
-        cumulative = np.cumsum(noise)
-        past = self.past
-
-        def step(index: int, values: np.ndarray, change: np.ndarray) -> None:
-            past[index] += change * change
-            values += rate * change / np.sqrt(past[index])
-
-        for begin in range(0, len(units), BATCH):
-            own, around = units[begin : begin + BATCH], context[begin : begin + BATCH]
-            count = len(own)
-            drawn = np.minimum(np.searchsorted(cumulative, random.random(NOISE)), self.units - 1)
-            rows = [self.inputs[around[:, p]] for p in range(CONTEXT)]
-            hidden = sum(r * w for r, w in zip(rows, self.places, strict=True))
-            outputs = self.outputs[own]
-            true = np.einsum("ij,ij->i", hidden, outputs) + self.biases[own] - log_noise[own]
-            false = hidden @ self.outputs[drawn].T + (self.biases[drawn] - log_noise[drawn])
+    def train(self, words: np.ndarray, context: np.ndarray, rate: float, random) -> None:
+        """One pass of noise-contrastive estimation with Adagrad.
+
+        Noise classes are shared within a batch; noise words are drawn for each token from its class.
+        """
+        class_noise = np.log(self.class_shares * NOISE).astype(np.float32)
+        word_noise = np.log(self.within * WORD_NOISE).astype(np.float32)
+        class_sums = np.cumsum(self.class_shares)
+        sums = np.cumsum(self.within)
+        several = np.diff(self.first) > 1
+        table, width = self.table, DIMENSION
+        for begin in range(0, len(words), BATCH):
+            own, around = words[begin : begin + BATCH], context[begin : begin + BATCH]
+            classes = self.class_of[own]
+            drawn = np.minimum(np.searchsorted(class_sums, random.random(NOISE)), self.classes - 1)
+            places = table[self.place_row :, :width]
+            rows = [table[around[:, p], :width] for p in range(CONTEXT)]
+            hidden = np.ones((len(own), width + 1), np.float32)
+            hidden[:, :width] = sum(r * w for r, w in zip(rows, places, strict=True))
             # Data are labelled 1 and noise 0; these are the gradients of the log likelihood of the labels.
-            up = 1.0 / (1.0 + np.exp(np.minimum(true, 30.0)))
-            down = -1.0 / (1.0 + np.exp(-np.clip(false, -30.0, 30.0)))
-            back = up[:, None] * outputs + down @ self.outputs[drawn]
-            hot = np.zeros((count, self.units), np.float32)
-            hot[np.arange(count), own] = up
-            to_outputs = hot.T @ hidden
-            np.add.at(to_outputs, drawn, down.T @ hidden)
-            to_biases = hot.sum(axis=0)
-            np.add.at(to_biases, drawn, down.sum(axis=0))
-            to_inputs = np.zeros_like(self.inputs)
-            to_places = np.empty_like(self.places)
+            outputs, noise = table[self.class_row + classes], table[self.class_row + drawn]
+            up = _miss(np.einsum("ij,ij->i", hidden, outputs) - class_noise[classes])
+            down = -_miss(class_noise[drawn] - hidden @ noise.T)
+            back = up[:, None] * outputs + down @ noise
+            touched = [self.class_row + classes, self.class_row + drawn]
+            changes = [up[:, None] * hidden, down.T @ hidden]
+            # The words of classes that hold several.
+            at = np.flatnonzero(several[classes])
+            if len(at):
+                inner, low, high = hidden[at], self.first[classes[at]], self.first[classes[at] + 1]
+                before = np.where(low > 0, sums[np.maximum(low, 1) - 1], 0.0)
+                draws = random.random((len(at), WORD_NOISE)) + before[:, None]
+                others = np.clip(np.searchsorted(sums, draws), low[:, None], high[:, None] - 1)
+                outputs, noise = table[self.word_row + own[at]], table[self.word_row + others]
+                up = _miss(np.einsum("ij,ij->i", inner, outputs) - word_noise[own[at]])
+                down = -_miss(word_noise[others] - np.einsum("ij,ikj->ik", inner, noise))
+                back[at] += up[:, None] * outputs + np.einsum("ik,ikj->ij", down, noise)
+                touched += [self.word_row + own[at], (self.word_row + others).ravel()]
+                changes += [up[:, None] * inner, (down[:, :, None] * inner[:, None, :]).reshape(-1, width + 1)]
+            back[:, width] = 0
             for place in range(CONTEXT):
-                to_places[place] = np.einsum("ij,ij->j", back, rows[place])
-                share = back * self.places[place]
-                for column in range(DIMENSION):
-                    to_inputs[:, column] += np.bincount(
-                        around[:, place], share[:, column], len(self.inputs)
-                    ).astype(np.float32)
-            scale = np.float32(1.0 / count)
-            for index, (values, change) in enumerate(
-                zip(
-                    (self.inputs, self.outputs, self.places, self.biases),
-                    (to_inputs, to_outputs, to_places, to_biases),
-                    strict=True,
-                )
-            ):
-                step(index, values, change * scale)
+                touched += [around[:, place], np.array([self.place_row + place])]
+                moved = back.copy()
+                moved[:, :width] *= places[place]
+                weight = np.zeros((1, width + 1), np.float32)
+                weight[0, :width] = np.einsum("ij,ij->j", back[:, :width], rows[place])
+                changes += [moved, weight]
+            self._step(np.concatenate(touched), np.concatenate(changes), rate)
+
+    def _step(self, touched: np.ndarray, changes: np.ndarray, rate: float) -> None:
+        """Adagrad on the rows that a batch touches, their changes summed first."""
+        if len(self.table) <= 1 << 16:
+            touched = touched.astype(np.uint16)  # sorted by counting
+        order = np.argsort(touched, kind="stable")
+        sorted_rows = touched[order]
+        edges = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+        rows = sorted_rows[edges]
+        change = np.add.reduceat(changes[order], edges, axis=0)
+        root = np.sqrt(np.square(self.roots[rows]) + np.square(change))
+        self.roots[rows] = root
+        self.table[rows] += np.float32(rate) * change / root
+
+
+def _miss(logits: np.ndarray) -> np.ndarray:
+    """One less the probability that the logits give."""
+    return 1.0 / (1.0 + np.exp(np.clip(logits, -30.0, 30.0)))
 
 
 def dealt_units(docs: DataFrame, text: str, learn: str, key: str, vocabulary: Vocabulary) -> tuple[DataFrame, int]:
-    """The learning rows as unit numbers, dealt into rounds and shards; and how many shards a round has.
+    """The learning rows as word numbers, dealt into rounds and shards; and how many shards a round has.
 
     Rows of equal id and text are counted before they are shuffled and numbered afterwards, so that also
     the copies of one row are spread over all shards.
@@ -315,8 +390,8 @@ def dealt_units(docs: DataFrame, text: str, learn: str, key: str, vocabulary: Vo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in W.batches_of(batches, "_text"):
             hashes, endings, first = tokens_of(texts)
-            units = look_up(known.value, hashes, endings)[0].astype("<u2").tobytes()
-            held = pa.array([units[2 * a : 2 * b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+            units = look_up(known.value, hashes, endings)[0].astype("<u4").tobytes()
+            held = pa.array([units[4 * a : 4 * b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
             yield from pa.table({"_row": table.column("_row"), "units": held}).to_batches()
 
     shards = max(1, round(vocabulary.tokens / (ROUNDS * SHARD_TOKENS)))
@@ -330,10 +405,10 @@ def dealt_units(docs: DataFrame, text: str, learn: str, key: str, vocabulary: Vo
     return materialise(dealt), shards
 
 
-def _learn_shard(model: LogBilinear, pieces: list[bytes], start: int, noise: np.ndarray, rate: float, random) -> int:
+def _learn_shard(model: LogBilinear, pieces: list[bytes], start: int, rate: float, random) -> int:
     """Train on the texts of a shard one after the other; the number of their tokens."""
-    first = np.cumsum([0] + [len(p) // 2 for p in pieces])
-    units = np.frombuffer(b"".join(pieces), "<u2")
+    first = np.cumsum([0] + [len(p) // 4 for p in pieces])
+    units = np.frombuffer(b"".join(pieces), "<u4")
     size = SLICE * BATCH
     for begin in range(0, len(units), size):
         end = min(begin + size, len(units))
@@ -343,32 +418,36 @@ def _learn_shard(model: LogBilinear, pieces: list[bytes], start: int, noise: np.
         # Where the slice begins in the middle of a text, its start lies further back than any context.
         bounds = np.concatenate([[0], inside, [end - begin + lead]])
         own = units[begin - lead : end].astype(np.int64)
-        model.train(own[lead:], contexts(own, bounds, start)[lead:], noise, rate, random)
+        model.train(own[lead:], contexts(own, bounds, start)[lead:], rate, random)
     return len(units)
 
 
 def fit(docs: DataFrame, text: str, learn: str, key: str, vocabulary: Vocabulary) -> LogBilinear:
-    """Train over all learning rows, in ROUNDS rounds of a share each; the parameters have a fixed size."""
-    shares = (vocabulary.unit_tokens + 0.5) / (vocabulary.unit_tokens + 0.5).sum()
-    model = LogBilinear.fresh(shares)
+    """Train over all learning rows, in ROUNDS rounds of a share each.
+
+    A shard sends the rows of the parameters that it touched; what comes to the driver is as long as the model.
+    """
+    first, shares, start = vocabulary.first, vocabulary.shares, vocabulary.start
+    model = LogBilinear.fresh(first, shares)
     spark = docs.sparkSession
     dealt, shards = dealt_units(docs, text, learn, key, vocabulary)
-    size, start = vocabulary.size, vocabulary.start
+    names = [f"p{i}" for i in range(DIMENSION + 1)] + [f"r{i}" for i in range(DIMENSION + 1)]
     for number in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((model.flat(), model.flat_past(), shares))
+        sent = spark.sparkContext.broadcast((first, shares, model.table, model.roots))
         rate = RATE * (1 - number / (2 * ROUNDS))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate, number=number) -> Iterator[pa.RecordBatch]:
-            flat, past, noise = sent.value
-
             def learned(shard: int, pieces: list[bytes]) -> pa.RecordBatch:
-                own = LogBilinear(size, flat, past)
-                seen = _learn_shard(own, pieces, start, noise, rate, np.random.default_rng([number, shard]))
+                own = LogBilinear(*sent.value)
+                seen = _learn_shard(own, pieces, start, rate, np.random.default_rng([number, shard]))
                 weight = max(1, round(_WEIGHT * seen / SHARD_TOKENS))
-                values = np.concatenate([own.flat(), own.flat_past()]).astype(np.float64)
-                values = np.append(np.rint(values * _FIXED).astype(np.int64) * weight, weight)
-                columns = [pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)]
-                return pa.RecordBatch.from_arrays(columns, names=["place", "value"])
+                rows = np.flatnonzero((own.roots != sent.value[3]).any(axis=1))
+                values = np.hstack([own.table[rows], own.roots[rows]]).astype(np.float64)
+                values = np.rint(values * _FIXED).astype(np.int64) * weight
+                # The last row tells the shard's weight.
+                values = np.vstack([values, np.zeros((1, values.shape[1]), np.int64)])
+                columns = [np.append(rows, -1).astype(np.int32), np.full(len(values), weight, np.int64), *values.T]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "weight", *names])
 
             shard, pieces = -1, []
             for batch in batches:
@@ -385,29 +464,34 @@ def fit(docs: DataFrame, text: str, learn: str, key: str, vocabulary: Vocabulary
         # A partition for each shard, as far as a driver can list them; those with several take one by one.
         own = own.repartitionById(min(shards, MAX_TASKS), F.col("shard") % MAX_TASKS)
         trained = own.sortWithinPartitions("shard", "_row", "copy", "units").select("shard", "units").mapInArrow(
-            run, "place int, value long"
+            run, "row int, weight long, " + ", ".join(f"{name} long" for name in names)
         )
-        summed = trained.groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")
+        summed = trained.groupBy("row").agg(*[F.sum(name).alias(name) for name in ["weight", *names]])
+        summed = summed.toPandas().sort_values("row")
         sent.unpersist()
         if len(summed):
-            values = summed["value"].to_numpy()
-            values = values[:-1] / (_FIXED * values[-1])
-            model = LogBilinear(size, *np.split(values, 2))
+            values = summed[names].to_numpy(np.float64)[1:] / _FIXED
+            rows, weights = summed["row"].to_numpy()[1:], summed["weight"].to_numpy(np.float64)
+            total, weights = weights[0], weights[1:, None]
+            both = np.hstack([model.table, model.roots]).astype(np.float64)
+            # Shards that did not touch a row leave it as it was.
+            both[rows] = (values + (total - weights) * both[rows]) / total
+            model = LogBilinear(first, shares, *np.hsplit(both, 2))
     return model
 
 
 def _score(model: LogBilinear, vocabulary: Vocabulary, texts: W.Texts) -> tuple[dict[str, np.ndarray], W.Ragged, np.ndarray]:
     """Sums per text without its rare words; the rare words' hashes and how often each occurs."""
     hashes, endings, first = tokens_of(texts)
-    units, counts, common = look_up(vocabulary, hashes, endings)
+    numbers, counts, common = look_up(vocabulary, hashes, endings)
     owners = np.repeat(np.arange(len(texts)), np.diff(first))
-    logs = model.log_probabilities(units, contexts(units, first, vocabulary.start)) / np.log(10)
-    logs -= np.log10(vocabulary.unit_tokens + vocabulary.unit_words + 1.0)[units]
+    logs = model.log_probabilities(numbers, contexts(numbers, first, vocabulary.start)) / np.log(10)
+    logs -= vocabulary.spread[numbers]
     sums = {
         "n_tokens": np.diff(first),
         "n_common": np.bincount(owners, common, len(texts)).astype(np.int64),
         "common_log": np.bincount(owners, np.where(common, np.log10(counts + 1.0), 0.0), len(texts)),
-        "unit_log": np.bincount(owners, logs, len(texts)),
+        "model_log": np.bincount(owners, logs, len(texts)),
     }
     rare = ~common
     rare_hashes, rare_owners = hashes[rare], owners[rare]
@@ -434,11 +518,11 @@ def score_documents(docs: DataFrame, learn: str, doc_id: str = "doc_id", text: s
     counts = materialise(count_words(rows, "_text", "_learn"))
     vocabulary = read_vocabulary(counts)
     model = fit(rows, "_text", "_learn", "doc_id", vocabulary)
-    known = spark.sparkContext.broadcast((vocabulary, model.flat()))
+    known = spark.sparkContext.broadcast((vocabulary, model.table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = known.value
-        own = LogBilinear(words.size, flat)
+        words, table = known.value
+        own = LogBilinear(words.first, words.shares, table)
         number = TaskContext.get().partitionId() << 36
         for table, texts in W.batches_of(batches, "_text"):
             sums, rare, times = _score(own, words, texts)
@@ -463,7 +547,7 @@ def score_documents(docs: DataFrame, learn: str, doc_id: str = "doc_id", text: s
         rows.mapInArrow(
             run,
             f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_common long, common_log double, "
-            "unit_log double, rare array<struct<hash: bigint, times: int>>",
+            "model_log double, rare array<struct<hash: bigint, times: int>>",
         )
     )
     # No rare word is frequent, so this join has no hot key; what it finds is summed before the next one.
@@ -480,5 +564,5 @@ def score_documents(docs: DataFrame, learn: str, doc_id: str = "doc_id", text: s
         (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.log10(F.lit(total))).alias("base_score"),
-        (logs + F.col("unit_log")).alias("score"),
+        (logs + F.col("model_log")).alias("score"),
     )

@@ -47,13 +47,55 @@ def test_words_without_training(spark):
     assert lm.score_documents(cases.frame(spark, []).withColumn("learn", F.lit(True)), "learn").collect() == []
 
 
-def test_unit_probabilities_sum_to_one():
+def vocabulary_of(spark, rows):
+    docs = cases.frame(spark, rows).withColumns({"_text": F.col("text"), "learn": F.lit(True)})
+    counts = lm.materialise(lm.count_words(docs, "_text", "learn"))
+    return counts, lm.read_vocabulary(counts)
+
+
+@pytest.mark.parametrize("scale", [1.0, 40.0])
+def test_word_probabilities_sum_to_one(scale):
+    """Over all numbers of all classes, also where scores are large."""
     random = np.random.default_rng(1)
-    model = lm.LogBilinear.fresh(np.full(9, 1 / 9))
-    model.outputs[:] = random.normal(0, 1, model.outputs.shape)
-    context = random.integers(0, 10, (1, lm.CONTEXT))
-    logs = model.log_probabilities(np.arange(9), np.repeat(context, 9, axis=0))
-    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
+    first = np.array([0, 1, 2, 5, 6, 10])
+    model = lm.LogBilinear.fresh(first, np.full(10, 0.1))
+    model.table[:] = random.normal(0, scale, model.table.shape)
+    context = np.repeat(random.integers(0, 11, (1, lm.CONTEXT)), 10, axis=0)
+    logs = model.log_probabilities(np.arange(10), context)
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_fresh_model_is_the_unigram_distribution():
+    first, shares = np.array([0, 1, 4]), np.array([0.4, 0.3, 0.2, 0.1])
+    model = lm.LogBilinear.fresh(first, shares)
+    model.table[: model.words + 1] = 0
+    logs = model.log_probabilities(np.arange(4), np.zeros((4, lm.CONTEXT), int))
+    assert np.allclose(np.exp(logs), shares, atol=1e-6)
+
+
+def test_open_vocabulary_has_probability_one(spark, monkeypatch):
+    """Known words and one unknown word of each class: what the counts within a number add is one."""
+    monkeypatch.setattr(lm, "OWN_CLASSES", 5)
+    monkeypatch.setattr(lm, "ENDING_CLASSES", 4)
+    counts, vocabulary = vocabulary_of(spark, [(i, cases.prose(i, 300), None, "s", 1) for i in range(20)])
+    words = counts.toPandas()
+    hashes = words["hash"].to_numpy(np.int64).view(np.uint64)
+    numbers, found, common = lm.look_up(vocabulary, hashes, words["ending"].to_numpy(np.int64))
+    assert common.all() and np.array_equal(found, words["c"])
+    shares = np.bincount(numbers, 10 ** (np.log10(found + 1.0) - vocabulary.spread[numbers]), vocabulary.size)
+    rest = np.flatnonzero(np.diff(vocabulary.first) >= 1)[5:]
+    unknown = np.zeros(vocabulary.size)
+    unknown[vocabulary.first[rest + 1] - 1] = 10 ** -vocabulary.spread[vocabulary.first[rest + 1] - 1]
+    assert np.allclose(shares + unknown, 1)
+    assert np.bincount(numbers, found, vocabulary.size).tolist() == vocabulary.word_tokens.tolist()
+    own = found >= lm.own_count(vocabulary.tokens)
+    assert 5 < own.sum() < len(own) and len(set(numbers[own])) == own.sum()
+
+
+def test_vectors_follow_the_corpus():
+    """The share of the tokens that earns a word vectors falls as the corpus grows."""
+    shares = [lm.own_count(10**n) / 10**n for n in range(6, 14)]
+    assert shares == sorted(shares, reverse=True) and shares[-1] < shares[0] / 50
 
 
 def test_contexts_stop_at_texts():
@@ -61,6 +103,16 @@ def test_contexts_stop_at_texts():
     assert found.tolist() == [[9, 9, 9], [1, 9, 9], [9, 9, 9], [3, 9, 9]]
 
 
+def test_learns_which_word_follows():
+    """Words of one class that follow each other in turn, which no count tells."""
+    first, shares = np.array([0, 1, 5]), np.full(5, 0.2)
+    model = lm.LogBilinear.fresh(first, shares)
+    words = np.tile(np.arange(5), 20_000)
+    around = lm.contexts(words, np.array([0, len(words)]), 5)
+    model.train(words, around, lm.RATE, np.random.default_rng(1))
+    assert model.log_probabilities(words[-1000:], around[-1000:]).mean() > np.log(0.8)
+
+
 def test_learns_the_language_of_a_text(spark):
     """Words of one language follow each other, which counts alone do not tell."""
     rows = [(i, cases.prose(i, 400, "en" if i % 2 else "de"), None, "s", 1) for i in range(240)]
@@ -81,7 +133,7 @@ def test_model_does_not_depend_on_partitions(spark, monkeypatch):
     for parts in (1, 7):
         scored = lm.score_documents(docs.repartition(parts, F.rand(parts)), "learn")
         scores.append(sorted((r["doc_id"], r["score"]) for r in scored.collect()))
-    assert np.array_equal(models[0].flat(), models[1].flat())
+    assert np.array_equal(models[0].table, models[1].table)
     assert np.allclose(scores[0], scores[1], rtol=0, atol=1e-4)
 
 
@@ -89,15 +141,14 @@ def test_copies_are_dealt_over_all_shards(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_TOKENS", 300)
     rows = [(7, "the same row", None, "s", 1)] * 2000
     docs = cases.frame(spark, rows).withColumn("learn", F.lit(True))
-    counts = lm.materialise(lm.count_words(docs.withColumn("_text", F.col("text")), "_text", "learn"))
-    dealt, shards = lm.dealt_units(docs, "text", "learn", "doc_id", lm.read_vocabulary(counts))
+    dealt, shards = lm.dealt_units(docs, "text", "learn", "doc_id", vocabulary_of(spark, rows)[1])
     sizes = [r["count"] for r in dealt.groupBy("round", "shard").count().collect()]
     assert shards > 4 and len(sizes) == lm.ROUNDS * shards and sum(sizes) == 2000 and max(sizes) < 2000 / len(sizes) * 2
 
 
 def test_slices_do_not_change_contexts(monkeypatch):
     """A shard laid out in slices is trained on the same tokens and contexts as at once."""
-    pieces = [np.arange(n, dtype="<u2").tobytes() for n in (5, 0, 1, 700, 2, 64, 130)]
+    pieces = [np.arange(n, dtype="<u4").tobytes() for n in (5, 0, 1, 700, 2, 64, 130)]
     seen = {}
     for size in (2, 1000):
         monkeypatch.setattr(lm, "BATCH", 32)
@@ -108,7 +159,7 @@ def test_slices_do_not_change_contexts(monkeypatch):
             def train(self, units, context, *rest, calls=calls):
                 calls.append(np.column_stack([units, context]))
 
-        lm._learn_shard(Listener(), pieces, 999, None, 0.1, None)
+        lm._learn_shard(Listener(), pieces, 999, 0.1, None)
         seen[size] = np.concatenate(calls)
     assert np.array_equal(seen[2], seen[1000])
 
