@@ -1,11 +1,12 @@
 """A log-bilinear language model, trained with noise-contrastive estimation.
 
-Tokens are the words of a text with A-Z in lower case, then one end token. A *class* is a word by itself
-(the commonest ones) or the words of one ending. Words that occur often enough (``own_count``, which grows
-more slowly than the corpus, so there are more of them the larger it is) have vectors of their own, as
-targets and as context; the *rest* of a class shares one vector. The probability of a token is that of its
-class in its context, times that of the word, or of the rest, among the words of the class, and within a
-rest the add-one probability by counts. So the whole open vocabulary has probability one.
+Tokens are the words of a text with A-Z in lower case, then one end token. Words that occur
+often enough (``own_count``, which grows more slowly than the corpus, so there are more of them the larger
+it is) have vectors of their own, as targets and as context; other words share the vectors of their ending.
+A *class* is a word by itself (the commonest ones), an equal share of the other words with vectors, in the
+order of their last letters, or an ending. The probability of a token is that of its class in its context,
+times that of the word among the words of the class, and within an ending the add-one probability by
+counts. So the whole open vocabulary has probability one.
 
 The network: the context vector is the sum of the vectors of the ``CONTEXT`` words before, each
 weighted by its place; a score is its product with an output vector plus a bias.
@@ -43,7 +44,8 @@ from answerlab.session import materialise
 
 COMMON = 200_000
 OWN_CLASSES = 96
-ENDING_CLASSES = 158
+GROUP_CLASSES = 80
+ENDING_CLASSES = 78
 OWN_WORDS = 600
 ENDING = 3
 DIMENSION = 16
@@ -69,8 +71,7 @@ _END_ENDING = -1
 class Vocabulary:
     """What the tasks know of the words: common ones, endings, classes and totals.
 
-    Words with vectors are numbered class by class, the rest of a class last; ``first`` are the classes' first
-    ones. ``keys``, ``counts`` and ``numbers`` are the hashes, counts and numbers of the common words.
+    Words with vectors and endings are numbered class by class; ``first`` are the classes' first ones. ``keys``, ``counts`` and ``numbers`` are the hashes, counts and numbers of the common words.
     """
 
     keys: np.ndarray
@@ -164,36 +165,35 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
     kept = by_ending.orderBy(F.desc("c"), "ending").limit(ENDING_CLASSES).toPandas()
     totals = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     tokens, words = int(totals[0] or 0), int(totals[1])
-    single, other = len(own), len(own) + len(kept)
-    class_tokens = np.concatenate([own["c"], kept["c"], [0]]).astype(np.int64)
-    class_words = np.concatenate([np.ones(single), kept["words"], [0]]).astype(np.int64)
-    class_tokens[other] = tokens - class_tokens.sum()
-    class_words[other] = words - class_words.sum()
-    order = np.argsort(kept["ending"].to_numpy(np.int64))
-    endings, ending_classes = kept["ending"].to_numpy(np.int64)[order], single + order
-
-    # Common words by class and, within it, by count; those with vectors come first.
-    classes = _class_of(endings, ending_classes, other, top["ending"].to_numpy(np.int64))
-    classes[:single] = np.arange(single)
     found = top["c"].to_numpy(np.int64)
-    vectors = found >= own_count(tokens)
-    vectors[:single] = True
-    members = np.bincount(classes[vectors], minlength=other + 1)
-    sizes = members + (np.arange(other + 1) >= single)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    numbers = first[classes + 1] - 1
-    held = np.flatnonzero(vectors)
-    held = held[np.argsort(classes[held], kind="stable")]
-    rank = np.arange(len(held)) - np.repeat(np.cumsum(members) - members, members)
-    numbers[held] = first[classes[held]] + rank
-    word_tokens, spread = np.zeros(first[-1], np.int64), np.zeros(first[-1])
-    word_tokens[numbers[held]] = found[held]
-    spread[numbers[held]] = np.log10(found[held] + 1.0)
-    left_tokens = class_tokens - np.bincount(classes[held], found[held], other + 1).astype(np.int64)
-    left_words = class_words - members
-    last = first[1:][single:] - 1
-    word_tokens[last] = left_tokens[single:]
-    spread[last] = np.log10(left_tokens[single:] + left_words[single:] + 1.0)
+    last_letters = top["ending"].to_numpy(np.int64)
+    grouped = np.flatnonzero(found >= own_count(tokens))
+    grouped = grouped[grouped >= len(own)]
+    # By the last letter, the one before it, and so on; words of one ending in the order of their counts.
+    letters = [last_letters[grouped] >> (8 * back) & 255 for back in reversed(range(ENDING))]
+    grouped = grouped[np.lexsort(letters)]
+    held = np.concatenate([np.arange(len(own)), grouped]).astype(np.int64)
+    groups = min(GROUP_CLASSES, len(grouped))
+    bounds = len(own) + np.arange(groups) * len(grouped) // max(1, groups)
+    endings_at = len(own) + groups
+    other = endings_at + len(kept)
+    first = np.concatenate([np.arange(len(own)), bounds, len(held) + np.arange(len(kept) + 2)]).astype(np.int64)
+
+    order = np.argsort(kept["ending"].to_numpy(np.int64))
+    endings, ending_classes = kept["ending"].to_numpy(np.int64)[order], endings_at + order
+    classes = _class_of(endings, ending_classes, other, last_letters)
+    numbers = first[classes]
+    numbers[held] = np.arange(len(held))
+    # What the words with vectors leave of each ending.
+    inside = classes[grouped] - endings_at
+    left_tokens = np.append(kept["c"].to_numpy(np.int64), 0)
+    left_words = np.append(kept["words"].to_numpy(np.int64), 0)
+    left_tokens[-1] = tokens - found[: len(own)].sum() - left_tokens.sum()
+    left_words[-1] = words - len(own) - left_words.sum()
+    np.subtract.at(left_tokens, inside, found[grouped])
+    np.subtract.at(left_words, inside, 1)
+    word_tokens = np.concatenate([found[held], left_tokens])
+    spread = np.log10(np.concatenate([found[held], left_tokens + left_words]) + 1.0)
     keys = top["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return Vocabulary(
@@ -215,7 +215,7 @@ def look_up(vocabulary: Vocabulary, hashes: np.ndarray, endings: np.ndarray):
     distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     other = len(vocabulary.first) - 2
     classes = _class_of(vocabulary.endings, vocabulary.ending_classes, other, endings[first])
-    numbers = vocabulary.first[classes + 1] - 1
+    numbers = vocabulary.first[classes]
     counts = np.zeros(len(distinct), np.int64)
     common = np.zeros(len(distinct), dtype=bool)
     if len(vocabulary.keys):

@@ -77,18 +77,19 @@ def test_open_vocabulary_has_probability_one(spark, monkeypatch):
     """Known words and one unknown word of each class: what the counts within a number add is one."""
     monkeypatch.setattr(lm, "OWN_CLASSES", 5)
     monkeypatch.setattr(lm, "ENDING_CLASSES", 4)
+    monkeypatch.setattr(lm, "GROUP_CLASSES", 7)
     counts, vocabulary = vocabulary_of(spark, [(i, cases.prose(i, 300), None, "s", 1) for i in range(20)])
     words = counts.toPandas()
     hashes = words["hash"].to_numpy(np.int64).view(np.uint64)
     numbers, found, common = lm.look_up(vocabulary, hashes, words["ending"].to_numpy(np.int64))
     assert common.all() and np.array_equal(found, words["c"])
     shares = np.bincount(numbers, 10 ** (np.log10(found + 1.0) - vocabulary.spread[numbers]), vocabulary.size)
-    rest = np.flatnonzero(np.diff(vocabulary.first) >= 1)[5:]
     unknown = np.zeros(vocabulary.size)
-    unknown[vocabulary.first[rest + 1] - 1] = 10 ** -vocabulary.spread[vocabulary.first[rest + 1] - 1]
+    unknown[-5:] = 10 ** -vocabulary.spread[-5:]
     assert np.allclose(shares + unknown, 1)
     assert np.bincount(numbers, found, vocabulary.size).tolist() == vocabulary.word_tokens.tolist()
     own = found >= lm.own_count(vocabulary.tokens)
+    assert len(vocabulary.first) == 5 + 7 + 5 + 1 and np.ptp(np.diff(vocabulary.first)[5:12]) <= 1
     assert 5 < own.sum() < len(own) and len(set(numbers[own])) == own.sum()
 
 
