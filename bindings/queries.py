@@ -413,7 +413,8 @@ def accuracy_summary(spark, sf):
 
 
 def stratified_sample(spark, sf):
-    return long_ints(_sample(spark, sf).select("id", "category", "draw"))
+    questions = views.questions(spark, sf).select("id", "category")
+    return long_ints(sampling.stratified_sample(questions, SAMPLE, SKIP, SEED).select("id", "category", "draw"))
 
 
 def stratified_sample_events(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from answerlab.jobs import review as job
 from answerlab.operators import review, sampling
 from answerlab.plans import ranks, skew
+from bindings import queries
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +98,11 @@ def test_draw_rejects_blank_values(spark):
     frame = spark.createDataFrame([(1, "q", " ")], "id int, question string, category string")
     with pytest.raises(ValueError, match="'category' is empty"):
         job.draw(frame, 1, 0)
+
+
+def test_query_draws_from_all_questions(spark, tmp_path):
+    rows = [(i, f"text {i}", "web" if i % 2 else "book") for i in range(90)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.stratified_sample(spark, str(tmp_path)).collect()
+    assert {r.id for r in got} == expected_sample([(i, c) for i, _, c in rows], queries.SAMPLE, queries.SKIP, queries.SEED)
+    assert sorted((r.category, r.draw) for r in got) == [(c, d) for c in ("book", "web") for d in range(1, queries.SAMPLE + 1)]
