@@ -545,9 +545,17 @@ def _classes():
 
 
 def best_class(spark, sf):
-    rows = views.vectors(spark, sf)
-    best = vec.best_class(F.col("v"), _classes()).alias("best_class")
-    return finished(rows.select("position", best, F.array_max("v").alias("score")))
+    """The best class of a row with its score, and all classes, best first, with the last one's score."""
+    listed = views.vectors(spark, sf).select("position", "v", vec.class_scores(F.col("v"), _classes()).alias("scores"))
+    return finished(
+        listed.select(
+            "position",
+            vec.best_class(F.col("v"), _classes()).alias("best_class"),
+            F.array_max("v").alias("score"),
+            F.array_join(F.transform("scores", lambda s: s["label"]), ",").alias("ranking"),
+            F.element_at("scores", -1)["score"].alias("last_score"),
+        )
+    )
 
 
 def class_ranking(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from answerlab.functions import vectors as vec
 from answerlab.operators import centre
 from answerlab.plans import skew
+from bindings import queries
 
 
 def expected_centre(answers):
@@ -119,3 +120,14 @@ def test_probabilities_and_score(spark):
     assert row.h == pytest.approx(0.5 * (1 - row.f))
     assert (row.i, row.name) == (1, "b")
     assert [(s.label, s.score) for s in row.all] == [("b", 3.0), ("c", 2.0), ("a", 1.0)]
+
+
+def test_best_class_query_ranks_every_class(spark, tmp_path):
+    scores = [[float((7 * i + 5 * r) % 64) for i in range(64)] for r in range(3)] + [[1.0] * 64]
+    rows = [(i, 0, s) for i, s in enumerate(scores)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for row in queries.best_class(spark, str(tmp_path)).collect():
+        own = scores[row.position]
+        order = sorted(range(64), key=lambda i: (-own[i], i))
+        assert (row.best_class, row.score, row.last_score) == (f"class {order[0]}", max(own), min(own))
+        assert row.ranking == ",".join(f"class {i}" for i in order)
