@@ -29,6 +29,8 @@ LANES, STEPS, MARK = 64, 1024, 256
 BLOCK = LANES * STEPS
 SCALE = 18
 SEGMENT = 2_000_000
+#: Ids below this have their row of the frequency table looked up; larger ones are searched for.
+TABLE = 1 << 20
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _BITS = np.uint64(SCALE)
@@ -117,7 +119,12 @@ def encode_blocks(places: np.ndarray, freqs: np.ndarray) -> list[tuple[bytes, li
 def encode_segment(ids: np.ndarray) -> dict:
     """Table and blocks of the ids of a segment."""
     symbols, freqs = frequencies(ids)
-    places = np.searchsorted(symbols, ids)
+    if symbols[-1] < TABLE:
+        place_of = np.zeros(int(symbols[-1]) + 1, np.int64)
+        place_of[symbols] = np.arange(len(symbols))
+        places = place_of[ids]
+    else:
+        places = np.searchsorted(symbols, ids)
     whole = len(ids) // BLOCK * BLOCK
     groups = [places[:whole].reshape(-1, STEPS, LANES)] if whole else []
     if whole < len(ids):
@@ -197,18 +204,31 @@ class ByteBpe:
         odd = [rb"[\x1c-\x1f]", rb"\xc2[\x85\xa0]", rb"\xe1\x9a\x80", rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]"]
         odd += [rb"\xe2\x81\x9f", rb"\xe3\x80\x80", *[re.escape(s.encode()) for s in special]]
         self.odd = re.compile(b"|".join(odd))
+        # The pairs of bytes that the pattern can begin with: it is tried only there.
+        self.begins = np.zeros(1 << 16, dtype=bool)
+        self.begins[0x1C << 8 : 0x20 << 8] = True
+        self.begins[[0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]] = True
+        for name in filter(None, (s.encode() for s in special)):
+            self.begins[name[0] << 8 : (name[0] + 1) << 8] |= np.arange(256) == name[1] if len(name) > 1 else True
         self.memo = W.Memo(self._encode, np.uint32)
 
     def _encode(self, strings: list[bytes]) -> list[list[int]]:
         texts = [s.decode("utf-8", "replace") for s in strings]
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def odd_places(self, data: np.ndarray) -> list[int]:
+        """Where ``odd`` matches."""
+        pairs = data.astype(np.uint16) << 8
+        pairs[:-1] |= data[1:]
+        held = data.tobytes()
+        return [place for place in np.flatnonzero(self.begins[pairs]).tolist() if self.odd.match(held, place)]
+
     def encode(self, texts: W.Texts) -> W.Ragged:
         starts, ends, hashes, first = W.split_units(texts)
         distinct, number = self.memo.look_up(texts.data, starts, ends, hashes)
         tokens = distinct.take(number)
         rows = W.Ragged(tokens.values, tokens.offsets[first])
-        places = [m.start() for m in self.odd.finditer(texts.data.tobytes())]
+        places = self.odd_places(texts.data)
         if places:
             odd = np.unique(np.searchsorted(texts.offsets, places, "right") - 1)
             strings = [texts.data[texts.offsets[i] : texts.offsets[i + 1]].tobytes() for i in odd]

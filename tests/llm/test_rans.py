@@ -75,3 +75,23 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "ids")
     rans.write_ids(cases.frame(spark, []), path, VOCABULARY, end_id=2)
     assert rans.read_ids(spark, path).collect() == []
+
+
+def test_texts_to_encode_whole_are_found():
+    encoder = rans.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    special = [t.content for t in encoder.library.get_added_tokens_decoder().values()]
+    parts = ["a", "é", "\x1b", "\x1c", "\x1f", "\x85", "\xa0", " ", "ᚁ", " ", "​", " ", " ", "　", "<|", *special]
+    random = np.random.default_rng(5)
+    for size in (0, 1, 2, 40, 400):
+        for _ in range(60):
+            data = "".join(random.choice(parts, size)).encode()
+            found = encoder.odd_places(np.frombuffer(data, np.uint8))
+            assert set(found) >= {m.start() for m in encoder.odd.finditer(data)}
+            assert all(encoder.odd.match(data, place) for place in found)
+
+
+@pytest.mark.parametrize("most", [50_000, rans.TABLE, 1 << 32])
+def test_ids_below_and_beyond_the_table(most):
+    ids = np.random.default_rng(6).choice(np.array([0, 7, most // 2, most - 1], np.uint32), 3 * rans.BLOCK // 2)
+    row = rans.encode_segment(ids)
+    assert (rans.decode_segment(row["symbols"], row["freqs"], row["blocks"], len(ids)) == ids).all()
