@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from answerlab.llm import words as W
 from answerlab.llm.columns import renamed
-from answerlab.session import materialise
+from answerlab.session import arrow_batches, materialise
 
 WINDOW = 8
 #: Bytes of text measured together, and of the memo of words: a worker takes some 100 MB besides its vocabulary.
@@ -286,9 +286,14 @@ def score_quality(
     return judged(measured(docs, vocabulary, ["doc_id"] if keep is None else keep, text, lang), bands, default)
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    with arrow_batches(rows.sparkSession, 2 * BATCH):
+        return materialise(rows)
+
+
 def score_learned(docs: DataFrame, labels: DataFrame, vocabulary: str, doc_id: str = "doc_id") -> DataFrame:
     """``doc_id`` and MEASURES of every document, by bands learned from its labels. Texts are measured once."""
-    rows = materialise(measured(docs, vocabulary, [doc_id]))
+    rows = _written(measured(docs, vocabulary, [doc_id]))
     return judged(rows, bands_of(rows, labels, doc_id))
 
 
@@ -368,7 +373,7 @@ def learn_bands(
 ) -> dict[str, Band | LearnedBand]:
     """The bands of ``bands_of`` for documents that are not measured yet."""
     named = docs.select(docs[doc_id].alias("_id"), docs[text].alias("text"), docs[lang].alias("lang"))
-    return bands_of(materialise(measured(named, vocabulary, ["_id"])), labels, "_id", doc_id, quality)
+    return bands_of(_written(measured(named, vocabulary, ["_id"])), labels, "_id", doc_id, quality)
 
 
 def keep_good(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,18 @@ def materialise(frame: DataFrame) -> DataFrame:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs that run inside give Python batches of about ``size`` bytes, or of a row that is larger.
+
+    By number of rows alone, a batch of texts takes tens of MB in the executor and as much in each of its workers.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

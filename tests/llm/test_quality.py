@@ -122,3 +122,23 @@ def test_bands_without_labels(spark):
     kept = {r["doc_id"] for r in quality.score_quality(docs, VOCABULARY, bands=bands).where("kept").collect()}
     assert sum((i - 1000) % 9 > 2 for i in kept) >= 0.95 * 600 and sum((i - 1000) % 9 <= 2 for i in kept) <= 0.2 * 34
     assert quality.learn_bands(cases.frame(spark, rows=[]), none, VOCABULARY) == quality.BANDS
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, written, real = spark.conf.get(name), [], quality.materialise
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('some words of it ', 600) AS text", "'en' AS lang")
+    sizes = docs.select("text").coalesce(1).mapInArrow(
+        lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long"
+    )
+
+    def materialised(rows):
+        written.append(max(r.n for r in sizes.collect()))
+        return real(rows)
+
+    monkeypatch.setattr(quality, "materialise", materialised)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    quality.score_learned(docs, labels, VOCABULARY)
+    quality.learn_bands(docs, labels, VOCABULARY)
+    assert len(written) == 2 and max(written) < 3 * quality.BATCH
+    assert spark.conf.get(name) == before
