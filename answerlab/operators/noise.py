@@ -17,6 +17,8 @@ from answerlab.operators.sampling import draw_order
 VARIANTS = 18
 TYPO_RATE = 0.09
 _OUTPUT_CHARS = 4_000_000
+#: Characters of the variants of one text that are made side by side.
+_TOGETHER = 1 << 18
 
 
 def fan_out(questions: DataFrame, variants: int = VARIANTS) -> DataFrame:
@@ -25,8 +27,11 @@ def fan_out(questions: DataFrame, variants: int = VARIANTS) -> DataFrame:
 
 
 def _typo_mapper(seed: int, rate: float, variants: int, key: str):
-    """A mapInPandas function. It holds all it needs, so workers need not import this package."""
-    most = _OUTPUT_CHARS
+    """A mapInPandas function. It holds all it needs, so workers need not import this package.
+
+    The variants of a text are made side by side: a text is short, and then calls cost more than letters.
+    """
+    most, most_together = _OUTPUT_CHARS, _TOGETHER
 
     def letters_and_parts(codes):
         """Positions of the letters and the text part each is in; digit runs separate parts."""
@@ -44,28 +49,46 @@ def _typo_mapper(seed: int, rate: float, variants: int, key: str):
         a, b, c = coefficients
         return ((a * places % prime + b) * places % prime + c) % prime
 
-    def edited(codes, letters, parts, edits, coefficients):
+    def edited(codes, letters, begins_of_parts, edits, coefficients):
+        """(code points, how many of them each has) of the variants with these rows of coefficients, side by side."""
         import numpy as np
 
-        order = np.lexsort((letters, hashed(letters, coefficients)))
+        none = np.iinfo(np.int64).max
+        count, size = len(coefficients), len(letters)
+        variant = np.arange(count)[:, None]
+        # Letters in the order of their hashes, equal ones by place. Only the first ones of an order are needed.
+        keys = (hashed(letters, coefficients.T[:, :, None]) << 32) + np.arange(size)
+
+        def first_ones(keys, most):
+            """Marks of the ``most`` smallest keys of each variant, or of all there are."""
+            marks = np.zeros(keys.shape, dtype=bool)
+            if 0 < most < size:
+                marks[variant, np.argpartition(keys, most - 1, axis=1)[:, :most]] = True
+            else:
+                marks[:] = most > 0
+            return marks & (keys != none)
+
         # The last letter of each part in this order stays, so no part loses all its letters.
-        _, from_end = np.unique(parts[order][::-1], return_index=True)
-        free = np.ones(len(order), dtype=bool)
-        free[len(order) - 1 - from_end] = False
-        dropped = np.zeros(len(codes), dtype=bool)
-        dropped[letters[order[free]][:edits]] = True
+        free = keys.copy()
+        free[variant, np.maximum.reduceat(keys, begins_of_parts, axis=1) & 0xFFFFFFFF] = none
+        dropped = first_ones(free, edits)
         # Letters that stay, in runs of neighbours; every second one of a run and its follower are a pair.
-        staying = letters[~dropped[letters]]
+        own, index = np.nonzero(~dropped)
+        staying = letters[index]
         begins = np.ones(len(staying), dtype=bool)
-        begins[1:] = staying[1:] != staying[:-1] + 1
-        starts = np.flatnonzero(begins)
-        offset = np.arange(len(staying)) - starts[np.cumsum(begins) - 1]
-        follows = np.append(~begins[1:], False)
-        leaders = staying[(offset % 2 == 0) & follows]
-        first = leaders[np.lexsort((leaders, hashed(leaders, coefficients)))[:edits]]
-        out = codes.copy()
-        out[first], out[first + 1] = codes[first + 1], codes[first]
-        return out[~dropped]
+        begins[1:] = (staying[1:] != staying[:-1] + 1) | (own[1:] != own[:-1])
+        places = np.arange(len(staying))
+        offset = places - np.maximum.accumulate(np.where(begins, places, 0))
+        leads = (offset & 1 == 0) & np.append(~begins[1:], False)
+        leaders = np.full(keys.shape, none)
+        leaders[own[leads], index[leads]] = keys[own[leads], index[leads]]
+        own, index = np.nonzero(first_ones(leaders, edits))
+        first = letters[index]
+        out = np.tile(codes, (count, 1))
+        out[own, first], out[own, first + 1] = codes[first + 1], codes[first]
+        kept = np.ones(out.shape, dtype=bool)
+        kept[:, letters] = ~dropped
+        return out[kept], kept.sum(axis=1)
 
     def variants_of(question, value):
         import hashlib
@@ -76,14 +99,20 @@ def _typo_mapper(seed: int, rate: float, variants: int, key: str):
         letters, parts = letters_and_parts(codes) if len(codes) else ((), ())
         edits = int(rate * len(letters))
         yield 0, value
-        for position in range(1, variants + 1):
-            if not edits:
-                yield position, value
-                continue
-            digest = hashlib.md5(f"{seed}|{question}|{position}".encode()).hexdigest()
-            coefficients = [int(digest[i : i + 7], 16) for i in (0, 7, 14)]
-            out = edited(codes, letters.astype(np.int64), parts, edits, coefficients)
-            yield position, out.astype(np.uint32).tobytes().decode("utf-32-le")
+        if not edits:
+            yield from ((position, value) for position in range(1, variants + 1))
+            return
+        begins_of_parts = np.flatnonzero(np.diff(parts, prepend=-1))
+        together = max(1, most_together // len(codes))
+        for begin in range(1, variants + 1, together):
+            positions = range(begin, min(begin + together, variants + 1))
+            digests = [hashlib.md5(f"{seed}|{question}|{position}".encode()).hexdigest() for position in positions]
+            coefficients = np.array([[int(digest[i : i + 7], 16) for i in (0, 7, 14)] for digest in digests])
+            out, sizes = edited(codes, letters, begins_of_parts, edits, coefficients)
+            text, end = out.tobytes().decode("utf-32-le"), 0
+            for position, chars in zip(positions, sizes.tolist()):
+                yield position, text[end : end + chars]
+                end += chars
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -230,3 +230,17 @@ def test_thesaurus(spark, payload, expected):
 def test_words_helper(spark):
     frame = spark.createDataFrame([("a-b ç_1",)], "t string")
     assert frame.select(tx.words(F.col("t"))).first()[0] == ["a", "b", "ç_1"]
+
+
+def test_variants_made_side_by_side_are_those_made_alone(monkeypatch):
+    import pandas as pd
+
+    texts = ["", "a", "ab1", "12 34", "one two 3 four five 67 eight nine", "straße 5 über " * 40, "x" * 300, "a1b2c3 " * 60]
+    frame = pd.DataFrame({"k": [str(i) for i in range(len(texts))], "text": texts})
+    made = []
+    for together in (1, 500, 1 << 18):
+        monkeypatch.setattr(noise, "_TOGETHER", together)
+        made += [pd.concat(noise._typo_mapper(3, rate, 18, "k")(iter([frame]))).reset_index(drop=True) for rate in (0.09, 1.0)]
+    for one, other in zip(made, made[2:]):
+        assert one.equals(other)
+    assert len(made[0]) == 19 * len(texts)
