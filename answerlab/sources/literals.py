@@ -7,6 +7,8 @@ go back nor recurse, whatever the length of a text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from answerlab.functions import text
@@ -24,8 +26,9 @@ def _string(escape: str) -> str:
     """A string of either kind of quotes, single or tripled, with these escapes."""
     kinds = []
     for quote in "'\"":
-        kinds.append(rf"{quote * 3}(?:[^{quote}\\\x00]|{escape}|{quote}(?!{quote * 2}))*+{quote * 3}")
-        kinds.append(rf"{quote}(?!{quote * 2})(?:[^{quote}\\\r\n\x00]|{escape})*+{quote}")
+        # Plain letters are taken by runs: a step of the loop for every letter costs several times as much.
+        kinds.append(rf"{quote * 3}(?:[^{quote}\\\x00]++|{escape}|{quote}(?!{quote * 2}))*+{quote * 3}")
+        kinds.append(rf"{quote}(?!{quote * 2})(?:[^{quote}\\\r\n\x00]++|{escape})*+{quote}")
     return f"(?:{'|'.join(kinds)})"
 
 
@@ -71,24 +74,37 @@ def decode_list(serialised: Column, key: Column | None = None) -> Column:
     )
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, however often it is used; inside a list nothing else sees to that."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _item(written: Column, where: Column, shown: Column) -> Column:
     """The text of one item: its strings one after the other."""
     strings = F.transform(F.regexp_extract_all(written, F.lit(_STRING), F.lit(0)), lambda s: _content(s, where, shown))
-    quoted = written.rlike("^[uUrR]?['\"]")
+    quoted = F.left(written, F.lit(2)).rlike("^[uUrR]?['\"]")
     # Most items are one plain string.
     plain = written.rlike(r"^(?:'(?!'')[^'\\]*+'|\"(?!\"\")[^\"\\]*+\")\z")
     inside = F.substring(written, F.lit(2), F.length(written) - 2)
-    return F.when(plain, inside).when(quoted, F.array_join(strings, "")).when(written != "None", written)
+    return F.when(~quoted, F.nullif(written, F.lit("None"))).when(plain, inside).otherwise(F.array_join(strings, ""))
 
 
 def _content(written: Column, where: Column, shown: Column) -> Column:
-    prefix = F.when(written.rlike("^[uUrR]"), 1).otherwise(0)
-    quotes = F.when(written.rlike("^[uUrR]?(?:'''|\"\"\")"), 3).otherwise(1)
+    # A pattern is tried on the first letters only: it would take a copy of the whole string.
+    head = F.left(written, F.lit(4))
+    prefix = F.when(head.rlike("^[uUrR]"), 1).otherwise(0)
+    quotes = F.when(head.rlike("^[uUrR]?(?:'''|\"\"\")"), 3).otherwise(1)
     inside = F.substring(written, prefix + quotes + 1, F.length(written) - prefix - 2 * quotes)
-    # A line break in a text is one character, however it is written.
-    inside = F.when(F.contains(inside, F.lit("\r")), F.regexp_replace(inside, "\r\n?", "\n")).otherwise(inside)
-    escaped = F.contains(inside, F.lit("\\")) & ~written.rlike("^[rR]")
-    return F.when(escaped, _unescaped(inside, where, shown)).otherwise(inside)
+
+    def joined(inside: Column) -> Column:
+        # A line break in a text is one character, however it is written.
+        return F.when(F.contains(inside, F.lit("\r")), F.regexp_replace(inside, "\r\n?", "\n")).otherwise(inside)
+
+    def read(inside: Column) -> Column:
+        escaped = F.contains(inside, F.lit("\\")) & ~head.rlike("^[rR]")
+        return F.when(escaped, _unescaped(inside, where, shown)).otherwise(inside)
+
+    return _bound(_bound(inside, joined), read)
 
 
 def _unescaped(inside: Column, where: Column, shown: Column) -> Column:

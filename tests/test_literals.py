@@ -8,6 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from answerlab.sources import literals
 from answerlab.sources.literals import decode_list
 
 
@@ -114,3 +115,8 @@ BAD = [
 def test_no_list(spark, bad):
     with pytest.raises(Exception, match="row 0: .*list"):
         decoded(spark, [bad])
+
+
+def test_a_string_is_cut_out_once(spark):
+    made = literals._content(F.col("w"), F.lit(""), F.lit(""))._jc.toString()
+    assert made.count("substring(w") == 1
