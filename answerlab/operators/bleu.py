@@ -1,11 +1,13 @@
 """Sentence BLEU-4 of (reference, candidate) pairs.
 
-Everything about a pair is in its row, so the score is a projection: no shuffle, and
-memory per task is that of one pair.
+Everything about a pair is in its row, so the score is a projection without a shuffle. Tokens and the score
+are built-in expressions; shared grams are counted in NumPy for a batch of pairs at a time, by exact numbers.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlab.functions import text
@@ -13,55 +15,73 @@ from answerlab.functions import text
 # Highest n-gram order and the match count used where nothing matches.
 MAX_ORDER = 4
 EPSILON = 0.1
-# Up to this many shared grams, finding them one by one costs less than sorting all grams.
-LOOKED_UP = 64
+#: Tokens of both sides that are compared together, so memory does not follow the size of a batch.
+PIECE = 1 << 20
 
 
-def _longer_grams(side: str, order: int) -> Column:
-    """Every gram of one order less, extended by the token after it.
+def _matcher():
+    """Matches of every order for lists of (reference tokens, candidate tokens), all pairs of a batch side by side.
 
-    Tokens hold no space, so a space can join them. Without a shared shorter gram there
-    is no shared longer one, and the longer ones are not even made.
+    Everything is made here, so that it travels to workers whole.
     """
-    count = f"greatest(size(_{side}1) - {order - 1}, 0)"
-    shorter, tokens = f"slice(_{side}{order - 1}, 1, {count})", f"slice(_{side}1, {order}, {count})"
-    longer = f"zip_with({shorter}, {tokens}, (gram, token) -> concat(gram, ' ', token))"
-    return F.expr(f"CASE WHEN _m{order - 1} > 0 THEN {longer} ELSE CAST(array() AS array<string>) END")
-
-
-def _found(side: str, order: int) -> Column:
-    """The grams of a side that are shared; all of them where looking each up costs too much."""
-    grams, k = f"_{side}{order}", f"_k{order}"
-    return F.expr(f"if(size({k}) <= {LOOKED_UP}, filter({grams}, g -> array_contains({k}, g)), {grams})")
-
-
-def _shared(order: int) -> Column:
-    """Size of the multiset intersection of the candidate's and the reference's grams.
-
-    ``_k`` holds the distinct shared grams and ``_f`` the candidate's grams found among
-    them. Where none of these repeats, the size is known. Otherwise both sides are sorted
-    together, the reference first among equal grams, and folded once: reference grams are
-    put aside, and a candidate gram takes one of its kind if any is left.
-    """
-    found, k = f"_f{order}", f"_k{order}"
-    mine = f"transform({found}, g -> struct(g AS gram, true AS mine))"
-    theirs = f"transform(_g{order}, g -> struct(g AS gram, false AS mine))"
-    put_aside = "struct(x.gram AS gram, if(s.gram = x.gram, s.spare + 1, 1) AS spare, s.taken AS taken)"
-    take = "struct(s.gram AS gram, s.spare - 1 AS spare, s.taken + 1 AS taken)"
-    return F.expr(
-        f"""CASE
-        WHEN size({found}) = size({k}) OR size(_g{order}) = size({k}) THEN size({k})
-        WHEN size(array_distinct({found})) = size({found}) THEN size({k})
-        ELSE aggregate(
-            sort_array(concat({theirs}, {mine})),
-            struct('' AS gram, 0 AS spare, 0 AS taken),
-            (s, x) -> CASE
-                WHEN NOT x.mine THEN {put_aside}
-                WHEN s.gram = x.gram AND s.spare > 0 THEN {take}
-                ELSE s END,
-            s -> s.taken)
-        END"""
-    )
+    orders, piece = MAX_ORDER, PIECE
+
+    def listed(column):
+        """(values, offsets) of a list column; null is empty."""
+        column = column.fill_null([]) if column.null_count else column
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        return column.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
+
+    def matches(tokens, owners, mine, count):
+        """(pairs, orders) sizes of the multiset intersections; a pair's reference and candidate each lie in order.
+
+        Grams are numbered anew in every order, within their pair: a longer gram is the number of the shorter one and
+        that of the token after it. Places whose gram the other side lacks begin no longer match and are left out.
+        """
+        found = np.zeros((count, orders), dtype=np.int32)
+        # Where each side of each pair ends, so that no gram reaches beyond it.
+        side = owners * 2 + mine
+        places = np.arange(len(tokens))
+        _, single = np.unique(owners * (int(tokens.max(initial=0)) + 1) + tokens, return_inverse=True)
+        grams, width = single, int(single.max(initial=0)) + 1
+        for order in range(orders):
+            if order:
+                inside = places + order < len(tokens)
+                inside[inside] = side[places[inside] + order] == side[places[inside]]
+                places, grams = places[inside], grams[inside]
+                _, grams = np.unique(grams * width + single[places + order], return_inverse=True)
+            theirs = np.bincount(grams[~mine[places]], minlength=grams.max(initial=-1) + 1)
+            own = np.bincount(grams[mine[places]], minlength=len(theirs))
+            shared = np.minimum(theirs, own)
+            owner_of = np.zeros(len(shared), dtype=np.int64)
+            owner_of[grams] = owners[places]
+            found[:, order] = np.bincount(owner_of, shared, count)
+            left = shared[grams] > 0
+            places, grams = places[left], grams[left]
+            if not len(places):
+                break
+        return found
+
+    def run(references: pa.Array, candidates: pa.Array) -> pa.Array:
+        (theirs, first), (own, begin) = listed(references), listed(candidates)
+        both = pa.concat_arrays([theirs, own]).dictionary_encode().indices
+        # A list holds no null token, so all numbers are there.
+        numbers = both.to_numpy(zero_copy_only=False).astype(np.int64)
+        theirs, own = numbers[: first[-1]], numbers[first[-1] :]
+        out, ends, row = [], first + begin, 0
+        while row < len(references):
+            last = max(row + 1, int(np.searchsorted(ends, ends[row] + piece, "right")) - 1)
+            sizes = np.diff(first[row : last + 1]), np.diff(begin[row : last + 1])
+            pair = np.arange(last - row)
+            owners = np.concatenate([np.repeat(pair, size) for size in sizes])
+            mine = np.repeat([False, True], [sizes[0].sum(), sizes[1].sum()])
+            tokens = np.concatenate([theirs[first[row] : first[last]], own[begin[row] : begin[last]]])
+            out.append(matches(tokens, owners, mine, last - row))
+            row = last
+        counts = np.concatenate(out) if out else np.zeros((0, orders), dtype=np.int32)
+        return pa.ListArray.from_arrays(np.arange(len(counts) + 1, dtype=np.int32) * orders, pa.array(counts.ravel()))
+
+    return run
 
 
 def with_bleu(
@@ -79,20 +99,10 @@ def with_bleu(
     known = tokens or {}
     side = {c: F.col(known[c]) if c in known else text.tokens(F.col(c)) for c in (reference, candidate)}
     matched = pairs.withColumns({"_r1": side[reference], "_c1": side[candidate]})
-    for order in range(1, MAX_ORDER + 1):
-        if order > 1:
-            matched = matched.withColumns({f"_{s}{order}": _longer_grams(s, order) for s in "rc"})
-        matched = matched.withColumn(f"_k{order}", F.array_intersect(f"_c{order}", f"_r{order}"))
-        matched = matched.withColumns({f"_f{order}": _found("c", order), f"_g{order}": _found("r", order)})
-        matched = matched.withColumn(f"_m{order}", _shared(order))
-    matched = matched.select(
-        *kept,
-        F.size("_r1").alias("_nr"),
-        F.size("_c1").alias("_nc"),
-        *[f"_m{order}" for order in range(1, MAX_ORDER + 1)],
-    )
+    found = F.arrow_udf(_matcher(), "array<int>")(F.col("_r1"), F.col("_c1"))
+    matched = matched.select(*kept, F.size("_r1").alias("_nr"), F.size("_c1").alias("_nc"), found.alias("_m"))
     logs = " + ".join(
-        f"ln(if(_m{n} > 0, double(_m{n}), {EPSILON}D) / greatest(_nc - {n - 1}, 1))" for n in range(1, MAX_ORDER + 1)
+        f"ln(if(_m[{n - 1}] > 0, double(_m[{n - 1}]), {EPSILON}D) / greatest(_nc - {n - 1}, 1))" for n in range(1, MAX_ORDER + 1)
     )
     score = F.expr(
         f"""CASE WHEN `{reference}` IS NULL OR `{candidate}` IS NULL THEN NULL

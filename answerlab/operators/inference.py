@@ -32,6 +32,8 @@ BATCH_SIZE = 32
 #: Most tokens per model call, padding included, and characters to a token.
 TOKEN_BUDGET = 16_384
 CHARS_PER_TOKEN = 4
+#: Results that a task hands over together, at least.
+RESULTS = 512
 _ID, _SIZE = "_input_id", "_tokens"
 
 
@@ -78,7 +80,7 @@ packed = _packer()
 
 
 def _caller(make: Callable, inputs: list[str], batch_size: int, budget: int):
-    packed = _packer()
+    packed, most = _packer(), RESULTS
 
     def results(call, columns):
         """(answer, error) of every input; a batch that fails is tried again by halves."""
@@ -100,21 +102,31 @@ def _caller(make: Callable, inputs: list[str], batch_size: int, budget: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call, held = None, None
 
+        def table(ids, rows, pairs):
+            return pd.DataFrame(
+                {
+                    "_input_id": ids,
+                    "rows": rows,
+                    "result": pd.Series([answer for answer, _ in pairs], dtype=object),
+                    "error": pd.Series([error for _, error in pairs], dtype=object),
+                }
+            )
+
         def sent(frame, last):
             nonlocal call
             ends, done = packed(frame["_tokens"].tolist(), batch_size, budget, last)
+            texts = [frame[name].tolist() for name in inputs]
+            ids, rows = frame["_input_id"].tolist(), frame["rows"].tolist()
+            # A frame for every call would cost more than a quick model: results of several calls go out together.
+            begin, pairs = 0, []
             for start, end in zip([0, *ends], ends, strict=False):
-                part = frame.iloc[start:end]
                 call = call or make()
-                pairs = results(call, [part[name].tolist() for name in inputs])
-                yield pd.DataFrame(
-                    {
-                        "_input_id": part["_input_id"].tolist(),
-                        "rows": part["rows"].tolist(),
-                        "result": pd.Series([answer for answer, _ in pairs], dtype=object),
-                        "error": pd.Series([error for _, error in pairs], dtype=object),
-                    }
-                )
+                pairs += results(call, [column[start:end] for column in texts])
+                if end - begin >= most:
+                    yield table(ids[begin:end], rows[begin:end], pairs)
+                    begin, pairs = end, []
+            if pairs:
+                yield table(ids[begin:done], rows[begin:done], pairs)
             return frame.iloc[done:]
 
         for frame in batches:

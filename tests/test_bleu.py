@@ -3,8 +3,10 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
+from answerlab.operators import bleu
 from answerlab.operators.bleu import with_bleu
 
 
@@ -68,3 +70,15 @@ def test_random_texts_agree_with_the_definition(spark):
 
 def test_a_missing_side_has_no_score(spark):
     assert scores(spark, [(None, "a"), ("a", None)]) == [None, None]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_pairs_side_by_side_do_not_mix(monkeypatch, piece):
+    monkeypatch.setattr(bleu, "PIECE", piece)
+    rng = random.Random(piece)
+    sides = [[rng.choice([None, rng.choices("abc", k=rng.randint(0, 12))]) if i % 9 == 0 else rng.choices("abc", k=rng.randint(0, 12)) for i in range(200)] for _ in "rc"]
+    got = bleu._matcher()(*[pa.array([["x"], *side], pa.list_(pa.string())).slice(1) for side in sides]).to_pylist()
+    for found, r, c in zip(got, *sides, strict=True):
+        grams = [[Counter(zip(*((side or [])[k:] for k in range(n)))) for side in (r, c)] for n in (1, 2, 3, 4)]
+        assert found == [(a & b).total() for a, b in grams]
+    assert bleu._matcher()(*[pa.array([], pa.list_(pa.string()))] * 2).to_pylist() == []

@@ -245,3 +245,17 @@ def test_failed_calls_are_sent_again_and_models_kept_apart(spark, tmp_path):
     assert {r.response for r in third.collect()} == {"a3", "b3", "bad3", None}
     with pytest.raises(ValueError, match="name"):
         inference.generate_answers(frame, failing, journal=inference.Journal(str(tmp_path), "a/b"))
+
+
+def test_results_of_many_calls_go_out_together():
+    import pandas as pd
+
+    def make():
+        return lambda texts: [f"<{text}>" for text in texts]
+
+    for count in (0, 1, 700, 5000):
+        frame = pd.DataFrame({"_input_id": [f"i{i}" for i in range(count)], "rows": 1, "t": [f"t{i}" for i in range(count)], "_tokens": 1})
+        out = list(inference._caller(make, ["t"], 32, 1000)(iter([frame[: count // 3], frame[count // 3 :]])))
+        assert [r for f in out for r in f["result"]] == [f"<t{i}>" for i in range(count)]
+        assert [i for f in out for i in f["_input_id"]] == [f"i{i}" for i in range(count)]
+        assert len(out) <= 3 + count // inference.RESULTS
