@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from answerlab.llm import words as W
 from answerlab.llm.columns import renamed
 from answerlab.llm.graphs import components, in_tiles, map_groups, spanning
-from answerlab.session import materialise
+from answerlab.session import arrow_batches, materialise
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5  # the threshold, 0.8, as a fraction of integers
@@ -46,6 +46,8 @@ DEPTH = 6
 ALIKE = 0.7
 RECALL = 0.9999
 BLOCK = 256
+#: Bytes of text whose shingles are found together; they take some 20 times as much memory.
+BATCH = 2 << 20
 _RANDOM = np.random.default_rng(414243)
 _FACTORS = _RANDOM.integers(0, 1 << 62, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = _RANDOM.permutation(MINIMA).tolist()
@@ -66,7 +68,16 @@ def runs_for(recall: float, depth: int, similarity: float = NUMERATOR / DENOMINA
 
 
 def shingle_sets(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the distinct shingles of all texts one after the other, offsets per text)."""
+    """(hashes of the distinct shingles of all texts one after the other, offsets per text), found piece by piece."""
+    parts, ends = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, piece in texts.pieces(BATCH):
+        hashes, offsets = _shingles(piece)
+        parts.append(hashes)
+        ends.append(offsets[1:] + ends[-1][-1])
+    return np.concatenate(parts), np.concatenate(ends)
+
+
+def _shingles(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
     words = W.split_words(texts)
     owners, counts = words.owners, words.counts
     whole = np.arange(len(owners)) + SHINGLE <= words.first[1:][owners]
@@ -91,7 +102,7 @@ def _digest(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        for table, texts in W.batches_of(batches, text):
+        for table, texts in W.batches_of(batches, text, BATCH):
             hashes, offsets = shingle_sets(texts)
             count = len(texts)
             some = np.flatnonzero(np.diff(offsets))
@@ -116,7 +127,9 @@ def _digest(docs: DataFrame, text: str) -> DataFrame:
             yield from pa.table(columns, names=[*names, "_row", "_n", "_key", "_key2", "_sig"]).to_batches()
             row += count
 
-    return materialise(docs.mapInArrow(run, f"{kinds}, _row long, _n int, _key long, _key2 long, _sig array<int>"))
+    rows = docs.mapInArrow(run, f"{kinds}, _row long, _n int, _key long, _key2 long, _sig array<int>")
+    with arrow_batches(docs.sparkSession, 2 * BATCH):
+        return materialise(rows)
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
@@ -239,9 +252,10 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     compared = near.join(sizes, "root").join(reps.select(F.col("rep").alias("node"), "copies"), "node")
     texts = rows.select(F.col("_row").alias("node"), F.col(text).alias("_text"))
     tiles = in_tiles(compared.join(texts, "node").withColumnRenamed("node", "rep"), "root", "_size", "rep", BLOCK)
-    exact = materialise(
-        map_groups(tiles.select("_tile", "_side", "rep", "copies", "_text"), "_tile", _linked, schema)
-    )
+    with arrow_batches(docs.sparkSession, 2 * BATCH):
+        exact = materialise(
+            map_groups(tiles.select("_tile", "_side", "rep", "copies", "_text"), "_tile", _linked, schema)
+        )
     roots = components(exact.select("a", "b")).select(F.col("node").alias("rep"), F.col("root"))
     links = exact.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     known = classes.join(roots, "rep", "left").join(links, "rep", "left")

@@ -389,10 +389,23 @@ def keep_good(
     """The documents that pass, with the columns they had, of any names.
 
     With ``labels`` the bands are learned from them in a pass of its own, which writes the measures without the
-    texts: measuring twice costs processor time, a copy of all texts would stay on the disk.
+    texts: measuring twice costs processor time, a copy of all texts would stay on the disk. Texts are measured and
+    judged by the same worker, and only those that pass come back from it.
     """
     safe, named = renamed(docs)
     if labels is not None:
         bands = learn_bands(docs, labels, vocabulary, doc_id, text, lang)
-    rows = measured(safe, vocabulary, safe.columns, named[text], named[lang])
-    return judged(rows, bands, default).where("kept").select(*safe.columns).toDF(*docs.columns)
+    bands = BANDS if bands is None else bands
+    names = safe.columns
+    read = safe.withColumn("_lang", safe[named[lang]].cast("string"))
+    whole = named[text]
+    if dict(safe.dtypes)[whole] != "string":
+        read, whole = read.withColumn("_text", safe[whole].cast("string")), "_text"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, texts in W.batches_of(batches, whole, BATCH):
+            kept = judge(measure(texts, vocabulary), table.column("_lang").to_pylist(), bands, default)
+            yield from table.select(names).filter(pa.array(kept)).to_batches()
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in safe.schema)
+    return read.mapInArrow(run, kinds).toDF(*docs.columns)

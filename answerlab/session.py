@@ -59,16 +59,18 @@ def materialise(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
     """Jobs that run inside give Python batches of about ``size`` bytes, or of a row that is larger.
 
     By number of rows alone, a batch of texts takes tens of MB in the executor and as much in each of its workers.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(size))
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(size))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH_BYTES, before)

@@ -1,11 +1,14 @@
 """The n-gram join against all pairs of documents."""
 
 import re
+import tracemalloc
 
 import cases
+import numpy as np
 import pytest
 
-from answerlab.llm import graphs, jaccard
+from answerlab.llm import graphs, jaccard, words
+from answerlab.session import BATCH_BYTES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,3 +90,32 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (5, 5)], "a long, b long")
     found = {row["node"]: row["root"] for row in graphs.components(edges).collect()}
     assert found == {**{i: 0 for i in range(41)}, 90: 90, 100: 90}
+
+
+def test_shingles_of_a_batch_take_bounded_memory():
+    """What a worker holds besides the result does not follow the bytes it is given."""
+    text = cases.prose(7, 40_000).encode()
+    data = np.frombuffer(text * 48, np.uint8)
+    texts = words.Texts(data, np.arange(49) * len(text))
+    tracemalloc.start()
+    hashes, offsets = jaccard.shingle_sets(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    alone = jaccard.shingle_sets(words.Texts(data[: len(text)], np.array([0, len(text)])))[0]
+    assert np.array_equal(hashes, np.tile(alone, 48)) and np.array_equal(offsets, np.arange(49) * len(alone))
+    assert len(data) > 10 << 20 and peak < 8 * len(data)
+
+
+def test_passes_over_texts_get_arrow_batches_of_few_bytes(spark, monkeypatch):
+    limits, write = [], jaccard.materialise
+
+    def spy(frame):
+        limits.append((frame.columns, spark.conf.get(BATCH_BYTES)))
+        return write(frame)
+
+    monkeypatch.setattr(jaccard, "materialise", spy)
+    before = spark.conf.get(BATCH_BYTES)
+    jaccard.join_near(cases.frame(spark))
+    small = [columns for columns, limit in limits if limit == str(2 * jaccard.BATCH)]
+    assert any("_sig" in columns for columns in small) and ["a", "b", "links"] in small
+    assert spark.conf.get(BATCH_BYTES) == before

@@ -13,6 +13,7 @@ import test_quality
 import test_suffixes
 
 from answerlab.llm import quality
+from answerlab.session import BATCH_BYTES
 
 ITEM = cases.prose(800, 40)
 
@@ -99,3 +100,20 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
         assert docs.dtypes == [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")]
         assert docs.collect() == []
     assert "ids" in corpus_pipeline.encoded(spark, docs, str(tmp_path)).columns
+
+
+def test_arrow_batches_are_of_few_bytes_when_the_caller_writes(spark, tmp_path):
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    cases.frame(spark).select(*cases.frame(spark).columns[:5]).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        for stage in (corpus_pipeline.quality_rules, corpus_pipeline.repeated_strings, corpus_pipeline.encoded):
+            spark.conf.set(BATCH_BYTES, "32m")
+            stage(spark, docs, str(tmp_path))
+            assert spark.conf.get(BATCH_BYTES) == str(corpus_pipeline.BATCH)
+        spark.conf.set(BATCH_BYTES, "32m")
+        corpus_pipeline.run(spark, str(tmp_path))
+        assert spark.conf.get(BATCH_BYTES) == "32m"
+    finally:
+        spark.conf.set(BATCH_BYTES, before)

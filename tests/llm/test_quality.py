@@ -142,3 +142,13 @@ def test_texts_reach_python_in_batches_of_bounded_bytes(spark, monkeypatch):
     quality.learn_bands(docs, labels, VOCABULARY)
     assert len(written) == 2 and max(written) < 3 * quality.BATCH
     assert spark.conf.get(name) == before
+
+
+def test_texts_are_measured_and_judged_by_one_worker(spark, capsys):
+    frame = cases.frame(spark)
+    quality.keep_good(frame, VOCABULARY).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    # A text of another type is read as Spark writes it.
+    numbers = frame.withColumn("text", frame["doc_id"])
+    assert quality.keep_good(numbers, VOCABULARY).collect() == []
+    assert quality.keep_good(numbers, VOCABULARY).dtypes == numbers.dtypes
