@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from answerlab.llm import words as W
-from answerlab.session import materialise
+from answerlab.session import arrow_batches, materialise
 
+TEXT_BYTES = 2 << 20  # of an Arrow batch; by rows alone a task holds ten times as much
+COUNTED = 1 << 19  # words whose counts a task sums up at once
 COMMON = 200_000
 OWN_CLASSES = 96
 GROUP_CLASSES = 80
@@ -54,6 +57,7 @@ ROUNDS = 4
 SHARD_TOKENS = 1_000_000
 MAX_TASKS = 1 << 14
 SLICE = 64  # batches whose contexts are laid out at once
+MOST_LOG = 85.0  # of a sum of scores that 32-bit numbers hold
 _WEIGHT = 256  # of a shard of SHARD_TOKENS in the averages
 _FIXED = float(1 << 20)  # parameters are averaged as whole multiples of its inverse
 BATCH = 1024
@@ -94,6 +98,11 @@ class Vocabulary:
         """The number that stands before the first word of a text."""
         return self.size
 
+    @cached_property
+    def index(self) -> pd.Index:
+        """The keys as a hash table, which is made in the tasks."""
+        return pd.Index(self.keys)
+
     @property
     def shares(self) -> np.ndarray:
         return (self.word_tokens + 0.5) / (self.word_tokens + 0.5).sum()
@@ -105,7 +114,7 @@ def own_count(tokens: int) -> float:
 
 
 def folded(texts: W.Texts) -> W.Texts:
-    return W.Texts(_FOLD[texts.data], texts.offsets)
+    return W.Texts(np.take(_FOLD, texts.data), texts.offsets)
 
 
 def tokens_of(texts: W.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +124,9 @@ def tokens_of(texts: W.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     endings = np.zeros(len(words.ends), np.int64)
     for back in range(1, ENDING + 1):
         at = words.ends - back
-        inside = at >= words.starts
-        endings[inside] |= texts.data[at[inside]].astype(np.int64) << (8 * (back - 1))
+        letters = np.take(texts.data, at, mode="clip").astype(np.int64)
+        letters *= at >= words.starts
+        endings |= letters << (8 * (back - 1))
     hashes = np.insert(words.hashes, words.first[1:], _END)
     endings = np.insert(endings, words.first[1:], _END_ENDING)
     return hashes, endings, words.first + np.arange(len(words.first))
@@ -125,18 +135,39 @@ def tokens_of(texts: W.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def count_words(docs: DataFrame, text: str, learn: str) -> DataFrame:
     """(hash, ending, c) of all words of the rows where ``learn`` is true, the end token included."""
 
+    def summed(parts: list[tuple]) -> pa.RecordBatch:
+        hashes, endings, counts = (np.concatenate(column) for column in zip(*parts, strict=True))
+        numbers, keys = pd.factorize(hashes)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, numbers, counts)
+        columns = [keys.view(np.int64), _by_number(numbers, endings, len(keys)), sums]
+        return pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["hash", "ending", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in W.batches_of(batches, "_text", 2 * W.BATCH):
+        parts, held = [], 0
+        for _, texts in W.batches_of(batches, "_text", 2 * TEXT_BYTES):
             hashes, endings, _ = tokens_of(texts)
-            keys, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-            columns = [pa.array(keys.view(np.int64)), pa.array(endings[first]), pa.array(counts)]
-            yield from pa.table(columns, names=["hash", "ending", "c"]).to_batches()
+            numbers, keys = pd.factorize(hashes)
+            parts.append((keys, _by_number(numbers, endings, len(keys)), np.bincount(numbers, minlength=len(keys))))
+            held += len(keys)
+            if held >= COUNTED:
+                yield summed(parts)
+                parts, held = [], 0
+        if parts:
+            yield summed(parts)
 
     read = docs.where(F.col(learn)).select(F.col(text).alias("_text"))
     partial = read.mapInArrow(run, "hash long, ending long, c long")
     return partial.groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
 
+def _by_number(numbers: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """The value of each number, where equal numbers have equal values."""
+    out = np.empty(size, values.dtype)
+    out[numbers] = values
+    return out
+
+
 def _commonest(counts: DataFrame) -> pd.DataFrame:
     """The words of at least some count, as many as there are within COMMON.
 
@@ -212,17 +243,15 @@ def _class_of(endings: np.ndarray, ending_classes: np.ndarray, other: int, given
 
 def look_up(vocabulary: Vocabulary, hashes: np.ndarray, endings: np.ndarray):
     """(number, count or 0, whether the word is common) for every token."""
-    distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    inverse, distinct = pd.factorize(hashes)
     other = len(vocabulary.first) - 2
-    classes = _class_of(vocabulary.endings, vocabulary.ending_classes, other, endings[first])
-    numbers = vocabulary.first[classes]
+    own_endings = _by_number(inverse, endings, len(distinct))
+    numbers = vocabulary.first[_class_of(vocabulary.endings, vocabulary.ending_classes, other, own_endings)]
     counts = np.zeros(len(distinct), np.int64)
-    common = np.zeros(len(distinct), dtype=bool)
-    if len(vocabulary.keys):
-        place = np.minimum(np.searchsorted(vocabulary.keys, distinct), len(vocabulary.keys) - 1)
-        common = vocabulary.keys[place] == distinct
-        numbers[common] = vocabulary.numbers[place[common]]
-        counts[common] = vocabulary.counts[place[common]]
+    place = vocabulary.index.get_indexer(distinct)
+    common = place >= 0
+    numbers[common] = vocabulary.numbers[place[common]]
+    counts[common] = vocabulary.counts[place[common]]
     return numbers[inverse], counts[inverse], common[inverse]
 
 
@@ -266,26 +295,31 @@ class LogBilinear:
         table[model.place_row :, :DIMENSION] = 1.0
         return cls(first, shares, table)
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        """Context vectors, with a one for the bias."""
-        out = np.ones((len(context), DIMENSION + 1), np.float32)
-        vectors, places = self.table[:, :DIMENSION], self.table[self.place_row :, :DIMENSION]
-        out[:, :DIMENSION] = sum(vectors[context[:, p]] * places[p] for p in range(CONTEXT))
+    def predicted(self, weighted: list[np.ndarray], context: np.ndarray) -> np.ndarray:
+        """Sums of the vectors, weighted by place, of every context, with a one for the bias."""
+        out = np.empty((len(context), DIMENSION + 1), np.float32)
+        for begin in range(0, len(context), 8 * BATCH):
+            around, part = context[begin : begin + 8 * BATCH], out[begin : begin + 8 * BATCH]
+            np.take(weighted[0], around[:, 0], axis=0, out=part, mode="clip")
+            for place in range(1, CONTEXT):
+                part += np.take(weighted[place], around[:, place], axis=0, mode="clip")
+        out[:, DIMENSION] = 1.0
         return out
 
     @staticmethod
-    def _log_share(hidden: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """Logarithm of the chosen row's share in the normalised scores of all rows."""
+    def _log_share(hidden: np.ndarray, norms: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Logarithm of the chosen row's share in the normalised scores of all rows; ``norms`` are those of ``hidden``."""
         out = np.empty(len(hidden))
         size = max(1, BATCH * 256 // len(rows))
         ones = np.ones(len(rows), np.float32)
+        across = np.ascontiguousarray(rows.T)
+        held = np.empty((min(size, len(hidden)), len(rows)), np.float32)
         # No score is above the product of the norms; where that could overflow, it is taken off first.
-        longest = np.sqrt(np.square(rows).sum(axis=1).max())
+        most = (MOST_LOG - np.log(len(rows))) / max(np.sqrt(np.square(rows).sum(axis=1).max()), 1e-30)
         for begin in range(0, len(hidden), size):
             part = hidden[begin : begin + size]
-            scores = part @ rows.T
-            bound = longest * np.sqrt(np.square(part).sum(axis=1).max())
-            if bound > 60:
+            scores = np.matmul(part, across, out=held[: len(part)])
+            if norms[begin : begin + size].max() > most:
                 scores -= scores.max(axis=1)[:, None]
             own = scores[np.arange(len(scores)), chosen[begin : begin + size]]
             np.exp(scores, out=scores)
@@ -295,18 +329,27 @@ class LogBilinear:
     def log_probabilities(self, words: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Natural logarithm of the normalised probability of each word number in its context."""
         out = np.empty(len(words))
+        several = np.diff(self.first) > 1
+        weighted = [self.table[: self.class_row] * weights for weights in self.table[self.place_row :]]
         for begin in range(0, len(words), SLICE * BATCH):
             own = words[begin : begin + SLICE * BATCH]
-            hidden = self.predicted(context[begin : begin + SLICE * BATCH])
+            hidden = self.predicted(weighted, context[begin : begin + SLICE * BATCH])
+            norms = np.sqrt(np.einsum("ij,ij->i", hidden, hidden))
             classes = self.class_of[own]
-            logs = self._log_share(hidden, self.table[self.class_row : self.word_row], classes)
-            order = np.argsort(classes, kind="stable")
-            bounds = np.searchsorted(classes[order], np.arange(self.classes + 1))
-            for number in np.flatnonzero((np.diff(self.first) > 1) & (np.diff(bounds) > 0)):
-                at = order[bounds[number] : bounds[number + 1]]
+            logs = self._log_share(hidden, norms, self.table[self.class_row : self.word_row], classes)
+            # The tokens of classes that hold several words, class by class.
+            order = np.flatnonzero(several[classes])
+            inner = classes[order].astype(np.uint16)  # sorted by counting
+            order = order[np.argsort(inner, kind="stable")]
+            hidden, norms, own = np.take(hidden, order, axis=0), norms[order], own[order]
+            within = np.empty(len(order))
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(inner, minlength=self.classes))])
+            for number in np.flatnonzero(np.diff(bounds)):
                 low, high = self.first[number], self.first[number + 1]
+                at = slice(bounds[number], bounds[number + 1])
                 rows = self.table[self.word_row + low : self.word_row + high]
-                logs[at] += self._log_share(hidden[at], rows, own[at] - low)
+                within[at] = self._log_share(hidden[at], norms[at], rows, own[at] - low)
+            logs[order] += within
             out[begin : begin + SLICE * BATCH] = logs
         return out
 
@@ -321,61 +364,83 @@ class LogBilinear:
         sums = np.cumsum(self.within)
         several = np.diff(self.first) > 1
         table, width = self.table, DIMENSION
+        small = len(table) <= 1 << 16
+        # The rows that a batch touches and their changes, one kind after the other.
+        held = np.empty((1 + WORD_NOISE + CONTEXT) * BATCH + BATCH + NOISE + CONTEXT, np.uint16 if small else np.int64)
+        changed = np.empty((len(held), width + 1), np.float32)
         for begin in range(0, len(words), BATCH):
             own, around = words[begin : begin + BATCH], context[begin : begin + BATCH]
+            count = len(own)
             classes = self.class_of[own]
             drawn = np.minimum(np.searchsorted(class_sums, random.random(NOISE)), self.classes - 1)
-            places = table[self.place_row :, :width]
-            rows = [table[around[:, p], :width] for p in range(CONTEXT)]
-            hidden = np.ones((len(own), width + 1), np.float32)
-            hidden[:, :width] = sum(r * w for r, w in zip(rows, places, strict=True))
+            places = table[self.place_row :]
+            rows = [np.take(table, around[:, p], axis=0) for p in range(CONTEXT)]
+            hidden = rows[0] * places[0]
+            for p in range(1, CONTEXT):
+                hidden += rows[p] * places[p]
+            hidden[:, width] = 1.0
             # Data are labelled 1 and noise 0; these are the gradients of the log likelihood of the labels.
-            outputs, noise = table[self.class_row + classes], table[self.class_row + drawn]
+            outputs, noise = np.take(table, self.class_row + classes, axis=0), table[self.class_row + drawn]
             up = _miss(np.einsum("ij,ij->i", hidden, outputs) - class_noise[classes])
             down = -_miss(class_noise[drawn] - hidden @ noise.T)
             back = up[:, None] * outputs + down @ noise
-            touched = [self.class_row + classes, self.class_row + drawn]
-            changes = [up[:, None] * hidden, down.T @ hidden]
+            np.add(classes, self.class_row, out=held[:count], casting="unsafe")
+            np.multiply(up[:, None], hidden, out=changed[:count])
+            at = count + NOISE
+            held[count:at] = self.class_row + drawn
+            changed[count:at] = down.T @ hidden
             # The words of classes that hold several.
-            at = np.flatnonzero(several[classes])
-            if len(at):
-                inner, low, high = hidden[at], self.first[classes[at]], self.first[classes[at] + 1]
+            inside = np.flatnonzero(several[classes])
+            if len(inside):
+                inner, owned, known = np.take(hidden, inside, axis=0), own[inside], classes[inside]
+                low, high = self.first[known], self.first[known + 1]
                 before = np.where(low > 0, sums[np.maximum(low, 1) - 1], 0.0)
-                draws = random.random((len(at), WORD_NOISE)) + before[:, None]
+                draws = random.random((len(inside), WORD_NOISE)) + before[:, None]
                 others = np.clip(np.searchsorted(sums, draws), low[:, None], high[:, None] - 1)
-                outputs, noise = table[self.word_row + own[at]], table[self.word_row + others]
-                up = _miss(np.einsum("ij,ij->i", inner, outputs) - word_noise[own[at]])
+                outputs = np.take(table, self.word_row + owned, axis=0)
+                noise = np.take(table, self.word_row + others, axis=0)
+                up = _miss(np.einsum("ij,ij->i", inner, outputs) - word_noise[owned])
                 down = -_miss(word_noise[others] - np.einsum("ij,ikj->ik", inner, noise))
-                back[at] += up[:, None] * outputs + np.einsum("ik,ikj->ij", down, noise)
-                touched += [self.word_row + own[at], (self.word_row + others).ravel()]
-                changes += [up[:, None] * inner, (down[:, :, None] * inner[:, None, :]).reshape(-1, width + 1)]
+                back[inside] += up[:, None] * outputs + np.einsum("ik,ikj->ij", down, noise)
+                end, last = at + len(inside), at + (1 + WORD_NOISE) * len(inside)
+                held[at:end] = self.word_row + owned
+                held[end:last] = (self.word_row + others).ravel()
+                np.multiply(up[:, None], inner, out=changed[at:end])
+                each = changed[end:last].reshape(len(inside), WORD_NOISE, width + 1)
+                np.multiply(down[:, :, None], inner[:, None, :], out=each)
+                at = last
             back[:, width] = 0
             for place in range(CONTEXT):
-                touched += [around[:, place], np.array([self.place_row + place])]
-                moved = back.copy()
-                moved[:, :width] *= places[place]
-                weight = np.zeros((1, width + 1), np.float32)
-                weight[0, :width] = np.einsum("ij,ij->j", back[:, :width], rows[place])
-                changes += [moved, weight]
-            self._step(np.concatenate(touched), np.concatenate(changes), rate)
+                end = at + count
+                held[at:end], held[end] = around[:, place], self.place_row + place
+                np.multiply(back, places[place], out=changed[at:end])
+                np.einsum("ij,ij->j", back, rows[place], out=changed[end])
+                at = end + 1
+            self._step(held[:at], changed[:at], rate)
 
     def _step(self, touched: np.ndarray, changes: np.ndarray, rate: float) -> None:
         """Adagrad on the rows that a batch touches, their changes summed first."""
-        if len(self.table) <= 1 << 16:
-            touched = touched.astype(np.uint16)  # sorted by counting
-        order = np.argsort(touched, kind="stable")
+        order = np.argsort(touched, kind="stable")  # 16-bit rows are sorted by counting
         sorted_rows = touched[order]
         edges = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        rows = sorted_rows[edges]
-        change = np.add.reduceat(changes[order], edges, axis=0)
-        root = np.sqrt(np.square(self.roots[rows]) + np.square(change))
+        rows = sorted_rows[edges].astype(np.int64)
+        change = np.add.reduceat(np.take(changes, order, axis=0), edges, axis=0)
+        root = np.square(np.take(self.roots, rows, axis=0))
+        root += np.square(change)
+        np.sqrt(root, out=root)
         self.roots[rows] = root
-        self.table[rows] += np.float32(rate) * change / root
+        change *= np.float32(rate)
+        change /= root
+        change += np.take(self.table, rows, axis=0)
+        self.table[rows] = change
 
 
 def _miss(logits: np.ndarray) -> np.ndarray:
     """One less the probability that the logits give."""
-    return 1.0 / (1.0 + np.exp(np.clip(logits, -30.0, 30.0)))
+    out = np.minimum(np.maximum(logits, -30.0), 30.0)
+    np.exp(out, out=out)
+    out += 1.0
+    return np.divide(1.0, out, out=out)
 
 
 def dealt_units(docs: DataFrame, text: str, learn: str, key: str, vocabulary: Vocabulary) -> tuple[DataFrame, int]:
@@ -388,7 +453,7 @@ def dealt_units(docs: DataFrame, text: str, learn: str, key: str, vocabulary: Vo
     known = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in W.batches_of(batches, "_text"):
+        for table, texts in W.batches_of(batches, "_text", 2 * TEXT_BYTES):
             hashes, endings, first = tokens_of(texts)
             units = look_up(known.value, hashes, endings)[0].astype("<u4").tobytes()
             held = pa.array([units[4 * a : 4 * b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
@@ -490,7 +555,7 @@ def _score(model: LogBilinear, vocabulary: Vocabulary, texts: W.Texts) -> tuple[
     sums = {
         "n_tokens": np.diff(first),
         "n_common": np.bincount(owners, common, len(texts)).astype(np.int64),
-        "common_log": np.bincount(owners, np.where(common, np.log10(counts + 1.0), 0.0), len(texts)),
+        "common_log": np.bincount(owners, np.log10(counts + 1.0), len(texts)),
         "model_log": np.bincount(owners, logs, len(texts)),
     }
     rare = ~common
@@ -515,16 +580,17 @@ def score_documents(docs: DataFrame, learn: str, doc_id: str = "doc_id", text: s
     rows = docs.select(
         docs[doc_id].alias("doc_id"), docs[text].alias("_text"), F.coalesce(docs[learn], F.lit(False)).alias("_learn")
     )
-    counts = materialise(count_words(rows, "_text", "_learn"))
-    vocabulary = read_vocabulary(counts)
-    model = fit(rows, "_text", "_learn", "doc_id", vocabulary)
+    with arrow_batches(spark, TEXT_BYTES):
+        counts = materialise(count_words(rows, "_text", "_learn"))
+        vocabulary = read_vocabulary(counts)
+        model = fit(rows, "_text", "_learn", "doc_id", vocabulary)
     known = spark.sparkContext.broadcast((vocabulary, model.table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table = known.value
         own = LogBilinear(words.first, words.shares, table)
         number = TaskContext.get().partitionId() << 36
-        for table, texts in W.batches_of(batches, "_text"):
+        for table, texts in W.batches_of(batches, "_text", 2 * TEXT_BYTES):
             sums, rare, times = _score(own, words, texts)
             columns = {
                 "row": pa.array(number + np.arange(len(texts))),
@@ -543,13 +609,14 @@ def score_documents(docs: DataFrame, learn: str, doc_id: str = "doc_id", text: s
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     # Written once: the row numbers that the next join uses must not be made anew.
-    scored = materialise(
-        rows.mapInArrow(
-            run,
-            f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_common long, common_log double, "
-            "model_log double, rare array<struct<hash: bigint, times: int>>",
+    with arrow_batches(spark, TEXT_BYTES):
+        scored = materialise(
+            rows.mapInArrow(
+                run,
+                f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_common long, common_log double, "
+                "model_log double, rare array<struct<hash: bigint, times: int>>",
+            )
         )
-    )
     # No rare word is frequent, so this join has no hot key; what it finds is summed before the next one.
     rare = scored.select("row", F.inline("rare")).join(counts.select("hash", "c"), "hash")
     found = rare.groupBy("row").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from answerlab.llm import lm
 from answerlab.llm import words as W
+from answerlab.session import BATCH_BYTES
 
 
 def tokens(text):
@@ -170,3 +171,103 @@ def test_tokens_of_a_piece():
 
     hashes, endings, first = lm.tokens_of(W.texts_of(pa.array(["A b", None, "a"])))
     assert first.tolist() == [0, 3, 4, 6] and hashes[0] == hashes[4] and endings[2] == -1
+
+
+def test_tokens_are_not_sorted_by_wide_keys(spark, monkeypatch):
+    """Tokens are told apart by hash tables and ordered by counting, not by comparing 64-bit values."""
+    rows = [(i, cases.prose(i, 300), None, "s", 1) for i in range(20)]
+    _, vocabulary = vocabulary_of(spark, rows)
+    model = lm.LogBilinear.fresh(vocabulary.first, vocabulary.shares)
+    argsort = np.argsort
+
+    def narrow(values, **given):
+        assert values.dtype.itemsize <= 2 or len(values) < 1000
+        return argsort(values, **given)
+
+    monkeypatch.setattr(np, "argsort", narrow)
+    monkeypatch.setattr(np, "unique", None)
+    sums = lm._score(model, vocabulary, W.texts_of(lm.pa.array([row[1] for row in rows])))[0]
+    assert sums["n_common"].tolist() == sums["n_tokens"].tolist() and sums["n_tokens"].sum() > 5000
+
+
+def test_texts_come_in_batches_of_few_bytes(spark, monkeypatch):
+    limits, write = [], lm.materialise
+
+    def spy(frame):
+        limits.append(spark.conf.get(BATCH_BYTES))
+        return write(frame)
+
+    monkeypatch.setattr(lm, "materialise", spy)
+    before = spark.conf.get(BATCH_BYTES)
+    lm.score_documents(cases.frame(spark).withColumn("learn", F.lit(True)), "learn")
+    assert limits == [str(lm.TEXT_BYTES)] * 3 and spark.conf.get(BATCH_BYTES) == before
+
+
+@pytest.mark.parametrize(("pieces", "most"), [(100, 1), (100, 150), (1 << 20, 1 << 19)])
+def test_counts_of_pieces_are_summed(spark, monkeypatch, pieces, most):
+    monkeypatch.setattr(lm, "TEXT_BYTES", pieces)
+    monkeypatch.setattr(lm, "COUNTED", most)
+    rows = [(i, cases.prose(i, 200), None, "s", 1) for i in range(30)] + [(99, None, None, "s", 1)]
+    docs = cases.frame(spark, rows).coalesce(1).withColumn("learn", F.lit(True))
+    found = lm.count_words(docs, "text", "learn").collect()
+    expected = Counter(t for row in rows for t in tokens(row[1]))
+    assert sorted(row["c"] for row in found) == sorted(expected.values())
+
+
+@pytest.mark.parametrize("scale", [0.5, 2.0, 3.0, 4.0, 6.0])
+def test_probabilities_agree_with_a_plain_sum(scale):
+    """Also where scores are about as large as 32-bit numbers hold without taking off the largest."""
+    random = np.random.default_rng(2)
+    first = np.array([0, 1, 2, 40, 41, 300])
+    model = lm.LogBilinear.fresh(first, np.full(300, 1 / 300))
+    model.table[:] = random.normal(0, scale, model.table.shape)
+    words, context = random.integers(0, 300, 3000), random.integers(0, 301, (3000, lm.CONTEXT))
+    table = model.table.astype(float)
+    hidden = np.ones((len(words), lm.DIMENSION + 1))
+    hidden[:, :-1] = sum(table[context[:, p], :-1] * table[model.place_row + p, :-1] for p in range(lm.CONTEXT))
+    expected = np.zeros(len(words))
+    for i, word in enumerate(words):
+        number = model.class_of[word]
+        low, high = model.word_row + first[number], model.word_row + first[number + 1]
+        for rows, chosen in ((table[model.class_row : model.word_row], number), (table[low:high], word - first[number])):
+            scores = rows @ hidden[i]
+            expected[i] += scores[chosen] - np.logaddexp.reduce(scores)
+    assert np.allclose(model.log_probabilities(words, context), expected, rtol=1e-4, atol=1e-4)
+
+
+def test_a_training_step_follows_the_gradient():
+    """One batch against plain sums of every token's changes, with words in classes of several and alone."""
+    random = np.random.default_rng(3)
+    first = np.array([0, 1, 2, 6, 7, 12])
+    shares = random.random(12) / 6
+    model = lm.LogBilinear.fresh(first, shares)
+    table, classes = model.table.astype(float), model.class_of
+    words, context = random.integers(0, 12, 500), random.integers(0, 13, (500, lm.CONTEXT))
+    model.train(words, context, lm.RATE, np.random.default_rng(4))
+
+    draws = np.random.default_rng(4)
+    noise = np.searchsorted(np.cumsum(model.class_shares), draws.random(lm.NOISE)).clip(0, 4)
+    many = np.diff(first)[classes[words]] > 1
+    inner = iter(draws.random((many.sum(), lm.WORD_NOISE)))
+    change = np.zeros_like(table)
+    places = table[model.place_row :, :-1]
+    for word, around in zip(words, context, strict=True):
+        number = classes[word]
+        hidden = np.append((table[around, :-1] * places).sum(axis=0), 1.0)
+        labels = [(model.class_row + number, 1, model.class_shares[number] * lm.NOISE)]
+        labels += [(model.class_row + n, 0, model.class_shares[n] * lm.NOISE) for n in noise]
+        if first[number + 1] - first[number] > 1:
+            within = np.cumsum(model.within[first[number] : first[number + 1]])
+            others = first[number] + np.searchsorted(within, next(inner)).clip(0, len(within) - 1)
+            labels.append((model.word_row + word, 1, model.within[word] * lm.WORD_NOISE))
+            labels += [(model.word_row + w, 0, model.within[w] * lm.WORD_NOISE) for w in others]
+        back = np.zeros_like(hidden)
+        for row, label, often in labels:
+            miss = label - 1 / (1 + np.exp(np.log(often) - table[row] @ hidden))
+            change[row] += miss * hidden
+            back += miss * table[row]
+        for place, row in enumerate(around):
+            change[row, :-1] += back[:-1] * places[place]
+            change[model.place_row + place, :-1] += back[:-1] * table[row, :-1]
+    expected = table + lm.RATE * change / np.sqrt(lm.FIRST_ROOT**2 + change**2)
+    assert np.allclose(model.table, expected, atol=1e-5)
