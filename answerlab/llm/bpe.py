@@ -6,6 +6,10 @@ strings. Normalisation and splitting follow the vocabulary file: NFC, white spac
 lower case letter by letter, then contractions, letter runs, single numbers and runs of the rest.
 No such part crosses a blank, so distinct blank-separated strings are encoded once per task.
 
+What a character is composed to, its lower case and its class depend on the Unicode version, which the library, Python and
+its pattern library each have their own of. So all but Latin-1 is normalised with the library's tables, and strings with
+characters younger than Unicode 3.2 are split with them.
+
 Defined results: a null or empty text has no tokens and decodes to the empty text; special tokens
 written out in a text count as those tokens; equal texts have equal results.
 """
@@ -22,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from answerlab.llm import words as W
 from answerlab.llm.columns import renamed
 
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+_category = unicodedata.ucd_3_2_0.category
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value of the vocabulary file
 
 
@@ -104,6 +110,8 @@ class Bpe:
         # Unicode white space, as the splitting pattern of the file means it; other engines differ in \\s.
         blank = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
         self.parts = regex.compile(_PARTS.replace(r"\s", blank))
+        self.normalise = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        self.split = pre_tokenizers.Split(Regex(_PARTS), "removed", invert=True).pre_tokenize_str
         named = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.named = regex.compile(f"({named})") if named else None
         self.known: dict[str, list[int]] = {}
@@ -127,12 +135,19 @@ class Bpe:
             if i % 2:
                 out.append(self.special[stretch])
                 continue
-            stretch = unicodedata.normalize("NFC", stretch)
-            lower = stretch.lower() if "Σ" not in stretch else "".join(c.lower() for c in stretch)
-            for part in self.parts.findall(lower):
+            for part in self.parts_of(stretch):
                 out += self.encode_part(part)
         return out
 
+    def parts_of(self, text: str) -> list[str]:
+        """The normalised parts that are merged each by itself."""
+        if text.isascii() or max(text) < "\u0100":
+            return self.parts.findall(text.lower())
+        lower = self.normalise(text)
+        if any(_category(letter) == "Cn" for letter in lower):
+            return [part for part, _ in self.split(lower)]
+        return self.parts.findall(lower)
+
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings of the ids, put together with blanks as the library does without a decoder."""
         return " ".join(self.strings[i] for i in ids)

@@ -30,6 +30,23 @@ def test_chosen_texts(text):
     assert OWN.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        ":\u209d",
+        "a\u088fb 1\u088f2",
+        "\u1c89a \ua7cb \U00010d50:",
+        ":\U00016ea0: a\U0003d000b",
+        "e\u07fd\u0323\u0301x",
+        "e\u1dfa\u0323 a😀b 1😀:",
+        ":\U00011de1 \U0001ccf0\U0001ccf1",
+    ],
+)
+def test_characters_of_any_unicode_version(text):
+    """Letters, lower case, numbers and order of marks that Python, its pattern library and the library differ in."""
+    assert OWN.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_merge_takes_lowest_rank_then_leftmost():
     pair = lambda a, b: a << 32 | b
     ranks, made = {pair(1, 2): 1, pair(2, 3): 0, pair(1, 1): 2}, [23, 12, 11]
