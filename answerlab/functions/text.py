@@ -60,7 +60,11 @@ def _ranges(chars: str, gap: int = 40) -> str:
 _FOLD_FROM, _FOLD_TO, _FOLD_MANY = _fold_tables()
 _FOLD_MANY = [(a, b) for a, b in _FOLD_MANY if a != "ß"]
 _FOLD_PAIRS = "array(" + ", ".join(f"struct('{a}' AS a, '{b}' AS b)" for a, b in _FOLD_MANY) + ")"
-_FOLD_CLASS = _ranges(_FOLD_FROM + "".join(a for a, _ in _FOLD_MANY))
+_FOLD_CHARS = sorted(_FOLD_FROM + "".join(a for a, _ in _FOLD_MANY))
+_FOLD_CLASS = _ranges("".join(_FOLD_CHARS))
+# A letter beyond Latin text, or the one in it: looked for first, since many ranges take long for every letter.
+_LOW, _HIGH = map(ord, _FOLD_CHARS[:2])
+_FOLD_LIKELY = rf"[^\x00-\x{{{_LOW - 1:x}}}\x{{{_LOW + 1:x}}}-\x{{{_HIGH - 1:x}}}]"
 
 
 def fold(text: Column) -> Column:
@@ -73,21 +77,27 @@ def fold(text: Column) -> Column:
     replaced = F.aggregate(
         F.expr(_FOLD_PAIRS), lowered, lambda acc, pair: F.replace(acc, pair["a"], pair["b"])
     )
-    return F.when(lowered.rlike(_FOLD_CLASS), F.translate(replaced, _FOLD_FROM, _FOLD_TO)).otherwise(lowered)
+    occurs = lowered.rlike(_FOLD_LIKELY) & lowered.rlike(_FOLD_CLASS)
+    return F.when(occurs, F.translate(replaced, _FOLD_FROM, _FOLD_TO)).otherwise(lowered)
 
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def _from_first_letter(text: Column) -> Column:
+    """The text without white space in front: empty where ``strip`` is, and the rest of the text is not looked at."""
+    return F.ltrim(text, F.lit(WHITESPACE))
+
+
 def is_blank(text: Column) -> Column:
     """True for null and for text made of white space only."""
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return F.coalesce(_from_first_letter(text) == "", F.lit(True))
 
 
 def blank_to_null(text: Column) -> Column:
     """Null instead of a blank; any other text keeps its outer spaces."""
-    return F.when(strip(text) != "", text)
+    return F.when(_from_first_letter(text) != "", text)
 
 
 def tokens(text: Column) -> Column:
@@ -123,9 +133,20 @@ def category_accuracy(category: Column, answer: Column) -> Column:
 
 def boolean_accuracy(label: Column, answer: Column) -> Column:
     """1.0 when the only boolean word of the answer is the expected one; null for a blank answer."""
+    return says_boolean(expected_boolean(label), answer)
+
+
+def expected_boolean(label: Column) -> Column:
+    """The boolean word that a label asks for."""
     joined = F.regexp_replace(fold(strip(label)), f"[{_WS}]+", "_")
-    expected = F.when(joined.isin(*CATEGORIES), F.lit("true")).otherwise(F.lit("false"))
-    said = F.regexp_extract_all(fold(answer), F.lit(f"(?<![{_WORD}])(true|false)(?![{_WORD}])"), F.lit(0))
+    return F.when(joined.isin(*CATEGORIES), F.lit("true")).otherwise(F.lit("false"))
+
+
+def says_boolean(expected: Column, answer: Column) -> Column:
+    """The accuracy of :func:`boolean_accuracy` by the expected word."""
+    # What stands before a word is looked at where the word is found, not at every letter.
+    word = f"(?:true(?<![{_WORD}]true)|false(?<![{_WORD}]false))(?![{_WORD}])"
+    said = F.regexp_extract_all(fold(answer), F.lit(word), F.lit(0))
     right = F.array_distinct(said) == F.array(expected)
     return F.when(~is_blank(answer), right.cast("double"))
 

@@ -13,7 +13,7 @@ from answerlab.operators.bleu import with_bleu
 from answerlab.operators.hallucination import NAME as HALLUCINATION, HallucinationModels, hallucination_scores
 from answerlab.operators.pairs import COMPARISONS, comparison_pairs, scatter_scores, with_clean_and_center
 from answerlab.plans.skew import attach, measure_groups, salt
-from answerlab.session import materialise
+from answerlab.session import arrow_batches, materialise, passing_shuffles
 
 CLEAN_ACCURACY, CENTER_ACCURACY, MEAN_ACCURACY = (
     "accuracy_clean_vs_label",
@@ -43,6 +43,8 @@ class Scorers:
 
 
 NO_SCORERS = Scorers({}, {})
+#: Bytes of a batch of pairs and their tokens that goes to Python.
+BATCH_BYTES = 4 << 20
 _TOKENS = "_reference_tokens"
 
 
@@ -65,23 +67,26 @@ def with_row_scores(
 def with_model_scores(pairs: DataFrame, scorers: Scorers, keys: list[str]) -> DataFrame:
     """Add the model metrics one after the other, so that one model is loaded at a time.
 
-    Every pair must come back exactly once.
+    Every pair must come back exactly once. The two texts do not: what else is made of them is made before.
     """
     if not scorers.of_models():
         return pairs
-    pairs = scored = materialise(pairs)
-    if scorers.hallucination:
-        scored = hallucination_scores(scored, scorers.hallucination)
-    for name, make in scorers.models.items():
-        scored = inference.score_pairs(scored, make, name).drop(f"{name}_error")
-    scored = materialise(scored)
-    validate.require_one_score_per_pair(scored, pairs, keys)
+    spark = pairs.sparkSession
+    with passing_shuffles(spark):
+        with arrow_batches(spark, BATCH_BYTES):
+            pairs = scored = materialise(pairs, "zstd")
+        if scorers.hallucination:
+            scored = hallucination_scores(scored, scorers.hallucination)
+        for name, make in scorers.models.items():
+            scored = inference.score_pairs(scored, make, name).drop(f"{name}_error")
+        scored = materialise(scored.drop("reference", "candidate"))
+        validate.require_one_score_per_pair(scored, pairs, keys)
     return scored
 
 
 def _category(responses: DataFrame, true_false: bool) -> Column:
     label = F.col(validate.category_column(responses))
-    return label if true_false else text.normalize_category(label)
+    return text.expected_boolean(label) if true_false else text.normalize_category(label)
 
 
 def _checked(
@@ -91,7 +96,7 @@ def _checked(
     validate.require_columns(responses, {key, "center_response", "label_gt", *lists}, "answer table")
     by_category = validate.check_answers(responses, key, dataset_name, judge_categories=not true_false)
     if true_false:
-        return text.boolean_accuracy
+        return text.says_boolean
     return text.category_accuracy if by_category else None
 
 
@@ -150,13 +155,14 @@ def analyze_positions(
 
     Answer and label are in the same row, so pairs are made without a join.
     """
-    accuracy = _checked(responses, key, dataset_name, true_false)
+    with passing_shuffles(responses.sparkSession):
+        accuracy = _checked(responses, key, dataset_name, true_false)
+        if scorers.of_models():
+            validate.require_unique(responses, key)
     columns = [key, F.col("label_gt").alias("reference"), text.tokens(F.col("label_gt")).alias(_TOKENS)]
     if accuracy:
         columns.append(_category(responses, true_false).alias("_category"))
     listed = positions.listed_answers(F.col("responses"), F.col("center_response"))
-    if scorers.of_models():
-        validate.require_unique(responses, key)
     # The label is cut into tokens before it is repeated for every answer.
     rows = responses.select(*columns, listed.alias("_listed"))
     rows = rows.select(*[c for c in rows.columns if c != "_listed"], F.inline("_listed"))
@@ -190,10 +196,12 @@ def analyze_long_positions(
 
 
 def mean_by_position(pairs: DataFrame, scorers: Scorers, accuracy: Callable | None, key: str) -> DataFrame:
-    scored = with_row_scores(pairs, scorers, "reference", "candidate", tokens={"reference": _TOKENS}).drop(_TOKENS)
-    scored = with_model_scores(scored, scorers, [key, "position"])
     means = {m: f"mean_{m}" for m in scorers.names()}
     if accuracy:
-        scored = scored.withColumn("accuracy", accuracy(F.col("_category"), F.col("candidate")))
+        # Beside the tokens, which fold the answer too.
+        pairs = pairs.withColumn("accuracy", accuracy(F.col("_category"), F.col("candidate"))).drop("_category")
         means["accuracy"] = MEAN_ACCURACY
-    return positions.position_means(scored, means)
+    scored = with_row_scores(pairs, scorers, "reference", "candidate", tokens={"reference": _TOKENS}).drop(_TOKENS)
+    scored = with_model_scores(scored, scorers, [key, "position"])
+    with passing_shuffles(pairs.sparkSession), arrow_batches(pairs.sparkSession, BATCH_BYTES):
+        return positions.position_means(scored, means)

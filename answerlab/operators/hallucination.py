@@ -24,14 +24,18 @@ class HallucinationModels:
 def hallucination_scores(pairs: DataFrame, models: HallucinationModels) -> DataFrame:
     """Add ``hallucination_score`` to (reference, candidate) rows; distinct texts are encoded once.
 
-    A missing side or a failed call leaves null.
+    A missing side or a failed call leaves null. Both models are called first; their results are put back by digests,
+    so where the caller reads the scores only, no text is shuffled for it.
     """
-    texts = pairs.select(F.explode(F.array("reference", "candidate")).alias("text"))
+    both = ["reference", "candidate"]
+    texts = pairs.select(F.explode(F.array(*both)).alias("text"))
     encoded = inference.call_distinct(texts, ["text"], models.semantic, "array<double>")
-    scored = inference.put_back(pairs, ["reference"], encoded, "_ref")
-    scored = inference.put_back(scored, ["candidate"], encoded, "_cand")
-    similar = vec.semantic_similarity(F.col("_ref"), F.col("_cand"))
-    scored = scored.withColumn("_similar", similar).drop("_ref", "_cand", "_ref_error", "_cand_error")
-    scored = inference.call_model(scored, ["reference", "candidate"], models.logits, "array<double>", "_logits")
+    judged = inference.call_distinct(pairs, both, models.logits, "array<double>")
+    scored = inference.identified(pairs, {"_ref_id": both[:1], "_cand_id": both[1:], "_pair_id": both})
+    kept = scored.columns
+    scored = inference.put_back_by(scored, "_ref_id", encoded, "_ref")
+    scored = inference.put_back_by(scored, "_cand_id", encoded, "_cand")
+    similar = vec.semantic_similarity(F.col("_ref"), F.col("_cand")).alias("_similar")
+    scored = inference.put_back_by(scored.select(*kept, similar), "_pair_id", judged, "_logits")
     score = vec.hallucination_score(F.col("_similar"), vec.factual_score(F.col("_logits")))
-    return scored.withColumn(NAME, score).drop("_similar", "_logits", "_logits_error")
+    return scored.select(*pairs.columns, score.alias(NAME))

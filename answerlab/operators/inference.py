@@ -13,6 +13,8 @@ outlive the application: they are written slice by slice, and what is there is n
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,8 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerlab.functions import text
 from answerlab.functions.vectors import vector_fault
-from answerlab.plans.skew import attach, salt, summarise_counts
-from answerlab.session import materialise
+from answerlab.plans.skew import attach, measure_groups, salt, summarise_counts
+from answerlab.session import COALESCE, arrow_batches, materialise, settings
 
 # Fixed value: most inputs per model call.
 BATCH_SIZE = 32
@@ -34,7 +36,10 @@ TOKEN_BUDGET = 16_384
 CHARS_PER_TOKEN = 4
 #: Results that a task hands over together, at least.
 RESULTS = 512
-_ID, _SIZE = "_input_id", "_tokens"
+#: Rows with the same first input that are kept together on their way to the model, and bytes of a batch that goes to Python.
+ROWS_TOGETHER = 20_000
+BATCH_BYTES = 4 << 20
+_ID, _SIZE, _FIRST, _ROW = "_input_id", "_tokens", "_first", "_row"
 
 
 @dataclass(frozen=True)
@@ -140,9 +145,9 @@ def _caller(make: Callable, inputs: list[str], batch_size: int, budget: int):
 
 
 def input_id(inputs: list[str]) -> Column:
-    """A digest of the input texts; lengths keep neighbouring texts apart."""
+    """A digest of the input texts, null where one is; lengths keep neighbouring texts apart."""
     parts = [F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in inputs]
-    return F.sha2(F.concat(*parts), 256)
+    return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
 def call_distinct(
@@ -162,34 +167,68 @@ def call_distinct(
     """
     if batch_size < 1 or token_budget < 1:
         raise ValueError("batch_size and token_budget must be at least 1")
-    known = rows.select(input_id(inputs).alias(_ID), *inputs).where(F.col(_ID).isNotNull())
-    # Equal inputs are reduced before and after the shuffle, and counted on the way.
-    distinct = known.groupBy(_ID).agg(
-        *[F.first(name).alias(name) for name in inputs], F.count(F.lit(1)).alias("rows")
-    )
+    known = rows.where(functools.reduce(operator.and_, [F.col(name).isNotNull() for name in inputs]))
+    known = known.select(input_id(inputs).alias(_ID), *inputs)
     spark = rows.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Inputs are few bytes and much work, so their number of tasks does not follow their size.
+    parts = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def called(part: DataFrame) -> DataFrame:
         size = F.ceil(sum((F.length(name) for name in inputs), F.lit(0)) / CHARS_PER_TOKEN)
-        # Inputs are few bytes and much work, so their number of tasks does not follow their size.
-        dealt = part.withColumn(_SIZE, F.greatest(size, F.lit(1))).repartition(tasks)
+        dealt = part.withColumn(_SIZE, F.greatest(size, F.lit(1)))
         return dealt.sortWithinPartitions(_SIZE, _ID).mapInPandas(
-            _caller(make, inputs, batch_size, token_budget), f"{_ID} string, rows bigint, result {result_type}, error string"
+            _caller(make, inputs, batch_size, token_budget), f"{_ID} binary, rows bigint, result {result_type}, error string"
         )
 
-    if journal is None:
-        return materialise(called(distinct))
-    return _journaled(materialise(distinct), called, result_type, journal)
+    with arrow_batches(spark, BATCH_BYTES):
+        if journal is not None:
+            distinct = materialise(_distinct(known, inputs))
+            return _journaled(distinct, lambda part: called(part.repartition(parts)), result_type, journal)
+        if len(inputs) > 1:
+            return materialise(called(_distinct_together(known, inputs, parts)))
+        if tasks:
+            return materialise(called(_distinct(known, inputs).repartition(parts)))
+        # What is reduced is dealt by its digests already: sent on as it is, the texts are shuffled once.
+        with settings(spark, {COALESCE: "false"}):
+            return materialise(called(_distinct(known, inputs)))
+
+
+def _distinct(known: DataFrame, inputs: list[str], *together: str) -> DataFrame:
+    """The distinct inputs with their rows. Equal inputs are reduced before and after the shuffle, and counted on the way."""
+    firsts = [F.first(name).alias(name) for name in inputs]
+    return known.groupBy(*together, _ID).agg(*firsts, F.count(F.lit(1)).alias("rows"))
+
+
+def _distinct_together(known: DataFrame, inputs: list[str], parts: int) -> DataFrame:
+    """The same in ``parts`` partitions, with the inputs that have the first text in common beside each other.
+
+    So a text that is compared with many others lies in the shuffle once after the other, which compresses to little
+    more than one, where the rows dealt by digests of the whole input would each carry it. A first text of very many
+    rows is reduced like any input and dealt over several partitions.
+    """
+    # Only a place to meet: inputs are told apart by their digests.
+    known = known.withColumn(_FIRST, F.xxhash64(inputs[0]))
+    sizes = measure_groups(known, _FIRST, ROWS_TOGETHER)
+    rows, group = known.withColumn("rows", F.lit(1).cast("bigint")), [_FIRST]
+    if sizes.has_large:
+        group = [_FIRST, "_salt"]
+        large = F.broadcast(sizes.large())
+        share = F.pmod(F.xxhash64(_ID), F.col("salts")).cast("int")
+        hot = known.join(large, _FIRST).withColumn("_salt", share)
+        rows = rows.join(large, _FIRST, "left_anti").withColumn("_salt", F.lit(0))
+        rows = rows.unionByName(_distinct(hot, inputs, *group))
+    firsts = [F.first(name).alias(name) for name in inputs]
+    return rows.repartition(parts, *group).groupBy(*group, _ID).agg(*firsts, F.sum("rows").alias("rows")).drop(*group)
 
 
 def _journaled(distinct: DataFrame, called: Callable, result_type: str, journal: Journal) -> DataFrame:
     """Results of the distinct inputs from the journal, after what it lacks was called slice by slice."""
     spark, run = distinct.sparkSession, uuid.uuid4().hex
+    # In the folder the digests are hexadecimal.
     schema = f"{_ID} string, result {result_type}, error string, run string"
 
     def held() -> DataFrame:
-        return spark.read.schema(schema).parquet(journal.folder)
+        return spark.read.schema(schema).parquet(journal.folder).withColumn(_ID, F.unhex(_ID))
 
     try:
         missing = distinct.join(held().where("error IS NULL"), _ID, "left_anti")
@@ -202,24 +241,38 @@ def _journaled(distinct: DataFrame, called: Callable, result_type: str, journal:
     for number in range(slices):
         part = missing if slices == 1 else missing.where(F.pmod(F.xxhash64(_ID), F.lit(slices)) == number)
         # Spark puts the files of a job in place when all of them are whole.
-        called(part).select(_ID, "result", "error", F.lit(run).alias("run")).write.mode("append").parquet(journal.folder)
+        results = called(part).select(F.lower(F.hex(_ID)).alias(_ID), "result", "error", F.lit(run).alias("run"))
+        results.write.mode("append").parquet(journal.folder)
     # A result of any run, and else the failure of this one; two runs at once may both have a result.
     usable = held().where((F.col("error").isNull()) | (F.col("run") == run)).join(distinct, _ID)
     best = F.max_by(F.struct("rows", "result", "error"), F.struct(F.col("error").isNull(), "run")).alias("best")
     return materialise(usable.groupBy(_ID).agg(best).select(_ID, "best.*"))
 
 
-def put_back(rows: DataFrame, inputs: list[str], called: DataFrame, result: str) -> DataFrame:
-    """Add ``result`` and ``<result>_error`` from a table of :func:`call_distinct`, by input."""
+def identified(rows: DataFrame, ids: dict[str, list[str]]) -> DataFrame:
+    """Add the digests that ``ids`` names of their inputs, for :func:`put_back_by`, and a hash of the row."""
     row_hash = F.xxhash64(*[F.col(c) for c in rows.columns if _hashable(rows, c)])
     # Rows without an input match nothing; an id of their own keeps them from piling up in one task.
-    no_input = F.concat(F.lit("-"), row_hash.cast("string"))
-    keyed = rows.withColumn(_ID, F.coalesce(input_id(inputs), no_input))
-    sizes = summarise_counts(called.select(_ID, "rows"), _ID)
-    results = called.select(_ID, F.col("result").alias(result), F.col("error").alias(f"{result}_error"))
+    no_input = F.concat(F.lit("-"), row_hash.cast("string")).cast("binary")
+    return rows.withColumns({name: F.coalesce(input_id(inputs), no_input) for name, inputs in ids.items()} | {_ROW: row_hash})
+
+
+def put_back_by(rows: DataFrame, name: str, called: DataFrame, result: str) -> DataFrame:
+    """Add ``result`` and ``<result>_error`` to rows of :func:`identified` by a digest they have.
+
+    The digests and the hash were made before, so texts that nothing reads afterwards are not shuffled.
+    """
+    called = called.withColumnRenamed(_ID, name)
+    sizes = summarise_counts(called.select(name, "rows"), name)
+    results = called.select(name, F.col("result").alias(result), F.col("error").alias(f"{result}_error"))
     # Rows with the same input differ in their other columns, such as question and position.
-    spread = salt(keyed, sizes, row_hash)
-    return attach(spread, results, sizes, how="left").drop(_ID, "_salt")
+    spread = salt(rows, sizes, F.col(_ROW))
+    return attach(spread, results, sizes, how="left").drop("_salt")
+
+
+def put_back(rows: DataFrame, inputs: list[str], called: DataFrame, result: str) -> DataFrame:
+    """Add ``result`` and ``<result>_error`` from a table of :func:`call_distinct`, by input."""
+    return put_back_by(identified(rows, {_ID: inputs}), _ID, called, result).drop(_ID, _ROW)
 
 
 def call_model(rows: DataFrame, inputs: list[str], make: Callable, result_type: str, result: str, **options) -> DataFrame:

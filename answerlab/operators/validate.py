@@ -90,7 +90,7 @@ def check_answers(frame: DataFrame, key: str, dataset_name: str | None, judge_ca
     """
     column = category_column(frame)
     normal = text.normalize_category(F.col(column))
-    wrong = ~F.coalesce(normal.isin(*text.CATEGORIES), F.lit(False))
+    wrong = ~F.coalesce(normal.isin(*text.CATEGORIES), F.lit(False)) if judge_categories else F.lit(False)
     blank = text.is_blank(F.col("label_gt"))
     named = F.bool_and(text.is_category_dataset(F.col("dataset_name"))) if "dataset_name" in frame.columns else F.lit(False)
     found = frame.agg(

@@ -58,7 +58,8 @@ def measure_groups(rows: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT
 
 def summarise_counts(counts: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> GroupSizes:
     """The same from a table that already has the ``rows`` of every key."""
-    longest_key = F.max(F.octet_length(F.col(key).cast("string")))
+    kind = counts.schema[key].dataType.simpleString()
+    longest_key = F.max(F.octet_length(F.col(key) if kind == "binary" else F.col(key).cast("string")))
     groups, largest, total, key_bytes = counts.agg(
         F.count(F.lit(1)),
         F.coalesce(F.max("rows"), F.lit(0)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,32 +45,53 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialise(frame: DataFrame) -> DataFrame:
+def materialise(frame: DataFrame, compression: str | None = None) -> DataFrame:
     """Write the frame once, as Parquet, and read it back.
 
     Nothing upstream runs again, also not when an executor is lost, and readers still get
-    column pruning. The table goes when the application ends.
+    column pruning. The table goes when the application ends. ``compression`` is that of the session
+    unless another one is named.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/answerlab-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     return spark.read.schema(frame.schema).parquet(path)
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Jobs that run inside run with these settings of the session."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def arrow_batches(spark: SparkSession, size: int) -> AbstractContextManager[None]:
     """Jobs that run inside give Python batches of about ``size`` bytes, or of a row that is larger.
 
     By number of rows alone, a batch of texts takes tens of MB in the executor and as much in each of its workers.
     """
-    before = spark.conf.get(BATCH_BYTES)
-    spark.conf.set(BATCH_BYTES, str(size))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_BYTES, before)
+    return settings(spark, {BATCH_BYTES: str(size)})
+
+
+def passing_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Jobs that run inside leave no shuffle files: they go with their job, not when the driver collects its garbage.
+
+    For jobs one after the other that each write a table: else the disk holds the shuffles of all of them.
+    """
+    return settings(spark, {FILE_CLEANUP: "true"})

@@ -12,8 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """For work that is heavy per row: rows are few bytes, so deal them out to all cores."""
-    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)
+    """For work that is heavy per row: rows are few bytes, so deal them out to all cores.
+
+    A table of many files is read by all cores as it is.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if len(frame.inputFiles()) >= 2 * cores else frame.repartition(cores)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,6 +247,37 @@ def test_failed_calls_are_sent_again_and_models_kept_apart(spark, tmp_path):
         inference.generate_answers(frame, failing, journal=inference.Journal(str(tmp_path), "a/b"))
 
 
+def test_pairs_with_a_common_first_text_are_sent_once(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        def call(references, candidates):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as out:
+                out.write("\n".join(f"{r}|{c}" for r, c in zip(references, candidates)))
+            return [float(len(r) * 1000 + len(c)) for r, c in zip(references, candidates)]
+
+        return call
+
+    monkeypatch.setattr(inference, "ROWS_TOGETHER", 20)
+    # One reference of most rows, half of them the same pair, few of another one, and missing sides.
+    rows = [(i, "hot" if i < 300 else f"r{i // 4}", "same" if i % 2 else "x" * (i % 90 + 1)) for i in range(400)]
+    rows += [(400 + i, None if i % 2 else "hot", "same" if i % 2 else None) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id int, reference string, candidate string").repartition(5)
+    for tasks in (None, 3):
+        for f in tmp_path.iterdir():
+            f.write_text("")
+        scored = inference.score_pairs(frame, make, "gap", tasks=tasks).collect()
+        assert {r.id: r.gap for r in scored} == {i: float(len(r) * 1000 + len(c)) if r and c else None for i, r, c in rows}
+        sent = [line for f in tmp_path.iterdir() for line in f.read_text().split("\n") if line]
+        assert sorted(sent) == sorted({f"{r}|{c}" for _, r, c in rows if r and c})
+        called = inference.call_distinct(frame, ["reference", "candidate"], make, "double", tasks=tasks)
+        counts = [r.rows for r in called.collect()]
+        assert max(counts) == 150 and sum(counts) == 400
+
+
 def test_results_of_many_calls_go_out_together():
     import pandas as pd
 
