@@ -163,9 +163,10 @@ def analyze_positions(
     if accuracy:
         columns.append(_category(responses, true_false).alias("_category"))
     listed = positions.listed_answers(F.col("responses"), F.col("center_response"))
-    # The label is cut into tokens before it is repeated for every answer.
+    # The label is cut into tokens before it is repeated for every answer. No list is empty: "outer" only spares a filter
+    # that would make all lists once more to see that.
     rows = responses.select(*columns, listed.alias("_listed"))
-    rows = rows.select(*[c for c in rows.columns if c != "_listed"], F.inline("_listed"))
+    rows = rows.select(*[c for c in rows.columns if c != "_listed"], F.inline_outer("_listed"))
     return mean_by_position(rows, scorers, accuracy, key)
 
 

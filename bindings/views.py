@@ -103,7 +103,7 @@ def line_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: lines as answers, the first line with text as label and the last one as centre."""
     with_text = F.filter("responses", lambda line: ~text.is_blank(line))
     lists = line_lists(spark, sf_dir).select("doc_id", "responses", with_text.alias("lines"))
-    return lists.where(F.size("lines") > 0).select(
+    return lists.where(F.exists("responses", lambda line: ~text.is_blank(line))).select(
         F.col("doc_id").alias("question_id"),
         "responses",
         F.get("lines", F.lit(0)).alias("label_gt"),
